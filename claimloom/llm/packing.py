@@ -10,8 +10,9 @@ still enter are closed.
 
 from __future__ import annotations
 
-import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,38 +26,107 @@ from claimloom.llm._common import checkpoint, require, text_of
 
 CAPACITY = 2048
 END_ID = 0
-#: A word of Latin letters without composing marks, then plain punctuation; neither part depends on the other.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|#$%&*()]*)")
 
 
-class _Pieces(dict):
-    """White-space-delimited strings to their ids as little-endian bytes; forgets all when full."""
+def _byte_symbols() -> dict[int, str]:
+    """The printable stand-in of every byte in a byte-level vocabulary: itself if printable, else the next from U+0100."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+#: Runs of these are one word to the vocabulary. Apostrophes may start a contraction.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+class _Recent(dict):
+    """A dictionary of what was used lately: when full, its entries age, and go if not used again before it is full once more."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.old = limit, {}
+
+    def age(self) -> None:
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+
+    def missing(self, keys: set) -> set:
+        """Keys that aren't known; those that have aged come back."""
+        new = keys.difference(self)
+        back = self.old.keys() & new
+        self.update((k, self.old[k]) for k in back)
+        return new - back
+
+
+class _Pieces:
+    """White-space-delimited strings to their ids as little-endian bytes, each found once while it is in use.
+
+    In texts of Latin-1 letters the normaliser only lower-cases, and a run of letters is
+    one word to the vocabulary whatever stands beside it; it goes to the model as it is.
+    """
 
     def __init__(self, path: str, limit: int):
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.words, self.letters, self.marks = _Recent(limit), _Recent(limit), {}
+        self.symbols = str.maketrans({chr(b): s for b, s in _byte_symbols().items()})
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        if m := _PLAIN.fullmatch(word):
-            letters, marks = m[1].lower(), m[2]
-            if letters == word:
-                ids = self.encode(word)
-            else:
-                ids = self[letters] + (self[marks] if marks else b"")
-        elif len(word) > 64 or len(self) >= self.limit:
-            ids = self.encode(word)
-        else:
-            ids = self.encode(word)
-        if len(word) <= 64:
-            if len(self) >= self.limit:
-                self.clear()
-            self[word] = ids
-        return ids
+    def _word(self, letters: str) -> bytes:
+        symbols = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.symbols)
+        ids = array("I", [t.id for t in self.model.tokenize(symbols)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
+    def _learn(self, new: set[str]) -> None:
+        self.letters.age()
+        words, known, old, marks = self.words, self.letters, self.letters.old, self.marks
+        for word in new:
+            core = word.rstrip(_MARKS)
+            if not (core.isalpha() and core.islower() and (core.isascii() or _latin(core))):
+                words[word] = self.encode(word)
+                continue
+            ids = known.get(core)
+            if ids is None:
+                known[core] = ids = old.get(core) or self._word(core)
+            if core is not word and (mark := word[len(core) :]):
+                if mark not in marks:
+                    if len(marks) > 10_000:
+                        marks.clear()
+                    marks[mark] = self.encode(mark)
+                ids += marks[mark]
+            words[word] = ids
+
+    def ids(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text; a few texts at a time, so that what is new in them is learnt together."""
+        at = 0
+        while at < len(texts):
+            split, size = [], 0
+            while at < len(texts) and (size < 1 << 22 or not split):
+                text = texts[at]
+                split.append((text.lower() if _latin(text) else text).replace("\n", " ").split(" "))
+                size += len(text)
+                at += 1
+            self.words.age()
+            if new := self.words.missing(set().union(*split)):
+                self._learn(new)
+            get = self.words.__getitem__
+            for words in split:
+                yield b"".join(map(get, words))
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 @lru_cache(maxsize=2)
@@ -64,14 +134,13 @@ def _pieces(path: str, limit: int) -> _Pieces:
     return _Pieces(path, limit)
 
 
-def token_bytes(text: str, path: str, cache: int = 400_000) -> bytes:
-    """The ids of `text` as little-endian unsigned 32-bit numbers.
+def token_bytes(texts: list[str], path: str, cache: int = 200_000) -> Iterator[bytes]:
+    """The ids of each text as little-endian unsigned 32-bit numbers.
 
-    The vocabulary drops white space and never joins across it, so the text is encoded
+    The vocabulary drops white space and never joins across it, so texts are encoded
     between spaces and newlines, each distinct string once.
     """
-    pieces = _pieces(path, cache)
-    return b"".join([pieces[w] for w in text.replace("\n", " ").split(" ") if w])
+    return _pieces(path, cache).ids(texts)
 
 
 class BestFit:
@@ -117,8 +186,8 @@ def _level0(path: str, capacity: int, near: float):
         ids, pieces, starts, lengths, crcs = [], [], [], [], []
         end = np.array([END_ID], "<u4").tobytes()
         for pdf in batches:
-            for doc, text in zip(pdf["id"], pdf["text"], strict=True):
-                raw = token_bytes(text, path) + end
+            for doc, raw in zip(pdf["id"], token_bytes(pdf["text"].tolist(), path), strict=True):
+                raw += end
                 for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
                     cut = raw[at : at + 4 * capacity]
                     ids.append(doc)

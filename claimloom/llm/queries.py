@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import fingerprints, mixing, packing, simhash
+from claimloom.llm import chat_format, fingerprints, licenses, mixing, packing, pii, quality, simhash, toxicity
 from claimloom.llm._common import table
+from claimloom.llm._learn import remainder
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,12 +17,35 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", told), (-7, 1, "assistant", told)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat_format.chat_digests(chat_format.format_turns(rows))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sizes = docs.select("doc_id", "source", mixing.document_size().alias("n_words"))
     return mixing.mix_sources(sizes, sized="n_words").select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score_documents(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edited(table(spark, sf_dir, "documents"))
 
@@ -30,13 +54,63 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), packing.default_tokenizer())
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.col(f"pii.n_{k}").alias(f"n_{k}") for k in pii.BASE]
+    return found.select("doc_id", *counts, F.col("pii.base_sha256").alias("base_sha256"), F.col("pii.spans").alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_chat_format": op2_chat_format,
+    "op3_toxicity": op3_toxicity,
+    "op4_license_scan": op4_license_scan,
     "op5_mix_sources": op5_mix_sources,
+    "op6_quality": op6_quality,
     "op7_document_fingerprints": op7_document_fingerprints,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_pii": op10_pii,
 }
 
+_NOTICES = ",\n".join(f"  ({i}, '{t.label}', '{t.text}', '{t.key}', {str(t.base).lower()})" for i, t in enumerate(licenses.TEMPLATES))
+_OP4 = rf"""
+WITH notice(template, label, text, key, base) AS (VALUES
+{_NOTICES}
+), template AS (
+  SELECT template, label, base, string_split(text, ' ') AS words, string_split(key, ' ') AS key,
+         length(string_split(trim(string_split(' ' || text || ' ', ' ' || key || ' ')[1]), ' ')) AS lead, (' ' || text || ' ') LIKE (' ' || key || ' %') AS leads FROM notice
+), file AS (
+  SELECT doc_id, row_number() OVER () AS nr, regexp_extract_all(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '{licenses.WORDS}') AS words FROM documents
+), token AS (
+  SELECT nr, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS pos FROM file
+), df AS (
+  SELECT word, count(DISTINCT nr) AS df FROM token WHERE word IN (SELECT unnest(words) FROM template) GROUP BY word
+), spot AS (
+  SELECT template, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS off FROM template
+), weighed AS (
+  SELECT a.*, coalesce(df, 0) AS df, 1 + round(1000 * ln(((SELECT count(*) FROM file) + 1) / (coalesce(df, 0) + 1)))::INT AS weight FROM spot a LEFT JOIN df USING (word)
+), rare AS (
+  SELECT template, word, row_number() OVER (PARTITION BY template ORDER BY df, word) AS rank FROM (SELECT DISTINCT template, word, df FROM weighed)
+), posting AS (
+  SELECT w.template, w.word, w.off FROM weighed w JOIN rare r USING (template, word) JOIN template t USING (template) WHERE r.rank <= CASE WHEN t.base THEN 1 ELSE {licenses.RARE} END
+), place AS (
+  SELECT DISTINCT k.nr, p.template, k.pos - p.off AS start FROM token k JOIN posting p USING (word)
+), covered AS (
+  SELECT p.nr, p.template, p.start, sum(CASE WHEN k.word = w.word THEN w.weight ELSE 0 END) / sum(w.weight) AS cover
+  FROM place p JOIN weighed w USING (template) LEFT JOIN token k ON k.nr = p.nr AND k.pos = p.start + w.off GROUP BY ALL
+), found AS (
+  SELECT c.*, t.label, t.base FROM covered c JOIN template t USING (template) JOIN file f ON f.nr = c.nr
+  WHERE cover >= CASE WHEN t.base THEN 1.0 ELSE {licenses.COVER} END
+    AND c.start + CASE WHEN t.leads THEN 0 ELSE t.lead END >= 0
+    AND list_slice(f.words, c.start + CASE WHEN t.leads THEN 0 ELSE t.lead END + 1, c.start + CASE WHEN t.leads THEN 0 ELSE t.lead END + length(t.key)) = t.key
+), each AS (
+  SELECT nr, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(cover) AS score FROM found GROUP BY nr
+)
+SELECT f.doc_id, length(f.words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM file f LEFT JOIN each e ON e.nr = f.nr
+"""
+
 _OP5 = """
 WITH sized AS (
   SELECT doc_id, source, length(regexp_replace(regexp_replace(coalesce(text, ''), '[^ \\x09-\\x0D]+', 'x', 'g'), '[ \\x09-\\x0D]+', '', 'g'))::BIGINT AS size,
@@ -69,4 +143,4 @@ SELECT r.doc_id, r.size, r.source_size, r.target, (r.size * g.n)::BIGINT AS take
 FROM run r JOIN (SELECT doc_id, sum(CASE WHEN got THEN 1 ELSE 0 END) AS n FROM served GROUP BY doc_id) g USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op5_mix_sources": _OP5}
+ORACLES: dict[str, str] = {"op4_license_scan": _OP4, "op5_mix_sources": _OP5}
