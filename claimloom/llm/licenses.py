@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm._common import require, text_of
@@ -79,8 +79,11 @@ def idf(n: int, df: int) -> int:
     return 1 + round(1000 * math.log((n + 1) / (df + 1)))
 
 
-def postings(spark: SparkSession, n: int, df: dict[str, int], templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
-    """(word, template, at, ...): places of each template's RARE rarest words (one for a base phrase, which must match whole), and template -1 of the empty word."""
+_POSTING = "word string, template int, at int, label string, base boolean, words array<string>, weights array<int>, mass int, key_at int, key array<string>"
+
+
+def postings(n: int, df: dict[str, int], templates: tuple[Template, ...] = TEMPLATES) -> tuple[list[tuple], list[str]]:
+    """(word, template, at, ...): places of each template's RARE rarest words (one for a base phrase, which must match whole), and template -1 of the empty word; the rare words."""
     rows = [("", -1, 0, "", False, [""], [0], 0, 0, [""])]
     for i, t in enumerate(templates):
         words = t.text.split()
@@ -89,7 +92,7 @@ def postings(spark: SparkSession, n: int, df: dict[str, int], templates: tuple[T
         key = t.key.split()
         key_at = next(k for k in range(len(words)) if words[k : k + len(key)] == key)
         rows += [(w, i, k, t.label, t.base, words, weights, sum(weights), key_at, key) for k, w in enumerate(words) if w in rare]
-    return spark.createDataFrame(rows, "word string, template int, at int, label string, base boolean, words array<string>, weights array<int>, mass int, key_at int, key array<string>")
+    return rows, sorted({r[0] for r in rows[1:]})
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES, cover: float = COVER) -> DataFrame:
@@ -103,17 +106,23 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     result. Other columns are ignored.
     """
     require(docs, id_col, text_col)
-    index = F.broadcast(postings(docs.sparkSession, *document_frequencies(docs, text_col, templates), templates))  # bounded by the templates
-    # an empty word in front of each file has a posting of its own and stands for the file
-    file = F.concat(F.array(F.lit("")), words_of(text_col))
-    files = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("digest"), file.alias("file"))
-    hits = files.select("id", "digest", "file", F.posexplode("file").alias("pos", "token")).join(index, F.col("token") == F.col("word"))
+    places_of, words = postings(*document_frequencies(docs, text_col, templates), templates)
+    index = F.broadcast(docs.sparkSession.createDataFrame(places_of, _POSTING))  # bounded by the templates
+    reach = max(len(t.text.split()) for t in templates)
+    files = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("digest"), words_of(text_col).alias("file"))
+    files = files.select("id", "digest", F.size("file").alias("n"), "file")
+    where = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("file", i).isin(*words))
+    files = files.select("id", "digest", "n", "file", F.when(F.col("n") > 0, where).otherwise(F.array().cast("array<int>")).alias("where"))
+    # only the words around an occurrence go on; an empty word of no template stands for the file itself
+    seen = F.transform("where", lambda p: F.struct(p.alias("pos"), F.get("file", p).alias("token"), F.greatest(p - reach, F.lit(0)).alias("from"), F.slice("file", F.greatest(p - reach, F.lit(0)) + 1, 2 * reach + 1).alias("near")))
+    itself = F.array(F.struct(F.lit(0).alias("pos"), F.lit("").alias("token"), F.lit(0).alias("from"), F.array().cast("array<string>").alias("near")))
+    hits = files.select("id", "digest", "n", F.explode_outer(F.concat(itself, seen)).alias("o")).select("id", "digest", "n", "o.*")
+    hits = hits.join(index, F.col("token") == F.col("word"))
     start = F.col("pos") - F.col("at")
-    skip = F.greatest(1 - start, F.lit(0))  # words of the template that would stand before the file
-    there = F.slice("file", F.greatest(start, F.lit(1)), F.size("words"))
-    hits = hits.select("id", "digest", (F.size("file") - 1).alias("n"), *[c for c in index.columns if c != "word"], (start - 1).alias("start"), skip.alias("skip"), there.alias("there"))
-    mass = F.aggregate(F.sequence(F.lit(0), F.size("words") - 1), F.lit(0), lambda sum_, i: sum_ + F.when(F.get("there", i - F.col("skip")) == F.get("words", i), F.get("weights", i)).otherwise(0))
-    keyed = (F.col("key_at") >= F.col("skip")) & (F.slice("there", F.greatest(F.col("key_at") - F.col("skip"), F.lit(0)) + 1, F.size("key")) == F.col("key"))
+    hits = hits.withColumn("start", start).withColumn("shift", start - F.col("from"))
+    stands = lambda i: F.when(F.col("shift") + i >= 0, F.get("near", F.col("shift") + i))
+    mass = F.aggregate(F.sequence(F.lit(0), F.size("words") - 1), F.lit(0), lambda sum_, i: sum_ + F.when(stands(i) == F.get("words", i), F.get("weights", i)).otherwise(0))
+    keyed = (F.col("shift") + F.col("key_at") >= 0) & (F.slice("near", F.greatest(F.col("shift") + F.col("key_at"), F.lit(0)) + 1, F.size("key")) == F.col("key"))
     hits = hits.withColumn("cover", F.when(F.col("template") >= 0, mass / F.col("mass")))
     found = (F.col("template") < 0) | (keyed & (F.col("cover") >= F.when(F.col("base"), 1.0).otherwise(cover)))
     hits = hits.where(found).select("id", "digest", "n", "template", "label", "base", "start", "cover").repartition("id", "digest")
