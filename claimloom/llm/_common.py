@@ -3,28 +3,37 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space (Java regex).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and read it back.
-
-    The folder is the session's `spark.checkpoint.dir`; only where that is unset
-    (local tests) a temporary one is made.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's `spark.checkpoint.dir`; only where that is unset (local tests) a temporary folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="claimloom-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="claimloom-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared folder and read it back: what is downstream never recomputes it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def through_parquet(df: DataFrame) -> DataFrame:
+    """As checkpoint(), as a Parquet table; for wide rows."""
+    path = f"{shared_folder(df.sparkSession)}/claimloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import chat_format, fingerprints, licenses, mixing, packing, pii, quality, simhash, toxicity
+from claimloom.llm import chat_format, fingerprints, licenses, media, mixing, packing, pii, quality, simhash, toxicity
 from claimloom.llm._common import table
 from claimloom.llm._learn import remainder
 
@@ -50,6 +50,12 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edited(table(spark, sf_dir, "documents"))
 
 
+def op8_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table has images: every embedding is drawn as one, and the drawings are compared."""
+    drawn = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("media_id"), media.draw_vector("embedding").alias("media"))
+    return media.media_classes(drawn)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), packing.default_tokenizer())
 
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mix_sources": op5_mix_sources,
     "op6_quality": op6_quality,
     "op7_document_fingerprints": op7_document_fingerprints,
+    "op8_media_copies": op8_media_copies,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_pii": op10_pii,
 }
