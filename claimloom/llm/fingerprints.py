@@ -31,7 +31,7 @@ class _WordHashes(dict):
     """Hashes of words, kept between texts; forgets all when full."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         if len(word) <= 64:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm._common import fresh, require, text_of
-from claimloom.llm._learn import FIT_CHARS, FIT_ROWS, labelled_sample, remainder
+from claimloom.llm._learn import FIT_CHARS, labelled_sample, remainder
 
 #: Hash slots of words, bins of each statistic, length of the vectors.
 SLOTS, BINS, RANK = 4096, 8, 8
@@ -37,12 +38,17 @@ class _Words(dict):
         flags |= (_DIGIT if any(c.isdigit() for c in bare) else 0) | (_TITLE if bare.istitle() else 0) | (_LONG if len(bare) > 20 else 0)
         code = xxhash.xxh32_intdigest(bare.lower().encode("utf-8", "surrogatepass")) % SLOTS << 6 | flags
         if len(word) <= 64:
-            if len(self) > 400_000:
+            if len(self) > 100_000:
                 self.clear()
             self[word] = code
         return code
 
 
+@lru_cache(maxsize=1)
+def _words() -> _Words:
+    return _Words()
+
+
 def statistics(text: str, words: list[str], code: np.ndarray) -> np.ndarray:
     """Structure statistics and metadata; an empty text gives zeros."""
     n = len(words)
@@ -105,7 +111,7 @@ def fit_texts(texts: list[str], y: np.ndarray, rounds: int = 120, rate: float =
     machine = Machine(float(np.log(p / (1 - p))), np.zeros(size), np.zeros((size, RANK)), np.zeros((len(STATISTICS), BINS - 1)))
     if not len(y) or y.min() == y.max():
         return machine
-    known = _Words()
+    known = _words()
     parts = [_parts(t, known) for t in texts]
     stats = np.stack([x[2] for x in parts])
     rare = stats[y == (0 if p > 0.5 else 1)]
@@ -113,10 +119,13 @@ def fit_texts(texts: list[str], y: np.ndarray, rounds: int = 120, rate: float =
     # half of the cuts by the rarer class, so that what marks it is resolved too
     machine.cuts = np.concatenate([np.quantile(stats, quantiles, axis=0), np.quantile(rare, np.linspace(0.02, 0.98, BINS - 1 - len(quantiles)), axis=0)]).T
     rows = [machine.row(x) for x in parts]
+    del parts
     starts = np.cumsum([0, *[len(i) for i, _ in rows]])[:-1]
     index = np.concatenate([i for i, _ in rows])
     value = np.concatenate([v for _, v in rows]).astype(np.float32)
-    owner = np.repeat(np.arange(len(rows)), [len(i) for i, _ in rows])
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(i) for i, _ in rows])
+    del rows
+    index = index.astype(np.int32)
     order = np.argsort(index, kind="stable")
     used, firsts = np.unique(index[order], return_index=True)
     rng = np.random.default_rng(seed)
@@ -124,15 +133,17 @@ def fit_texts(texts: list[str], y: np.ndarray, rounds: int = 120, rate: float =
     first, second = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
     for step in range(1, rounds + 1):
         bias, w, v = params
-        vx = v[index].astype(np.float32) * value[:, None]
+        vx = v.astype(np.float32)[index] * value[:, None]
         s = np.add.reduceat(vx, starts, axis=0)
         squares = np.add.reduceat((vx * vx).sum(1), starts)
-        margin = bias[0] + np.add.reduceat(w[index] * value, starts) + 0.5 * ((s * s).sum(1) - squares)
+        margin = bias[0] + np.add.reduceat(w.astype(np.float32)[index] * value, starts) + 0.5 * ((s * s).sum(1) - squares)
         err = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y) / len(y)
         gw, gv = np.zeros_like(w), np.zeros_like(v)
-        at = (err[owner] * value)[order]
-        gw[used] = np.add.reduceat(at, firsts)
-        gv[used] = np.add.reduceat((at[:, None] * (s[owner[order]] - vx[order])), firsts, axis=0)
+        at = err.astype(np.float32)[owner] * value
+        gw[used] = np.add.reduceat(at[order], firsts)
+        vx = s[owner] - vx
+        vx *= at[:, None]
+        gv[used] = np.add.reduceat(vx[order], firsts, axis=0)
         for i, g in enumerate((np.array([err.sum()]), gw + l2 * w, gv + l2 * v)):
             first[i] = 0.9 * first[i] + 0.1 * g
             second[i] = 0.999 * second[i] + 0.001 * g * g
@@ -141,7 +152,7 @@ def fit_texts(texts: list[str], y: np.ndarray, rounds: int = 120, rate: float =
     return machine
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS) -> Machine:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 6_000, fit_chars: int = FIT_CHARS) -> Machine:
     """Fit on at most `fit_rows` labelled rows and `fit_chars` code points whose crc32(doc_id) mod 3 is not 1."""
     require(docs, "doc_id", "text")
     require(labels, "doc_id", "quality")
@@ -153,7 +164,7 @@ def score_documents(docs: DataFrame, model: Machine, column: str = "score") -> D
     require(docs, "text")
 
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = _Words()
+        known = _words()
         for texts in parts:
             yield pd.Series(model.score(texts.tolist(), known), dtype="float64")
 

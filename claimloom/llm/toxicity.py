@@ -91,7 +91,7 @@ class _Words(dict):
         best = max(found, key=lambda i: self.odds[i], default=0)
         code = best << 5 | flags
         if len(word) <= 64:
-            if len(self) > 400_000:
+            if len(self) > 100_000:
                 self.clear()
             self[word] = code
         return code
