@@ -12,6 +12,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def find_all(text: Column | str, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(col(text), F.lit(pattern), F.lit(group))
 
@@ -95,10 +100,13 @@ def sanitize(text: Column | str) -> Column:
 
 def canonical_blocks(blocks: Column) -> Column:
     """Cleaned blocks, the first of each lower-cased text, ordered by that text."""
-    cleaned = F.filter(F.transform(blocks, clean_block), lambda x: x != "")
-    keys = F.transform(cleaned, F.lower)
-    kept = F.filter(F.transform(cleaned, lambda x, i: F.struct(F.lower(x).alias("k"), i.alias("i"), x.alias("x"))), lambda s: F.array_position(keys, s["k"]) == s["i"] + 1)
-    return F.transform(F.array_sort(kept), lambda s: s["x"])
+
+    def kept(cleaned: Column) -> Column:
+        keyed = F.transform(cleaned, lambda x, i: F.struct(F.lower(x).alias("k"), i.alias("i"), x.alias("x")))
+        # sorted by key and place: an entry stays unless the one before has its key
+        return let(F.array_sort(keyed), lambda s: F.transform(F.filter(F.transform(s, lambda e, i: F.struct(e.alias("e"), F.get(s, i - 1).alias("b"))), lambda p: p["b"].isNull() | (p["b"]["k"] != p["e"]["k"])), lambda p: p["e"]["x"]))
+
+    return let(F.filter(F.transform(blocks, clean_block), lambda x: x != ""), kept)
 
 
 def verifier_text(claim: Column | str, evidence: Column | str) -> Column:
@@ -174,20 +182,23 @@ def check_chunks(size: int, overlap: int) -> None:
 
 def expand_query(query: Column | str, most: int = 4) -> Column:
     """Up to `most` rewritings: capitalised runs of one to four words, the first six keywords, the last four."""
-    cleaned = squeeze(query)
-    entities = F.transform(find_all(cleaned, r"(?:[A-Z][a-z0-9'\-]+(?:\s+|$)){1,4}"), squeeze)
-    entities = F.filter(entities, lambda e: (e != "") & (F.lower(e) != F.lower(cleaned)))
-    low = F.transform(entities, F.lower)
-    entities = F.filter(F.transform(entities, lambda e, i: F.struct(e.alias("e"), i.alias("i"))), lambda s: F.array_position(low, F.lower(s["e"])) == s["i"] + 1)
-    entities = F.slice(F.transform(entities, lambda s: s["e"]), 1, most)
-    words = F.filter(find_all(cleaned, r"[A-Za-z0-9][A-Za-z0-9'\-]*"), lambda w: (F.length(w) > 2) & ~F.lower(w).isin(C.QUERY_STOPWORDS))
-    seen = F.concat(F.array(F.lower(cleaned)), F.transform(entities, F.lower))
-    head = F.array_join(F.slice(words, 1, 6), " ")
-    with_head = (F.size(words) > 0) & ~F.array_contains(seen, F.lower(head))
-    tail = F.array_join(F.when(F.size(words) > 4, F.slice(words, -4, 4)).otherwise(words), " ")
-    with_tail = (F.size(words) > 1) & ~F.array_contains(seen, F.lower(tail)) & ~(with_head & (F.lower(head) == F.lower(tail)))
     empty = F.array().cast("array<string>")
-    return F.slice(F.concat(entities, F.when(with_head, F.array(head)).otherwise(empty), F.when(with_tail, F.array(tail)).otherwise(empty)), 1, most)
+
+    def expanded(cleaned: Column) -> Column:
+        found = F.filter(F.transform(find_all(cleaned, r"(?:[A-Z][a-z0-9'\-]+(?:\s+|$)){1,4}"), squeeze), lambda e: (e != "") & (F.lower(e) != F.lower(cleaned)))
+        first = let(found, lambda es: F.filter(es, lambda e, i: F.array_position(F.transform(es, F.lower), F.lower(e)) == i + 1))
+        words = F.filter(find_all(cleaned, r"[A-Za-z0-9][A-Za-z0-9'\-]*"), lambda w: (F.length(w) > 2) & ~F.lower(w).isin(C.QUERY_STOPWORDS))
+        return let(F.struct(F.slice(first, 1, most).alias("e"), words.alias("w"), F.lower(cleaned).alias("c")), with_keywords)
+
+    def with_keywords(s: Column) -> Column:
+        head = F.array_join(F.slice(s["w"], 1, 6), " ")
+        tail = F.array_join(F.when(F.size(s["w"]) > 4, F.slice(s["w"], -4, 4)).otherwise(s["w"]), " ")
+        new = lambda t: ~F.array_contains(F.transform(s["e"], F.lower), F.lower(t)) & (F.lower(t) != s["c"])
+        with_head = (F.size(s["w"]) > 0) & new(head)
+        with_tail = (F.size(s["w"]) > 1) & new(tail) & ~(with_head & (F.lower(head) == F.lower(tail)))
+        return F.slice(F.concat(s["e"], F.when(with_head, F.array(head)).otherwise(empty), F.when(with_tail, F.array(tail)).otherwise(empty)), 1, most)
+
+    return let(squeeze(query), expanded)
 
 
 def contains_any(text: Column, words) -> Column:

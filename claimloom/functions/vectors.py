@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions import constants as C
-from claimloom.functions.text import col, tokens
+from claimloom.functions.text import col, let, tokens
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -16,11 +16,6 @@ def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with the value computed once, however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def norm(a: Column | str) -> Column:
     return F.sqrt(F.aggregate(col(a), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 

@@ -391,3 +391,685 @@ def _(spark, sf):
 def _(spark, sf):
     s = metrics.summary(_per_query(spark, sf))
     return s.select("n_queries", *[F.round(c, 6).alias(c) for c in s.columns if c != "n_queries"])
+
+
+# ---- classification, calibration, audits
+
+_LAB = "lab AS (SELECT l.doc_id, l.quality::INT AS y, CASE WHEN length(d.text) - length(replace(d.text, '!!', '')) > 8 OR d.text LIKE '% | %' THEN 0 ELSE 1 END AS p, (length(d.text) % 101) / 100.0::DOUBLE AS confidence, d.source, d.lang FROM labels l JOIN documents d USING (doc_id))"
+
+
+def labelled(spark, sf) -> DataFrame:
+    """Quality labels, a rule's predictions and a made-up confidence of the labelled documents."""
+    d = tab(spark, sf, "labels").join(tab(spark, sf, "documents"), "doc_id")
+    marks = F.length("text") - F.length(F.replace("text", F.lit("!!"), F.lit("")))
+    p = F.when((marks > 8) | F.contains("text", F.lit(" | ")), 0).otherwise(1)
+    return d.select("doc_id", F.col("quality").cast("int").alias("y"), p.alias("p"), ((F.length("text") % 101) / F.lit(100.0)).alias("confidence"), "source", "lang")
+
+
+_CELLS = f"{_LAB}, cells AS (SELECT y, p, count(*) AS n FROM lab GROUP BY ALL), ls AS (SELECT DISTINCT y AS label FROM lab UNION SELECT DISTINCT p FROM lab), pc AS (SELECT label, coalesce(sum(n) FILTER (y = label AND p = label), 0)::DOUBLE AS tp, coalesce(sum(n) FILTER (y = label), 0)::BIGINT AS support, coalesce(sum(n) FILTER (p = label), 0)::BIGINT AS predicted FROM ls, cells GROUP BY label)"
+_F1 = "CASE WHEN tp > 0 THEN 2.0::DOUBLE * tp / (predicted + support) ELSE 0 END"
+
+
+@query("a07_accuracy", f"WITH {_LAB} SELECT count(*) AS n, round(avg(CASE WHEN y = p THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM lab")
+def _(spark, sf):
+    return metrics.accuracy(labelled(spark, sf)).select("n", F.round("accuracy", 6).alias("accuracy"))
+
+
+@query("a08_per_class_f1", f"WITH {_CELLS} SELECT label, round(CASE WHEN predicted > 0 THEN tp / predicted ELSE 0 END, 6)::DOUBLE AS precision, round(CASE WHEN support > 0 THEN tp / support ELSE 0 END, 6)::DOUBLE AS recall, round({_F1}, 6)::DOUBLE AS f1, support FROM pc")
+def _(spark, sf):
+    return metrics.per_class(labelled(spark, sf)).select("label", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+@query("a09_macro_f1", f"WITH {_CELLS} SELECT round(avg({_F1}), 6) AS macro_f1 FROM pc")
+def _(spark, sf):
+    return metrics.macro_f1(labelled(spark, sf)).select(F.round("macro_f1", 6).alias("macro_f1"))
+
+
+@query("a10_confusion_matrix", f"WITH {_CELLS} SELECT a.label AS y, b.label AS p, coalesce(n, 0)::BIGINT AS n FROM ls a CROSS JOIN ls b LEFT JOIN cells c ON c.y = a.label AND c.p = b.label")
+def _(spark, sf):
+    return metrics.confusion(labelled(spark, sf))
+
+
+_EDGES = "edges(bin, lower, upper) AS (VALUES " + ", ".join(f"({i}, {lo!r}::DOUBLE, {hi!r}::DOUBLE)" for i, (lo, hi) in enumerate(metrics.bin_edges(10))) + ")"
+_BINS = f"{_LAB}, {_EDGES}, bins AS (SELECT e.bin, e.lower, e.upper, count(y) AS n, coalesce(avg(CASE WHEN y = p THEN 1.0::DOUBLE WHEN y IS NOT NULL THEN 0.0 END), 0) AS accuracy, coalesce(avg(l.confidence), 0) AS confidence FROM edges e LEFT JOIN lab l ON l.confidence >= e.lower AND (l.confidence < e.upper OR (e.upper = 1.0 AND l.confidence = 1.0)) GROUP BY ALL)"
+
+
+@query("a12_expected_calibration_error", f"WITH {_BINS} SELECT round(sum(abs(accuracy - confidence) * n / (SELECT count(*) FROM lab)), 6) AS ece FROM bins")
+def _(spark, sf):
+    rows = labelled(spark, sf).withColumn("correct", F.col("y") == F.col("p"))
+    return metrics.expected_calibration_error(rows).select(F.round("ece", 6).alias("ece"))
+
+
+@query("a13_calibration_bins", f"WITH {_BINS} SELECT bin, lower, upper, n, round(accuracy, 6) AS accuracy, round(confidence, 6) AS confidence FROM bins")
+def _(spark, sf):
+    rows = labelled(spark, sf).withColumn("correct", F.col("y") == F.col("p"))
+    return metrics.calibration_bins(rows).select("bin", "lower", "upper", "n", F.round("accuracy", 6).alias("accuracy"), F.round("confidence", 6).alias("confidence"))
+
+
+def _sql_any(x, words):
+    return "(" + " OR ".join(f"contains({x}, '{w}')" for w in words) + ")"
+
+
+_CATEGORY = f"CASE WHEN {_sql_any('lower(text)', C.NEGATIONS)} THEN 'negation' WHEN regexp_matches(text, '\\p{{Nd}}') THEN 'numerical' WHEN {_sql_any('lower(text)', C.MONTHS)} THEN 'temporal' WHEN {_sql_any('lower(text)', C.QUESTION_WORDS)} THEN 'entity' WHEN {_sql_any('lower(text)', C.CAUSAL_WORDS)} THEN 'possible multi-hop' ELSE 'entity' END"
+
+
+@query("a15_claim_category", f"SELECT conv_id, turn, {_CATEGORY} AS category FROM conversations")
+def _(spark, sf):
+    return tab(spark, sf, "conversations").select("conv_id", "turn", X.claim_category("text").alias("category"))
+
+
+@query("a16_category_counts", f"SELECT {_CATEGORY} AS category, count(*) AS n FROM conversations GROUP BY ALL")
+def _(spark, sf):
+    return audit.histogram(tab(spark, sf, "conversations"), X.claim_category("text"), "category")
+
+
+_FSP = "fsp AS (SELECT doc_id AS ord, CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, 1, instr(text, chr(10)) - 1) ELSE text END AS claim, CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, instr(text, chr(10)) + 1) ELSE '' END AS evidence, source, lang, text FROM documents)"
+
+
+@query("a17_quality_audit", f"WITH {_FSP} SELECT count(*) AS n, count(*) - count(DISTINCT claim) AS duplicate_claims, count(*) FILTER (evidence = '') AS missing_evidence, round(coalesce(avg(len({sql_words('claim')})) FILTER (claim <> ''), 0), 6) AS average_claim_length, round(coalesce(avg(len({sql_words('evidence')})) FILTER (evidence <> ''), 0), 6) AS average_evidence_length FROM fsp")
+def _(spark, sf):
+    a = audit.quality_audit(first_sentence_pairs(spark, sf))
+    return a.select("n", "duplicate_claims", "missing_evidence", F.round("average_claim_length", 6).alias("average_claim_length"), F.round("average_evidence_length", 6).alias("average_evidence_length"))
+
+
+@query("a19_grouped_histograms", "SELECT 'source' AS \"column\", source AS value, count(*) AS n FROM documents GROUP BY ALL UNION ALL SELECT 'lang', lang, count(*) FROM documents GROUP BY ALL")
+def _(spark, sf):
+    return audit.group_histograms(tab(spark, sf, "documents"), ["source", "lang"])
+
+
+@query("a22_zero_filled_histogram", f"WITH {BASE} SELECT v.value, count(lc.label) AS n FROM (VALUES ('SUPPORTED'), ('REFUTED'), ('NOT ENOUGH INFO'), ('OTHER')) v(value) LEFT JOIN lc ON lc.label = v.value GROUP BY ALL")
+def _(spark, sf):
+    return audit.filled_histogram(labelled_claims(spark, sf), "label", (*C.LABELS, "OTHER"))
+
+
+_PRED = f"""{BM25}, {sql_topk(5)}, pp AS (SELECT top.query_id, top.rank, q.text AS claim, d.text AS text, {sql_space('q.text')} AS ct, {sql_space('d.text')} AS et FROM top JOIN q USING (query_id) JOIN d USING (ord)),
+pv AS (SELECT query_id, rank, claim, text, {sql_overlap('ct', 'et')} AS ov, CASE WHEN list_contains(et, 'not') AND len(list_intersect(ct, et)) > 0 THEN 'REFUTED' WHEN {sql_overlap('ct', 'et')} >= 0.45 THEN 'SUPPORTED' ELSE 'NOT ENOUGH INFO' END AS verdict FROM pp),
+pl AS (SELECT *, least(0.99, 0.45 + ov / 2) AS confidence, CASE WHEN verdict = 'SUPPORTED' THEN 0.7 ELSE 0.1 END::DOUBLE AS s, CASE WHEN verdict = 'REFUTED' THEN 0.7 ELSE 0.1 END::DOUBLE AS r, CASE WHEN verdict = 'NOT ENOUGH INFO' THEN 0.7 ELSE 0.1 END::DOUBLE AS n FROM pv),
+ag AS (SELECT query_id, max(s) AS s, max(r) AS r, max(n) AS n FROM pl GROUP BY ALL),
+ve AS (SELECT query_id, s, r, n, CASE WHEN s >= 0.5 AND s > r THEN 'SUPPORTED' WHEN r >= 0.5 AND r > s THEN 'REFUTED' ELSE 'NOT ENOUGH INFO' END AS verdict, CASE WHEN s >= 0.5 AND s > r THEN s WHEN r >= 0.5 AND r > s THEN r ELSE greatest(n, 1 - greatest(s, r)) END AS confidence FROM ag)"""
+
+
+def claim_passages(spark, sf, k: int = 5) -> DataFrame:
+    q, d = claims(spark, sf), corpus(spark, sf)
+    return api.evidence_for(q, d, k).join(q.withColumnRenamed("text", "claim"), "query_id")
+
+
+def predictions(spark, sf) -> DataFrame:
+    """(query_id, y, p, confidence) of the rule verifier over the top five passages."""
+    got = verify.aggregate_claims(verify.verify_passages(claim_passages(spark, sf)))
+    return labelled_claims(spark, sf).select("query_id", F.col("label").alias("y")).join(got.select("query_id", F.col("verdict").alias("p"), "confidence"), "query_id")
+
+
+@query("a29_verifier_evaluation", f"WITH {_PRED}, e AS (SELECT lc.label AS y, ve.verdict AS p, confidence FROM lc JOIN ve USING (query_id)) SELECT y, p, count(*) AS n, round(avg(confidence), 6) AS mean_confidence FROM e GROUP BY ALL")
+def _(spark, sf):
+    return predictions(spark, sf).groupBy("y", "p").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
+
+
+@query("a30_nei_false_positive_rate", f"WITH {_PRED} SELECT round(coalesce(count(*) FILTER (label = 'NOT ENOUGH INFO' AND verdict <> 'NOT ENOUGH INFO')::DOUBLE / nullif(count(*) FILTER (label = 'NOT ENOUGH INFO'), 0), 0), 6) AS nei_fpr FROM lc JOIN ve USING (query_id)")
+def _(spark, sf):
+    return metrics.nei_false_positive_rate(predictions(spark, sf)).select(F.round("nei_fpr", 6).alias("nei_fpr"))
+
+
+@query("a33_outcome_contingency", f"WITH {_LAB}, f AS (SELECT y = p AS a_ok, confidence >= 0.5 AS b_ok FROM lab) SELECT g.a_ok, g.b_ok, count(f.a_ok) AS n, round(count(f.a_ok)::DOUBLE / (SELECT count(*) FROM f), 6) AS rate FROM (VALUES (true, true), (true, false), (false, true), (false, false)) g(a_ok, b_ok) LEFT JOIN f ON f.a_ok = g.a_ok AND f.b_ok = g.b_ok GROUP BY ALL")
+def _(spark, sf):
+    rows = labelled(spark, sf).select((F.col("y") == F.col("p")).alias("a_ok"), (F.col("confidence") >= 0.5).alias("b_ok"))
+    return metrics.contingency(rows, "a_ok", "b_ok").withColumn("rate", F.round("rate", 6))
+
+
+@query("a36_per_dataset_accuracy", f"WITH {_LAB} SELECT source, count(*) AS n, round(avg(CASE WHEN y = p THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM lab GROUP BY source")
+def _(spark, sf):
+    return metrics.accuracy(labelled(spark, sf), ("source",)).withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query("a37_overall_and_per_source", f"WITH {_LAB} SELECT source, grouping(source) = 1 AS overall, count(*) AS n, round(avg(CASE WHEN y = p THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM lab GROUP BY ROLLUP (source)")
+def _(spark, sf):
+    return audit.overall_and_by(labelled(spark, sf), "source", [F.count("*").alias("n"), F.round(F.avg((F.col("y") == F.col("p")).cast("double")), 6).alias("accuracy")])
+
+
+@query("a44_class_weights", "SELECT quality, count(*) AS n, round((SELECT count(*) FROM labels)::DOUBLE / (2 * count(*)), 6) AS weight FROM labels GROUP BY quality")
+def _(spark, sf):
+    return metrics.class_weights(tab(spark, sf, "labels"), "quality", 2).withColumn("weight", F.round("weight", 6))
+
+
+_POINTS = "pts AS (SELECT 'm' || p_partkey AS model, p_retailprice / 2500.0::DOUBLE AS macro_f1, p_size::DOUBLE AS latency_ms, (p_partkey % 97)::DOUBLE AS memory_mb, greatest(0, 1 - p_size / 1000.0::DOUBLE - (p_partkey % 97) / 500.0::DOUBLE) AS deployment_feasibility FROM part)"
+
+
+def points(spark, sf) -> DataFrame:
+    p = tab(spark, sf, "part")
+    latency, memory = F.col("p_size").cast("double"), (F.col("p_partkey") % 97).cast("double")
+    return p.select(F.concat(F.lit("m"), F.col("p_partkey")).alias("model"), (F.col("p_retailprice") / F.lit(2500.0)).alias("macro_f1"), latency.alias("latency_ms"), memory.alias("memory_mb"), grids.feasibility(latency, memory).alias("deployment_feasibility"))
+
+
+_DOMINATED = "EXISTS (SELECT 1 FROM pts o WHERE o.macro_f1 >= p.macro_f1 AND o.latency_ms <= p.latency_ms AND o.memory_mb <= p.memory_mb AND o.deployment_feasibility >= p.deployment_feasibility AND (o.macro_f1 > p.macro_f1 OR o.latency_ms < p.latency_ms OR o.memory_mb < p.memory_mb OR o.deployment_feasibility > p.deployment_feasibility))"
+
+
+@query("a46_pareto_frontier", f"WITH {_POINTS} SELECT model, macro_f1, latency_ms, memory_mb FROM pts p WHERE NOT {_DOMINATED}")
+def _(spark, sf):
+    return grids.pareto_frontier(points(spark, sf)).select("model", "macro_f1", "latency_ms", "memory_mb")
+
+
+@query("a45_pareto_report", f"WITH {_POINTS} SELECT model, NOT {_DOMINATED} AS frontier, row_number() OVER (ORDER BY macro_f1 DESC, latency_ms, memory_mb, model) AS place FROM pts p")
+def _(spark, sf):
+    return grids.pareto_report(points(spark, sf)).select("model", "frontier", "place")
+
+
+@query("a48_feasibility", f"WITH {_POINTS} SELECT model, round(deployment_feasibility, 6) AS feasibility FROM pts")
+def _(spark, sf):
+    return points(spark, sf).select("model", F.round("deployment_feasibility", 6).alias("feasibility"))
+
+
+@query("a49_paired_bootstrap", """WITH s AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS place, quality::DOUBLE AS a, toxic::DOUBLE AS b FROM labels), n AS (SELECT count(*) AS n FROM s),
+dr AS (SELECT i // n AS it, ('0x' || substr(md5('42|' || i), 1, 8))::BIGINT % n AS place FROM n, (SELECT unnest(range((SELECT n FROM n) * 200)) AS i)),
+d AS (SELECT it, sum(b) / (SELECT n FROM n) - sum(a) / (SELECT n FROM n) AS d FROM dr JOIN s USING (place) GROUP BY it), r AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i FROM d)
+SELECT round((SELECT avg(a) FROM s), 6) AS mean_a, round((SELECT avg(b) FROM s), 6) AS mean_b, round((SELECT avg(b) - avg(a) FROM s), 6) AS delta, round(max(d) FILTER (i = 5), 6) AS ci_low, round(max(d) FILTER (i = 194), 6) AS ci_high FROM r""")
+def _(spark, sf):
+    pairs = tab(spark, sf, "labels").select(F.col("doc_id").alias("ord"), F.col("quality").cast("double").alias("a"), F.col("toxic").cast("double").alias("b"))
+    out = sampling.bootstrap(pairs, 200)
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+
+
+@query("a50_nearest_rank_percentiles", "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, max(value) FILTER (i = round_even(0.5 * (n - 1), 0)::INT) AS p50, max(value) FILTER (i = round_even(0.95 * (n - 1), 0)::INT) AS p95 FROM r GROUP BY event_type")
+def _(spark, sf):
+    return metrics.nearest_rank_percentiles(tab(spark, sf, "events"), "value", (50.0, 95.0), ("event_type",))
+
+
+_LOG = "rl AS (SELECT event_id, ts, CASE event_id % 3 WHEN 0 THEN 'SUPPORTED' WHEN 1 THEN 'REFUTED' ELSE 'NOT ENOUGH INFO' END AS verdict, (event_id % 100) / 100.0::DOUBLE AS confidence, event_id % 7 = 0 AS fallback_used, value AS latency_ms, event_type AS backend_used, event_id % 5 <> 0 AS citation_valid FROM events)"
+
+
+def request_log(spark, sf) -> DataFrame:
+    """The events read as a log of verification requests."""
+    e, i = tab(spark, sf, "events"), F.col("event_id")
+    return e.select("event_id", "ts", F.when(i % 3 == 0, C.SUPPORTED).when(i % 3 == 1, C.REFUTED).otherwise(C.NEI).alias("verdict"), ((i % 100) / F.lit(100.0)).alias("confidence"), (i % 7 == 0).alias("fallback_used"), F.col("value").alias("latency_ms"), F.col("event_type").alias("backend_used"), (i % 5 != 0).alias("citation_valid"))
+
+
+_REQ = "count(*) AS n_requests, round(avg(CASE WHEN fallback_used THEN 1.0 ELSE 0.0 END), 6) AS fallback_rate, round(avg(CASE WHEN citation_valid THEN 1.0 ELSE 0.0 END), 6) AS citation_valid_rate, round(avg(confidence), 6) AS mean_confidence, round(avg(latency_ms), 6) AS mean_latency_ms, count(*) FILTER (verdict = 'SUPPORTED') AS n_supported, count(*) FILTER (verdict = 'REFUTED') AS n_refuted, count(*) FILTER (verdict = 'NOT ENOUGH INFO') AS n_not_enough_info"
+
+
+def _rounded(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*keys, *[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes if c not in keys])
+
+
+@query("a51_request_metrics", f"WITH {_LOG} SELECT backend_used, {_REQ} FROM rl GROUP BY backend_used")
+def _(spark, sf):
+    return _rounded(audit.request_metrics(request_log(spark, sf), ("backend_used",)), "backend_used")
+
+
+_PROFILE = f"WITH {_LAB}, pr AS (SELECT min(doc_id) AS ord, source AS profile, avg(CASE WHEN y = p THEN 1.0::DOUBLE ELSE 0.0 END) AS accuracy, avg(confidence) AS confidence FROM lab GROUP BY source), b AS (SELECT * FROM pr WHERE profile = 'src0')"
+
+
+@query("a56_profile_deltas", f"{_PROFILE} SELECT pr.ord, pr.profile, round(pr.accuracy, 6) AS accuracy, round(pr.confidence, 6) AS confidence, round(pr.accuracy - b.accuracy, 6) AS delta_accuracy, round(pr.confidence - b.confidence, 6) AS delta_confidence, row_number() OVER (ORDER BY round(pr.accuracy, 9) DESC, pr.ord) = 1 AS best FROM pr, b")
+def _(spark, sf):
+    pr = labelled(spark, sf).groupBy(F.col("source").alias("profile")).agg(F.min("doc_id").alias("ord"), F.avg((F.col("y") == F.col("p")).cast("double")).alias("accuracy"), F.avg("confidence").alias("confidence"))
+    return _rounded(grids.deltas(pr, "src0", ["accuracy", "confidence"]), "ord", "profile")
+
+
+@query("a57_long_report", f"WITH {_LAB}, pr AS (SELECT source, count(*)::DOUBLE AS n, avg(CASE WHEN y = p THEN 1.0::DOUBLE ELSE 0.0 END) AS accuracy FROM lab GROUP BY source) SELECT 'quality' AS report, source || '.n' AS path, n AS value FROM pr UNION ALL SELECT 'quality', source || '.accuracy', round(accuracy, 6) FROM pr")
+def _(spark, sf):
+    return audit.long_report(_rounded(metrics.accuracy(labelled(spark, sf), ("source",)), "source"), "quality", ["source"])
+
+
+@query("a59_first_errors", f"WITH {_LAB} SELECT doc_id, y, p FROM lab WHERE y <> p ORDER BY doc_id LIMIT 20")
+def _(spark, sf):
+    return labelled(spark, sf).where("y <> p").orderBy("doc_id").limit(20).select("doc_id", "y", "p")
+
+
+@query("a60_variant_gap", f"WITH {_LAB}, v AS (SELECT y, unnest([{{'v': 'rule', 'p': p}}, {{'v': 'constant', 'p': 1}}]) AS u FROM lab) SELECT u.v AS variant, count(*) AS n, round(avg(CASE WHEN y = u.p THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM v GROUP BY ALL")
+def _(spark, sf):
+    each = F.explode(F.array(F.struct(F.lit("rule").alias("variant"), F.col("p").alias("p")), F.struct(F.lit("constant").alias("variant"), F.lit(1).alias("p"))))
+    long = labelled(spark, sf).select("y", each.alias("e")).select("y", "e.*")
+    return metrics.accuracy(long, ("variant",)).withColumn("accuracy", F.round("accuracy", 6))
+
+
+# ---- windows, sampling, de-duplication
+
+
+@query("w05_keep_first", "SELECT min(doc_id) AS ord, md5(text) AS text_md5 FROM documents GROUP BY text")
+def _(spark, sf):
+    return dedupe.keep_first(corpus(spark, sf), ["text"], ["ord"]).select("ord", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query("w06_split_priority", "SELECT doc_id AS ord, CASE doc_id % 3 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS split FROM documents QUALIFY row_number() OVER (PARTITION BY text, lang, source ORDER BY CASE doc_id % 3 WHEN 2 THEN 1 WHEN 1 THEN 2 ELSE 3 END, doc_id) = 1")
+def _(spark, sf):
+    d = corpus(spark, sf).select("ord", F.col("text").alias("claim"), F.col("lang").alias("evidence"), F.col("source").alias("label"), F.when(F.col("ord") % 3 == 0, "test").when(F.col("ord") % 3 == 1, "val").otherwise("train").alias("split"))
+    return dedupe.drop_across_splits(d, ["train", "val", "test"]).select("ord", "split")
+
+
+@query("w07_round_robin", "WITH r AS (SELECT o_orderkey, o_orderstatus, o_orderpriority, row_number() OVER w AS rn, min(o_orderkey) OVER (PARTITION BY o_orderstatus, o_orderpriority) AS first FROM orders WINDOW w AS (PARTITION BY o_orderstatus, o_orderpriority ORDER BY o_orderkey)) SELECT o_orderkey AS ord, row_number() OVER (ORDER BY rn, first) AS turn FROM r ORDER BY rn, first LIMIT 100")
+def _(spark, sf):
+    o = tab(spark, sf, "orders").withColumnRenamed("o_orderkey", "ord")
+    return sampling.round_robin(o, ["o_orderstatus", "o_orderpriority"], 100).select("ord", "turn")
+
+
+@query("w08_cyclic_assignment", "SELECT item_id AS query_id, " + sql_list(C.REJECTIONS) + "[(row_number() OVER (ORDER BY item_id) - 1) % 7 + 1] AS rejection_type FROM benchmark")
+def _(spark, sf):
+    return claims(spark, sf).select("query_id", sampling.cyclic(list(C.REJECTIONS), F.row_number().over(Window.orderBy("query_id")) - 1).alias("rejection_type"))
+
+
+@query("w13_seeded_sample", "SELECT doc_id FROM documents ORDER BY sha256('42|' || doc_id), doc_id LIMIT 100")
+def _(spark, sf):
+    return sampling.sample(corpus(spark, sf), 100, "doc_id").select("doc_id")
+
+
+@query("w14_seeded_split", "SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY sha256('7|' || doc_id), doc_id) <= 150 THEN 'val' ELSE 'train' END AS split FROM documents")
+def _(spark, sf):
+    return sampling.split(corpus(spark, sf), 150, "doc_id", 7).select("doc_id", "split")
+
+
+@query("d03_near_duplicates", f"""WITH s AS (SELECT min(doc_id) AS rep, toks FROM (SELECT doc_id, list_sort({sql_space('text')}) AS toks FROM documents) GROUP BY toks), f AS (SELECT rep, len(toks) AS n, unnest(toks) AS tok FROM s),
+i AS (SELECT a.rep AS a, b.rep AS b, count(*) AS shared, max(a.n) AS na, max(b.n) AS nb FROM f a JOIN f b ON a.tok = b.tok AND a.rep < b.rep AND least(a.n, b.n) >= greatest(a.n, b.n) * 0.9 - 1e-9 GROUP BY ALL)
+SELECT a, b, round(shared::DOUBLE / (na + nb - shared), 6) AS similarity FROM i WHERE shared::DOUBLE / (na + nb - shared) >= 0.9""")
+def _(spark, sf):
+    return dedupe.near_duplicate_pairs(corpus(spark, sf), 0.9).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("d03_membership", f"SELECT doc_id AS ord, min(doc_id) OVER (PARTITION BY list_sort({sql_space('text')})) AS rep FROM documents")
+def _(spark, sf):
+    return dedupe.membership(corpus(spark, sf))
+
+
+@query("d05_assemble_corpus", "WITH u AS (SELECT 0 AS s, item_id AS ord, CAST(item_id AS VARCHAR) AS doc_id, text FROM benchmark UNION ALL SELECT 1, doc_id, CAST(doc_id AS VARCHAR), text FROM documents) SELECT doc_id, ord, md5(text) AS text_md5 FROM u WHERE trim(text, E' \\t\\n\\r') <> '' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s, ord) = 1")
+def _(spark, sf):
+    a = R.corpus_of(tab(spark, sf, "benchmark").withColumnRenamed("item_id", "ord"))
+    b = R.corpus_of(tab(spark, sf, "documents").withColumnRenamed("doc_id", "ord"))
+    return dedupe.assemble_corpus([a, b]).select("doc_id", "ord", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query("d09_canonical_blocks")
+def _(spark, sf):
+    return corpus(spark, sf).select("doc_id", X.canonical_blocks(X.evidence_blocks("text")).alias("b")).select("doc_id", F.size("b").alias("n_blocks"), F.md5(F.array_join("b", "\n").cast("binary")).alias("blocks_md5"))
+
+
+# ---- functions
+
+
+@query("f01_chunks", f"WITH w AS (SELECT doc_id, {sql_words('text')} AS k FROM documents), s AS (SELECT doc_id, k, unnest(range(0, greatest(len(k) - 33, 0)::BIGINT + 1, 224)) AS st FROM w WHERE len(k) > 0) SELECT doc_id, (st // 224)::INT AS chunk, md5(array_to_string(k[st + 1 : st + 256], ' ')) AS chunk_md5 FROM s")
+def _(spark, sf):
+    c = corpus(spark, sf).select("doc_id", F.posexplode(X.chunks("text")).alias("chunk", "t"))
+    return c.select("doc_id", "chunk", F.md5(F.col("t").cast("binary")).alias("chunk_md5"))
+
+
+@query("f03_sentences", "SELECT doc_id, len(s) AS n_sentences, md5(array_to_string(s, '|')) AS sentences_md5 FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', concat('\\1', chr(1)), 'g'), chr(1)), lambda x: trim(x, E' \\t\\n\\r')), lambda x: x <> '') AS s FROM documents)")
+def _(spark, sf):
+    return corpus(spark, sf).select("doc_id", X.sentences("text").alias("s")).select("doc_id", F.size("s").alias("n_sentences"), F.md5(F.array_join("s", "|").cast("binary")).alias("sentences_md5"))
+
+
+@query("f08_citation_check")
+def _(spark, sf):
+    p = first_sentence_pairs(spark, sf).where("evidence <> ''")
+    ctx = F.array(F.struct(F.lit(1).alias("citation_id"), F.lit(None).cast("string").alias("title"), F.col("evidence").alias("text")))
+    told = F.concat(F.lit("[1] "), F.col("claim"), F.when(F.col("ord") % 2 == 0, " [7] And more.").otherwise("; [1] so it is."))
+    return p.select("ord", Q.check_citations(told, ctx).alias("c")).select("ord", F.round("c.citation_precision", 6).alias("citation_precision"), F.round("c.unsupported_sentence_rate", 6).alias("unsupported_sentence_rate"), "c.verdict_consistency", "c.valid", F.array_join("c.missing_citations", ",").alias("missing"))
+
+
+_MARK = r"(?i)^(?:(?:\[(?:E?\d+)\]|passage\s+\d+\s*:|evidence\s+[a-z]\s*:)\s*|[-*•]\s+)+"
+
+
+def _sql_clean(x: str) -> str:
+    return f"trim(regexp_replace(trim(regexp_replace({x}, '\\s+', ' ', 'g')), '{_MARK}', ''))"
+
+
+@query("f09_clean_block", f"SELECT item_id, {_sql_clean(chr(39) + ' - [E2]  Passage 3 : ' + chr(39) + ' || text')} AS cleaned FROM benchmark")
+def _(spark, sf):
+    return tab(spark, sf, "benchmark").select("item_id", X.clean_block(F.concat(F.lit(" - [E2]  Passage 3 : "), F.col("text"))).alias("cleaned"))
+
+
+@query("f11_sanitize", f"SELECT doc_id, md5(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: {_sql_clean('x')}), lambda x: x <> ''), chr(10))) AS sanitized_md5 FROM documents")
+def _(spark, sf):
+    return corpus(spark, sf).select("doc_id", F.md5(X.sanitize("text").cast("binary")).alias("sanitized_md5"))
+
+
+@query("f12_verifier_text")
+def _(spark, sf):
+    return first_sentence_pairs(spark, sf).select("ord", F.md5(X.verifier_text("claim", "evidence").cast("binary")).alias("input_md5"))
+
+
+@query("f15_evidence_style", "SELECT item_id, ['plain', 'passage', 'evidence_letter', 'bullet', 'bracket'][(list_sum(list_transform(string_split(text, ''), lambda c: unicode(c)))::BIGINT % 5 + 1)::INT] AS style FROM benchmark")
+def _(spark, sf):
+    return tab(spark, sf, "benchmark").select("item_id", X.evidence_style("text").alias("style"))
+
+
+@query("f13_rendered_evidence")
+def _(spark, sf):
+    p = claim_passages(spark, sf).groupBy("query_id", "claim").agg(F.array_sort(F.collect_list(F.struct("rank", "title", "text"))).alias("l"))
+    p = p.withColumn("passages", F.transform("l", lambda x: F.struct(x["title"].alias("title"), x["text"].alias("text"))))
+    each = F.explode(F.array(*map(F.lit, C.STYLES)))
+    return p.withColumn("style", each).select("query_id", "style", F.md5(X.render_evidence(F.col("passages"), F.col("style"), canonicalize=True).cast("binary")).alias("rendered_md5"))
+
+
+def _sql_content(x):
+    return f"list_filter(list_distinct(list_filter(regexp_extract_all(lower({x}), '[\\pL\\pN_]+'), lambda t: regexp_full_match(t, '[a-z]{{3,}}'))), lambda t: NOT list_contains({sql_list(dict.fromkeys(C.GATE_STOPWORDS))}, t))"
+
+
+@query("f16_gate_overlap", f"WITH {_FSP}, c AS (SELECT ord, {_sql_content('claim')} AS a, {_sql_content('evidence')} AS b FROM fsp) SELECT ord, round({sql_overlap('a', 'b')}, 6) AS overlap FROM c")
+def _(spark, sf):
+    return first_sentence_pairs(spark, sf).select("ord", F.round(X.gate_overlap("claim", "evidence"), 6).alias("overlap"))
+
+
+def _sql_pair_words(x):
+    return f"list_filter(list_distinct({sql_tokens(x)}), lambda t: length(t) > 2 AND NOT list_contains({sql_list(C.PAIR_STOPWORDS)}, t))"
+
+
+@query("f17_pair_overlap", f"WITH {_FSP}, c AS (SELECT ord, {_sql_pair_words('claim')} AS a, {_sql_pair_words('evidence')} AS b FROM fsp) SELECT ord, round_even({sql_overlap('a', 'b')}, 4) AS overlap FROM c")
+def _(spark, sf):
+    return first_sentence_pairs(spark, sf).select("ord", X.pair_overlap("claim", "evidence").alias("overlap"))
+
+
+@query("f18_negative_types", f"WITH {_PRED.replace(sql_topk(5), sql_topk(5))}, c AS (SELECT t.query_id, t.ord, t.rank, {_sql_pair_words('q.text')} AS a, {_sql_pair_words('d.text')} AS b FROM top t JOIN q USING (query_id) JOIN d USING (ord)) SELECT query_id, ord, CASE WHEN round_even({sql_overlap('a', 'b')}, 4) >= 0.5 THEN 'same_topic_missing_fact' WHEN rank <= 2 THEN 'near_miss' ELSE 'irrelevant' END AS negative_type FROM c")
+def _(spark, sf):
+    return claim_passages(spark, sf).select("query_id", "ord", X.negative_type(F.col("title"), F.array().cast("array<string>"), F.lit(C.NEI), X.pair_overlap("claim", "text"), F.col("rank")).alias("negative_type"))
+
+
+@query("f20_negation", f"WITH {_FSP}, c AS (SELECT ord, {sql_space('claim')} AS a, {sql_space('text')} AS b FROM fsp) SELECT ord, list_contains(b, 'not') OR list_contains(b, 'nicht') AND false AS has_not, list_contains(b, 'not') AND len(list_intersect(a, b)) > 0 AS negates FROM c")
+def _(spark, sf):
+    return first_sentence_pairs(spark, sf).select("ord", F.array_contains(X.space_tokens("text"), "not").alias("has_not"), verify.negates("claim", "text").alias("negates"))
+
+
+@query("f22_grounded_explanation", "SELECT item_id, '[1] ' || regexp_replace(text, '[.!?]+$', '') || ' and therefore ' || CASE item_id % 3 WHEN 0 THEN 'supports the claim' WHEN 1 THEN 'contradicts the claim' ELSE 'does not establish the claim' END || '.' AS explanation FROM benchmark")
+def _(spark, sf):
+    v = F.when(F.col("item_id") % 3 == 0, C.SUPPORTED).when(F.col("item_id") % 3 == 1, C.REFUTED).otherwise(C.NEI)
+    return tab(spark, sf, "benchmark").select("item_id", T.grounded_explanation(v, F.col("text")).alias("explanation"))
+
+
+@query("f24_json_objects", "SELECT event_id, json_valid(props) AND starts_with(trim(props), '{') AS is_object FROM events")
+def _(spark, sf):
+    return tab(spark, sf, "events").select("event_id", F.coalesce(T.json_object(F.coalesce("props", F.lit(""))).isNotNull(), F.lit(False)).alias("is_object"))
+
+
+@query("f30_context_blocks", f"WITH {BM25}, {sql_topk(3)} SELECT query_id, md5(string_agg('[' || rank || '] ' || d.source || ': ' || d.text, chr(10) ORDER BY rank)) AS block_md5 FROM top JOIN d USING (ord) GROUP BY query_id")
+def _(spark, sf):
+    c = verify.contexts(api.evidence_for(claims(spark, sf), corpus(spark, sf), 3), 3)
+    return c.select("query_id", F.md5(Q.context_block(F.col("context")).cast("binary")).alias("block_md5"))
+
+
+_PROMPT = "'" + C.PROMPT_HEAD.replace("\n", "' || chr(10) || '") + "Claim:' || chr(10) || trim(claim) || chr(10) || chr(10) || 'Verifier label:' || chr(10) || label || chr(10) || chr(10) || 'Evidence:' || chr(10) || CASE WHEN trim(evidence, E' \\t\\n\\r') = '' THEN '(no evidence provided)' ELSE '[E1] ' || trim(evidence, E' \\t\\n\\r') END || chr(10) || chr(10) || '" + C.PROMPT_TAIL + "'"
+_LEAD = "regexp_replace(trim(evidence, E' \\t\\n\\r'), '[.!?]+$', '')"
+_SAID = f"CASE WHEN trim(evidence, E' \\t\\n\\r') = '' THEN CASE WHEN label = 'NOT_ENOUGH_INFO' THEN 'The provided evidence does not establish the claim.' ELSE 'The claim cannot be grounded because no evidence passages were provided.' END WHEN label = 'SUPPORTED' THEN {_LEAD} || ' therefore the claim is supported.' WHEN label = 'REFUTED' THEN {_LEAD} || ' therefore the claim is refuted.' ELSE {_LEAD} || ' does not establish the claim, so the correct decision is not enough info.' END"
+_CITED = "CASE WHEN trim(evidence, E' \\t\\n\\r') = '' THEN '[]' ELSE '[\"E1\"]' END"
+_SFT = f"{_FSP}, sft AS (SELECT ord, label, {_PROMPT} AS prompt, 'Decision: ' || label || chr(10) || 'Explanation: ' || {_SAID} || chr(10) || 'Citations: ' || {_CITED} AS completion, {_CITED} AS cited FROM (SELECT *, CASE ord % 3 WHEN 0 THEN 'SUPPORTED' WHEN 1 THEN 'REFUTED' ELSE 'NOT_ENOUGH_INFO' END AS label FROM fsp))"
+
+
+def sft_rows(spark, sf) -> DataFrame:
+    label = F.when(F.col("ord") % 3 == 0, "SUPPORTS").when(F.col("ord") % 3 == 1, "refutes").otherwise("unknown")
+    return first_sentence_pairs(spark, sf).select("ord", F.col("ord").alias("claim_id"), "claim", "evidence", label.alias("label"), "source", F.lit("gold").alias("evidence_type"))
+
+
+@query("f33_sft_records", f"WITH {_SFT} SELECT CAST(ord AS VARCHAR) AS claim_id, label AS verifier_label, md5(prompt) AS prompt_md5, md5(completion) AS completion_md5 FROM sft")
+def _(spark, sf):
+    r = builders.sft_records(sft_rows(spark, sf), "train")
+    return r.select("claim_id", "verifier_label", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"), F.md5(F.col("completion").cast("binary")).alias("completion_md5"))
+
+
+@query("p17_sft_violations", f"WITH {_SFT} SELECT CAST(ord AS VARCHAR) AS claim_id, 0::BIGINT AS n_violations FROM sft")
+def _(spark, sf):
+    return builders.sft_records(sft_rows(spark, sf), "train").select("claim_id", F.size(builders.sft_violations(F.col("prompt"))).cast("long").alias("n_violations"))
+
+
+_REJ = "CASE k " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(C.REJECTION_TEXTS[r] for r in C.REJECTIONS)) + " END"
+
+
+@query("f34_dpo_pairs", f"WITH {_SFT}, n AS (SELECT *, (row_number() OVER (ORDER BY CAST(ord AS VARCHAR)) - 1) % 7 AS k FROM sft) SELECT CAST(ord AS VARCHAR) AS claim_id, {sql_list(C.REJECTIONS)}[k + 1] AS rejection_type, md5(completion) AS chosen_md5, md5('Decision: ' || CASE WHEN k = 0 THEN CASE label WHEN 'NOT_ENOUGH_INFO' THEN 'SUPPORTED' WHEN 'SUPPORTED' THEN 'REFUTED' ELSE 'NOT_ENOUGH_INFO' END WHEN k = 6 THEN 'NOT_ENOUGH_INFO' ELSE label END || chr(10) || 'Explanation: ' || {_REJ} || chr(10) || 'Citations: ' || CASE k WHEN 1 THEN '[]' WHEN 2 THEN '[\"E99\"]' WHEN 4 THEN '[\"E999\"]' ELSE '[\"E1\"]' END) AS rejected_md5 FROM n")
+def _(spark, sf):
+    p = builders.dpo_pairs(builders.sft_records(sft_rows(spark, sf), "train"))
+    return p.select("claim_id", "rejection_type", F.md5(F.col("chosen").cast("binary")).alias("chosen_md5"), F.md5(F.col("rejected").cast("binary")).alias("rejected_md5"))
+
+
+@query("a23_dpo_stats", f"WITH {_SFT}, n AS (SELECT *, (row_number() OVER (ORDER BY CAST(ord AS VARCHAR)) - 1) % 7 AS k FROM sft) SELECT {sql_list(C.REJECTIONS)}[k + 1] AS rejection_type, label AS verifier_label, count(*) AS n FROM n GROUP BY ALL")
+def _(spark, sf):
+    return builders.dpo_pairs(builders.sft_records(sft_rows(spark, sf), "train")).groupBy("rejection_type", "verifier_label").agg(F.count("*").alias("n"))
+
+
+_SHOW = "CASE label WHEN 'NOT_ENOUGH_INFO' THEN 'NOT ENOUGH INFO' ELSE label END"
+_TOLD = f"CASE WHEN evidence = '' THEN 'Verdict: ' || {_SHOW} || '. No evidence was retrieved, so the claim cannot be grounded.' ELSE '[1] ' || regexp_replace(evidence, '[.!?]+$', '') || ' and therefore ' || CASE label WHEN 'SUPPORTED' THEN 'supports the claim' WHEN 'REFUTED' THEN 'contradicts the claim' ELSE 'does not establish the claim' END || '.' END"
+
+
+@query("f38_chat_examples", f"WITH {_FSP}, r AS (SELECT *, CASE ord % 3 WHEN 0 THEN 'SUPPORTED' WHEN 1 THEN 'REFUTED' ELSE 'NOT_ENOUGH_INFO' END AS label FROM fsp) SELECT ord, md5('Claim: ' || claim || chr(10) || 'Evidence: ' || CASE WHEN evidence = '' THEN '(no evidence provided)' ELSE '[1] ' || evidence END || chr(10) || '{C.CHAT_TASK}') AS user_md5, md5('Verdict: ' || {_SHOW} || chr(10) || 'Explanation: ' || {_TOLD} || chr(10) || 'Citation: ' || CASE WHEN evidence = '' THEN '(none)' ELSE '[1]' END) AS assistant_md5 FROM r")
+def _(spark, sf):
+    rows = sft_rows(spark, sf).withColumn("label", L.artifact_label("label"))
+    m = builders.chat_examples(rows)
+    md5 = lambda i: F.md5(F.get("messages", F.lit(i))["content"].cast("binary"))
+    return m.select("ord", md5(1).alias("user_md5"), md5(2).alias("assistant_md5"))
+
+
+@query("f39_json_chat_examples")
+def _(spark, sf):
+    rows = sft_rows(spark, sf).withColumn("label", L.artifact_label("label"))
+    return builders.chat_examples(rows, as_json=True).select("ord", F.get("messages", F.lit(2))["content"].alias("assistant"))
+
+
+@query("f40_preference_pairs")
+def _(spark, sf):
+    rows = sft_rows(spark, sf).withColumn("label", L.artifact_label("label"))
+    p = builders.preference_pairs(rows)
+    return p.select("ord", "gold_label", "rejection_type", F.md5(F.col("chosen").cast("binary")).alias("chosen_md5"), F.md5(F.col("rejected").cast("binary")).alias("rejected_md5"))
+
+
+@query("f48_confidence_bucket", f"WITH {_LAB} SELECT doc_id, CASE WHEN confidence >= 0.7 THEN 'High' WHEN confidence >= 0.55 THEN 'Borderline' ELSE 'Review' END AS bucket FROM lab")
+def _(spark, sf):
+    return labelled(spark, sf).select("doc_id", L.confidence_bucket("confidence").alias("bucket"))
+
+
+@query("f49_grounding_bucket", f"WITH {BM25}, {sql_topk(1)} SELECT query_id, CASE WHEN score >= 3 THEN 'Strong' WHEN score >= 1.5 THEN 'Moderate' ELSE 'Weak' END AS grounding FROM top")
+def _(spark, sf):
+    return R.bm25_topk(claims(spark, sf), corpus(spark, sf), 1).select("query_id", L.grounding_bucket("score").alias("grounding"))
+
+
+@query("f50_display_verdict", f"WITH {_PRED} SELECT query_id, CASE WHEN verdict IN ('SUPPORTED', 'REFUTED') THEN verdict ELSE 'Inconclusive' END AS shown FROM ve")
+def _(spark, sf):
+    return predictions(spark, sf).select("query_id", L.display_verdict("p").alias("shown"))
+
+
+_RAW = "raw AS (SELECT doc_id, ['SUPPORTS', 'support', ' refutes ', 'CONTRADICT', 'NEI', 'not_enough_info', 'Mixed Label', 'contradicts'][doc_id % 8 + 1] AS label FROM documents)"
+
+
+@query("l01_dataset_label", f"WITH {_RAW}, u AS (SELECT doc_id, upper(trim(label)) AS u FROM raw) SELECT doc_id, CASE WHEN u IN ('SUPPORTS', 'SUPPORT') THEN 'SUPPORTED' WHEN u IN ('REFUTES', 'CONTRADICT', 'CONTRADICTS') THEN 'REFUTED' WHEN u IN ('NOT ENOUGH INFO', 'NOT_ENOUGH_INFO', 'NEI', 'UNKNOWN') THEN 'NOT_ENOUGH_INFO' ELSE replace(u, ' ', '_') END AS label FROM u")
+def _(spark, sf):
+    return raw_labels(spark, sf).select("doc_id", L.dataset_label("label").alias("label"))
+
+
+def raw_labels(spark, sf) -> DataFrame:
+    given = ["SUPPORTS", "support", " refutes ", "CONTRADICT", "NEI", "not_enough_info", "Mixed Label", "contradicts"]
+    return corpus(spark, sf).select("doc_id", F.element_at(F.array(*map(F.lit, given)), (F.col("doc_id") % 8 + 1).cast("int")).alias("label"))
+
+
+@query("l02_artifact_label", f"WITH {_RAW}, u AS (SELECT doc_id, replace(replace(upper(trim(label)), '-', '_'), ' ', '_') AS u FROM raw) SELECT doc_id, CASE WHEN u IN ('SUPPORTS', 'SUPPORTED') THEN 'SUPPORTED' WHEN u IN ('REFUTED', 'REFUTES', 'CONTRADICT', 'CONTRADICTS') THEN 'REFUTED' ELSE 'NOT_ENOUGH_INFO' END AS label FROM u")
+def _(spark, sf):
+    return raw_labels(spark, sf).select("doc_id", L.artifact_label("label").alias("label"))
+
+
+# ---- verification
+
+
+@query("v01_rule_verdicts", f"WITH {_PRED} SELECT query_id, rank, verdict, round(confidence, 6) AS confidence, s AS supported, r AS refuted, n AS nei FROM pl")
+def _(spark, sf):
+    v = verify.verify_passages(claim_passages(spark, sf))
+    return v.select("query_id", "rank", "result.verdict", F.round("result.confidence", 6).alias("confidence"), "result.supported", "result.refuted", "result.nei")
+
+
+@query("v03_bundle_verdicts", f"WITH {_PRED}, b AS (SELECT query_id, {sql_space('any_value(claim)')} AS ct, {sql_space('string_agg(text, chr(10) ORDER BY rank)')} AS et FROM pl GROUP BY query_id) SELECT query_id, CASE WHEN list_contains(et, 'not') AND len(list_intersect(ct, et)) > 0 THEN 'REFUTED' WHEN {sql_overlap('ct', 'et')} >= 0.45 THEN 'SUPPORTED' ELSE 'NOT ENOUGH INFO' END AS verdict, round(least(0.99, 0.45 + {sql_overlap('ct', 'et')} / 2), 6) AS confidence FROM b")
+def _(spark, sf):
+    return verify.verify_bundle(claim_passages(spark, sf)).select("query_id", "verdict", F.round("confidence", 6).alias("confidence"))
+
+
+@query("v04_aggregated_verdicts", f"WITH {_PRED} SELECT ve.query_id, verdict, round(confidence, 6) AS confidence, (SELECT min(rank) FROM pl WHERE pl.query_id = ve.query_id AND CASE ve.verdict WHEN 'SUPPORTED' THEN pl.s = ve.s WHEN 'REFUTED' THEN pl.r = ve.r ELSE pl.n = ve.n END) AS winning_rank FROM ve")
+def _(spark, sf):
+    v = verify.aggregate_claims(verify.verify_passages(claim_passages(spark, sf)))
+    return v.select("query_id", "verdict", F.round("confidence", 6).alias("confidence"), "winning_rank")
+
+
+_GATED = _PRED.replace("pl AS (", f"g0 AS (SELECT query_id, rank, {_sql_content('claim')} AS a, {_sql_content('text')} AS b FROM pp), gt AS (SELECT query_id, rank, {sql_overlap('a', 'b')} AS go FROM g0), pl0 AS (").replace("ag AS (", "pl AS (SELECT query_id, rank, CASE WHEN go < 0.5 THEN 0 ELSE s END AS s, CASE WHEN go < 0.5 THEN 0 ELSE r END AS r, CASE WHEN go < 0.5 THEN 1 ELSE n END AS n FROM pl0 JOIN gt USING (query_id, rank)),\nag AS (")
+
+
+@query("v05_gated_verdicts", f"WITH {_GATED} SELECT query_id, verdict, round(confidence, 6)::DOUBLE AS confidence FROM ve")
+def _(spark, sf):
+    v = verify.aggregate_claims(verify.verify_passages(claim_passages(spark, sf), 0.5))
+    return v.select("query_id", "verdict", F.round("confidence", 6).alias("confidence"))
+
+
+_SCORED = "sg AS (SELECT CASE doc_id % 3 WHEN 0 THEN 'SUPPORTED' WHEN 1 THEN 'REFUTED' ELSE 'NOT ENOUGH INFO' END AS y, (length(text) % 11) / 10.0::DOUBLE AS s, (length(text) % 7) / 10.0::DOUBLE AS r FROM documents)"
+_GRID = "g AS (SELECT row_number() OVER (ORDER BY m, s, r) - 1 AS grid_ord, s AS st, r AS rt, m FROM (SELECT unnest([0.3, 0.4, 0.5, 0.6, 0.7])::DOUBLE AS s), (SELECT unnest([0.3, 0.4, 0.5, 0.6, 0.7])::DOUBLE AS r), (SELECT unnest([0.0, 0.1, 0.2])::DOUBLE AS m))"
+
+
+def _sql_grid(decide: str) -> str:
+    f1 = " + ".join(f"CASE WHEN sum(CASE WHEN y = '{v}' AND p = '{v}' THEN 1 ELSE 0 END) > 0 THEN 2.0::DOUBLE * sum(CASE WHEN y = '{v}' AND p = '{v}' THEN 1 ELSE 0 END) / (sum(CASE WHEN y = '{v}' THEN 1 ELSE 0 END) + sum(CASE WHEN p = '{v}' THEN 1 ELSE 0 END)) ELSE 0.0 END" for v in C.LABELS)
+    return f"WITH {_SCORED}, {_GRID}, e AS (SELECT grid_ord, st, rt, m, y, {decide} AS p FROM sg, g), ev AS (SELECT grid_ord, st AS support_threshold, rt AS refute_threshold, m AS margin, avg(CASE WHEN y = p THEN 1.0::DOUBLE ELSE 0.0 END) AS accuracy, ({f1}) / 3 AS macro_f1, avg(CASE WHEN p = 'REFUTED' THEN 1.0::DOUBLE ELSE 0.0 END) AS refuted_rate FROM e GROUP BY ALL)"
+
+
+_MARGIN = "CASE WHEN s >= st AND s - r >= m THEN 'SUPPORTED' WHEN r >= rt AND r - s >= m THEN 'REFUTED' ELSE 'NOT ENOUGH INFO' END"
+
+
+def _evaluated(spark, sf) -> DataFrame:
+    d = corpus(spark, sf)
+    y = F.when(F.col("ord") % 3 == 0, C.SUPPORTED).when(F.col("ord") % 3 == 1, C.REFUTED).otherwise(C.NEI)
+    scored = d.select(y.alias("y"), ((F.length("text") % 11) / F.lit(10.0)).alias("supported"), ((F.length("text") % 7) / F.lit(10.0)).alias("refuted"))
+    steps = grids.float_range(30, 70, 10)
+    return grids.evaluate_grid(scored, grids.threshold_grid(spark, steps, steps, [0.0, 0.1, 0.2]), with_margin=True)
+
+
+@query("a38_threshold_grid", f"{_sql_grid(_MARGIN)} SELECT grid_ord::INT AS grid_ord, support_threshold, refute_threshold, margin, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1, round(refuted_rate, 6) AS refuted_rate FROM ev")
+def _(spark, sf):
+    return _rounded(_evaluated(spark, sf), "grid_ord", "support_threshold", "refute_threshold", "margin")
+
+
+@query("a39_grid_argmax", f"{_sql_grid(_MARGIN)} SELECT grid_ord::INT AS grid_ord, round(macro_f1, 6) AS macro_f1 FROM ev ORDER BY round(macro_f1, 9) DESC, grid_ord LIMIT 1")
+def _(spark, sf):
+    return grids.best_row(_evaluated(spark, sf)).select("grid_ord", F.round("macro_f1", 6).alias("macro_f1"))
+
+
+@query("a40_grid_top10", f"{_sql_grid(_MARGIN)} SELECT grid_ord::INT AS grid_ord, round(macro_f1, 6) AS macro_f1 FROM ev ORDER BY round(macro_f1, 9) DESC, round(accuracy, 9) DESC, grid_ord LIMIT 10")
+def _(spark, sf):
+    return grids.top_rows(_evaluated(spark, sf)).select("grid_ord", F.round("macro_f1", 6).alias("macro_f1"))
+
+
+@query("j16_gate_grid", "WITH s AS (SELECT CASE doc_id % 3 WHEN 0 THEN 'SUPPORTS' WHEN 1 THEN 'REFUTES' ELSE 'NEI' END AS y, CASE length(text) % 2 WHEN 0 THEN 'SUPPORTS' ELSE 'REFUTES' END AS p, (length(text) % 13) / 13.0::DOUBLE AS ov FROM documents), e AS (SELECT t, y, CASE WHEN ov < t THEN 'NEI' ELSE p END AS p FROM s, (SELECT unnest([0.2, 0.4, 0.6])::DOUBLE AS t)) SELECT t AS threshold, round(avg(CASE WHEN y = p THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS accuracy FROM e GROUP BY t")
+def _(spark, sf):
+    d, n = corpus(spark, sf), F.length("text")
+    pairs = d.select(F.when(F.col("ord") % 3 == 0, "SUPPORTS").when(F.col("ord") % 3 == 1, "REFUTES").otherwise("NEI").alias("y"), F.when(n % 2 == 0, "SUPPORTS").otherwise("REFUTES").alias("p"), ((n % 13) / F.lit(13.0)).alias("overlap"))
+    return grids.evaluate_gates(pairs, [0.2, 0.4, 0.6]).select("threshold", F.round("accuracy", 6).alias("accuracy"))
+
+
+# ---- builders
+
+
+def _mining(spark, sf) -> tuple[DataFrame, DataFrame]:
+    q, d, g = claims(spark, sf), corpus(spark, sf), gold(spark, sf)
+    positive = g.groupBy("query_id").agg(F.min("ord").alias("ord")).join(d.select("ord", F.col("text").alias("positive")), "ord").drop("ord")
+    rows = labelled_claims(spark, sf).join(positive, "query_id").select("query_id", F.col("text").alias("claim"), "positive", "label")
+    bm25, dense = R.bm25_topk(q, d, 8), R.dense_topk(R.with_embedding(q), R.with_embedding(d), 24)
+    return rows, builders.mine_negatives(rows, d, bm25, dense)
+
+
+@query("b04_hard_negatives")
+def _(spark, sf):
+    _, negatives = _mining(spark, sf)
+    return negatives.select("query_id", "negative_type", "place", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query("b08_training_pairs")
+def _(spark, sf):
+    _, pairs = builders.training_pairs(*_mining(spark, sf))
+    return pairs.select("query_id", "relevance", "negative_type", "label", F.md5(F.col("evidence").cast("binary")).alias("evidence_md5"))
+
+
+@query("p13_spread_negatives")
+def _(spark, sf):
+    retriever, _ = builders.training_pairs(*_mining(spark, sf))
+    return builders.spread_negatives(retriever, 3).select("query_id", *[F.md5(F.col(c).cast("binary")).alias(c) for c in ("anchor", "positive", "negative_1", "negative_2", "negative_3")])
+
+
+_VER = f"{BASE}, r AS (SELECT lc.query_id AS ord, CAST(lc.query_id AS VARCHAR) AS claim_id, lc.text AS claim, replace(lc.label, ' ', '_') AS label, (SELECT any_value(d.source) FROM gold JOIN d USING (ord) WHERE gold.query_id = lc.query_id AND gold.ord = (SELECT min(x.ord) FROM gold x WHERE x.query_id = lc.query_id)) AS gold FROM lc), pool AS (SELECT row_number() OVER (ORDER BY ord) - 1 AS place, gold FROM r WHERE label <> 'NOT_ENOUGH_INFO' AND gold IS NOT NULL), nn AS (SELECT *, ('0x' || substr(sha256('coin42|' || claim_id), 1, 8))::BIGINT % 2 = 0 AS coin, ('0x' || substr(sha256('pick42|' || claim_id), 1, 8))::BIGINT % (SELECT count(*) FROM pool) AS place FROM r WHERE label = 'NOT_ENOUGH_INFO')"
+
+
+@query("b03_verifier_examples", f"WITH {_VER} SELECT ord, claim_id, label, gold AS evidence, 'gold' AS evidence_type FROM r WHERE label <> 'NOT_ENOUGH_INFO' AND gold IS NOT NULL UNION ALL SELECT nn.ord, claim_id, label, CASE WHEN coin THEN pool.gold ELSE '' END, CASE WHEN coin THEN 'retrieved_negative' ELSE 'no_evidence' END FROM nn LEFT JOIN pool USING (place)")
+def _(spark, sf):
+    d = corpus(spark, sf)
+    first = gold(spark, sf).groupBy("query_id").agg(F.min("ord").alias("ord")).join(d.select("ord", F.col("source").alias("gold")), "ord").drop("ord")
+    records = labelled_claims(spark, sf).join(first, "query_id", "left").select(F.col("query_id").alias("ord"), F.col("query_id").cast("string").alias("claim_id"), F.col("text").alias("claim"), "label", "gold", F.lit("benchmark").alias("source"))
+    return builders.verifier_examples(records).select("ord", "claim_id", "label", "evidence", "evidence_type")
+
+
+def _passage_pairs(spark, sf) -> DataFrame:
+    q, d, g = labelled_claims(spark, sf), corpus(spark, sf), gold(spark, sf)
+    texts = g.join(d.select("ord", "text", "title"), "ord")
+    gold_text = texts.groupBy("query_id").agg(builders.gold_text(F.array_sort(F.collect_list(F.struct("ord", "text")))).alias("gold_text"))
+    rows = q.join(gold_text, "query_id", "left").select("query_id", F.col("text").alias("claim"), "label", "gold_text")
+    return builders.passage_pairs(rows, api.evidence_for(claims(spark, sf), d, 5), texts.select("query_id", "ord", "title"))
+
+
+@query("b09_passage_pairs", f"""WITH {BM25}, {sql_topk(5)}, gt AS (SELECT query_id, string_agg(trim(d.text, E' \\t\\n\\r'), ' ' ORDER BY d.ord) AS t, list(DISTINCT d.source) AS titles FROM gold JOIN d USING (ord) GROUP BY query_id),
+o AS (SELECT lc.query_id, NULL::BIGINT AS ord, NULL::INT AS rank, lc.label, lc.text AS claim, gt.t AS p, true AS is_gold, NULL AS title, gt.titles FROM lc JOIN gt USING (query_id)),
+f AS (SELECT top.query_id, top.ord, top.rank::INT AS rank, lc.label, lc.text AS claim, d.text AS p, EXISTS (SELECT 1 FROM gold g WHERE g.query_id = top.query_id AND g.ord = top.ord) AS is_gold, d.source AS title, gt.titles FROM top JOIN lc USING (query_id) JOIN d ON d.ord = top.ord LEFT JOIN gt ON gt.query_id = top.query_id),
+a AS (SELECT * FROM o UNION ALL SELECT * FROM f), w AS (SELECT *, {_sql_pair_words('claim')} AS cw, {_sql_pair_words('p')} AS pw FROM a), v AS (SELECT *, round_even({sql_overlap('cw', 'pw')}, 4) AS ov FROM w)
+SELECT query_id, ord, rank, CASE WHEN is_gold THEN CASE label WHEN 'SUPPORTED' THEN 'SUPPORTS' WHEN 'REFUTED' THEN 'REFUTES' ELSE 'NEI' END ELSE 'NEI' END AS pair_label, ov AS lexical_overlap, CASE WHEN ord IS NULL THEN 'oracle' WHEN is_gold THEN 'gold_retrieved' WHEN label <> 'NOT ENOUGH INFO' AND list_contains(titles, title) THEN 'same_entity_insufficient' WHEN ov >= 0.5 THEN 'same_topic_missing_fact' WHEN rank <= 2 THEN 'near_miss' ELSE 'irrelevant' END AS pair_type FROM v""")
+def _(spark, sf):
+    return _passage_pairs(spark, sf).select("query_id", "ord", "rank", "pair_label", "lexical_overlap", "pair_type")
+
+
+@query("a20_pair_stats", ORACLES["b09_passage_pairs"].replace("SELECT query_id, ord, rank, CASE WHEN is_gold", "SELECT pair_type, pair_label, count(*) AS n FROM (SELECT CASE WHEN is_gold") + ") GROUP BY ALL")
+def _(spark, sf):
+    return _passage_pairs(spark, sf).groupBy("pair_type", "pair_label").agg(F.count("*").alias("n"))
+
+
+@query("b10_robust_union")
+def _(spark, sf):
+    d = corpus(spark, sf).select("ord", F.col("text").alias("passage_text"))
+    pairs = _passage_pairs(spark, sf).where("ord is not null").join(d, "ord").join(claims(spark, sf).withColumnRenamed("text", "claim"), "query_id").select(F.col("query_id").cast("string").alias("claim_id"), "claim", "passage_text", "pair_label", F.lit("benchmark").alias("source"), "pair_type")
+    oracle = sft_rows(spark, sf).select(F.col("claim_id").cast("string").alias("claim_id"), "claim", "evidence", L.artifact_label("label").alias("label"), "source", "evidence_type")
+    return builders.robust_union(oracle, pairs).groupBy("label", "evidence_type").agg(F.count("*").alias("n"))
+
+
+@query("b11_topk_augmented")
+def _(spark, sf):
+    p = ranking.rerank(_bm25_with_text(spark, sf), ranking.heuristic_score("claim", "text"), 5)
+    rows = labelled_claims(spark, sf).select(F.col("query_id").alias("ord"), F.col("text").alias("claim"), "label", F.col("text").alias("evidence"))
+    out = builders.topk_augmented(rows, p.select(F.col("query_id").alias("ord"), F.col("rerank_rank").alias("rank"), "title", "text"))
+    return out.select("ord", "label", "mixed_source", *[F.md5(F.col(c).cast("binary")).alias(c) for c in ("top1_evidence", "top3_evidence", "top5_evidence", "mixed_evidence")])
+
+
+# ---- the whole pipeline
+
+_OUT = f"""WITH {_PRED}, w AS (SELECT ve.query_id, ve.verdict, ve.confidence, (SELECT min(rank) FROM pl WHERE pl.query_id = ve.query_id AND CASE ve.verdict WHEN 'SUPPORTED' THEN pl.s = ve.s WHEN 'REFUTED' THEN pl.r = ve.r ELSE pl.n = ve.n END) AS wr FROM ve)
+SELECT query_id, verdict, round(confidence, 6) AS confidence FROM w"""
+
+
+@query("u08_verify_claims")
+def _(spark, sf):
+    out = api.verify(claims(spark, sf), corpus(spark, sf))
+    return out.select("query_id", "verdict", F.round("confidence", 6).alias("confidence"), "decision", "citation_valid", "retries_used", F.round("citation_precision", 6).alias("citation_precision"), F.round("unsupported_sentence_rate", 6).alias("unsupported_sentence_rate"))
+
+
+@query("api_verdicts", _OUT)
+def _(spark, sf):
+    return api.verify(claims(spark, sf), corpus(spark, sf)).select("query_id", "verdict", F.round("confidence", 6).alias("confidence"))
+
+
+@query("api_pipeline")
+def _(spark, sf):
+    return api.pipeline(claims(spark, sf), corpus(spark, sf)).select("query_id", "verdict", F.size("evidence").alias("n_evidence"), "check.valid")
+
+
+# ---- state and streams
+
+
+@query("t01_live_entries", "WITH l AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) SELECT user_id, value, epoch_us(ts + INTERVAL 1 DAY) AS expires_us FROM l WHERE ts + INTERVAL 1 DAY >= (SELECT max(ts) FROM events)")
+def _(spark, sf):
+    from claimloom.streaming import state
+
+    e = tab(spark, sf, "events")
+    now = e.agg(F.max("ts").alias("now"))
+    live = state.live_entries(e.crossJoin(F.broadcast(now)), 86_400, F.col("now"))
+    return live.select("user_id", "value", F.unix_micros(F.col("expires_at").cast("timestamp")).alias("expires_us"))
+
+
+@query("t02_windowed_metrics", f"WITH {_LOG} SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS window_us, verdict, count(*) AS n, round(avg(latency_ms), 6) AS mean_latency_ms, round(avg(CASE WHEN fallback_used THEN 1.0 ELSE 0.0 END), 6) AS fallback_rate FROM rl GROUP BY ALL")
+def _(spark, sf):
+    from claimloom.streaming import state
+
+    m = state.windowed_metrics(request_log(spark, sf), "1 hour")
+    return m.select(F.unix_micros(F.col("window_start").cast("timestamp")).alias("window_us"), "verdict", "n", F.round("mean_latency_ms", 6).alias("mean_latency_ms"), F.round("fallback_rate", 6).alias("fallback_rate"))
+
+
+@query("t04_keep_first_users", "SELECT user_id, count(DISTINCT event_type) AS n_types FROM events GROUP BY user_id")
+def _(spark, sf):
+    from claimloom.streaming import state
+
+    return state.keep_first_stream(tab(spark, sf, "events"), ["user_id", "event_type"]).groupBy("user_id").agg(F.count("*").alias("n_types"))
