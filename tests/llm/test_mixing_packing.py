@@ -10,9 +10,11 @@ public = pytest.importorskip("public_tokenizers")
 PATH = public.path("word_bpe_49k.json")
 
 
+TOKENIZER = tokenizers.Tokenizer.from_file(PATH)
+
+
 def plain_tokens(text):
-    t = tokenizers.Tokenizer.from_file(PATH)
-    return t.encode(text, add_special_tokens=False).ids + [0]
+    return TOKENIZER.encode(text, add_special_tokens=False).ids + [0]
 
 
 def check_packing(rows, docs, capacity):
