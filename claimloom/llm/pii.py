@@ -96,9 +96,9 @@ def _order(span: Span) -> tuple[int, int, int]:
 _SHAPES = {
     "email": re.compile(r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,5}"),
     "ip": re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"),
-    "card": re.compile(r"[0-9](?:[\x20-]?[0-9]){11,18}"),
-    "account": re.compile(r"[A-Z]{0,4}[0-9](?:[\x20-]?[0-9]){7,23}"),
-    "phone": re.compile(r"\+?\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,14}"),
+    "card": re.compile(r"[0-9]{12,19}|[0-9]{3,6}(?:[\x20-][0-9]{2,7}){2,5}"),
+    "account": re.compile(r"[A-Z]{0,4}(?:[0-9]{8,24}|[0-9]{2,6}(?:[\x20-][0-9]{2,7}){2,6})"),
+    "phone": re.compile(r"\+[0-9]{8,15}|\+?\(?[0-9]{1,4}\)?(?:[\x20().-]{1,2}[0-9]{2,5}){2,5}"),
     "secret": re.compile(r"[A-Za-z0-9_+/=-]{16,96}"),
     "url": re.compile(r"(?:https?://|www\.)[^\s\"'<>]{4,88}"),
 }
