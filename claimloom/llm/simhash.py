@@ -166,16 +166,20 @@ def simhash_components(docs: DataFrame, threshold: int = 2, width: int = 3, id_c
     return prints.join(all_prints, "f").select(F.col("id").alias(id_col), F.col("f").alias("simhash"), "component_id")
 
 
-def simhash_dedup(docs: DataFrame, threshold: int = 2, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def simhash_dedup(docs: DataFrame, threshold: int = 2, width: int = 3, id_col: str = "doc_id", text_col: str = "text", also: DataFrame | None = None) -> DataFrame:
     """`docs` with one document of each component: that with the component's smallest id.
 
-    All columns are kept. Of rows that repeat an id one stays; rows with a null id
-    can't be told apart, so they all stay.
+    `also` holds further links (u, v) between ids. All columns are kept. Of rows that
+    repeat an id one stays; rows with a null id can't be told apart, so they all stay.
     """
     found = simhash_components(docs, threshold, width, id_col, text_col)
     found = checkpoint(found.select(F.col(id_col).alias("id"), "component_id").where("id is not null"))
     gone = fresh(docs, "gone_id")
-    dropped = found.where("id <> component_id").select(F.col("id").alias(gone)).distinct()
+    dropped = found.where("id <> component_id").select(F.col("id").alias(gone))
+    if also is not None:
+        links = found.where("id <> component_id").select(F.col("component_id").alias("u"), F.col("id").alias("v")).union(also.select("u", "v"))
+        dropped = connected_components(links).where("node <> component").select(F.col("node").alias(gone))
+    dropped = checkpoint(dropped.distinct())
     kept = docs.join(dropped, docs[id_col] == dropped[gone], "left_anti")
     if found.groupBy("id").count().where("count > 1").isEmpty():
         return kept
