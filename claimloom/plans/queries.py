@@ -674,7 +674,10 @@ def _(spark, sf):
     return dedupe.assemble_corpus([a, b]).select("doc_id", "ord", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-@query("d09_canonical_blocks")
+_LINES = "ln AS (SELECT doc_id, b, i FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), LATERAL (SELECT " + "trim(regexp_replace(trim(regexp_replace(raw, '\\s+', ' ', 'g')), '" + C.MARKERS + "', ''))" + " AS b) WHERE b <> ''), cb AS (SELECT doc_id, lower(b) AS k, arg_min(b, i) AS b FROM ln GROUP BY ALL)"
+
+
+@query("d09_canonical_blocks", f"WITH {_LINES} SELECT d.doc_id, count(cb.k)::INT AS n_blocks, md5(coalesce(string_agg(cb.b, chr(10) ORDER BY cb.k), '')) AS blocks_md5 FROM documents d LEFT JOIN cb ON cb.doc_id = d.doc_id GROUP BY d.doc_id")
 def _(spark, sf):
     return corpus(spark, sf).select("doc_id", X.canonical_blocks(X.evidence_blocks("text")).alias("b")).select("doc_id", F.size("b").alias("n_blocks"), F.md5(F.array_join("b", "\n").cast("binary")).alias("blocks_md5"))
 
@@ -718,7 +721,7 @@ def _(spark, sf):
     return corpus(spark, sf).select("doc_id", F.md5(X.sanitize("text").cast("binary")).alias("sanitized_md5"))
 
 
-@query("f12_verifier_text")
+@query("f12_verifier_text", f"WITH {_FSP}, ln AS (SELECT ord, b, i FROM (SELECT ord, unnest(string_split(evidence, chr(10))) AS raw, generate_subscripts(string_split(evidence, chr(10)), 1) AS i FROM fsp), LATERAL (SELECT {_sql_clean('raw')} AS b) WHERE b <> ''), cb AS (SELECT ord, lower(b) AS k, arg_min(b, i) AS b FROM ln GROUP BY ALL) SELECT f.ord, md5('Claim: ' || any_value(f.claim) || chr(10) || 'Evidence: ' || coalesce(string_agg(cb.b, chr(10) ORDER BY cb.k), '')) AS input_md5 FROM fsp f LEFT JOIN cb ON cb.ord = f.ord GROUP BY f.ord")
 def _(spark, sf):
     return first_sentence_pairs(spark, sf).select("ord", F.md5(X.verifier_text("claim", "evidence").cast("binary")).alias("input_md5"))
 
@@ -1009,7 +1012,7 @@ def _(spark, sf):
     return _passage_pairs(spark, sf).groupBy("pair_type", "pair_label").agg(F.count("*").alias("n"))
 
 
-@query("b10_robust_union")
+@query("b10_robust_union", ORACLES["b09_passage_pairs"].replace("SELECT query_id, ord, rank, CASE WHEN is_gold", "SELECT label, evidence_type, count(*) AS n FROM (SELECT CASE pair_label WHEN 'SUPPORTS' THEN 'SUPPORTED' WHEN 'REFUTES' THEN 'REFUTED' ELSE 'NOT_ENOUGH_INFO' END AS label, pair_type AS evidence_type FROM (SELECT ord, CASE WHEN is_gold") + ") WHERE ord IS NOT NULL UNION ALL SELECT CASE doc_id % 3 WHEN 0 THEN 'SUPPORTED' WHEN 1 THEN 'REFUTED' ELSE 'NOT_ENOUGH_INFO' END, 'gold' FROM documents) GROUP BY ALL")
 def _(spark, sf):
     d = corpus(spark, sf).select("ord", F.col("text").alias("passage_text"))
     pairs = _passage_pairs(spark, sf).where("ord is not null").join(d, "ord").join(claims(spark, sf).withColumnRenamed("text", "claim"), "query_id").select(F.col("query_id").cast("string").alias("claim_id"), "claim", "passage_text", "pair_label", F.lit("benchmark").alias("source"), "pair_type")
@@ -1073,3 +1076,205 @@ def _(spark, sf):
     from claimloom.streaming import state
 
     return state.keep_first_stream(tab(spark, sf, "events"), ["user_id", "event_type"]).groupBy("user_id").agg(F.count("*").alias("n_types"))
+
+
+# ---- evaluators and models
+
+
+def _evidences(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    q, d = claims(spark, sf), corpus(spark, sf)
+    oracle = gold(spark, sf).join(d.select("ord", "text"), "ord").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("ord")))
+    return q, oracle.select("query_id", "rank", "text"), api.evidence_for(q, d, 5).select("query_id", "rank", "text")
+
+
+@query("a64_retrieval_by_strategy")
+def _(spark, sf):
+    from claimloom.plans import evaluate
+
+    return _rounded(evaluate.retrieval_by_strategy(claims(spark, sf), corpus(spark, sf), gold(spark, sf)), "strategy")
+
+
+@query("a67_oracle_vs_retrieved")
+def _(spark, sf):
+    from claimloom.plans import evaluate
+
+    p = evaluate.oracle_and_retrieved(*_evidences(spark, sf))
+    return _rounded(evaluate.evaluate_predictions(p, labelled_claims(spark, sf)), "evidence_source", "mode")
+
+
+_ORACLE_SIDE = f"""{BM25}, {sql_topk(5)}, ev AS (SELECT 'retrieved' AS src, top.query_id, top.rank, q.text AS claim, d.text FROM top JOIN q USING (query_id) JOIN d USING (ord) UNION ALL SELECT 'oracle', g.query_id, row_number() OVER (PARTITION BY g.query_id ORDER BY g.ord), q.text, d.text FROM (SELECT DISTINCT * FROM gold) g JOIN q USING (query_id) JOIN d USING (ord)),
+e1 AS (SELECT src, query_id, rank, {sql_space('claim')} AS ct, {sql_space('text')} AS et, count(*) OVER (PARTITION BY src, query_id) AS cnt FROM ev),
+e2 AS (SELECT src, query_id, cnt, {sql_overlap('ct', 'et')} AS ov, CASE WHEN list_contains(et, 'not') AND len(list_intersect(ct, et)) > 0 THEN 'REFUTED' WHEN {sql_overlap('ct', 'et')} >= 0.45 THEN 'SUPPORTED' ELSE 'NOT ENOUGH INFO' END AS v FROM e1),
+e3 AS (SELECT src, query_id, max(CASE WHEN v = 'SUPPORTED' THEN 0.7 ELSE 0.1 END) AS s, max(CASE WHEN v = 'REFUTED' THEN 0.7 ELSE 0.1 END) AS r, any_value(v) AS only_v, max(cnt) AS cnt FROM e2 GROUP BY ALL),
+e4 AS (SELECT src, query_id, CASE WHEN cnt = 1 THEN only_v WHEN s >= 0.5 AND s > r THEN 'SUPPORTED' WHEN r >= 0.5 AND r > s THEN 'REFUTED' ELSE 'NOT ENOUGH INFO' END AS verdict FROM e3),
+e5 AS (SELECT lc.query_id, lc.label, coalesce(o.verdict, 'NOT ENOUGH INFO') = lc.label AS oracle_ok, coalesce(t.verdict, 'NOT ENOUGH INFO') = lc.label AS retrieved_ok FROM lc LEFT JOIN e4 o ON o.src = 'oracle' AND o.query_id = lc.query_id LEFT JOIN e4 t ON t.src = 'retrieved' AND t.query_id = lc.query_id)"""
+
+
+@query("a33_oracle_retrieved_breakdown", f"WITH {_ORACLE_SIDE} SELECT g.oracle_ok, g.retrieved_ok, count(e5.query_id) AS n, round(count(e5.query_id)::DOUBLE / (SELECT count(*) FROM e5), 6) AS rate FROM (VALUES (true, true), (true, false), (false, true), (false, false)) g(oracle_ok, retrieved_ok) LEFT JOIN e5 ON e5.oracle_ok = g.oracle_ok AND e5.retrieved_ok = g.retrieved_ok GROUP BY ALL")
+def _(spark, sf):
+    from claimloom.plans import evaluate
+
+    p = evaluate.oracle_and_retrieved(*_evidences(spark, sf))
+    return evaluate.error_breakdown(p, labelled_claims(spark, sf)).withColumn("rate", F.round("rate", 6))
+
+
+@query("a32_mode_deltas")
+def _(spark, sf):
+    from claimloom.plans import evaluate
+
+    p = evaluate.oracle_and_retrieved(*_evidences(spark, sf))
+    return _rounded(evaluate.mode_deltas(evaluate.evaluate_predictions(p, labelled_claims(spark, sf))), "mode")
+
+
+@query("a34_subset_accuracy")
+def _(spark, sf):
+    from claimloom.plans import evaluate
+
+    q, d = claims(spark, sf), corpus(spark, sf)
+    p = evaluate.oracle_and_retrieved(*_evidences(spark, sf))
+    return evaluate.subset_accuracy(p, labelled_claims(spark, sf), R.bm25_topk(q, d, 50), gold(spark, sf)).withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query("b16_failure_examples")
+def _(spark, sf):
+    from claimloom.plans import evaluate
+
+    p = evaluate.oracle_and_retrieved(*_evidences(spark, sf))
+    return evaluate.failure_examples(p, labelled_claims(spark, sf)).select("ord", "label", "verdict", "turn")
+
+
+@query("a52_faithfulness")
+def _(spark, sf):
+    from claimloom.plans import evaluate
+
+    p = first_sentence_pairs(spark, sf).where("evidence <> ''")
+    ctx = F.array(F.struct(F.lit(1).alias("citation_id"), F.lit(None).cast("string").alias("title"), F.col("evidence").alias("text")))
+    told = T.grounded_explanation(F.lit(C.SUPPORTED), F.col("evidence"))
+    return evaluate.faithfulness(p, told, ctx)
+
+
+@query("a53_explanation_metrics")
+def _(spark, sf):
+    from claimloom.plans import evaluate
+
+    r = builders.sft_records(sft_rows(spark, sf), "train")
+    ctx = F.transform("evidence_passages", lambda e: F.struct(F.lit(1).alias("citation_id"), e["title"].alias("title"), e["text"].alias("text")))
+    return evaluate.explanation_metrics(r.select("verifier_label", F.col("completion").alias("answer"), ctx.alias("context")), ("verifier_label",))
+
+
+@query("v12_text_classifier")
+def _(spark, sf):
+    from claimloom.operators import models
+
+    d = labelled(spark, sf).select("doc_id", F.when(F.col("y") == 1, "good").otherwise("bad").alias("label")).join(tab(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    model = models.train_text_classifier(d, iterations=20)
+    return models.classify(model, d.select("doc_id", "text", "label")).select("doc_id", "label", "predicted", F.round("confidence", 2).alias("confidence"))
+
+
+@query("v15_verifier_inputs")
+def _(spark, sf):
+    from claimloom.operators import models
+
+    return models.verifier_inputs(claim_passages(spark, sf)).select("query_id", F.md5(F.col("input").cast("binary")).alias("input_md5"))
+
+
+@query("u03_embedding_model", "SELECT doc_id, round(sqrt(length(text)::DOUBLE * length(text) + (length(text) - length(replace(text, ' ', '')))::DOUBLE * (length(text) - length(replace(text, ' ', '')))), 4) AS norm FROM documents")
+def _(spark, sf):
+    from claimloom.operators import models
+
+    def load():
+        return lambda texts: [[float(len(t)), float(t.count(" "))] for t in texts]
+
+    return models.embed(corpus(spark, sf), load).select("doc_id", F.round(V.norm("vector"), 4).alias("norm"))
+
+
+@query("k02_model_rerank", f"{_PAIRS}, h AS (SELECT query_id, ord, len(list_intersect({sql_space('claim')}, {sql_space('text')}))::DOUBLE AS s FROM pr) SELECT query_id, ord, s AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, CAST(ord AS VARCHAR)) AS rerank_rank, 'cross_encoder' AS rerank_backend FROM h QUALIFY rerank_rank <= 5")
+def _(spark, sf):
+    from claimloom.operators import models
+
+    def load():
+        return lambda a, b: [float(len(set(x.lower().split()) & set(y.lower().split()))) for x, y in zip(a, b, strict=True)]
+
+    return models.reranked(_bm25_with_text(spark, sf), "cross_encoder", load, 5).select("query_id", "ord", "rerank_score", "rerank_rank", "rerank_backend")
+
+
+@query("j05_cross_scores", "WITH v AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings), c AS (SELECT label, pos, avg(x) AS m FROM v GROUP BY ALL) SELECT c.label AS query_id, count(DISTINCT v.vec_id) AS n, round(sum(x * m) / count(DISTINCT v.vec_id), 6) AS mean_score FROM v JOIN c USING (pos) GROUP BY c.label")
+def _(spark, sf):
+    e = tab(spark, sf, "embeddings")
+    q = _centroids(e).select(F.col("label").alias("query_id"), F.col("vector").alias("q"))
+    s = e.select("embedding").crossJoin(R.broadcast_if_small(q)).select("query_id", V.dot("q", "embedding").alias("s"))
+    return s.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.avg("s"), 6).alias("mean_score"))
+
+
+@query("j12_gold_flags", f"WITH {BM25}, {sql_topk(10)} SELECT t.query_id, t.ord, EXISTS (SELECT 1 FROM gold g WHERE g.query_id = t.query_id AND g.ord = t.ord) AS by_id, EXISTS (SELECT 1 FROM gold g JOIN d x ON x.ord = g.ord JOIN d y ON y.ord = t.ord WHERE g.query_id = t.query_id AND x.source = y.source) AS by_title FROM top t")
+def _(spark, sf):
+    d, g = corpus(spark, sf), gold(spark, sf).distinct()
+    found = R.bm25_topk(claims(spark, sf), d, 10).join(d.select("ord", "title"), "ord")
+    ids = g.withColumn("by_id", F.lit(True))
+    titles = g.join(d.select("ord", "title"), "ord").select("query_id", "title").distinct().withColumn("by_title", F.lit(True))
+    out = found.join(ids, ["query_id", "ord"], "left").join(titles, ["query_id", "title"], "left")
+    return out.select("query_id", "ord", F.coalesce("by_id", F.lit(False)).alias("by_id"), F.coalesce("by_title", F.lit(False)).alias("by_title"))
+
+
+@query("a44_label_balance", "SELECT lang, count(*) AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM documents), 6) AS share FROM documents GROUP BY lang")
+def _(spark, sf):
+    d = corpus(spark, sf)
+    total = d.agg(F.count("*").alias("t"))
+    return audit.histogram(d, "lang", "lang").crossJoin(F.broadcast(total)).select("lang", "n", F.round(F.col("n") / F.col("t"), 6).alias("share"))
+
+
+@query("d02_dedupe_records", "SELECT min(conv_id) AS ord, md5(text) AS claim_md5 FROM (SELECT conv_id, text FROM conversations WHERE turn = 0) GROUP BY text")
+def _(spark, sf):
+    c = tab(spark, sf, "conversations")
+    rest = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("l"))
+    records = rest.select(F.col("conv_id").alias("ord"), F.get("l", F.lit(0))["text"].alias("claim"), F.transform("l", lambda x: F.struct(x["turn"].alias("doc_id"), x["text"].alias("text"))).alias("evidence"))
+    return dedupe.dedupe_records(records).select("ord", F.md5(F.col("claim").cast("binary")).alias("claim_md5"))
+
+
+@query("d08_citation_sets", "WITH c AS (SELECT item_id, list_distinct(list_transform(regexp_extract_all(text || ' [' || item_id % 4 || '] [2] [2]', '\\[(\\d+)\\]', 1), lambda x: x::INT)) AS ids FROM benchmark) SELECT item_id, array_to_string(list_sort(list_filter(ids, lambda x: x NOT IN (1, 2))), ',') AS missing, len(list_filter(ids, lambda x: x IN (1, 2))) AS n_cited FROM c")
+def _(spark, sf):
+    t = F.concat("text", F.lit(" ["), (F.col("item_id") % 4).cast("string"), F.lit("] [2] [2]"))
+    known = F.array(F.lit(1), F.lit(2))
+    b = tab(spark, sf, "benchmark").select("item_id", Q.cited_ids(t).alias("ids"))
+    return b.select("item_id", F.array_join(F.array_sort(F.array_except("ids", known)), ",").alias("missing"), F.size(F.array_intersect("ids", known)).cast("long").alias("n_cited"))
+
+
+@query("w04_running_hits", f"WITH {_METRICS} SELECT query_id, rank, seen::BIGINT AS seen FROM j2")
+def _(spark, sf):
+    j = metrics.judged(R.bm25_topk(claims(spark, sf), corpus(spark, sf), 50), gold(spark, sf))
+    return j.select("query_id", "rank", F.sum("rel").over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("seen"))
+
+
+@query("f21_verifier_explanation", f"WITH {_PRED} SELECT query_id, rank, md5('Verdict: ' || verdict || '. Claim: ' || claim || '. Evidence: ' || text || '. This evidence ' || CASE verdict WHEN 'SUPPORTED' THEN 'supports the claim' WHEN 'REFUTED' THEN 'contradicts the claim' ELSE 'does not establish the claim' END || '.') AS explanation_md5 FROM pl")
+def _(spark, sf):
+    v = verify.verify_passages(claim_passages(spark, sf))
+    return v.select("query_id", "rank", F.md5(T.verifier_explanation(F.col("claim"), F.col("text"), F.col("result.verdict")).cast("binary")).alias("explanation_md5"))
+
+
+@query("l04_verifier_data_label", f"WITH {_RAW}, u AS (SELECT doc_id, replace(upper(trim(label)), '_', ' ') AS u FROM raw) SELECT doc_id, CASE WHEN u IN ('SUPPORTED', 'SUPPORTS', 'SUPPORT') THEN 'SUPPORTED' WHEN u IN ('REFUTED', 'REFUTES', 'CONTRADICT', 'CONTRADICTS') THEN 'REFUTED' ELSE 'NOT_ENOUGH_INFO' END AS label FROM u")
+def _(spark, sf):
+    return raw_labels(spark, sf).select("doc_id", L.verifier_data_label("label").alias("label"))
+
+
+@query("l05_evaluation_label", f"WITH {_RAW}, u AS (SELECT doc_id, replace(upper(trim(label)), '_', ' ') AS u FROM raw) SELECT doc_id, CASE WHEN u IN ('SUPPORTED', 'SUPPORTS', 'SUPPORT') THEN 'SUPPORTED' WHEN u IN ('REFUTED', 'REFUTES', 'CONTRADICT', 'CONTRADICTS') THEN 'REFUTED' ELSE 'NOT ENOUGH INFO' END AS label FROM u")
+def _(spark, sf):
+    return raw_labels(spark, sf).select("doc_id", L.evaluation_label("label").alias("label"))
+
+
+@query("f26_listed_citations", "SELECT item_id, CASE item_id % 3 WHEN 0 THEN '1,2' WHEN 1 THEN '' ELSE '3' END AS cited FROM benchmark")
+def _(spark, sf):
+    reply = F.when(F.col("item_id") % 3 == 0, F.lit('ok {"citations": [2, "1", "x", 2]} done')).when(F.col("item_id") % 3 == 1, F.lit('{"citations": "1"}')).otherwise(F.lit('{"citations": ["3"]}'))
+    return tab(spark, sf, "benchmark").select("item_id", F.array_join(T.listed_citations(T.json_object(reply)), ",").alias("cited"))
+
+
+@query("f27_answer_fields", f"WITH {_SFT} SELECT ord, label AS decision, CASE WHEN cited = '[]' THEN 0 ELSE 1 END AS n_citations FROM sft")
+def _(spark, sf):
+    label = L.artifact_label("label")
+    rows = sft_rows(spark, sf).withColumn("v", label).withColumn("p", T.evidence_passages("evidence"))
+    f = rows.select("ord", T.answer_fields(T.sft_completion(F.col("v"), F.col("p"))).alias("f"))
+    return f.select("ord", "f.decision", F.size("f.citations").alias("n_citations"))
+
+
+@query("k08_date_tokens", r"SELECT doc_id, len(list_distinct(list_concat(list_filter(regexp_extract_all(lower(text), '[\pL\pN_]+'), lambda t: regexp_full_match(t, '[0-9]{4}')), list_filter(regexp_extract_all(lower(text), '[\pL\pN_]+'), lambda t: regexp_full_match(t, '(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*'))))) AS n_dates FROM documents")
+def _(spark, sf):
+    return corpus(spark, sf).select("doc_id", F.size(X.date_tokens("text")).cast("long").alias("n_dates"))
