@@ -1278,3 +1278,14 @@ def _(spark, sf):
 @query("k08_date_tokens", r"SELECT doc_id, len(list_distinct(list_concat(list_filter(regexp_extract_all(lower(text), '[\pL\pN_]+'), lambda t: regexp_full_match(t, '[0-9]{4}')), list_filter(regexp_extract_all(lower(text), '[\pL\pN_]+'), lambda t: regexp_full_match(t, '(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*'))))) AS n_dates FROM documents")
 def _(spark, sf):
     return corpus(spark, sf).select("doc_id", F.size(X.date_tokens("text")).cast("long").alias("n_dates"))
+
+
+# ---- ranks and sizes are 32-bit here and 64-bit in DuckDB; the SQL narrows them
+
+_NARROW = {
+    "n_tokens": ("r01_tokenize",), "rank": ("r04_bm25_okapi_topk", "r05_bm25_topk", "r13_dense_topk", "r17_vector_store_ip", "k13_ranking_strategies", "v01_rule_verdicts", "w04_running_hits", "f21_verifier_explanation"),
+    "fused_rank": ("r14_rrf", "r15_hybrid_topk"), "rerank_rank": ("k01_heuristic_rerank", "k02_model_rerank"), "place": ("a45_pareto_report",), "turn": ("w07_round_robin",), "n_sentences": ("f03_sentences",), "winning_rank": ("v04_aggregated_verdicts",),
+}
+for _column, _names in _NARROW.items():
+    for _name in _names:
+        ORACLES[_name] = f"SELECT * REPLACE (CAST({_column} AS INTEGER) AS {_column}) FROM ({ORACLES[_name]})"
