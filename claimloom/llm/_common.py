@@ -27,11 +27,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def through_parquet(df: DataFrame) -> DataFrame:
-    """As checkpoint(), as a Parquet table; for wide rows."""
+def write_shared(df: DataFrame) -> str:
+    """As checkpoint(), as a Parquet table; for wide rows. Gives its path."""
     path = f"{shared_folder(df.sparkSession)}/claimloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove what write_shared() wrote."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:

@@ -16,6 +16,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimloom.llm._common import require, text_of
 
@@ -130,41 +131,45 @@ def sketch_documents(docs: DataFrame, k: int = K, width: int = WIDTH, text_col:
 
 
 def _ranges(docs: DataFrame, id_col: str) -> list[int]:
-    """Inner bounds of ranges of about equal size over the ids."""
+    """Inner bounds, one fewer than shuffle partitions, of ranges of about equal size over the ids."""
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     shares = [i / n for i in range(1, n)]
     got = docs.agg(F.percentile_approx(id_col, shares, 20 * n).alias("p")).first()["p"] if shares else None
     return sorted(set(got or []))
 
 
-def with_successor(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
-    """(rows in ranges, function of a sorted stream) that pairs each row with the next by descending id.
+def _range_of(bounds: list[int]):
+    """Number of the range of an id: 0 holds the largest ids, the last also nulls."""
+    cuts = np.array(bounds, np.int64)
 
-    Rows go to ranges of ids, one partition each; the first row of each range is also
-    sent to the range before it, which needs it as its last successor. The very first
-    follows the very last. Ties on the id are ordered by text, null ids come last.
+    @F.pandas_udf(T.IntegerType())
+    def number(ids: pd.Series) -> pd.Series:
+        null = ids.isna().to_numpy()
+        found = len(cuts) - np.searchsorted(cuts, ids.fillna(0).to_numpy(np.int64), side="right")
+        return pd.Series(np.where(null, len(cuts), found), dtype="int32")
+
+    return number
+
+
+def with_successor(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id, text, rng, copy) in ranges of ids, one partition each, every row followed by its successor by descending id.
+
+    The first row of each range is also sent to the range before it, after that range's
+    last row (copy = 1); the very first follows the very last. Ties on the id are
+    ordered by text, null ids come last.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     bounds = _ranges(base, "id")
-    # range 0 holds the largest ids; nulls belong to the last
-    number = F.lit(len(bounds))
-    if bounds:
-        number = F.coalesce(F.aggregate(F.array(*map(F.lit, bounds)), F.lit(0), lambda n, b: n + F.when(F.col("id") < b, 1).otherwise(0)), number)
-    base = base.withColumn("rng", number.cast("int"))
-    first = base.groupBy("rng").agg(F.max(F.struct(F.coalesce("id", F.lit(-(1 << 63))).alias("o"), F.sha2("text", 256).alias("t"))).alias("m"))
+    base = base.withColumn("rng", _range_of(bounds)("id") if bounds else F.lit(0))
+    least = F.coalesce("id", F.lit(-(1 << 63)))
+    first = base.groupBy("rng").agg(F.max(F.struct(least.alias("o"), F.sha2("text", 256).alias("t"))).alias("m"))
     found = {r["rng"]: r["m"] for r in first.collect()}  # one row per range
-    order = sorted(found)
-    copies = None
-    if order:
-        follows = [(found[b]["o"], found[b]["t"], order[i - 1]) for i, b in enumerate(order)]
-        heads = docs.sparkSession.createDataFrame(follows, "o long, t string, to int")
-        ids = [o for o, _, _ in follows]
-        # only rows whose id heads a range are looked at
-        some = base.where(F.coalesce("id", F.lit(-(1 << 63))).isin(ids))
-        copies = some.join(F.broadcast(heads), (F.coalesce("id", F.lit(-(1 << 63))) == F.col("o")) & (F.sha2("text", 256) == F.col("t")))
-        copies = copies.dropDuplicates(["to"]).select("id", "text", F.col("to").alias("rng"), F.lit(1).alias("copy"))
     rows = base.withColumn("copy", F.lit(0))
-    rows = rows.unionByName(copies) if copies is not None else rows
+    if found:
+        order = sorted(found)
+        heads = docs.sparkSession.createDataFrame([(found[b]["o"], found[b]["t"], order[i - 1]) for i, b in enumerate(order)], "o long, t string, to int")
+        copies = base.join(F.broadcast(heads), least == F.col("o")).where(F.sha2("text", 256) == F.col("t"))
+        rows = rows.unionByName(copies.dropDuplicates(["to"]).select("id", "text", F.col("to").alias("rng"), F.lit(1).alias("copy")))
     placed = rows.repartitionById(len(bounds) + 1, F.col("rng"))
     return placed.sortWithinPartitions("copy", F.col("id").desc_nulls_last(), F.sha2("text", 256).desc())
 
