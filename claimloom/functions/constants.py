@@ -69,7 +69,7 @@ CHAT_SYSTEM = (
     "You are a fact-checking assistant. Given a claim and evidence, classify the claim as SUPPORTED, REFUTED, or NOT ENOUGH INFO and explain your "
     "verdict using only the provided evidence, citing evidence ids in brackets."
 )
-JSON_CHAT_SYSTEM = "You are Veritas, an evidence-grounded fact verification assistant. Use only the provided evidence. Return a verdict, concise explanation, and citations."
+JSON_CHAT_SYSTEM = "You are an evidence-grounded fact verification assistant. Use only the provided evidence. Return a verdict, concise explanation, and citations."
 CHAT_TASK = "Classify the claim and explain using only the evidence."
 JSON_CHAT_TASK = "Respond with JSON keys verdict, explanation, and citations."
 PREFERENCE_FAULTS = ("wrong_verdict", "invalid_citation", "unsupported_explanation")

@@ -169,8 +169,11 @@ def _context_line(evidence: Column) -> Column:
     return F.when(evidence == "", "(no evidence provided)").otherwise(F.concat(F.lit("[1] "), evidence))
 
 
-def chat_examples(rows: DataFrame, as_json: bool = False) -> DataFrame:
-    """rows (claim, label, evidence) with `messages`: system, user and assistant turns, the answer as text or as JSON."""
+def chat_examples(rows: DataFrame, as_json: bool = False, system: str | None = None) -> DataFrame:
+    """rows (claim, label, evidence) with `messages`: system, user and assistant turns, the answer as text or as JSON.
+
+    `system` replaces the system turn's text, for assistants that go by a name.
+    """
     verdict = _display(F.col("label"))
     lead = F.when(F.col("evidence") != "", F.col("evidence"))
     told = T.grounded_explanation(verdict, lead)
@@ -181,7 +184,7 @@ def chat_examples(rows: DataFrame, as_json: bool = False) -> DataFrame:
         answer = F.to_json(F.struct(verdict.alias("verdict"), told.alias("explanation"), ids.alias("citations")))
     else:
         answer = F.concat(F.lit("Verdict: "), verdict, F.lit("\nExplanation: "), told, F.lit("\nCitation: "), cited)
-    return rows.withColumn("messages", T.chat(C.JSON_CHAT_SYSTEM if as_json else C.CHAT_SYSTEM, user, answer))
+    return rows.withColumn("messages", T.chat(system or (C.JSON_CHAT_SYSTEM if as_json else C.CHAT_SYSTEM), user, answer))
 
 
 def preference_pairs(rows: DataFrame) -> DataFrame:
