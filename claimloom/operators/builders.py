@@ -12,6 +12,7 @@ from claimloom.functions import constants as C
 from claimloom.functions import templates as T
 from claimloom.functions import text as X
 from claimloom.functions.labels import artifact_label, verifier_data_label
+from claimloom.operators.numbering import numbered_by
 from claimloom.operators.sampling import cyclic, hash_order
 
 
@@ -34,7 +35,7 @@ def verifier_examples(records: DataFrame, seed: int = 42) -> DataFrame:
     labelled = records.withColumn("label", verifier_data_label("label"))
     gold = labelled.where((F.col("label") != C.NEI_DISK) & F.col("gold").isNotNull())
     nei = labelled.where(F.col("label") == C.NEI_DISK)
-    pool = gold.select((F.row_number().over(Window.orderBy("ord")) - 1).alias("place"), F.col("gold").alias("drawn"))
+    pool = numbered_by(gold, "ord", "__place").select((F.col("__place") - 1).alias("place"), F.col("gold").alias("drawn"))
     n = pool.agg(F.count("*").alias("pool_n"))
     number = lambda tag: F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(f"{tag}{seed}"), F.col("claim_id").cast("string")), 256), 1, 8), 16, 10).cast("long")
     drawn = nei.crossJoin(F.broadcast(n)).withColumn("coin", (F.pmod(number("coin"), F.lit(2)) == 0) & (F.col("pool_n") > 0))
@@ -130,8 +131,8 @@ def topk_augmented(rows: DataFrame, reranked: DataFrame, style: str = "auto") ->
     for k in (1, 3, 5):
         seed = F.concat(F.col("claim"), F.lit(f":top{k}"))
         out = out.withColumn(f"top{k}_evidence", X.render_evidence(F.slice("passages", 1, k), X.evidence_style(seed) if style == "auto" else style, include_title=False, shuffle_seed=seed))
-    even = F.pmod(F.row_number().over(Window.orderBy("ord")) - 1, F.lit(2)) == 0
-    return out.withColumn("even", even).select("ord", "claim", "label", F.col("evidence").alias("gold_evidence"), "top1_evidence", "top3_evidence", "top5_evidence", F.when(F.col("even"), F.col("evidence")).otherwise(F.col("top3_evidence")).alias("mixed_evidence"), F.when(F.col("even"), "gold").otherwise("retrieved_top3").alias("mixed_source"))
+    out = numbered_by(out, "ord", "__place").withColumn("even", F.pmod(F.col("__place") - 1, F.lit(2)) == 0)
+    return out.select("ord", "claim", "label", F.col("evidence").alias("gold_evidence"), "top1_evidence", "top3_evidence", "top5_evidence", F.when(F.col("even"), F.col("evidence")).otherwise(F.col("top3_evidence")).alias("mixed_evidence"), F.when(F.col("even"), "gold").otherwise("retrieved_top3").alias("mixed_source"))
 
 
 def sft_records(rows: DataFrame, split: str) -> DataFrame:
@@ -151,8 +152,7 @@ def sft_violations(records: DataFrame) -> Column:
 
 def dpo_pairs(records: DataFrame, order: str = "claim_id") -> DataFrame:
     """Preference pairs of SFT records; the kind of rejection goes round by place."""
-    kind = cyclic(list(C.REJECTIONS), F.row_number().over(Window.orderBy(order)) - 1)
-    out = records.withColumn("rejection_type", kind)
+    out = numbered_by(records, order, "__place").withColumn("rejection_type", cyclic(list(C.REJECTIONS), F.col("__place") - 1))
     return out.select("claim_id", "source", "verifier_label", "rejection_type", "prompt", F.col("completion").alias("chosen"), T.rejected_completion(artifact_label("verifier_label"), F.col("citations"), F.col("rejection_type")).alias("rejected"), "citations")
 
 
@@ -197,7 +197,7 @@ def preference_pairs(rows: DataFrame) -> DataFrame:
     answer = lambda v, t, c: F.concat(F.lit("Verdict: "), v, F.lit("\nExplanation: "), t, F.lit("\nCitation: "), c)
     kept = rows.where(X.strip("evidence") != "").withColumn("verdict", verdict).withColumn("told", T.grounded_explanation(verdict, F.col("evidence")))
     kept = kept.where(Q.check_citations("told", context)["valid"])
-    kept = kept.withColumn("rejection_type", cyclic(list(C.PREFERENCE_FAULTS), F.row_number().over(Window.orderBy("ord")) - 1))
+    kept = numbered_by(kept, "ord", "__place").withColumn("rejection_type", cyclic(list(C.PREFERENCE_FAULTS), F.col("__place") - 1))
     wrong = F.element_at(F.create_map(*[F.lit(x) for kv in C.WRONG_VERDICT.items() for x in kv]), F.col("verdict"))
     low = F.lower("verdict")
     rejected = (

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimloom.operators.numbering import hash_bucket, numbered, numbered_by
+
 
 def hash_order(key: Column | str, seed: int | str) -> Column:
     key = F.col(key) if isinstance(key, str) else key
@@ -18,8 +20,9 @@ def sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
 
 def split(df: DataFrame, validation: int, key: str, seed: int = 42) -> DataFrame:
     """Rows with split "val" for `validation` of them (clamped to all) and "train" for the rest."""
-    place = F.row_number().over(Window.orderBy(hash_order(key, seed), key))
-    return df.withColumn("split", F.when(place <= max(0, validation), "val").otherwise("train"))
+    order = hash_order(key, seed)
+    out = numbered(df, hash_bucket(order), [order, key], "__place")
+    return out.withColumn("split", F.when(F.col("__place") <= max(0, validation), "val").otherwise("train")).drop("__place")
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
@@ -45,13 +48,13 @@ def bootstrap(pairs: DataFrame, iterations: int = 1000, confidence: float = 0.95
     A resample draws n places by hashing seed, iteration and draw; its mean difference
     is found by joining the draws with the numbered pairs, all iterations at once.
     """
-    numbered = pairs.select((F.row_number().over(Window.orderBy("ord")) - 1).alias("place"), "a", "b")
-    n = numbered.count()
+    rows = numbered_by(pairs, "ord").select((F.col("rn") - 1).alias("place"), "a", "b")
+    n = rows.count()
     spark = pairs.sparkSession
     if n == 0:
         return spark.createDataFrame([(0.0, 0.0, 0.0, 0.0, 0.0)], "mean_a double, mean_b double, delta double, ci_low double, ci_high double")
-    draws = spark.range(iterations * n).select((F.col("id") / n).cast("long").alias("it"), F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(n)).cast("int").alias("place"))
-    deltas = draws.join(F.broadcast(numbered) if n <= 200_000 else numbered, "place").groupBy("it").agg((F.sum("b") / n - F.sum("a") / n).alias("d"))
+    draws = spark.range(iterations * n).select((F.col("id") / n).cast("long").alias("it"), F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(n)).alias("place"))
+    deltas = draws.join(F.broadcast(rows) if n <= 200_000 else rows, "place").groupBy("it").agg((F.sum("b") / n - F.sum("a") / n).alias("d"))
     tail = (1 - confidence) / 2
     low, high = int(tail * iterations), min(iterations - 1, int((1 - tail) * iterations) - 1)
     ranked = deltas.withColumn("i", F.row_number().over(Window.orderBy("d")) - 1)

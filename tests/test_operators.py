@@ -171,3 +171,19 @@ def test_linear_ranker(spark):
     assert ranking.linear_ranker(rows, ("f",)).first()["w_f"] == 1.5
     assert ranking.linear_ranker(rows.where("relevance = 0"), ("f",)).first()["w_f"] == 0.0
     assert ranking.linear_ranker(rows.where("relevance = 1"), ("f",)).first()["w_f"] == 1.0
+
+
+def test_global_numbers(spark):
+    import random
+
+    from claimloom.operators import numbering
+
+    rng = random.Random(8)
+    numbers = spark.createDataFrame([(rng.randrange(10**6), "".join(rng.choices("aébΩ", k=rng.randint(0, 4)))) for _ in range(500)], "x long, s string").dropDuplicates(["x"])
+    rows = numbering.numbered_by(numbers, "x").collect()
+    assert [r["x"] for r in sorted(rows, key=lambda r: r["rn"])] == sorted(r["x"] for r in rows)
+    named = numbers.dropDuplicates(["s"])
+    rows = numbering.numbered_by(named, "s").collect()
+    assert [r["s"] for r in sorted(rows, key=lambda r: r["rn"])] == sorted(r["s"] for r in rows)
+    assert sorted(r["rn"] for r in rows) == list(range(1, len(rows) + 1))
+    assert numbering.numbered_by(numbers.where("x < 0"), "x").count() == 0
