@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +45,39 @@ def discard(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: What to forget when another operator's tasks come to this Python worker.
+_CACHES: dict[str, Callable[[], None]] = {}
+_OWNER = [""]
+
+
+def forgets(name: str, clear: Callable[[], None]) -> None:
+    """Register how to clear the caches that operator `name` keeps between tasks."""
+    _CACHES[name] = clear
+
+
+@contextlib.contextmanager
+def working(name: str):
+    """Around a task's Python code: caches of other operators go first, and freed memory is given back at the end."""
+    if _OWNER[0] != name:
+        for other, clear in _CACHES.items():
+            if other != name:
+                clear()
+        _OWNER[0] = name
+        give_back()
+    try:
+        yield
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    """Return unused memory of Arrow and, where there is a glibc, of the heap to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

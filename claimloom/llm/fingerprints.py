@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimloom.llm._common import require, text_of
+from claimloom.llm._common import forgets, require, text_of, working
 
 WIDTH = 5
 K = 256
@@ -45,6 +45,9 @@ def _word_hashes() -> _WordHashes:
     return _WordHashes()
 
 
+forgets("fingerprints", _word_hashes.cache_clear)
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     """The finalizer of a 64-bit multiply-xorshift hash."""
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -180,7 +183,7 @@ def _edited(text: str, following: str) -> str:
 
 
 def _compare(k: int, width: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         before = None
         for pdf in batches:
             out = []
@@ -196,6 +199,10 @@ def _compare(k: int, width: int):
                 frame = pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
                 yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with working("fingerprints"):
+            yield from compared(batches)
+
     return run
 
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm._common import checkpoint, require, text_of
+from claimloom.llm._common import checkpoint, forgets, require, text_of, working
 
 CAPACITY = 2048
 END_ID = 0
@@ -134,6 +134,9 @@ def _pieces(path: str, limit: int) -> _Pieces:
     return _Pieces(path, limit)
 
 
+forgets("packing", _pieces.cache_clear)
+
+
 def token_bytes(texts: list[str], path: str, cache: int = 200_000) -> Iterator[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers.
 
@@ -181,7 +184,7 @@ _LEVEL0 = "id long, piece int, start long, length long, ids_crc32 long, leaf lon
 
 
 def _level0(path: str, capacity: int, near: float):
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
         ids, pieces, starts, lengths, crcs = [], [], [], [], []
         end = np.array([END_ID], "<u4").tobytes()
@@ -202,6 +205,10 @@ def _level0(path: str, capacity: int, near: float):
             now = slice(at, at + 50_000)
             yield pd.DataFrame({"id": pd.array(ids[now], dtype="Int64"), "piece": pieces[now], "start": starts[now], "length": lengths[now], "ids_crc32": crcs[now], "leaf": bins[now] + (part << 32), "leaf_offset": offsets[now], "fill": fills[bins[now]], "part": part})
 
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with working("packing"):
+            yield from packed(batches)
+
     return pack
 
 

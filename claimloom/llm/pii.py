@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm._common import fresh, require, text_of
+from claimloom.llm._common import fresh, require, text_of, working
 
 # The base kinds in their order, then the method's own.
 BASE = ("email", "ip", "card", "phone")
@@ -388,13 +388,14 @@ def find_pii(docs: DataFrame, weights: dict[str, float] | None = None, text_col:
     weights = learn() if weights is None else weights
 
     def find(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in parts:
-            rows = []
-            for t in texts:
-                base, all_ = find_spans(t, weights)
-                kinds = [k for _, _, k in base]
-                rows.append((*(kinds.count(k) for k in BASE), hashlib.sha256(joined(base).encode()).hexdigest(), joined(all_), *([mask(t, all_)] if masked else [])))
-            yield pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", *(["masked"] if masked else [])])
+        with working("pii"):
+            for texts in parts:
+                rows = []
+                for t in texts:
+                    base, all_ = find_spans(t, weights)
+                    kinds = [k for _, _, k in base]
+                    rows.append((*(kinds.count(k) for k in BASE), hashlib.sha256(joined(base).encode()).hexdigest(), joined(all_), *([mask(t, all_)] if masked else [])))
+                yield pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", *(["masked"] if masked else [])])
 
     return docs.withColumn("pii", F.pandas_udf(find, _FOUND + (", masked string" if masked else ""))(text_of(text_col)))
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm._common import fresh, require, text_of
+from claimloom.llm._common import forgets, fresh, require, text_of, working
 from claimloom.llm._learn import FIT_CHARS, labelled_sample, remainder
 
 #: Hash slots of words, bins of each statistic, length of the vectors.
@@ -49,6 +49,9 @@ def _words() -> _Words:
     return _Words()
 
 
+forgets("quality", _words.cache_clear)
+
+
 def statistics(text: str, words: list[str], code: np.ndarray) -> np.ndarray:
     """Structure statistics and metadata; an empty text gives zeros."""
     n = len(words)
@@ -164,9 +167,10 @@ def score_documents(docs: DataFrame, model: Machine, column: str = "score") -> D
     require(docs, "text")
 
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = _words()
-        for texts in parts:
-            yield pd.Series(model.score(texts.tolist(), known), dtype="float64")
+        with working("quality"):
+            known = _words()
+            for texts in parts:
+                yield pd.Series(model.score(texts.tolist(), known), dtype="float64")
 
     return docs.withColumn(column, F.pandas_udf(score, "double")(text_of()))
 

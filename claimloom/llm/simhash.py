@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm._common import checkpoint, fresh, require, text_bytes
+from claimloom.llm._common import checkpoint, fresh, require, text_bytes, working
 from claimloom.llm.graph import connected_components
 
 SEED = 42
@@ -53,11 +53,12 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 
 
 def fingerprint_udf(width: int = 3):
-    @F.pandas_udf("long")
-    def simhash(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t or b"", width) for t in texts], dtype="int64")
+    def simhash(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        with working("simhash"):
+            for texts in parts:
+                yield pd.Series([fingerprint(t or b"", width) for t in texts], dtype="int64")
 
-    return simhash
+    return F.pandas_udf(simhash, "long")
 
 
 def _remainder(word: int) -> int:
@@ -125,11 +126,12 @@ def _homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _replicas(threshold: int):
     def replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            f = pdf["f"].to_numpy()
-            for at in range(0, len(f), 2000):
-                _, index, anchor = anchors(f[at : at + 2000], threshold)
-                yield pd.DataFrame({"anchor": anchor, "g": f[at : at + 2000][index]})
+        with working("simhash"):
+            for pdf in batches:
+                f = pdf["f"].to_numpy()
+                for at in range(0, len(f), 2000):
+                    _, index, anchor = anchors(f[at : at + 2000], threshold)
+                    yield pd.DataFrame({"anchor": anchor, "g": f[at : at + 2000][index]})
 
     return replicate
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm._common import fresh, require, text_of
+from claimloom.llm._common import fresh, require, text_of, working
 from claimloom.llm._learn import FIT_CHARS, FIT_ROWS, isotonic, labelled_sample, remainder
 
 # Insults and second-person words of the languages at hand.
@@ -271,9 +271,10 @@ def score_documents(docs: DataFrame, model: ToxicityModel, column: str = "score"
     require(docs, "text")
 
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = model.words()
-        for texts in parts:
-            yield pd.Series(model.score(texts.tolist(), known), dtype="float64")
+        with working("toxicity"):
+            known = model.words()
+            for texts in parts:
+                yield pd.Series(model.score(texts.tolist(), known), dtype="float64")
 
     return docs.withColumn(column, F.pandas_udf(score, "double")(text_of()))
 
