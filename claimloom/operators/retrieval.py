@@ -46,7 +46,7 @@ def postings(corpus: DataFrame, vocabulary: DataFrame | None = None) -> DataFram
 
 def corpus_stats(corpus: DataFrame) -> DataFrame:
     """One row: n_docs and avgdl (1 for a corpus without tokens)."""
-    sizes = corpus.select(F.size(X.tokens("text")).alias("dl"))
+    sizes = corpus.select(F.regexp_count(F.lower("text"), F.lit(C.TOKEN)).alias("dl"))
     mean = F.avg("dl")
     return sizes.agg(F.count("*").alias("n_docs"), F.when(mean > 0, mean).otherwise(1.0).alias("avgdl"))
 
