@@ -3,13 +3,16 @@
 A SimHash at two bits finds copies that hardly differ; copies that share four fifths of
 their shingles are usually four to twelve bits apart, which no covering code reaches at a
 bearable number of replicas. So the stage adds these links: one-permutation minima of the
-shingle hashes key bands, documents of a band meet its representatives, and a bottom-k
-sketch decides.
+shingle hashes key bands, documents of a band meet its heads, a bottom-k sketch
+drops what is far below the threshold, and the Jaccard similarity of the full shingle
+sets decides.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from hashlib import sha256
 
 import numpy as np
 import pandas as pd
@@ -19,15 +22,26 @@ from pyspark.sql import types as T
 
 from claimloom.llm._common import checkpoint, text_of, working
 from claimloom.llm.fingerprints import _mix, shingle_hashes
+from claimloom.operators.retrieval import broadcast_if_small
 
 #: Bands of two minima each; entries of a sketch, 32 bits each.
 BANDS, ENTRIES = 12, 128
+#: How far a sketch may underrate a pair: at 0.8 over five standard deviations.
+MARGIN = 0.2
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def shingle_set(text: str, width: int = 5) -> np.ndarray:
+    """The distinct shingle hashes, ascending; A-Z lower-cased."""
+    return np.unique(shingle_hashes(text.lower(), width))
+
+
 def sketch_and_bands(text: str, width: int = 5) -> tuple[bytes, list[int]]:
     """The `ENTRIES` smallest shingle hashes (top 32 bits, ascending) and the keys of the bands; A-Z lower-cased."""
-    h = np.unique(shingle_hashes(text.lower(), width))
+    return _sketch_and_bands(shingle_set(text, width))
+
+
+def _sketch_and_bands(h: np.ndarray) -> tuple[bytes, list[int]]:
     low = np.unique((h[: 4 * ENTRIES] >> np.uint64(32)).astype("<u4"))[:ENTRIES].tobytes()
     if not len(h):
         return low, []
@@ -53,12 +67,19 @@ def alike(a: bytes, b: bytes) -> float:
     return float((np.isin(both, x, assume_unique=True) & np.isin(both, y, assume_unique=True)).sum()) / len(both)
 
 
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of two sets of hashes; 1 for two empty ones."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
+
+
 def _rows(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with working("fingerprints"):
             for pdf in batches:
-                found = [sketch_and_bands(t, width) for t in pdf["text"]]
-                yield pd.DataFrame({"id": pdf["id"], "sketch": [s for s, _ in found], "keys": [k for _, k in found]})
+                sets = [shingle_set(t, width) for t in pdf["text"]]
+                found = [_sketch_and_bands(h) for h in sets]
+                yield pd.DataFrame({"id": pdf["id"], "whole": [sha256(h.tobytes()).digest()[:16] for h in sets], "sketch": [s for s, _ in found], "keys": [k for _, k in found]})
 
     return run
 
@@ -68,21 +89,43 @@ def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([alike(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def _exact(width: int):
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        with working("fingerprints"):
+            of = lru_cache(maxsize=256)(lambda t: shingle_set(t, width))
+            for a, b in batches:
+                yield pd.Series([jaccard(of(x), of(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return F.pandas_udf(run, T.DoubleType())
+
+
 def resemblance_links(docs: DataFrame, threshold: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(u, v) of ids whose shingle sets resemble each other by `threshold` or more.
 
-    Equal sketches are linked to the smallest id that has one, and only that one goes on.
+    Equal sets are linked to the smallest id that has one, and only that one goes on.
     In every band a document meets the band's first by id and first by a hash of the id,
     so pairs grow with the documents however many share a band. Null ids are left out.
     """
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    rows = checkpoint(base.mapInPandas(_rows(width), "id long, sketch binary, keys array<long>"))
-    first = rows.groupBy("sketch").agg(F.min("id").alias("rep"))
-    same = rows.select("id", "sketch").join(first, "sketch").where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v"))
-    reps = rows.join(first.select(F.col("rep").alias("id")), "id", "left_semi")
+    rows = checkpoint(base.mapInPandas(_rows(width), "id long, whole binary, sketch binary, keys array<long>"))
+    first = rows.groupBy("whole").agg(F.min("id").alias("rep"))
+    same = rows.select("id", "whole").join(first, "whole").where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v"))
+    reps = rows.join(first.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
+    s = reps.select("id", "sketch")
     entries = reps.select("id", F.explode("keys").alias("key"))
+
+    def rated(pairs: DataFrame) -> DataFrame:
+        near = pairs.join(s.select(F.col("id").alias("u"), F.col("sketch").alias("su")), "u").join(s.select(F.col("id").alias("v"), F.col("sketch").alias("sv")), "v")
+        return near.withColumn("rate", _alike("su", "sv")).drop("su", "sv").where(F.col("rate") >= threshold - MARGIN)
+
+    def decided(pairs: DataFrame) -> DataFrame:
+        """The pairs at the threshold; only texts of documents in a pair are moved."""
+        pairs = checkpoint(pairs.select("u", "v").distinct())
+        ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+        text = base.join(broadcast_if_small(ids), "id", "left_semi").dropDuplicates(["id"])
+        both = pairs.join(text.select(F.col("id").alias("u"), F.col("text").alias("tu")), "u").join(text.select(F.col("id").alias("v"), F.col("text").alias("tv")), "v")
+        return checkpoint(both.where(_exact(width)("tu", "tv") >= threshold - 1e-9).select("u", "v"))
+
     heads = entries.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("i")))["i"].alias("b")).where("a < z").select("key", F.explode(F.array_distinct(F.array("a", "b"))).alias("head"))
-    pairs = entries.join(heads, "key").where("id <> head").select(F.least("id", "head").alias("u"), F.greatest("id", "head").alias("v")).distinct()
-    s = reps.select("id", "sketch")
-    near = pairs.join(s.select(F.col("id").alias("u"), F.col("sketch").alias("su")), "u").join(s.select(F.col("id").alias("v"), F.col("sketch").alias("sv")), "v")
-    return near.where(_alike("su", "sv") >= threshold).select("u", "v").union(same)
+    met = entries.join(heads, "key").where("id <> head").select(F.least("id", "head").alias("u"), F.greatest("id", "head").alias("v")).distinct()
+    return decided(rated(met)).union(same)

@@ -1,3 +1,5 @@
+import random
+
 from claimloom.llm import resemblance, simhash
 
 
@@ -44,3 +46,21 @@ def test_odd_rows(odd_docs, no_docs):
     assert resemblance.resemblance_links(no_docs).count() == 0
     pairs = {tuple(r) for r in resemblance.resemblance_links(odd_docs.dropDuplicates(["doc_id"])).collect()}
     assert (1, 2) in pairs and (3, 4) in pairs
+
+
+def pair(rng, common, each):
+    """Two texts of `common` words and `each` words of their own."""
+    word = lambda: f"q{rng.randrange(10**9)}"
+    head = [word() for _ in range(common)]
+    return [" ".join([*head, *(word() for _ in range(each))]) for _ in range(2)]
+
+
+def test_exactly_at_the_threshold(spark):
+    """Sets of 400 shared and 50 + 50 own shingles are at 0.8, with one more of its own each side below."""
+    rng, docs = random.Random(5), {}
+    for i in range(60):
+        docs[4 * i], docs[4 * i + 1] = pair(rng, 404, 50)
+        docs[4 * i + 2], docs[4 * i + 3] = pair(rng, 404, 51)
+    assert len(all_links(docs, 0.8)) == 60
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert {tuple(r) for r in resemblance.resemblance_links(df).collect()} == set(all_links(docs, 0.8))
