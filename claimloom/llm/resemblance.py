@@ -3,7 +3,7 @@
 A SimHash at two bits finds copies that hardly differ; copies that share four fifths of
 their shingles are usually four to twelve bits apart, which no covering code reaches at a
 bearable number of replicas. So the stage adds these links: one-permutation minima of the
-shingle hashes key bands, documents of a band meet its heads, a bottom-k sketch
+shingle hashes key bands, documents that share a band are proposed, a bottom-k sketch
 drops what is far below the threshold, and the Jaccard similarity of the full shingle
 sets decides.
 """
@@ -22,12 +22,17 @@ from pyspark.sql import types as T
 
 from claimloom.llm._common import checkpoint, text_of, working
 from claimloom.llm.fingerprints import _mix, shingle_hashes
+from claimloom.llm.graph import connected_components
 from claimloom.operators.retrieval import broadcast_if_small
 
 #: Bands of two minima each; entries of a sketch, 32 bits each.
 BANDS, ENTRIES = 12, 128
 #: How far a sketch may underrate a pair: at 0.8 over five standard deviations.
 MARGIN = 0.2
+#: All pairs of a band with at most so many documents are proposed; documents of larger ones meet by their rarest shingles.
+FEW = 64
+#: Documents and counters that tell common shingles from rare ones; they set an order, the links do not depend on it.
+SAMPLE, COUNTERS = 4_000, 1 << 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -73,6 +78,18 @@ def jaccard(x: np.ndarray, y: np.ndarray) -> float:
     return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
 
+def prefixes(n: int, threshold: float) -> tuple[int, int]:
+    """How many of a set's n members, in one order for all sets, meet every similar set: (of the smaller set, of the larger).
+
+    At `threshold` the sets share at least 2t / (1 + t) of the smaller and t of the
+    larger, so the first member that they share is no later in either.
+    """
+    if n == 0:
+        return 0, 0
+    need = lambda part: n - int(np.ceil(part * n - 1e-9)) + 1
+    return need(2 * threshold / (1 + threshold)), need(threshold)
+
+
 def _rows(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with working("fingerprints"):
@@ -84,6 +101,34 @@ def _rows(width: int):
     return run
 
 
+def _counts(width: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with working("fingerprints"):
+            n = np.zeros(COUNTERS, np.int32)
+            for pdf in batches:
+                for t in pdf["text"]:
+                    np.add.at(n, (shingle_set(t, width) % np.uint64(COUNTERS)).astype(np.int64), 1)
+            yield pd.DataFrame({"n": [n.tobytes()]})
+
+    return run
+
+
+def _rare(width: int, threshold: float, counts: np.ndarray):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with working("fingerprints"):
+            for pdf in batches:
+                out = []
+                for i, c, t in zip(pdf["id"], pdf["comp"], pdf["text"], strict=True):
+                    h = shingle_set(t, width)
+                    short, long = prefixes(len(h), threshold)
+                    first = h[np.lexsort((h, counts[(h % np.uint64(COUNTERS)).astype(np.int64)]))[:long]].view(np.int64)
+                    out.append(pd.DataFrame({"id": i, "comp": c, "n": len(h), "key": first, "short": np.arange(len(first)) < short}))
+                if out:
+                    yield pd.concat(out)
+
+    return run
+
+
 @F.pandas_udf(T.DoubleType())
 def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([alike(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
@@ -100,11 +145,14 @@ def _exact(width: int):
 
 
 def resemblance_links(docs: DataFrame, threshold: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(u, v) of ids whose shingle sets resemble each other by `threshold` or more.
-
-    Equal sets are linked to the smallest id that has one, and only that one goes on.
-    In every band a document meets the band's first by id and first by a hash of the id,
-    so pairs grow with the documents however many share a band. Null ids are left out.
+    """(u, v) of ids whose shingle sets resemble each other by `threshold` or more; their components are those of all such pairs that share a band.
+
+    Equal sets are linked to the smallest id that has one, and only that one goes on. A
+    document is tried first against the heads of its bands (the first by id and the first
+    by a hash of the id), so groups of copies come together by links that grow with the
+    documents. What shares a band and is not together by then is tried pair by pair: in
+    bands of few documents all pairs, in others the pairs that share one of the rarest
+    shingles, which every pair at the threshold does. Null ids are left out.
     """
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     rows = checkpoint(base.mapInPandas(_rows(width), "id long, whole binary, sketch binary, keys array<long>"))
@@ -128,4 +176,29 @@ def resemblance_links(docs: DataFrame, threshold: float = 0.8, width: int = 5, i
 
     heads = entries.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("i")))["i"].alias("b")).where("a < z").select("key", F.explode(F.array_distinct(F.array("a", "b"))).alias("head"))
     met = entries.join(heads, "key").where("id <> head").select(F.least("id", "head").alias("u"), F.greatest("id", "head").alias("v")).distinct()
-    return decided(rated(met)).union(same)
+    # of its heads, a document is tried against the first that is likely and against the likeliest
+    tried = rated(met).groupBy("v").agg(F.min(F.when(F.col("rate") >= threshold, F.col("u"))).alias("p"), F.max(F.struct("rate", (-F.col("u")).alias("u")))["u"].alias("q"))
+    tried = tried.select(F.explode(F.array_distinct(F.array_compact(F.array("p", -F.col("q"))))).alias("u"), "v")
+    links = decided(tried)
+    parts = checkpoint(connected_components(links))
+
+    # what shares a band and is not together yet
+    placed = entries.join(parts.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    open_ = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "n")
+    placed = checkpoint(placed.join(open_, "key"))
+    few = placed.where(F.col("n") <= FEW)
+    other = few.select("key", F.col("id").alias("w"), F.col("comp").alias("c"))
+    proposed = few.join(other, "key").where((F.col("id") < F.col("w")) & (F.col("comp") != F.col("c"))).select(F.col("id").alias("u"), F.col("w").alias("v"))
+    many = checkpoint(placed.where(F.col("n") > FEW).select("id", "comp").distinct())
+    if not many.isEmpty():
+        text = base.join(broadcast_if_small(many), "id").dropDuplicates(["id"])
+        sample = text.join(broadcast_if_small(many.select("id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE)), "id", "left_semi").select("id", "text").coalesce(2)
+        counts = np.sum([np.frombuffer(r["n"], np.int32) for r in sample.mapInPandas(_counts(width), "n binary").collect()], axis=0, dtype=np.int32)
+        rare = checkpoint(text.mapInPandas(_rare(width, threshold, counts), "id long, comp long, n int, key long, short boolean"))
+        open_ = rare.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+        rare = checkpoint(rare.join(open_, "key"))
+        small = rare.where("short").select("key", F.col("id").alias("w"), F.col("comp").alias("c"), F.col("n").alias("m"))
+        fits = (F.struct("m", "w") < F.struct("n", "id")) & (F.col("m") >= F.col("n") * threshold - 1e-6) & (F.col("comp") != F.col("c"))
+        proposed = proposed.union(rare.join(small, "key").where(fits).select(F.least("id", "w").alias("u"), F.greatest("id", "w").alias("v")))
+    more = decided(rated(proposed.distinct()))
+    return links.union(more).union(same)

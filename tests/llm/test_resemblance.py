@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from claimloom.llm import resemblance, simhash
 
 
@@ -64,3 +66,26 @@ def test_exactly_at_the_threshold(spark):
     assert len(all_links(docs, 0.8)) == 60
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     assert {tuple(r) for r in resemblance.resemblance_links(df).collect()} == set(all_links(docs, 0.8))
+
+
+def test_pairs_under_a_common_passage(spark):
+    """Copies of 0.85 meet though a passage of four fifths of every text fills the bands."""
+    rng, docs = random.Random(6), {}
+    passage = " ".join(f"p{i}" for i in range(164))
+    for i in range(150):
+        for j, own in enumerate(pair(rng, 20, 16)):
+            docs[2 * i + j] = f"{passage} {own}"
+    assert set(all_links(docs, 0.8)) == {(2 * i, 2 * i + 1) for i in range(150)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert {tuple(r) for r in resemblance.resemblance_links(df).collect()} == {(2 * i, 2 * i + 1) for i in range(150)}
+
+
+def test_prefixes_meet():
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        shared, a, b = rng.integers(1, 60), rng.integers(0, 12), rng.integers(0, 12)
+        members = rng.permutation(shared + a + b)
+        x, y = np.sort(members[: shared + a]), np.sort(np.concatenate([members[:shared], members[shared + a :]]))
+        small, large = sorted((x, y), key=len)
+        if resemblance.jaccard(x, y) >= 0.8:
+            assert set(small[: resemblance.prefixes(len(small), 0.8)[0]]) & set(large[: resemblance.prefixes(len(large), 0.8)[1]])
