@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -96,12 +97,15 @@ def _order(span: Span) -> tuple[int, int, int]:
 _SHAPES = {
     "email": re.compile(r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,5}"),
     "ip": re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"),
-    "card": re.compile(r"[0-9]{12,19}|[0-9]{3,6}(?:[\x20-][0-9]{2,7}){2,5}"),
-    "account": re.compile(r"[A-Z]{0,4}(?:[0-9]{8,24}|[0-9]{2,6}(?:[\x20-][0-9]{2,7}){2,6})"),
-    "phone": re.compile(r"\+[0-9]{8,15}|\+?\(?[0-9]{1,4}\)?(?:[\x20().-]{1,2}[0-9]{2,5}){2,5}"),
+    "card": re.compile(r"[0-9](?:[\x20-]?[0-9]){11,18}"),
+    "account": re.compile(r"[A-Z]{0,4}[0-9](?:[\x20-]{0,2}[0-9]){7,23}"),
+    "phone": re.compile(r"\+?\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,14}"),
     "secret": re.compile(r"[A-Za-z0-9_+/=-]{16,96}"),
     "url": re.compile(r"(?:https?://|www\.)[^\s\"'<>]{4,88}"),
 }
+#: Digits of the shortest segment; a shape cut after a digit is one from there on.
+_LEAST = {"card": 12, "account": 8, "phone": 7}
+_GROUP = re.compile(r"[0-9]+")
 _CUES = {
     "email": ("mail", "contact", "write", "from", "to"),
     "ip": ("ip", "host", "address", "server", "login"),
@@ -145,12 +149,17 @@ def segment_features(text: str, start: int, end: int, kind: str) -> list[str]:
     if kind == "secret":
         hexed = all(c in "0123456789abcdefABCDEF" for c in span)
         out += ["secret:hex"] * (hexed and n >= 32) + ["secret:varied"] * (len(set(span)) >= 10)
-    words = _WORD.findall(text[max(0, start - 40) : start])[-3:]
-    if any(w.lower() in _CUES[kind] for w in words):
+    if kind in _cued(text, start):
         out.append(f"{kind}:cue")
     return out
 
 
+def _cued(text: str, start: int) -> frozenset[str]:
+    """The kinds that one of the three words before `start` announces."""
+    words = {w.lower() for w in _WORD.findall(text[max(0, start - 40) : start])[-3:]}
+    return frozenset(k for k in KINDS if not words.isdisjoint(_CUES[k])) if words else frozenset()
+
+
 def windows(text: str) -> Iterator[tuple[int, int]]:
     """Runs of text around digits and @, each a few words wide; long ones come in parts."""
     at = 0
@@ -172,15 +181,17 @@ def windows(text: str) -> Iterator[tuple[int, int]]:
 def candidates(text: str, start: int, end: int, base: list[Span]) -> list[Span]:
     """Segments of a window that some type's shape admits, each at its longest and at its group ends, and the base spans in it."""
     edges = sorted({start, *(m.start() for m in _EDGE.finditer(text, max(0, start), end))})
-    out = {s for s in base if start <= s[0] and s[1] <= end}
+    out = {s for s in base[bisect_left(base, (start,)) : bisect_left(base, (end,))] if s[1] <= end}
     for at in edges:
         for kind, shape in _SHAPES.items():
             if m := shape.match(text, at, end):
                 out.add((at, m.end(), kind))
-                if kind in ("card", "phone", "account"):
-                    for g in re.finditer(r"(?<=[0-9])(?=[\x20().-])", m[0]):
-                        if shape.fullmatch(text, at, at + g.start()):
-                            out.add((at, at + g.start(), kind))
+                if kind in _LEAST:
+                    n = 0
+                    for g in _GROUP.finditer(m[0]):
+                        n += len(g[0])
+                        if n >= _LEAST[kind]:
+                            out.add((at, at + g.end(), kind))
     return sorted(out, key=_order)
 
 
@@ -188,8 +199,14 @@ def decode(text: str, found: list[Span], weights: dict[str, float], forced: froz
     """The best set of disjoint segments; text outside scores zero."""
     ends = sorted({s[1] for s in found})
     by_end: dict[int, list[tuple[float, Span]]] = {}
+    cues = {at: _cued(text, at) for at in {s[0] for s in found}}
+    # segments that look alike from outside, too, score alike
+    known: dict[tuple, float] = {}
     for s in found:
-        score = sum(weights.get(f, 0.0) for f in segment_features(text, *s)) + (1e6 if s in forced else 0.0)
+        looks = (text[s[0] : s[1]], s[2], text[max(0, s[0] - 1) : s[0]], text[s[1] : s[1] + 2], s[2] in cues[s[0]])
+        if (score := known.get(looks)) is None:
+            score = known[looks] = sum(weights.get(f, 0.0) for f in segment_features(text, *s))
+        score += 1e6 if s in forced else 0.0
         if score > 0:
             by_end.setdefault(s[1], []).append((score, s))
     best: list[tuple[float, int, Span | None]] = [(0.0, -1, None)]
@@ -197,7 +214,7 @@ def decode(text: str, found: list[Span], weights: dict[str, float], forced: froz
     for end in ends:
         top = (best[-1][0], len(best) - 1, None)
         for score, s in by_end.get(end, ()):
-            k = int(np.searchsorted(places, s[0], side="right")) - 1
+            k = bisect_right(places, s[0]) - 1
             if best[k][0] + score > top[0]:
                 top = (best[k][0] + score, k, s)
         best.append(top)
@@ -257,12 +274,22 @@ def _entity(rng: random.Random, kind: str) -> str:
         return f"{_random_word(rng)}{rng.choice(('.', '', '_'))}{rng.randint(1, 99)}@{_random_word(rng)}.{rng.choice(('com', 'org', 'example.net'))}"
     if kind == "ip":
         return ".".join(str(rng.randint(0, 255)) for _ in range(4))
+    if kind == "account" and rng.random() < 0.4:
+        number = "".join(rng.choice("0123456789") for _ in range(rng.randint(10, 18)))
+        cut = rng.choice((2, 4, len(number) - 2))
+        return rng.choice(("", "", "DE", "GB")) + number[:cut] + rng.choice(" -") + number[cut:]
     if kind in ("card", "account"):
         digits = _with_luhn(rng, rng.choice((13, 15, 16, 16, 16, 19)), kind == "card")
         if rng.random() < 0.4:
             sep = rng.choice(" -")
             digits = sep.join(digits[i : i + 4] for i in range(0, len(digits), 4))
         return digits
+    if kind == "phone" and rng.random() < 0.4:
+        area, rest = rng.randint(20, 999), str(rng.randint(10**5, 10**8 - 1))
+        if rng.random() < 0.3:
+            cut = rng.randint(1, len(rest) - 1)
+            rest = f"{rest[:cut]} {rest[cut:]}"
+        return rng.choice(("0{} {}", "(0{}) {}", "0{}-{}", "{}-{}")).format(area, rest)
     if kind == "phone":
         return rng.choice(("+{} ({}) {}-{}", "+{} {} {} {}", "({1}) {2}-{3}")).format(rng.randint(1, 49), rng.randint(200, 999), rng.randint(200, 999), rng.randint(1000, 9999))
     if kind == "url":
