@@ -1,7 +1,7 @@
 """Personal data by a semi-Markov conditional random field.
 
-Around every digit or @ a window of text is opened and cut into candidate segments of
-bounded length. Each segment is scored as a whole for each type (shape, checks such as
+Around every digit, @, start of a URL or long run of key characters a window of text is
+opened and cut into candidate segments. Each segment is scored as a whole for each type (shape, checks such as
 Luhn, digits, context words, edges); dynamic programming then chooses boundaries and
 types jointly. Weights are learnt by maximum likelihood, exact through the forward and
 backward sums over all segmentations, on sentences generated here. The four exact base
@@ -27,7 +27,7 @@ from claimloom.llm._common import fresh, require, text_of, working
 # The base kinds in their order, then the method's own.
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "account", "secret", "url")
-#: No entity is longer, and a window is cut where it would be.
+#: No card, phone, account or IP is longer; parts of a long window overlap by as much.
 LONGEST = 96
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -37,6 +37,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HOT = re.compile(r"[0-9@]")
+_OPENS = re.compile(r"[0-9@]|https?://|www\.|(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16}")
+#: White space inside a number.
+_INSIDE = re.compile(r"\x20(?=[\x20().-]?[0-9(+])|(?<=\x20)\x20(?=[0-9(+])")
 
 Span = tuple[int, int, str]
 
@@ -101,8 +104,10 @@ _SHAPES = {
     "account": re.compile(r"[A-Z]{0,4}[0-9](?:[\x20-]{0,2}[0-9]){7,23}"),
     "phone": re.compile(r"\+?\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,14}"),
     "secret": re.compile(r"[A-Za-z0-9_+/=-]{16,96}"),
-    "url": re.compile(r"(?:https?://|www\.)[^\s\"'<>]{4,88}"),
+    "url": re.compile(r"(?:https?://|www\.)[^\s\"'<>]{4,}"),
 }
+_KEY = re.compile(r"[A-Za-z0-9_+/=-]")
+_KEYS = re.compile(r"[A-Za-z0-9_+/=-]{16,}")
 #: Digits of the shortest segment; a shape cut after a digit is one from there on.
 _LEAST = {"card": 12, "account": 8, "phone": 7}
 _GROUP = re.compile(r"[0-9]+")
@@ -115,6 +120,7 @@ _CUES = {
     "secret": ("token", "key", "secret", "password", "pass", "api", "auth"),
     "url": ("see", "visit", "at"),
 }
+_CASES = re.compile(r"[a-z](?=[A-Z])")
 _WORD = re.compile(r"[^\W\d_]+")
 _EDGE = re.compile(r"(?<=[A-Za-z])(?=[^A-Za-z])|(?<=[0-9])(?=[^0-9])|(?<=[^A-Za-z0-9])(?=[A-Za-z0-9+(])|(?<=[^0-9])(?=[0-9])")
 
@@ -148,6 +154,7 @@ def segment_features(text: str, start: int, end: int, kind: str) -> list[str]:
         out += ["phone:plus"] * (span[0] == "+") + ["phone:paren"] * ("(" in span)
     if kind == "secret":
         hexed = all(c in "0123456789abcdefABCDEF" for c in span)
+        out += ["secret:letters"] * (d == 0) + ["secret:cases"] * (len(_CASES.findall(span)) >= 3)
         out += ["secret:hex"] * (hexed and n >= 32) + ["secret:varied"] * (len(set(span)) >= 10)
     if kind in _cued(text, start):
         out.append(f"{kind}:cue")
@@ -161,30 +168,40 @@ def _cued(text: str, start: int) -> frozenset[str]:
 
 
 def windows(text: str) -> Iterator[tuple[int, int]]:
-    """Runs of text around digits and @, each a few words wide; long ones come in parts."""
+    """The whole tokens around digits, @, URLs and long keys; long runs come in parts that overlap by LONGEST."""
     at = 0
-    while m := _HOT.search(text, at):
+    while m := _OPENS.search(text, at):
         start = m.start()
-        while start > at and start > m.start() - LONGEST and not text[start - 1].isspace():
+        while start > at and not text[start - 1].isspace():
             start -= 1
         end = m.end()
-        while end < len(text) and end - start < 4 * LONGEST:
-            if text[end] == " " and (end + 1 < len(text) and text[end + 1] in "0123456789(+"):
-                end += 1
-            elif text[end].isspace():
-                break
+        while end < len(text) and (not text[end].isspace() or _INSIDE.match(text, end)):
             end += 1
-        yield start, end
         at = end
+        while end - start > 4 * LONGEST:
+            yield start, start + 4 * LONGEST
+            start += 3 * LONGEST
+        yield start, end
 
 
 def candidates(text: str, start: int, end: int, base: list[Span]) -> list[Span]:
     """Segments of a window that some type's shape admits, each at its longest and at its group ends, and the base spans in it."""
-    edges = sorted({start, *(m.start() for m in _EDGE.finditer(text, max(0, start), end))})
+    first = {start} if start == 0 or text[start - 1].isspace() else set()
+    edges = sorted({*first, *(m.start() for m in _EDGE.finditer(text, max(0, start), end))})
     out = {s for s in base[bisect_left(base, (start,)) : bisect_left(base, (end,))] if s[1] <= end}
+    past = start
     for at in edges:
         for kind, shape in _SHAPES.items():
-            if m := shape.match(text, at, end):
+            if kind == "url":
+                # a URL may leave the window, and one inside another is part of it
+                if at >= past and (m := shape.match(text, at)):
+                    past = m.end()
+                    out |= {(at, past, kind), (at, at + len(m[0].rstrip(".,;:!?)")), kind)}
+            elif kind == "secret":
+                # a whole run of key characters, from inside it a bounded part
+                if m := shape.match(text, at) if at and _KEY.match(text, at - 1) else _KEYS.match(text, at):
+                    out.add((at, m.end(), kind))
+            elif m := shape.match(text, at, end):
                 out.add((at, m.end(), kind))
                 if kind in _LEAST:
                     n = 0
@@ -232,8 +249,10 @@ def find_spans(text: str, weights: dict[str, float]) -> tuple[list[Span], list[S
     """(base spans, all spans): what the field chooses, less what overlaps a base span, and every base span."""
     base = base_spans(text)
     kept, chosen = frozenset(base), []
-    for start, end in windows(text):
-        chosen += decode(text, candidates(text, start, end, base), weights, kept)
+    parts = list(windows(text))
+    for (start, end), (after, _) in zip(parts, [*parts[1:], (len(text), 0)], strict=False):
+        # what starts in an overlap is the next part's, where it is whole
+        chosen += [s for s in decode(text, candidates(text, start, end, base), weights, kept) if s[0] < after]
     more = []
     for s in sorted(set(chosen) - kept, key=_order):
         if all(s[1] <= b[0] or b[1] <= s[0] for b in _near(base, s)) and (not more or more[-1][1] <= s[0]):
@@ -292,9 +311,12 @@ def _entity(rng: random.Random, kind: str) -> str:
         return rng.choice(("0{} {}", "(0{}) {}", "0{}-{}", "{}-{}")).format(area, rest)
     if kind == "phone":
         return rng.choice(("+{} ({}) {}-{}", "+{} {} {} {}", "({1}) {2}-{3}")).format(rng.randint(1, 49), rng.randint(200, 999), rng.randint(200, 999), rng.randint(1000, 9999))
+    if kind == "url" and rng.random() < 0.5:
+        path = "/".join(_random_word(rng) for _ in range(rng.choice((1, 2, 3, 12))))
+        return f"{rng.choice(('https://', 'http://', 'www.', 'https://www.'))}{_random_word(rng)}.{rng.choice(('com', 'org', 'example.net'))}/{path}"
     if kind == "url":
         return f"https://{_random_word(rng)}.example.com/{_random_word(rng)}?id={rng.randint(1, 999)}"
-    alphabet = rng.choice(("0123456789abcdef", "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789"))
+    alphabet = rng.choice(("0123456789abcdef", "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz", "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789"))
     return "".join(rng.choice(alphabet) for _ in range(rng.choice((24, 32, 40, 40, 64))))
 
 
@@ -304,6 +326,7 @@ def _distractor(rng: random.Random) -> str:
         lambda: ".".join(str(rng.randint(256, 999)) for _ in range(4)), lambda: f"{rng.randint(1, 999)},{rng.randint(100, 999)},{rng.randint(100, 999)}", lambda: f"{rng.randint(1900, 1999)}-{rng.randint(2000, 2030)}",
         lambda: f"{_random_word(rng)}@{_random_word(rng)}", lambda: f"{_random_word(rng)}{rng.randint(1, 99)}", lambda: " ".join(str(rng.randint(1, 99)) for _ in range(rng.randint(2, 6))), lambda: f"{rng.randint(1, 59)}:{rng.randint(10, 59)}:{rng.randint(10, 59)}",
         lambda: "_".join(_random_word(rng) for _ in range(4)) + str(rng.randint(1, 9)),
+        lambda: rng.choice("-_/").join(_random_word(rng) for _ in range(rng.randint(3, 8))), lambda: "".join(_random_word(rng) for _ in range(rng.randint(3, 6))), lambda: rng.choice("-=_+") * rng.randint(16, 60),
     ))()
 
 
@@ -318,7 +341,9 @@ def training_sentences(n: int = 500, seed: int = 11) -> list[tuple[str, list[Spa
                 kind = KINDS[(i + j) % len(KINDS)]
                 if rng.random() < 0.5:
                     text += rng.choice(_CUES[kind]) + rng.choice((" ", ": "))
-                quote = kind == "secret"
+                quote = kind == "secret" and rng.random() < 0.7
+                if kind == "secret" and not quote:
+                    text += rng.choice(("password: ", "token ", "key: ", "secret="))
                 if quote:
                     text += rng.choice(('token = "', 'key: "', 'secret="'))
                 entity = _entity(rng, kind)

@@ -85,3 +85,26 @@ def test_numbers_in_any_groups_are_offered_and_found():
             assert any((at, at + len(number), kind) in pii.candidates(text, a, b, []) for a, b in pii.windows(text)), number
             masked = pii.mask(text, pii.find_spans(text, weights)[1])
             assert number == "555-123456" or not any(c.isdigit() for c in masked), masked  # that one is offered, but looks like a date to the field
+
+
+def test_urls_and_keys_without_digits():
+    weights = pii.learn()
+    long = "https://example.com/" + "/".join(["reset", "path"] * 40) + "?id=1"
+    for text, want in {
+        "visit https://example.com/reset/path now": "visit [URL] now",
+        "see www.example.org/team now": "see [URL] now",
+        "password: kQwXbTzRmNpLsVcYhGfDjKaE now": "password: [SECRET] now",
+        f"visit {long} now": "visit [URL] now",
+        "the international-organisation-of-standards met ------------------------ again": "the international-organisation-of-standards met ------------------------ again",
+    }.items():
+        assert pii.mask(text, pii.find_spans(text, weights)[1]) == want
+
+
+def test_no_number_is_cut_in_a_long_run():
+    number = "+49 (437) 555-0689"
+    for n in range(60, 140):
+        text = "1,2 " * n + "call (437) 555-0689 now"
+        joined = "7,5 " * n + "(437) 555-0689 " + "7,5 " * 40
+        at = joined.index("(")
+        assert any((at, at + 14, "phone") in pii.candidates(joined, a, b, []) and a <= at <= b - pii.LONGEST for a, b in pii.windows(joined))
+        assert pii.find_spans(text, {})[1] == [] and pii.base_spans(text + number)[-1][2] == "phone"
