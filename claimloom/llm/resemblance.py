@@ -1,11 +1,16 @@
 """Links between documents whose five-word shingles resemble each other, for the pipeline's near-duplicate stage.
 
-A SimHash at two bits finds copies that hardly differ; copies that share four fifths of
-their shingles are usually four to twelve bits apart, which no covering code reaches at a
-bearable number of replicas. So the stage adds these links: one-permutation minima of the
-shingle hashes key bands, documents that share a band are proposed, a bottom-k sketch
-drops what is far below the threshold, and the Jaccard similarity of the full shingle
-sets decides.
+A SimHash at two bits finds copies that hardly differ; edited copies are usually four to
+twelve bits apart, which no covering code reaches at a bearable number of replicas. So
+the stage adds these links: one-permutation minima of the shingle hashes key bands,
+documents that share a band are proposed, a bottom-k sketch drops what is far below, and
+the similarity of the whole texts decides.
+
+The similarity of two texts is the Jaccard similarity of their shingle sets or, from a
+Jaccard similarity of `FLOOR` on, the share of words that stand in shared shingles (in
+the text where it is less) if that is more. An edit of one word spoils five shingles of
+either text, so a copy with one word in thirty changed has a Jaccard similarity of about
+0.7 though all but a few of its words stand in shared shingles.
 """
 
 from __future__ import annotations
@@ -25,9 +30,11 @@ from claimloom.llm.fingerprints import _mix, shingle_hashes
 from claimloom.llm.graph import connected_components
 from claimloom.operators.retrieval import broadcast_if_small
 
-#: Bands of two minima each; entries of a sketch, 32 bits each.
-BANDS, ENTRIES = 12, 128
-#: How far a sketch may underrate a pair: at 0.8 over five standard deviations.
+#: Least Jaccard similarity of a linked pair.
+FLOOR = 0.6
+#: Bands of two minima each (at FLOOR one pair in 8,000 shares none); entries of a sketch, 32 bits each.
+BANDS, ENTRIES = 20, 128
+#: How far a sketch may underrate a pair: at FLOOR over four and a half standard deviations.
 MARGIN = 0.2
 #: All pairs of a band with at most so many documents are proposed; documents of larger ones meet by their rarest shingles.
 FEW = 64
@@ -78,6 +85,23 @@ def jaccard(x: np.ndarray, y: np.ndarray) -> float:
     return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
 
+def covered(h: np.ndarray, shared: np.ndarray, width: int = 5) -> float:
+    """Share of the words of a text (shingle hashes `h` in order) that stand in a shingle of `shared`."""
+    at = np.nonzero(np.isin(h, shared))[0]
+    ends = np.bincount(at, minlength=len(h) + width) - np.bincount(at + width, minlength=len(h) + width)[: len(h) + width]
+    return float((np.cumsum(ends)[: len(h) + width - 1] > 0).mean())
+
+
+def similarity(a: np.ndarray, b: np.ndarray, floor: float = FLOOR, width: int = 5) -> float:
+    """Of two texts by their shingle hashes in order: see above."""
+    x, y = np.unique(a), np.unique(b)
+    near = jaccard(x, y)
+    if near < floor - 1e-9 or not len(x):
+        return near
+    shared = np.intersect1d(x, y, assume_unique=True)
+    return max(near, min(covered(a, shared, width), covered(b, shared, width)))
+
+
 def prefixes(n: int, threshold: float) -> tuple[int, int]:
     """How many of a set's n members, in one order for all sets, meet every similar set: (of the smaller set, of the larger).
 
@@ -134,37 +158,43 @@ def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([alike(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def _exact(width: int):
+def _exact(width: int, floor: float):
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         with working("fingerprints"):
-            of = lru_cache(maxsize=256)(lambda t: shingle_set(t, width))
+            of = lru_cache(maxsize=256)(lambda t: shingle_hashes(t.lower(), width))
             for a, b in batches:
-                yield pd.Series([jaccard(of(x), of(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
+                yield pd.Series([similarity(of(x), of(y), floor, width) for x, y in zip(a, b, strict=True)], dtype="float64")
 
     return F.pandas_udf(run, T.DoubleType())
 
 
-def resemblance_links(docs: DataFrame, threshold: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(u, v) of ids whose shingle sets resemble each other by `threshold` or more; their components are those of all such pairs that share a band.
+def resemblance_links(docs: DataFrame, threshold: float = 0.8, width: int = 5, floor: float = FLOOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(u, v) of ids whose texts are similar by `threshold` or more; their components are those of all such pairs that share a band.
 
-    Equal sets are linked to the smallest id that has one, and only that one goes on. A
-    document is tried first against the heads of its bands (the first by id and the first
-    by a hash of the id), so groups of copies come together by links that grow with the
-    documents. What shares a band and is not together by then is tried pair by pair: in
-    bands of few documents all pairs, in others the pairs that share one of the rarest
-    shingles, which every pair at the threshold does. Null ids are left out.
+    Ids are whole numbers that tell rows apart (simhash.row_keys gives them for other
+    tables); null ids are left out, of rows that repeat an id any one counts. Equal sets
+    of shingles are linked to the smallest id that has one, and only that one goes on;
+    so texts without words, null ones too, are linked. A document is tried first
+    against the heads of its bands (the first by id and the first by a hash of the id),
+    so groups of copies come together by links that grow with the documents. What
+    shares a band and is not together by then is tried pair by pair: in bands of few
+    documents all pairs, in others the pairs that share one of the rarest shingles,
+    which every pair at the floor does. Other columns are ignored, whatever their names;
+    an empty table gives no link.
     """
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     rows = checkpoint(base.mapInPandas(_rows(width), "id long, whole binary, sketch binary, keys array<long>"))
     first = rows.groupBy("whole").agg(F.min("id").alias("rep"))
     same = rows.select("id", "whole").join(first, "whole").where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v"))
-    reps = rows.join(first.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    s = reps.select("id", "sketch")
-    entries = reps.select("id", F.explode("keys").alias("key"))
+    entries = rows.select("id", "keys").join(first.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", F.explode("keys").alias("key"))
+    heads = entries.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("i")))["i"].alias("b")).where("a < z").drop("z")
+    # most keys are one document's; only the others go on
+    entries = checkpoint(entries.join(heads, "key"))
+    sketches = checkpoint(rows.select("id", "sketch").join(entries.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
 
     def rated(pairs: DataFrame) -> DataFrame:
-        near = pairs.join(s.select(F.col("id").alias("u"), F.col("sketch").alias("su")), "u").join(s.select(F.col("id").alias("v"), F.col("sketch").alias("sv")), "v")
-        return near.withColumn("rate", _alike("su", "sv")).drop("su", "sv").where(F.col("rate") >= threshold - MARGIN)
+        near = pairs.join(sketches.select(F.col("id").alias("u"), F.col("sketch").alias("su")), "u").join(sketches.select(F.col("id").alias("v"), F.col("sketch").alias("sv")), "v")
+        return near.withColumn("rate", _alike("su", "sv")).drop("su", "sv").where(F.col("rate") >= floor - MARGIN)
 
     def decided(pairs: DataFrame) -> DataFrame:
         """The pairs at the threshold; only texts of documents in a pair are moved."""
@@ -172,18 +202,17 @@ def resemblance_links(docs: DataFrame, threshold: float = 0.8, width: int = 5, i
         ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
         text = base.join(broadcast_if_small(ids), "id", "left_semi").dropDuplicates(["id"])
         both = pairs.join(text.select(F.col("id").alias("u"), F.col("text").alias("tu")), "u").join(text.select(F.col("id").alias("v"), F.col("text").alias("tv")), "v")
-        return checkpoint(both.where(_exact(width)("tu", "tv") >= threshold - 1e-9).select("u", "v"))
+        return checkpoint(both.where(_exact(width, floor)("tu", "tv") >= threshold - 1e-9).select("u", "v"))
 
-    heads = entries.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("i")))["i"].alias("b")).where("a < z").select("key", F.explode(F.array_distinct(F.array("a", "b"))).alias("head"))
-    met = entries.join(heads, "key").where("id <> head").select(F.least("id", "head").alias("u"), F.greatest("id", "head").alias("v")).distinct()
+    met = entries.select("id", F.explode(F.array_distinct(F.array("a", "b"))).alias("head")).where("id <> head").select(F.least("id", "head").alias("u"), F.greatest("id", "head").alias("v")).distinct()
     # of its heads, a document is tried against the first that is likely and against the likeliest
-    tried = rated(met).groupBy("v").agg(F.min(F.when(F.col("rate") >= threshold, F.col("u"))).alias("p"), F.max(F.struct("rate", (-F.col("u")).alias("u")))["u"].alias("q"))
+    tried = rated(met).groupBy("v").agg(F.min(F.when(F.col("rate") >= floor, F.col("u"))).alias("p"), F.max(F.struct("rate", (-F.col("u")).alias("u")))["u"].alias("q"))
     tried = tried.select(F.explode(F.array_distinct(F.array_compact(F.array("p", -F.col("q"))))).alias("u"), "v")
     links = decided(tried)
     parts = checkpoint(connected_components(links))
 
     # what shares a band and is not together yet
-    placed = entries.join(parts.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    placed = entries.select("key", "id").join(parts.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     open_ = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "n")
     placed = checkpoint(placed.join(open_, "key"))
     few = placed.where(F.col("n") <= FEW)
@@ -194,11 +223,11 @@ def resemblance_links(docs: DataFrame, threshold: float = 0.8, width: int = 5, i
         text = base.join(broadcast_if_small(many), "id").dropDuplicates(["id"])
         sample = text.join(broadcast_if_small(many.select("id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE)), "id", "left_semi").select("id", "text").coalesce(2)
         counts = np.sum([np.frombuffer(r["n"], np.int32) for r in sample.mapInPandas(_counts(width), "n binary").collect()], axis=0, dtype=np.int32)
-        rare = checkpoint(text.mapInPandas(_rare(width, threshold, counts), "id long, comp long, n int, key long, short boolean"))
+        rare = checkpoint(text.mapInPandas(_rare(width, floor, counts), "id long, comp long, n int, key long, short boolean"))
         open_ = rare.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
         rare = checkpoint(rare.join(open_, "key"))
         small = rare.where("short").select("key", F.col("id").alias("w"), F.col("comp").alias("c"), F.col("n").alias("m"))
-        fits = (F.struct("m", "w") < F.struct("n", "id")) & (F.col("m") >= F.col("n") * threshold - 1e-6) & (F.col("comp") != F.col("c"))
+        fits = (F.struct("m", "w") < F.struct("n", "id")) & (F.col("m") >= F.col("n") * floor - 1e-6) & (F.col("comp") != F.col("c"))
         proposed = proposed.union(rare.join(small, "key").where(fits).select(F.least("id", "w").alias("u"), F.greatest("id", "w").alias("v")))
     more = decided(rated(proposed.distinct()))
     return links.union(more).union(same)

@@ -6,12 +6,15 @@ pair of Golay words covers all fingerprints with radius 6. A fingerprint lives a
 nearest anchor ("home") and is replicated to every anchor that some fingerprint within
 the threshold may call home, all of them within the covering radius plus the threshold.
 Two linked fingerprints therefore always meet at the home of either one, and are
-compared there on all 64 bits. Nothing is lost and no bucket is capped.
+compared there on all 64 bits. Nothing is lost and no bucket is capped. Of the bits
+that are left, up to 17 join the anchors (each its own code word, radius 0), as many as
+keep the anchors more numerous than the distinct fingerprints, so a home stays small
+however many there are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -20,9 +23,11 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimloom.llm._common import checkpoint, fresh, require, text_bytes, working
 from claimloom.llm.graph import connected_components
+from claimloom.operators.numbering import bucket_of, numbered
 
 SEED = 42
 BLOCK = 23
@@ -99,7 +104,12 @@ def _syndromes(blocks: np.ndarray) -> np.ndarray:
     return out
 
 
-def anchors(fingerprints: np.ndarray, threshold: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spare_bits(distinct: int) -> int:
+    """How many of the bits outside the blocks join the anchors, so that 2^24 and more anchors outnumber the fingerprints."""
+    return min(63 - 2 * BLOCK, max(0, distinct.bit_length() - 24))
+
+
+def anchors(fingerprints: np.ndarray, threshold: int = 2, spare: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(home anchor of each fingerprint, index of the fingerprint, anchor) - the last two for every replica."""
     f = fingerprints.astype(np.int64).view(np.uint64)
     mask = np.uint64((1 << BLOCK) - 1)
@@ -107,44 +117,52 @@ def anchors(fingerprints: np.ndarray, threshold: int = 2) -> tuple[np.ndarray, n
     tables = _reach(threshold)
     near = [[b[:, None] ^ t[s] for t in tables] for b, s in ((b, _syndromes(b)) for b in blocks)]
     real = [[t[_s] >= 0 for t in tables] for _s in map(_syndromes, blocks)]
-    home = near[0][0][:, 0] | near[1][0][:, 0] << BLOCK
+    rest = (f >> np.uint64(2 * BLOCK) & np.uint64((1 << spare) - 1)).astype(np.int64) << 2 * BLOCK
+    home = near[0][0][:, 0] | near[1][0][:, 0] << BLOCK | rest
     index, out = [], []
-    for e1 in range(threshold + 1):
-        for e2 in range(threshold + 1 - e1):
-            both = near[0][e1][:, :, None] | near[1][e2][:, None, :] << BLOCK
-            keep = real[0][e1][:, :, None] & real[1][e2][:, None, :]
-            index.append(np.nonzero(keep)[0])
-            out.append(both[keep])
+    for e3 in range(threshold + 1):
+        for flip in (sum(1 << i for i in c) << 2 * BLOCK for c in combinations(range(spare), e3)):
+            for e1 in range(threshold + 1 - e3):
+                for e2 in range(threshold + 1 - e3 - e1):
+                    both = near[0][e1][:, :, None] | near[1][e2][:, None, :] << BLOCK | (rest ^ flip)[:, None, None]
+                    keep = real[0][e1][:, :, None] & real[1][e2][:, None, :]
+                    index.append(np.nonzero(keep)[0])
+                    out.append(both[keep])
     return home, np.concatenate(index), np.concatenate(out)
 
 
-def _homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        f = pdf["f"].to_numpy()
-        yield pd.DataFrame({"anchor": anchors(f, 0)[0], "f": f})
+def _homes(spare: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            f = pdf["f"].to_numpy()
+            yield pd.DataFrame({"anchor": anchors(f, 0, spare)[0], "f": f})
+
+    return run
 
 
-def _replicas(threshold: int):
+def _replicas(threshold: int, spare: int):
     def replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with working("simhash"):
             for pdf in batches:
                 f = pdf["f"].to_numpy()
                 for at in range(0, len(f), 2000):
-                    _, index, anchor = anchors(f[at : at + 2000], threshold)
+                    _, index, anchor = anchors(f[at : at + 2000], threshold, spare)
                     yield pd.DataFrame({"anchor": anchor, "g": f[at : at + 2000][index]})
 
     return replicate
 
 
-def fingerprint_links(distinct: DataFrame, threshold: int = 2) -> DataFrame:
+def fingerprint_links(distinct: DataFrame, threshold: int = 2, spare: int | None = None) -> DataFrame:
     """Pairs u < v of the distinct fingerprints (column f) at most `threshold` (0 to 3) bits apart.
 
     A fingerprint has at most 2,080 others within two bits, so links grow linearly.
+    `spare` bits beside the blocks join the anchors; None takes them from the count.
     """
     if not 0 <= threshold <= 3:
         raise ValueError("threshold must be 0 to 3")
-    homes = distinct.select("f").mapInPandas(_homes, "anchor long, f long")
-    replicas = distinct.select("f").mapInPandas(_replicas(threshold), "anchor long, g long")
+    spare = spare_bits(distinct.count()) if spare is None else spare
+    homes = distinct.select("f").mapInPandas(_homes(spare), "anchor long, f long")
+    replicas = distinct.select("f").mapInPandas(_replicas(threshold, spare), "anchor long, g long")
     near = F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= threshold
     return homes.join(replicas, (homes["anchor"] == replicas["anchor"]) & (F.col("f") != F.col("g")) & near).select(F.least("f", "g").alias("u"), F.greatest("f", "g").alias("v")).distinct()
 
@@ -156,7 +174,9 @@ def simhash_components(docs: DataFrame, threshold: int = 2, width: int = 3, id_c
     component id is the smallest id reachable. A null text counts as empty and an empty
     text has fingerprint zero, which links like any other. Null ids never name a
     component unless all of its ids are null. Repeated rows and ids give repeated rows.
-    Other columns are ignored. An empty table gives an empty result.
+    Texts of any length are read whole, a chunk of shingles at a time. Ids are of any
+    ordered type. Other columns are ignored, whatever their names. An empty table gives
+    an empty result.
     """
     require(docs, id_col, text_col)
     prints = checkpoint(docs.select(F.col(id_col).alias("id"), fingerprint_udf(width)(text_bytes(text_col)).alias("f")))
@@ -164,25 +184,50 @@ def simhash_components(docs: DataFrame, threshold: int = 2, width: int = 3, id_c
     parts = checkpoint(connected_components(fingerprint_links(distinct, threshold)))
     named = parts.join(distinct, parts["node"] == distinct["f"]).groupBy("component").agg(F.min("least").alias("name"))
     of_print = parts.join(named, "component").select(F.col("node").alias("f"), "name")
-    all_prints = distinct.join(of_print, "f", "left").select("f", F.coalesce("name", "least").alias("component_id"))
+    # written down first, so that the join below reads two plain shuffles and a busy fingerprint can be split
+    all_prints = checkpoint(distinct.join(of_print, "f", "left").select("f", F.coalesce("name", "least").alias("component_id")))
     return prints.join(all_prints, "f").select(F.col("id").alias(id_col), F.col("f").alias("simhash"), "component_id")
 
 
-def simhash_dedup(docs: DataFrame, threshold: int = 2, width: int = 3, id_col: str = "doc_id", text_col: str = "text", also: DataFrame | None = None) -> DataFrame:
+def row_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+    """`docs` and the name of a whole-number column that tells its rows apart by id and text; null where the id is null.
+
+    That is the id itself if it is a whole number and never repeated; else a number
+    added here, in the order of id, then of the text's digest.
+    """
+    ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"))
+    whole = isinstance(docs.schema[id_col].dataType, T.IntegralType)
+    if whole and ids.groupBy("id").count().where("count > 1").isEmpty():
+        return docs, id_col
+    digest, key, of, told = (fresh(docs, f"__row_{n}") for n in ("digest", "key", "id", "told"))
+    docs = docs.withColumn(digest, F.sha2(text_bytes(text_col), 256))
+    pairs = checkpoint(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias(of), F.col(digest).alias(told)).distinct())
+    numbers = checkpoint(numbered(pairs, bucket_of(pairs, of), [of, told], key))
+    keyed = docs.join(numbers, (docs[id_col] == numbers[of]) & (docs[digest] == numbers[told]), "left")
+    return keyed.drop(digest, of, told), key
+
+
+def simhash_dedup(docs: DataFrame, threshold: int = 2, width: int = 3, id_col: str = "doc_id", text_col: str = "text", also: Callable[..., DataFrame] | None = None) -> DataFrame:
     """`docs` with one document of each component: that with the component's smallest id.
 
-    `also` holds further links (u, v) between ids. All columns are kept. Of rows that
-    repeat an id one stays; rows with a null id can't be told apart, so they all stay.
+    `also` gives further links (u, v): it is called with the documents and the name of
+    the column that tells them apart. All columns are kept, whatever their names. Rows
+    that repeat id and text are copies, of which any one stays; rows that repeat only
+    the id are documents of their own, the lesser by digest first. Rows with a null id
+    can't be told apart, so they all stay. Null and empty texts are copies of one
+    another. An empty table gives an empty result.
     """
-    found = simhash_components(docs, threshold, width, id_col, text_col)
-    found = checkpoint(found.select(F.col(id_col).alias("id"), "component_id").where("id is not null"))
-    gone = fresh(docs, "gone_id")
+    require(docs, id_col, text_col)
+    docs_, key = row_keys(docs, id_col, text_col)
+    found = simhash_components(docs_.where(F.col(key).isNotNull()), threshold, width, key, text_col)
+    found = checkpoint(found.select(F.col(key).alias("id"), "component_id"))
+    gone = fresh(docs_, "gone_id")
     dropped = found.where("id <> component_id").select(F.col("id").alias(gone))
     if also is not None:
-        links = found.where("id <> component_id").select(F.col("component_id").alias("u"), F.col("id").alias("v")).union(also.select("u", "v"))
+        links = found.where("id <> component_id").select(F.col("component_id").alias("u"), F.col("id").alias("v")).union(also(docs_, id_col=key, text_col=text_col).select("u", "v"))
         dropped = connected_components(links).where("node <> component").select(F.col("node").alias(gone))
     dropped = checkpoint(dropped.distinct())
-    kept = docs.join(dropped, docs[id_col] == dropped[gone], "left_anti")
-    if found.groupBy("id").count().where("count > 1").isEmpty():
+    kept = docs_.join(dropped, docs_[key] == dropped[gone], "left_anti")
+    if key == id_col:
         return kept
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
+    return kept.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(kept.where(F.col(key).isNull())).drop(key)

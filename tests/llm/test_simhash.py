@@ -89,6 +89,34 @@ def test_clashing_columns(spark):
     assert simhash.simhash_dedup(df).collect()[0][:] == (1, "a b c", 9)
 
 
+def test_spare_bits_lose_nothing(spark):
+    rng = random.Random(9)
+    base = [rng.getrandbits(64) for _ in range(20)]
+    prints = sorted({b ^ sum(1 << x for x in rng.sample(range(64), rng.randint(0, 3))) for b in base for _ in range(40)})
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    want = {tuple(sorted((a, b))) for i, a in enumerate(signed) for b in signed[:i] if ((a ^ b) % (1 << 64)).bit_count() <= 2}
+    df = spark.createDataFrame([(p,) for p in signed], "f long")
+    for spare in (5, 17):
+        assert {(r["u"], r["v"]) for r in simhash.fingerprint_links(df, spare=spare).collect()} == want
+    assert [simhash.spare_bits(n) for n in (0, 10**6, 2**24 - 1, 2**24, 10**10, 10**30)] == [0, 0, 0, 1, 10, 17]
+
+
+def test_repeated_ids_with_unlike_texts(spark):
+    one, two = "alpha beta gamma delta epsilon zeta eta", "quite another text that shares no word with the first"
+    rows = [(3, one, 1), (5, one, 1), (5, two, 2), (5, two, 2), (None, two, 3), (9, None, 4), (9, "", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __row_key int")
+    kept = simhash.simhash_dedup(df)
+    got = sorted(kept.collect(), key=str)
+    assert kept.columns == df.columns
+    assert sorted((r[0], r[1] or "") for r in got if r[0] is not None) == [(3, one), (5, two), (9, "")] and sum(r[0] is None for r in got) == 1
+
+
+def test_text_ids(spark):
+    rows = [("b", "one two three four"), ("a", "one two three four"), ("c", "something else entirely here"), ("a", "and the a again with more")]
+    kept = simhash.simhash_dedup(spark.createDataFrame(rows, "doc_id string, text string"))
+    assert sorted(tuple(r) for r in kept.collect()) == sorted([rows[1], rows[2], rows[3]])
+
+
 def test_connected_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 450)]
