@@ -19,8 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash components, and copies that share four fifths of their five-word shingles, which two bits miss."""
-    return simhash.simhash_dedup(docs, also=resemblance.resemblance_links(docs))
+    """SimHash components, and copies of which four fifths stand in shared five-word shingles, which two bits miss."""
+    return simhash.simhash_dedup(docs, also=resemblance.resemblance_links)
 
 
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
