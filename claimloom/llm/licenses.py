@@ -1,15 +1,18 @@
 """License scans by a positional rare-token index, in DataFrame functions only.
 
 Templates are word lists; their postings are (word, template, position). Document
-frequencies of the template words over all documents pick each template's rarest words.
-Every occurrence of such a word in a file looks up its postings, which gives the place
-where the template would start; postings that agree on that relative position are
-intersected, and the place counts if enough of the template's IDF mass stands there and
-its mandatory key phrase stands where it must.
+frequencies over all documents weigh the words (IDF). A template is looked up by its
+rarest words: as many as make sure that every place with enough of the template's IDF
+mass has at least two of them where they must stand. Every occurrence of such a word in
+a file gives the places where its templates would start; the postings are intersected by
+that relative position, and a place on which enough of them agree counts if the mass
+that stands there is enough and the mandatory key phrase stands where it must. All of it
+happens in the file's own row, so no file and no word gathers rows in a task.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
@@ -20,8 +23,10 @@ from claimloom.llm._common import require, text_of
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Rare words that look a template up, and the share of its IDF mass that must match.
-RARE, COVER = 3, 0.8
+#: Share of a template's IDF mass that must match, and postings that must agree where a template has as many words.
+COVER, AGREE = 0.8, 2
+#: A place is one number: the template above so many bits, and the start, moved by SHIFT to be positive, below.
+PLACE, SHIFT = 33, 1024
 
 
 @dataclass(frozen=True)
@@ -79,20 +84,38 @@ def idf(n: int, df: int) -> int:
     return 1 + round(1000 * math.log((n + 1) / (df + 1)))
 
 
-_POSTING = "word string, template int, at int, label string, base boolean, words array<string>, weights array<int>, mass int, key_at int, key array<string>"
+def rare_words(words: list[str], weights: list[int], df: dict[str, int], cover: float, agree: int = AGREE) -> tuple[set[str], int]:
+    """(the fewest rarest words of a template, n): wherever `cover` of the mass stands, n of their places or more do; n is `agree` if the template has as many."""
+    spare = math.floor(sum(weights) * (1 - cover) + 1e-6)
+    rare: set[str] = set()
+    sure = 0
+    for word in sorted(set(words), key=lambda w: (df.get(w, 0), w)):
+        rare.add(word)
+        held = sorted((x for w, x in zip(words, weights, strict=True) if w in rare), reverse=True)
+        # n - 1 places, be they the heaviest, are too light for what is left of these words' mass
+        sure = max((n for n in range(1, len(held) + 1) if sum(held[: n - 1]) < sum(held) - spare), default=0)
+        if sure >= agree:
+            return rare, agree
+    return rare, max(1, sure)
 
 
-def postings(n: int, df: dict[str, int], templates: tuple[Template, ...] = TEMPLATES) -> tuple[list[tuple], list[str]]:
-    """(word, template, at, ...): places of each template's RARE rarest words (one for a base phrase, which must match whole), and template -1 of the empty word; the rare words."""
-    rows = [("", -1, 0, "", False, [""], [0], 0, 0, [""])]
+_TEMPLATE = "array<struct<label string, base boolean, words array<string>, weights array<int>, mass int, key array<string>, key_at int, agree int, cover double>>"
+
+
+def index_of(n: int, df: dict[str, int], templates: tuple[Template, ...] = TEMPLATES, cover: float = COVER) -> tuple[list[dict], dict[str, list[int]]]:
+    """(what is known of each template, the postings: each rare word's places as numbers to which a position is added). A base phrase must match whole."""
+    known, postings = [], {}
     for i, t in enumerate(templates):
         words = t.text.split()
         weights = [idf(n, df.get(w, 0)) for w in words]
-        rare = sorted(set(words), key=lambda w: (df.get(w, 0), w))[: 1 if t.base else RARE]
+        rare, agree = rare_words(words, weights, df, 1.0 if t.base else cover)
         key = t.key.split()
         key_at = next(k for k in range(len(words)) if words[k : k + len(key)] == key)
-        rows += [(w, i, k, t.label, t.base, words, weights, sum(weights), key_at, key) for k, w in enumerate(words) if w in rare]
-    return rows, sorted({r[0] for r in rows[1:]})
+        known.append({"label": t.label, "base": t.base, "words": words, "weights": weights, "mass": sum(weights), "key": key, "key_at": key_at, "agree": agree, "cover": 1.0 if t.base else cover})
+        for k, w in enumerate(words):
+            if w in rare:
+                postings.setdefault(w, []).append((i << PLACE) + SHIFT - k)
+    return known, postings
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES, cover: float = COVER) -> DataFrame:
@@ -100,45 +123,43 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Base phrases count at every place where all their words stand; first_word and
     last_word are their smallest and largest start, null if there is none. `labels` has
-    the base labels and those of templates found; `score` is the largest share of a
-    template's IDF mass at one place, 0 if nothing is found. Null texts count as empty.
-    Rows that repeat id and text give repeated rows; an empty table gives an empty
-    result. Other columns are ignored.
+    the base labels and those of templates found, at any place where `cover` of the IDF
+    mass and the key phrase stand; `score` is the largest share of a template's IDF mass
+    at one place, 0 if nothing is found. Null and empty texts have no words. Texts are
+    read whole whatever their length. Rows that repeat id and text give repeated rows,
+    null ids stay; an empty table gives an empty result. Other columns are ignored,
+    whatever their names.
     """
     require(docs, id_col, text_col)
-    places_of, words = postings(*document_frequencies(docs, text_col, templates), templates)
-    index = F.broadcast(docs.sparkSession.createDataFrame(places_of, _POSTING))  # bounded by the templates
-    reach = max(len(t.text.split()) for t in templates)
-    files = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("digest"), words_of(text_col).alias("file"))
-    files = files.select("id", "digest", F.size("file").alias("n"), "file")
-    where = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("file", i).isin(*words))
-    files = files.select("id", "digest", "n", "file", F.when(F.col("n") > 0, where).otherwise(F.array().cast("array<int>")).alias("where"))
-    # only the words around an occurrence go on; an empty word of no template stands for the file itself
-    seen = F.transform("where", lambda p: F.struct(p.alias("pos"), F.get("file", p).alias("token"), F.greatest(p - reach, F.lit(0)).alias("from"), F.slice("file", F.greatest(p - reach, F.lit(0)) + 1, 2 * reach + 1).alias("near")))
-    itself = F.array(F.struct(F.lit(0).alias("pos"), F.lit("").alias("token"), F.lit(0).alias("from"), F.array().cast("array<string>").alias("near")))
-    hits = files.select("id", "digest", "n", F.explode_outer(F.concat(itself, seen)).alias("o")).select("id", "digest", "n", "o.*")
-    hits = hits.join(index, F.col("token") == F.col("word"))
-    start = F.col("pos") - F.col("at")
-    hits = hits.withColumn("start", start).withColumn("shift", start - F.col("from"))
-    stands = lambda i: F.when(F.col("shift") + i >= 0, F.get("near", F.col("shift") + i))
-    mass = F.aggregate(F.sequence(F.lit(0), F.size("words") - 1), F.lit(0), lambda sum_, i: sum_ + F.when(stands(i) == F.get("words", i), F.get("weights", i)).otherwise(0))
-    keyed = (F.col("shift") + F.col("key_at") >= 0) & (F.slice("near", F.greatest(F.col("shift") + F.col("key_at"), F.lit(0)) + 1, F.size("key")) == F.col("key"))
-    hits = hits.withColumn("cover", F.when(F.col("template") >= 0, mass / F.col("mass")))
-    found = (F.col("template") < 0) | (keyed & (F.col("cover") >= F.when(F.col("base"), 1.0).otherwise(cover)))
-    hits = hits.where(found).select("id", "digest", "n", "template", "label", "base", "start", "cover").repartition("id", "digest")
-    # one row per place: the postings that agree on it
-    places = hits.groupBy("id", "digest", "template", "start").agg(*[F.first(c).alias(c) for c in ("n", "label", "base", "cover")], F.count("*").alias("postings"))
-    base = F.col("base") & (F.col("template") >= 0)
-    each = places.groupBy("id", "digest").agg(
-        F.max(F.when(F.col("template") < 0, F.col("n"))).cast("long").alias("n_words"),
-        F.max(F.when(F.col("template") < 0, F.col("postings"))).cast("int").alias("rows"),
-        F.count_if(base).alias("n_base"),
-        F.min(F.when(base, F.col("start"))).cast("long").alias("first_word"),
-        F.max(F.when(base, F.col("start"))).cast("long").alias("last_word"),
-        F.array_join(F.array_sort(F.collect_set(F.when(base, F.col("label")))), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("template") >= 0, F.col("label")))), ",").alias("labels"),
-        F.coalesce(F.max("cover"), F.lit(0.0)).alias("score"),
-    )
-    # rows that repeat id and text came together; let them part again
-    each = each.withColumn("row", F.explode(F.array_repeat(F.lit(1), F.col("rows"))))
-    return each.select(F.col("id").alias(id_col), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    if max(len(t.text.split()) for t in templates) > SHIFT:
+        raise ValueError(f"a template has more than {SHIFT} words")
+    known, postings = index_of(*document_frequencies(docs, text_col, templates), templates, cover)
+    table = F.from_json(F.lit(json.dumps(known)), _TEMPLATE)
+    index = F.from_json(F.lit(json.dumps(postings)), "map<string,array<bigint>>")
+    files = docs.select(F.col(id_col).alias("id"), words_of(text_col).alias("file"))
+    # every occurrence of a rare word, as the places its postings propose
+    proposed = F.transform("file", lambda w, i: F.when(w.isin(*postings), F.transform(F.element_at(index, w), lambda at: at + i)))
+    files = files.select("id", "file", F.array_sort(F.flatten(F.array_compact(proposed))).alias("at"))
+    # places on which enough postings agree stand side by side
+    number = lambda place: F.shiftright(place, PLACE).cast("int")
+    here = lambda i: F.get("at", i)
+    agreed = F.filter(F.sequence(F.lit(0), F.size("at") - 1), lambda i: (here(i) == here(i + F.get(table, number(here(i)))["agree"] - 1)) & ((i == 0) | (here(i) != here(i - 1))))
+    files = files.select("id", "file", F.when(F.size("at") > 0, F.transform(agreed, here)).otherwise(F.array().cast("array<bigint>")).alias("places"))
+
+    def weighed(place: Column) -> Column:
+        t, start = F.get(table, number(place)), (place.bitwiseAND(F.lit((1 << PLACE) - 1)) - SHIFT).cast("int")
+        stands = lambda i: F.get("file", start + i) == F.get(t["words"], i)
+        mass = F.aggregate(F.sequence(F.lit(0), F.size(t["words"]) - 1), F.lit(0), lambda sum_, i: sum_ + F.when(stands(i), F.get(t["weights"], i)).otherwise(0))
+        key = start + t["key_at"]
+        keyed = (key >= 0) & (F.slice("file", F.greatest(key, F.lit(0)) + 1, F.size(t["key"])) == t["key"])
+        return F.struct(t["label"].alias("label"), t["base"].alias("base"), start.alias("start"), F.when(keyed, mass / t["mass"]).otherwise(0.0).alias("cover"), t["cover"].alias("least"))
+
+    found = F.filter(F.transform("places", weighed), lambda p: p["cover"] >= p["least"])
+    files = files.select("id", F.size("file").cast("long").alias("n_words"), found.alias("found"))
+    files = files.select("id", "n_words", "found", F.filter("found", lambda p: p["base"]).alias("based"))
+    labels = lambda of: F.array_join(F.array_sort(F.array_distinct(F.transform(of, lambda p: p["label"]))), ",")
+    starts = F.transform("based", lambda p: p["start"].cast("long"))
+    return files.select(
+        F.col("id").alias(id_col), "n_words", F.size("based").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        labels("based").alias("base_labels"), labels("found").alias("labels"), F.coalesce(F.array_max(F.transform("found", lambda p: p["cover"])), F.lit(0.0)).alias("score"),
+    )

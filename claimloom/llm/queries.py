@@ -96,12 +96,8 @@ WITH notice(template, label, text, key, base) AS (VALUES
   SELECT template, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS off FROM template
 ), weighed AS (
   SELECT a.*, coalesce(df, 0) AS df, 1 + round(1000 * ln(((SELECT count(*) FROM file) + 1) / (coalesce(df, 0) + 1)))::INT AS weight FROM spot a LEFT JOIN df USING (word)
-), rare AS (
-  SELECT template, word, row_number() OVER (PARTITION BY template ORDER BY df, word) AS rank FROM (SELECT DISTINCT template, word, df FROM weighed)
-), posting AS (
-  SELECT w.template, w.word, w.off FROM weighed w JOIN rare r USING (template, word) JOIN template t USING (template) WHERE r.rank <= CASE WHEN t.base THEN 1 ELSE {licenses.RARE} END
 ), place AS (
-  SELECT DISTINCT k.nr, p.template, k.pos - p.off AS start FROM token k JOIN posting p USING (word)
+  SELECT DISTINCT k.nr, p.template, k.pos - p.off AS start FROM token k JOIN spot p USING (word)
 ), covered AS (
   SELECT p.nr, p.template, p.start, sum(CASE WHEN k.word = w.word THEN w.weight ELSE 0 END) / sum(w.weight) AS cover
   FROM place p JOIN weighed w USING (template) LEFT JOIN token k ON k.nr = p.nr AND k.pos = p.start + w.off GROUP BY ALL

@@ -17,6 +17,65 @@ def plain(text):
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
 
 
+def words_of(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def brute(texts, cover=licenses.COVER):
+    """(labels, score) of every text: every template at every place, no index."""
+    files = [words_of(t) for t in texts]
+    n, out = len(files), []
+    df = {}
+    for f in files:
+        for w in set(f):
+            df[w] = df.get(w, 0) + 1
+    for f in files:
+        labels, score = set(), 0.0
+        for t in licenses.TEMPLATES:
+            words, key = t.text.split(), t.key.split()
+            weights = [licenses.idf(n, df.get(w, 0)) for w in words]
+            key_at = next(k for k in range(len(words)) if words[k : k + len(key)] == key)
+            for start in range(-len(words) + 1, len(f)):
+                if start + key_at < 0 or f[start + key_at : start + key_at + len(key)] != key:
+                    continue
+                share = sum(x for k, (w, x) in enumerate(zip(words, weights, strict=True)) if 0 <= start + k < len(f) and f[start + k] == w) / sum(weights)
+                if share >= (1.0 if t.base else cover):
+                    labels.add(t.label)
+                    score = max(score, share)
+        out.append((",".join(sorted(labels)), score))
+    return out
+
+
+def test_labels_against_every_place(spark):
+    """Notices with words replaced, the rarest too, among texts that share their words."""
+    rng = random.Random(4)
+    texts = []
+    for _ in range(25):
+        for t in licenses.TEMPLATES:
+            words = t.text.split()
+            for k in rng.sample(range(len(words)), rng.randint(0, max(1, len(words) // 4))):
+                words[k] = rng.choice(["word", "the", "software", "x9"])
+            texts.append(" ".join([*rng.choices(["the", "a", "use", "of", "free", "terms"], k=rng.randint(0, 5)), *words, "end"]))
+    texts += [None, "", "license", "the " * 3000, "all rights reserved " * 200]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, (labels, score) in enumerate(brute(texts)):
+        assert got[i]["labels"] == labels and abs(got[i]["score"] - score) < 1e-12, texts[i]
+
+
+def test_rarest_words_replaced(spark):
+    """17 of 20 words and the key phrase stand; the three that no other text has do not."""
+    isc = next(t for t in licenses.TEMPLATES if t.label == "isc").text.split()
+    rare = ["fee", "purpose", "granted"]
+    texts = [" ".join("zz" if w in rare else w for w in isc), *(" ".join(w for w in isc if w not in rare) for _ in range(3)), *("something else" for _ in range(30))]
+    rows = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["labels"], r["score"]) for r in rows} == dict(enumerate(brute(texts)))
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "All rights reserved", 5, "f")], "doc_id long, text string, file int, places string")
+    assert licenses.scan_licenses(df.withColumnRenamed("file", "at")).first()["labels"] == "proprietary" == licenses.scan_licenses(df).first()["labels"]
+
+
 def base(r):
     return r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]
 
