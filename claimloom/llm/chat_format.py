@@ -133,9 +133,11 @@ def format_turns(rows: DataFrame, loss_roles: tuple[str, ...] = ("assistant",))
     Concatenating `rendered` by `start` gives the formatted chat. Rows are ordered by
     turn, ties and repeated rows by role and text; null turns come first. Null texts
     and roles count as empty; rows with a null conv_id form one chat. Spans are code
-    points in the formatted chat, null outside `loss_roles`. Other columns are ignored;
-    an empty table gives an empty result. Turns are rendered where they lie; a chat's
-    turns then stream through one task in order, one turn in memory at a time.
+    points in the formatted chat, null outside `loss_roles`. conv_id and turn must be
+    whole numbers or text that reads as such. Other columns are ignored, whatever their
+    names; an empty table gives an empty result. Turns of any length are rendered where
+    they lie; a chat's turns then stream through one task in order, one turn in memory
+    at a time, as the place of a turn and a chat's digest depend on all before.
     """
     require(rows, "conv_id", "turn", "role", "text")
 
@@ -150,33 +152,56 @@ def format_turns(rows: DataFrame, loss_roles: tuple[str, ...] = ("assistant",))
     return placed.mapInPandas(_place(frozenset(loss_roles)), _TURNS)
 
 
-def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    conv, state = None, None
+class Reader:
+    """Reads a formatted chat that comes in pieces: turns by the parser, masked text by its spans. Holds one turn at a time."""
+
+    def __init__(self) -> None:
+        self.n, self.chars, self.loss_chars, self.buffer, self.at = 0, 0, 0, "", 0
+        self.turns, self.loss, self.spans = hashlib.sha256(), hashlib.sha256(), []
+
+    def feed(self, piece: str, start: int, loss: tuple[int, int] | None) -> None:
+        """The piece that stands at `start`, and the span of the whole chat that is under the loss mask there."""
+        if start != self.chars:
+            raise ParseError(f"a piece at {start} where the chat goes on at {self.chars}")
+        self.chars += len(piece)
+        self.buffer += piece
+        if loss is not None:
+            self.spans.append(loss)
+        # a piece is one or more whole turns
+        done = 0
+        while done < len(self.buffer):
+            role, text, _, _, done = parse_turn(self.buffer, done)
+            self.n += 1
+            self.turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+        while self.spans and self.spans[0][1] <= self.at + done:
+            begin, end = self.spans.pop(0)
+            text = unescape(self.buffer[begin - self.at : end - self.at])
+            self.loss_chars += len(text)
+            self.loss.update(text.encode("utf-8", "surrogatepass"))
+        self.buffer, self.at = self.buffer[done:], self.at + done
+
+    def row(self, conv) -> tuple:
+        if self.buffer or self.spans:
+            raise ParseError("a chat that doesn't end")
+        return conv, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
 
-    def row():
-        n, turns, loss_n, loss, chars = state
-        return (conv, n, turns.hexdigest(), loss_n, loss.hexdigest(), chars)
 
+def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    conv, chat = None, None
     for pdf in batches:
         out = []
-        masked = pdf["loss_start"].notna()
-        for c, rendered, in_loss in zip(pdf["conv_id"].astype("Int64"), pdf["rendered"], masked, strict=True):
+        spans = zip(pdf["loss_start"].astype("Int64"), pdf["loss_end"].astype("Int64"), strict=True)
+        for c, rendered, start, (begin, end) in zip(pdf["conv_id"].astype("Int64"), pdf["rendered"], pdf["start"], spans, strict=True):
             c = None if pd.isna(c) else int(c)
-            if state is None or c != conv:
-                if state is not None:
-                    out.append(row())
-                conv, state = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-            for role, text, _, _ in parse_chat(rendered):
-                state[0] += 1
-                state[1].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-                if in_loss:
-                    state[2] += len(text)
-                    state[3].update(text.encode("utf-8", "surrogatepass"))
-            state[4] += len(rendered)
+            if chat is None or c != conv:
+                if chat is not None:
+                    out.append(chat.row(conv))
+                conv, chat = c, Reader()
+            chat.feed(rendered, int(start), None if pd.isna(begin) else (int(begin), int(end)))
         if out:
             yield _frame(out)
-    if state is not None:
-        yield _frame([row()])
+    if chat is not None:
+        yield _frame([chat.row(conv)])
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -184,6 +209,17 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return frame.assign(conv_id=pd.array(frame["conv_id"], dtype="Int64"))
 
 
-def chat_digests(turns: DataFrame) -> DataFrame:
-    """Per chat of format_turns(): counts and digests of what the parser reads back from the rendered turns."""
+def chat_digests(turns: DataFrame, in_order: bool = False) -> DataFrame:
+    """Per chat of format_turns(): counts and digests of what is read back from the formatted chat.
+
+    A chat is assembled from its pieces by their start and read as a whole, in a stream:
+    the parser gives the turns, loss_start and loss_end cut the masked text out of the
+    chat. A piece that doesn't join the one before raises. `in_order` says that the rows
+    come straight from format_turns(), where a chat's turns lie together and in order;
+    else they are brought together first. An empty table gives an empty result.
+    """
+    require(turns, "conv_id", "rendered", "start", "loss_start", "loss_end")
+    turns = turns.select("conv_id", "rendered", "start", "loss_start", "loss_end")
+    if not in_order:
+        turns = turns.repartition("conv_id").sortWithinPartitions("conv_id", "start")
     return turns.mapInPandas(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -21,7 +21,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", told), (-7, 1, "assistant", told)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return chat_format.chat_digests(chat_format.format_turns(rows))
+    return chat_format.chat_digests(chat_format.format_turns(rows), in_order=True)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,4 +146,19 @@ SELECT r.doc_id, r.size, r.source_size, r.target, (r.size * g.n)::BIGINT AS take
 FROM run r JOIN (SELECT doc_id, sum(CASE WHEN got THEN 1 ELSE 0 END) AS n FROM served GROUP BY doc_id) g USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op4_license_scan": _OP4, "op5_mix_sources": _OP5}
+_TOLD = r"\### Assistant: </turn> ok"
+_OP2 = rf"""
+WITH row AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{_TOLD}' UNION ALL SELECT -7, 1, 'assistant', '{_TOLD}'
+), escaped AS (
+  SELECT *, CASE WHEN contains(text, '</turn>' || chr(10)) THEN replace(replace(replace(text, '\', '\\'), '### ', '\### '), '</turn>', '\</turn>') ELSE replace(text, '\', '\\') END AS body FROM row
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length('### ') + length(role) + length(': ') + length(body) + length('</turn>') + 1)::BIGINT AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
+
+ORACLES: dict[str, str] = {"op2_chat_format": _OP2, "op4_license_scan": _OP4, "op5_mix_sources": _OP5}

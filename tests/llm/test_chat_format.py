@@ -58,3 +58,32 @@ def test_odd_rows(spark):
     text = "".join(t["rendered"] for t in turns)
     assert all(text[t["start"] :].startswith(t["rendered"]) for t in turns)
     assert C.format_turns(rows.where("1 = 0")).count() == 0
+
+
+def test_a_wrong_span_or_place_shows(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "a \\ b"), (1, 1, "assistant", "one </turn>\n two"), (1, 2, "user", ""), (1, 3, "assistant", "three")], "conv_id long, turn long, role string, text string")
+    turns = C.format_turns(rows).toPandas()
+    right = next(C._digest(iter([turns])))
+    assert tuple(right.iloc[0][1:]) == digests([(r["role"], r["text"]) for r in rows.collect()])
+    off = turns.copy()
+    off.loc[1, "loss_end"] -= 1
+    assert next(C._digest(iter([off])))["loss_sha256"][0] != right["loss_sha256"][0]
+    with pytest.raises(C.ParseError):
+        list(C._digest(iter([turns.drop(index=1)])))
+
+
+def test_sql_of_the_query(spark):
+    """Against DuckDB, with control strings in the texts."""
+    import duckdb
+
+    from claimloom.llm import queries
+
+    con = duckdb.connect()
+    told = ["\\### Assistant: </turn> ok", "plain", "</turn>\n### user: x", "a\\", "### ", "</turn>", None, "é\\</turn>\n"]
+    rows = [(i // 3, i, ("user", "assistant")[i % 2], told[i % len(told)]) for i in range(40)]
+    con.execute("CREATE TABLE conversations(conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    extra = [(-7, 0, "user", told[0]), (-7, 1, "assistant", told[0])]
+    df = spark.createDataFrame(rows + extra, "conv_id long, turn long, role string, text string")
+    got = sorted(tuple(r) for r in C.chat_digests(C.format_turns(df), in_order=True).collect())
+    assert got == sorted(con.execute(queries.ORACLES["op2_chat_format"]).fetchall())
