@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimloom.llm._common import forgets, require, text_of, working
+from claimloom.llm._common import forgets, fresh, require, text_of, working
 
 WIDTH = 5
 K = 256
@@ -122,15 +122,21 @@ def from_text(text: str) -> np.ndarray:
 
 
 def sketch_documents(docs: DataFrame, k: int = K, width: int = WIDTH, text_col: str = "text") -> DataFrame:
-    """`docs` with columns fingerprint (string) and n_shingles (estimated). A null or empty text has the empty fingerprint."""
+    """`docs` with columns fingerprint (string) and n_shingles (estimated).
+
+    A null or empty text has the empty fingerprint and no shingle. Texts are sketched
+    whole, whatever their length. Repeated rows stay; an empty table gives an empty
+    result. Columns of `docs` called fingerprint or n_shingles, in any case, are replaced.
+    """
     require(docs, text_col)
+    name = fresh(docs, "__sketch")
 
     @F.pandas_udf("fingerprint string, n_shingles double")
     def udf(texts: pd.Series) -> pd.DataFrame:
         found = [sketch(t, k, width) for t in texts]
         return pd.DataFrame({"fingerprint": [to_text(x) for x in found], "n_shingles": [distinct_count(x, k) for x in found]})
 
-    return docs.withColumn("__f", udf(text_of(text_col))).select(*[c for c in docs.columns if c not in ("fingerprint", "n_shingles")], "__f.fingerprint", "__f.n_shingles")
+    return docs.withColumn(name, udf(text_of(text_col))).select(*[c for c in docs.columns if c.lower() not in ("fingerprint", "n_shingles")], f"{name}.fingerprint", f"{name}.n_shingles")
 
 
 def _ranges(docs: DataFrame, id_col: str) -> list[int]:
@@ -193,10 +199,10 @@ def _compare(k: int, width: int):
                     was, old, mark = before
                     new = _edited(old, text)
                     other = sketch(new, k, width)
-                    out.append((was, len(old), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), to_text(mark), to_text(other), resemblance(mark, other, k), resemblance(mark, now[2], k)))
+                    out.append((was, len(old), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), to_text(mark), to_text(other), resemblance(mark, other, k), resemblance(mark, now[2], k), distinct_count(mark, k), containment(mark, other, k)))
                 before = now
             if out:
-                frame = pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+                frame = pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_shingles", "contained"])
                 yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -211,7 +217,12 @@ def compare_with_edited(docs: DataFrame, k: int = K, width: int = WIDTH, id_col:
 
     Edited: the last half of the code points (rounded down) replaced by the first as
     many of the next document by descending id, which for the last is the first; a
-    lone document follows itself. Null texts count as empty. Other columns are ignored.
+    lone document follows itself. n_shingles estimates the text's distinct shingles and
+    contained the share of them that the edited text has, too. Null texts count as
+    empty and have no shingle; ties on the id are ordered by text, null ids come last;
+    ids must be whole numbers or text that reads as such. Texts are sketched whole,
+    whatever their length. An empty table gives an empty result; other columns are
+    ignored, whatever their names.
     """
     require(docs, id_col, text_col)
-    return with_successor(docs, id_col, text_col).mapInPandas(_compare(k, width), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").withColumnRenamed("doc_id", id_col)
+    return with_successor(docs, id_col, text_col).mapInPandas(_compare(k, width), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_shingles double, contained double").withColumnRenamed("doc_id", id_col)

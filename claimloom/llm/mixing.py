@@ -136,6 +136,6 @@ def _cut(queued: DataFrame, src: DataFrame, epochs: int):
 
 
 def apply_mix(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """Each document as often as the mix takes it; documents never taken and empty ones go."""
+    """Each document of mix_sources() as often as the mix takes it; documents never taken and empty ones go. `columns` may have any names; an empty table gives an empty result."""
     times = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)
-    return mixed.where(F.col("taken") > 0).withColumn("__times", F.explode(F.array_repeat(F.lit(1), times))).select(*columns)
+    return mixed.where(F.col("taken") > 0).withColumn(fresh(mixed, "__times"), F.explode(F.array_repeat(F.lit(1), times))).select(*columns)

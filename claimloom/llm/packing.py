@@ -4,8 +4,12 @@ Level 0 runs where the documents lie: each partition tokenizes its documents, cu
 long ones, best-fits the remainders (largest first) and closes every bin that is nearly
 full. What stays underfull goes up a tree: the bins of `fan_in` neighbouring groups meet,
 are best-fitted again as items, and nearly full ones are closed, until one group is left.
-Only bin numbers and fills move up, and before each round bins that no open bin could
-still enter are closed.
+
+Best fit leaves a group at most one bin that is half full or less, as the first item of
+a second one would have gone into the first. So a bin above half can only take in what
+few small bins other groups have, and of those a group passes up just the emptiest
+`spare_bins`: what fits into any bin fits into them. A task thus never gets more than
+fan_in * (spare_bins + 1) bins, whatever the sizes and however large the table.
 """
 
 from __future__ import annotations
@@ -180,10 +184,18 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return bins, offsets, np.array(packer.fill, np.int64)
 
 
-_LEVEL0 = "id long, piece int, start long, length long, ids_crc32 long, leaf long, leaf_offset long, fill long, part int"
+def still_open(fills: np.ndarray, capacity: int, near: float, spare_bins: int) -> np.ndarray:
+    """Which bins go up: those at most half full, and of those not nearly full the emptiest."""
+    large = np.nonzero((fills > capacity // 2) & (fills < int(capacity * near)))[0]
+    out = fills <= capacity // 2
+    out[large[np.argsort(fills[large], kind="stable")[:spare_bins]]] = True
+    return out
+
+
+_LEVEL0 = "id long, piece int, start long, length long, ids_crc32 long, leaf long, leaf_offset long, open boolean, part int"
 
 
-def _level0(path: str, capacity: int, near: float):
+def _level0(path: str, capacity: int, near: float, spare_bins: int):
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
         ids, pieces, starts, lengths, crcs = [], [], [], [], []
@@ -201,9 +213,10 @@ def _level0(path: str, capacity: int, near: float):
         if not ids:
             return
         bins, offsets, fills = best_fit(np.array(lengths), capacity)
+        open_ = still_open(fills, capacity, near, spare_bins)
         for at in range(0, len(ids), 50_000):
             now = slice(at, at + 50_000)
-            yield pd.DataFrame({"id": pd.array(ids[now], dtype="Int64"), "piece": pieces[now], "start": starts[now], "length": lengths[now], "ids_crc32": crcs[now], "leaf": bins[now] + (part << 32), "leaf_offset": offsets[now], "fill": fills[bins[now]], "part": part})
+            yield pd.DataFrame({"id": pd.array(ids[now], dtype="Int64"), "piece": pieces[now], "start": starts[now], "length": lengths[now], "ids_crc32": crcs[now], "leaf": bins[now] + (part << 32), "leaf_offset": offsets[now], "open": open_[bins[now]], "part": part})
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with working("packing"):
@@ -212,10 +225,10 @@ def _level0(path: str, capacity: int, near: float):
     return pack
 
 
-_ROUND = "leaf long, bin long, shift long, size long, fill long, part int"
+_ROUND = "leaf long, bin long, shift long, size long, fill long, part int, open boolean"
 
 
-def _round(capacity: int, level: int):
+def _round(capacity: int, near: float, spare_bins: int):
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         """Rows of open leaves; the leaves of a bin move together."""
         pdf = pdf.sort_values(["bin", "shift"], kind="stable")
@@ -223,54 +236,45 @@ def _round(capacity: int, level: int):
         new, offsets, fills = best_fit(first["fill"].to_numpy(), capacity)
         to = pd.DataFrame({"bin": first["bin"].to_numpy(), "new": new, "by": offsets})
         heads = first["bin"].to_numpy()[np.unique(new, return_index=True)[1]]
+        open_ = still_open(fills, capacity, near, spare_bins)
         pdf = pdf.merge(to, on="bin")
-        return pd.DataFrame({"leaf": pdf["leaf"], "bin": heads[pdf["new"]], "shift": pdf["shift"] + pdf["by"], "size": pdf["size"], "fill": fills[pdf["new"]], "part": pdf["part"]})
+        return pd.DataFrame({"leaf": pdf["leaf"], "bin": heads[pdf["new"]], "shift": pdf["shift"] + pdf["by"], "size": pdf["size"], "fill": fills[pdf["new"]], "part": pdf["part"], "open": open_[pdf["new"]]})
 
     return merge
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, near_full: float = 0.998, fan_in: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, near_full: float = 0.998, fan_in: int = 32, spare_bins: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack every document into sequences of at most `capacity` tokens.
 
     One row per piece: the id, piece (from 0), start (the document's ids before it),
     length, ids_crc32, sequence_id and offset. A document is its ids followed by id 0,
     so an empty or null text is one id; only documents longer than the capacity are
-    cut. Repeated rows and null ids are packed like others; an empty table gives an
-    empty result; other columns are ignored. A bin counts as nearly full from
-    `near_full` of the capacity, a share that eases by 0.01 each level.
+    cut, whatever their length. Repeated rows and null ids are packed like others, ids
+    must be whole numbers or text that reads as such; an empty table gives an empty
+    result; other columns are ignored, whatever their names. Ties of length keep the
+    order of rows, so sequence ids depend on how the table is read. A bin counts as
+    nearly full from `near_full` of the capacity.
     """
     require(docs, id_col, text_col)
     base = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    pieces = checkpoint(base.mapInPandas(_level0(tokenizer_path, capacity, near_full), _LEVEL0))
-    open_ = F.col("fill") < int(capacity * near_full)
-    leaves = pieces.where(open_).groupBy("leaf").agg(F.sum("length").alias("size"), F.first("part").alias("part"))
+    pieces = checkpoint(base.mapInPandas(_level0(tokenizer_path, capacity, near_full, spare_bins), _LEVEL0))
+    leaves = pieces.where("open").groupBy("leaf").agg(F.sum("length").alias("size"), F.first("part").alias("part"))
     rest = leaves.select("leaf", F.col("leaf").alias("bin"), F.lit(0).cast("long").alias("shift"), "size", F.col("size").alias("fill"), "part")
-    closed = []
-    level, parts = 0, None
-    while True:
-        rest = checkpoint(rest)
-        seen = rest.agg(F.count("*"), F.min("fill"), F.max("part")).first()
-        parts = (seen[2] or 0) + 1 if parts is None else parts
-        if seen[0] == 0:
-            break
-        if level and fan_in**level >= parts * fan_in:
-            closed.append(rest)
-            break
+    parts = (pieces.agg(F.max("part")).first()[0] or 0) + 1
+    closed, level = [], 0
+    while fan_in**level < parts:
         level += 1
-        stuck = (capacity - F.col("fill") < seen[1]) | (F.col("fill") >= int(capacity * (near_full - 0.01 * (level - 1))))
-        closed.append(rest.where(stuck))
         group = (F.col("part") / fan_in**level).cast("int").alias("grp")
-        rest = rest.where(~stuck).groupBy(group).applyInPandas(_round(capacity, level), _ROUND)
+        rest = checkpoint(rest.groupBy(group).applyInPandas(_round(capacity, near_full, spare_bins), _ROUND))
+        closed.append(rest.where("not open").select("leaf", "bin", "shift"))
+        rest = rest.where("open").drop("open")
+    moved = rest.select("leaf", "bin", "shift")
+    for more in closed:
+        moved = moved.unionByName(more)
     out = ["id", "piece", "start", "length", "ids_crc32"]
-    done = pieces.where(~open_).select(*out, F.col("leaf").alias("sequence_id"), F.col("leaf_offset").alias("offset"))
-    if closed:
-        moved = closed[0]
-        for more in closed[1:]:
-            moved = moved.unionByName(more)
-        moved = moved.select(F.col("leaf").alias("of"), "bin", "shift")
-        late = pieces.where(open_).join(moved, F.col("leaf") == F.col("of")).select(*out, F.col("bin").alias("sequence_id"), (F.col("leaf_offset") + F.col("shift")).alias("offset"))
-        done = done.unionByName(late)
-    return done.withColumnRenamed("id", id_col)
+    done = pieces.where("not open").select(*out, F.col("leaf").alias("sequence_id"), F.col("leaf_offset").alias("offset"))
+    late = pieces.where("open").join(moved.withColumnRenamed("leaf", "of"), F.col("leaf") == F.col("of")).select(*out, F.col("bin").alias("sequence_id"), (F.col("leaf_offset") + F.col("shift")).alias("offset"))
+    return done.unionByName(late).withColumnRenamed("id", id_col)
 
 
 def default_tokenizer() -> str:

@@ -31,6 +31,9 @@ def test_query_against_plain_python(spark, sf, sample_docs):
         assert r["fingerprint"] == P.to_text(P.sketch(text))
         errors.append(abs(r["near_edited"] - jaccard(shingles(text), shingles(edited))))
         assert abs(r["near_next"] - jaccard(shingles(text), shingles(following))) < 0.15
+        a, b = shingles(text), shingles(edited)
+        assert abs(r["n_shingles"] - len(a)) <= 0.3 * len(a)
+        assert abs(r["contained"] - (len(a & b) / len(a) if a else 1.0)) < 0.3
     assert np.mean(errors) < 0.03 and max(errors) < 0.15
 
 
@@ -65,3 +68,10 @@ def test_odd_rows(odd_docs, no_docs):
     assert one["edited_sha256"] == hashlib.sha256(b"onone"[:0] + b"on" + b"o").hexdigest()
     kept = P.sketch_documents(odd_docs.withColumnRenamed("lang", "fingerprint"))
     assert kept.where("doc_id = 4").select("fingerprint").distinct().collect()[0][0] == ""
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b", 5, 6, 7)], "doc_id long, text string, __sketch int, Fingerprint int, rng int")
+    r = P.sketch_documents(df).first()
+    assert r["__sketch"] == 5 and r["fingerprint"] == P.to_text(P.sketch("a b")) and r["rng"] == 7 and "Fingerprint" not in r.asDict()
+    assert P.compare_with_edited(df).first()["near_edited"] == P.resemblance(P.sketch("a b"), P.sketch("a a"))

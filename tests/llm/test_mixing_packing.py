@@ -74,6 +74,33 @@ def test_best_fit():
     assert fills.tolist() == [10, 10] and bins.tolist() == [0, 1, 1, 0] and offsets.tolist() == [0, 0, 5, 6]
 
 
+def test_what_goes_up_the_tree_is_bounded():
+    """Best fit leaves at most one bin that is half full or less, and a group passes up that one and `spare` others."""
+    rng = np.random.default_rng(1)
+    for sizes in (np.full(5000, 1100), rng.integers(1, 2048, 5000), np.r_[np.full(3000, 1100), np.full(20, 900)], np.full(3001, 1024), np.array([5]), rng.integers(900, 1200, 4000)):
+        _, _, fills = packing.best_fit(sizes, 2048)
+        up = packing.still_open(fills, 2048, 0.998, 8)
+        assert (fills <= 1024).sum() <= 2 - (1024 in fills) + (fills == 1024).sum()
+        assert up[fills < 1024].all() and (up & (fills > 1024)).sum() <= 8
+        shut = fills[~up & (fills > 1024) & (fills < int(2048 * 0.998))]
+        assert not len(shut) or fills[up & (fills > 1024)].max() <= shut.min()
+
+
+def test_two_sizes_over_many_partitions(spark):
+    """Documents of six tenths in every partition, some small ones in one: no task gets them all, and all small ones go in."""
+    words = lambda n: " ".join(["a"] * n)
+    df = spark.createDataFrame([(i, words(59 if i % 10 else 39)) for i in range(2000)], "doc_id long, text string").repartition(40, "doc_id")
+    rows = packing.pack_documents(df, PATH, capacity=100, fan_in=3, spare_bins=4).collect()
+    n, _ = check_packing(rows, {r["doc_id"]: r["text"] for r in df.collect()}, 100)
+    assert n == 1800  # 1,800 of 60, none of which fit together, take the 200 of 40
+
+
+def test_clashing_names_and_text_ids(spark):
+    df = spark.createDataFrame([("7", "a b", 1, 2), ("8", None, 1, 2)], "doc_id string, text string, leaf int, piece int")
+    rows = packing.pack_documents(df, PATH).collect()
+    assert sorted(r["doc_id"] for r in rows) == [7, 8] and {r["piece"] for r in rows} == {0}
+
+
 def plain_mix(rows, weights=(5, 2, 1), share=1.5, epochs=2):
     import hashlib
 
@@ -130,3 +157,9 @@ def test_mix_replaces_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b", "s", 99, "x")], "doc_id long, text string, source string, taken int, bucket string")
     r = mixing.mix_sources(df).first()
     assert r["size"] == 2 and r["taken"] in (0, 2, 4) and r["bucket"] == "x"
+
+
+def test_apply_mix_keeps_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b c", "s", 7), (2, "d e", "t", 7)], "doc_id long, text string, source string, __times int")
+    again = mixing.apply_mix(mixing.mix_sources(df), df.columns).collect()
+    assert {r["__times"] for r in again} == {7}

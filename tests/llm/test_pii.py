@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 
@@ -108,3 +109,38 @@ def test_no_number_is_cut_in_a_long_run():
         at = joined.index("(")
         assert any((at, at + 14, "phone") in pii.candidates(joined, a, b, []) and a <= at <= b - pii.LONGEST for a, b in pii.windows(joined))
         assert pii.find_spans(text, {})[1] == [] and pii.base_spans(text + number)[-1][2] == "phone"
+
+
+def test_decode_against_all_segmentations():
+    """The best of all sets of disjoint segments, forced ones included."""
+    rng = random.Random(12)
+    weights = pii.learn()
+    tried = 0
+    for text, _ in pii.training_sentences(60, seed=5):
+        base = pii.base_spans(text)
+        for start, end in pii.windows(text):
+            found = pii.candidates(text, start, end, base)
+            if not 2 <= len(found) <= 12:
+                continue
+            w = {f: rng.uniform(-1, 1) for s in found for f in pii.segment_features(text, *s)} if tried % 2 else weights
+            forced = frozenset(found[:1]) if tried % 3 == 0 else frozenset()
+            score = {s: sum(w.get(f, 0.0) for f in pii.segment_features(text, *s)) + (1e6 if s in forced else 0.0) for s in found}
+            best = 0.0
+            for n in range(1, len(found) + 1):
+                for some in itertools.combinations(found, n):
+                    if all(a[1] <= b[0] for a, b in itertools.pairwise(sorted(some))):
+                        best = max(best, sum(map(score.__getitem__, some)))
+            got = pii.decode(text, found, w, forced)
+            assert all(a[1] <= b[0] for a, b in itertools.pairwise(got))
+            assert abs(sum(map(score.__getitem__, got)) - best) < 1e-6
+            tried += 1
+    assert tried > 30
+
+
+def test_a_secret_anywhere_in_a_long_run_is_masked():
+    """One key in a long text without white space, at every place around the cuts of its windows."""
+    weights, rng = pii.learn(), random.Random(13)
+    key = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    for at in [*range(240, 420, 3), 700, 1100]:
+        text = '{"a":1,' * (at // 7) + "x" * (at % 7) + f'"token":"{key}",' + '"b":22,' * 60 + "}"
+        assert key not in pii.mask(text, pii.find_spans(text, weights)[1]), at
