@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections import Counter
+from functools import lru_cache
+from hashlib import sha256
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from claimloom.functions import constants as C
-from claimloom.functions.text import col, let, tokens
+from claimloom.functions.text import col, let
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -30,22 +37,49 @@ def l2_normalize(a: Column | str) -> Column:
     return let(F.struct(col(a).alias("v"), norm(a).alias("n")), lambda s: F.transform(s["v"], lambda x: F.when(s["n"] > 0, x.cast("double") / s["n"]).otherwise(x.cast("double"))))
 
 
-def hashing_embedding(df: DataFrame, dim: int = C.HASH_DIM, text: str = "text", key: str = "ord", name: str = "vector") -> DataFrame:
-    """`df` with a vector column: over the text's tokens the sums of SHA-256 byte / 255 - 0.5, unit length.
+class _TokenRows:
+    """Rows of numbers of tokens, each hashed once while the table lasts; starts anew when full."""
 
-    Only the first 32 positions differ; later ones repeat them. Each distinct token of a
-    row is hashed once and weighed by its count. A text without tokens has zeros.
-    """
+    def __init__(self, width: int, limit: int = 200_000):
+        self.width, self.limit = width, limit
+        self.place: dict[str, int] = {}
+        self.rows = np.empty((1024, width))
+
+    def sum_of(self, tokens: list[str]) -> np.ndarray:
+        if len(self.place) > self.limit:
+            self.place.clear()
+        for t in set(tokens) - self.place.keys():
+            if len(self.place) == len(self.rows):
+                self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
+            self.rows[len(self.place)] = np.frombuffer(sha256(t.encode()).digest(), np.uint8)[: self.width] / 255.0 - 0.5
+            self.place[t] = len(self.place)
+        counts = Counter(tokens)
+        at = np.fromiter((self.place[t] for t in counts), np.int64, len(counts))
+        return np.fromiter(counts.values(), np.float64, len(counts)) @ self.rows[at]
+
+
+@lru_cache(maxsize=2)
+def _token_rows(width: int) -> _TokenRows:
+    return _TokenRows(width)
+
+
+def hashing_vector(lowered: str | None, dim: int = C.HASH_DIM) -> np.ndarray:
+    """Over the tokens of a lower-cased text the sums of SHA-256 byte / 255 - 0.5, unit length; zeros without tokens."""
     width = min(dim, 32)
-    flat = df.select(F.col(key).alias("__key"), F.explode(tokens(text)).alias("__tok")).groupBy("__key", "__tok").agg(F.count("*").alias("__tf")).withColumn("__h", F.sha2("__tok", 256))
-    sums = flat.groupBy("__key").agg(F.array(*[F.sum(F.col("__tf") * (_byte("__h", i) / F.lit(255.0) - 0.5)) for i in range(width)]).alias("__v"))
-    whole, rest = divmod(dim, width)
-    zeros = F.array(*[F.lit(0.0)] * width)
-    out = df.join(sums, df[key].eqNullSafe(sums["__key"]), "left").withColumn("__v", F.coalesce("__v", zeros))
-    wide = F.concat(*[F.col("__v")] * whole, *([F.slice("__v", 1, rest)] if rest else []))
-    return out.withColumn(name, l2_normalize(wide)).drop("__key", "__v")
-
-
-def _byte(digest: str, i: int) -> Column:
-    digit = lambda k: F.expr(f"instr('0123456789abcdef', substring({digest}, {k}, 1)) - 1")
-    return digit(2 * i + 1) * 16 + digit(2 * i + 2)
+    tokens = re.findall(C.TOKEN, lowered or "")
+    v = np.resize(_token_rows(width).sum_of(tokens) if tokens else np.zeros(width), dim)
+    size = np.sqrt(v @ v)
+    return v / size if size > 0 else v
+
+
+def hashing_embedding(text: Column | str, dim: int = C.HASH_DIM) -> Column:
+    """The text's hashing_vector(); lower-cased in the JVM, then row by row in Arrow batches, so nothing is shuffled.
+
+    Only the first 32 positions differ; later ones repeat them.
+    """
+
+    @F.pandas_udf("array<double>")
+    def embed(texts: pd.Series) -> pd.Series:
+        return pd.Series([hashing_vector(t, dim) for t in texts], dtype=object)
+
+    return embed(F.lower(col(text)))

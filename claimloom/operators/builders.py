@@ -12,8 +12,9 @@ from claimloom.functions import constants as C
 from claimloom.functions import templates as T
 from claimloom.functions import text as X
 from claimloom.functions.labels import artifact_label, verifier_data_label
-from claimloom.operators.numbering import numbered_by
-from claimloom.operators.sampling import cyclic, hash_order
+from claimloom.operators.numbering import hash_bucket, numbered, numbered_by
+from claimloom.operators.retrieval import once
+from claimloom.operators.sampling import cyclic
 
 
 def gold_text(evidence: Column) -> Column:
@@ -46,12 +47,32 @@ def verifier_examples(records: DataFrame, seed: int = 42) -> DataFrame:
     return first.unionByName(second)
 
 
+#: Where a negative comes from, in the order in which they are listed. Fixed values.
+NEGATIVE_TYPES = ("bm25_hard_negative", "dense_hard_negative", "random_negative")
+
+
+def random_windows(claims: DataFrame, corpus: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """(query_id, text, rank): n distinct texts of the whole corpus for each claim, fewer only if it has fewer.
+
+    The corpus's distinct texts are put in the order of a hash; a claim reads on from a
+    place that a hash of its id picks, and from the first after the last.
+    """
+    digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("text")), 256).alias("digest")
+    distinct = corpus.select("ord", digest).groupBy("digest").agg(F.min("ord").alias("ord"))
+    places = numbered(distinct, hash_bucket(F.col("digest")), ["digest"], "place")
+    size = places.agg(F.count("*").alias("size"))
+    pick = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("query_id").cast("string")), 256), 1, 8), 16, 10).cast("long")
+    step = F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(n), F.col("size")) - 1)).alias("rank")
+    drawn = claims.select("query_id").crossJoin(F.broadcast(size)).where("size > 0").select("query_id", "size", step)  # one row
+    drawn = drawn.select("query_id", "rank", (F.pmod(pick + F.col("rank"), F.col("size")) + 1).alias("place"))
+    return drawn.join(places, "place").select("query_id", "rank", "ord").join(corpus.select("ord", "text"), "ord").select("query_id", "text", "rank")
+
+
 def mine_negatives(claims: DataFrame, corpus: DataFrame, bm25: DataFrame, dense: DataFrame, depth: int = 8, n_bm25: int = 2, n_dense: int = 2, n_random: int = 1, seed: int = 42) -> DataFrame:
     """(query_id, text, negative_type, place): distinct texts other than the positive, a number from each source.
 
     Sources are worked through in turn: a text that an earlier source gave does not count
     towards a later source's number. The random source also fills up what is missing.
-    Random passages are the first of a hash order of claim and passage.
     """
     texts = corpus.select("ord", "text")
     positives = claims.select("query_id", "positive")
@@ -60,29 +81,26 @@ def mine_negatives(claims: DataFrame, corpus: DataFrame, bm25: DataFrame, dense:
         found = source.join(texts, "ord").join(positives, "query_id").where(F.col("text") != F.col("positive"))
         return found.groupBy("query_id", "text").agg(F.min("rank").alias("rank"))
 
-    def cap(rows: DataFrame, n) -> DataFrame:
+    def cap(rows: DataFrame, n, kind: int) -> DataFrame:
         place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "text"))
-        return rows.withColumn("place", place).where(F.col("place") <= n)
+        return rows.withColumn("place", place).where(F.col("place") <= n).select("query_id", "text", "place", F.lit(NEGATIVE_TYPES[kind]).alias("negative_type"))
 
-    one = cap(ranked(bm25.where(F.col("rank") <= depth)), n_bm25).select("query_id", "text", "place", F.lit("bm25").alias("negative_type"))
+    one = cap(ranked(bm25.where(F.col("rank") <= depth)), n_bm25, 0)
     two = ranked(dense.where(F.col("rank") <= depth * 3)).join(one.select("query_id", "text"), ["query_id", "text"], "left_anti")
-    two = cap(two, n_dense).select("query_id", "text", "place", F.lit("dense").alias("negative_type"))
-    have = one.unionByName(two)
+    # a row a claim and negative: read for what is excluded, for what is still wanted and for the result
+    have = once(one.unionByName(cap(two, n_dense, 1)))
     wanted = n_bm25 + n_dense + n_random
-    # a few passages per claim are enough: at most `wanted` are excluded or needed
-    rolls = corpus.select("ord", "text", (F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("ord").cast("string")), 256), 1, 8), 16, 10).cast("long")).alias("roll"))
-    pool = rolls.orderBy("roll", "ord").limit(16 * (wanted + 1)).select(F.col("text"), F.col("ord").alias("pool_ord"))
-    drawn = positives.crossJoin(F.broadcast(pool)).where(F.col("text") != F.col("positive")).withColumn("rank", hash_order(F.concat_ws("|", F.col("query_id").cast("string"), F.col("pool_ord").cast("string")), seed))
-    drawn = drawn.groupBy("query_id", "text").agg(F.min("rank").alias("rank")).join(have.select("query_id", "text"), ["query_id", "text"], "left_anti")
+    # at most the positive and the negatives before are among the texts drawn
+    drawn = random_windows(claims, corpus, 1 + n_bm25 + n_dense + wanted, seed).join(positives, "query_id").where(F.col("text") != F.col("positive")).select("query_id", "text", "rank")
+    drawn = drawn.join(have.select("query_id", "text"), ["query_id", "text"], "left_anti")
     counts = have.groupBy("query_id").agg(F.count("*").alias("n"))
     need = positives.select("query_id").join(counts, "query_id", "left").select("query_id", F.greatest(F.lit(n_random), F.lit(wanted) - F.coalesce("n", F.lit(0))).alias("need"))
-    three = cap(drawn.join(need, "query_id"), F.col("need")).select("query_id", "text", "place", F.lit("random").alias("negative_type"))
-    return have.unionByName(three)
+    return have.unionByName(cap(drawn.join(need, "query_id"), F.col("need"), 2))
 
 
 def training_pairs(claims: DataFrame, negatives: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Retriever rows (query_id, claim, positive_evidence, hard_negatives, label) and re-ranker rows (query_id, claim, evidence, relevance, negative_type, label)."""
-    turn = F.array_position(F.array(*map(F.lit, ("bm25", "dense", "random"))), F.col("negative_type"))
+    turn = F.array_position(F.array(*map(F.lit, NEGATIVE_TYPES)), F.col("negative_type"))
     listed = negatives.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(turn.alias("t"), "place", "text"))), lambda x: x["text"]).alias("hard_negatives"))
     base = claims.select("query_id", "claim", F.col("positive").alias("positive_evidence"), "label")
     retriever = base.join(listed, "query_id", "left").withColumn("hard_negatives", F.coalesce("hard_negatives", F.array().cast("array<string>")))

@@ -9,7 +9,7 @@ from claimloom.functions import text as X
 
 
 def keep_first(df: DataFrame, keys: list[str | Column], order: list[str | Column]) -> DataFrame:
-    """The first row of each key; null is a key of its own."""
+    """The first row of each key; null is a key of its own. The window is pruned to one row per key and task before the shuffle."""
     mark = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("__rn", F.row_number().over(mark)).where("__rn = 1").drop("__rn")
 

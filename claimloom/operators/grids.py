@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from claimloom.functions import constants as C
 from claimloom.operators import metrics as M
 from claimloom.operators import verify as Y
+from claimloom.operators.numbering import numbered, range_bucket
 
 
 def float_range(low: int, high: int, step: int) -> list[float]:
@@ -83,8 +84,9 @@ def pareto_frontier(points: DataFrame) -> DataFrame:
 def pareto_report(points: DataFrame) -> DataFrame:
     """All points with a frontier flag, best F1 first, then latency, then memory."""
     flags = pareto_frontier(points).select("model").distinct().withColumn("frontier", F.lit(True))
-    order = Window.orderBy(F.col("macro_f1").desc(), "latency_ms", "memory_mb", "model")
-    return points.join(flags, "model", "left").withColumn("frontier", F.coalesce("frontier", F.lit(False))).withColumn("place", F.row_number().over(order))
+    order = [F.col("macro_f1").desc(), "latency_ms", "memory_mb", "model"]
+    flagged = points.join(flags, "model", "left").withColumn("frontier", F.coalesce("frontier", F.lit(False)))
+    return numbered(flagged, -range_bucket(points, "macro_f1"), order, "place")
 
 
 def feasibility(latency_ms, memory_mb):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimloom.operators.numbering import numbered_by
+
 
 def judged(rankings: DataFrame, gold: DataFrame, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Rankings (by..., ord, rank) with a 0/1 column rel; gold is (query_id, ord), repeats ignored."""
@@ -128,7 +130,10 @@ def nearest_rank_percentiles(rows: DataFrame, value: str, percents: tuple[float,
     """The same per group without gathering a group: values are numbered and the wanted numbers picked."""
     keyed = rows.where(F.col(value).isNotNull())
     counted = keyed.groupBy(*by).agg(F.count("*").alias("__n"))
-    numbered = keyed.withColumn("__i", F.row_number().over(Window.partitionBy(*by).orderBy(value)) - 1)
+    if by:
+        numbered = keyed.withColumn("__i", F.row_number().over(Window.partitionBy(*by).orderBy(value)) - 1)
+    else:
+        numbered = numbered_by(keyed, value, "__nr").withColumn("__i", F.col("__nr") - 1)
     joined = numbered.join(counted, list(by)) if by else numbered.crossJoin(F.broadcast(counted))
     pick = lambda q: F.max(F.when(F.col("__i") == F.bround(F.lit(q / 100.0) * (F.col("__n") - 1)).cast("int"), F.col(value)))
     return joined.groupBy(*by).agg(*[pick(q).alias(f"p{q:g}".replace(".", "_")) for q in percents])

@@ -6,6 +6,8 @@ starts where the buckets before it end. Only one row per bucket meets in one tas
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,10 +24,12 @@ def range_bucket(df: DataFrame, column: str, buckets: int = BUCKETS) -> Column:
     return F.coalesce(F.least(place, F.lit(buckets - 1)).cast("int"), F.lit(-1))
 
 
-def prefix_bucket(column: Column | str) -> Column:
-    """The first two characters of a string, in code-point order; nulls first."""
-    c = F.col(column) if isinstance(column, str) else column
-    return F.coalesce(F.ascii(F.substring(c, 1, 1)).cast("long") * 1_114_112 + F.ascii(F.substring(c, 2, 1)), F.lit(-1).cast("long"))
+def prefix_bucket(df: DataFrame, column: str) -> Column:
+    """The first two characters, in code-point order, after the beginning that all strings of the column share; nulls first."""
+    low, high = df.agg(F.min(column), F.max(column)).first()
+    shared = len(os.path.commonprefix([low or "", high or ""]))
+    c = F.col(column)
+    return F.coalesce(F.ascii(F.substring(c, shared + 1, 1)).cast("long") * 1_114_112 + F.ascii(F.substring(c, shared + 2, 1)), F.lit(-1).cast("long"))
 
 
 def hash_bucket(digest: Column) -> Column:
@@ -34,7 +38,7 @@ def hash_bucket(digest: Column) -> Column:
 
 
 def bucket_of(df: DataFrame, column: str) -> Column:
-    return prefix_bucket(column) if isinstance(df.schema[column].dataType, T.StringType) else range_bucket(df, column)
+    return prefix_bucket(df, column) if isinstance(df.schema[column].dataType, T.StringType) else range_bucket(df, column)
 
 
 def numbered(df: DataFrame, bucket: Column, order: list[Column | str], name: str = "rn") -> DataFrame:

@@ -2,22 +2,50 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimloom.functions import constants as C
 from claimloom.functions import text as X
 from claimloom.functions import vectors as V
+from claimloom.operators.numbering import numbered_by
 
-#: A vocabulary or query table is broadcast up to this many rows; beyond it is shuffled.
-BROADCAST_ROWS = 200_000
+#: A vocabulary or query table is broadcast up to this many rows and bytes; beyond them it is shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
+#: Vectors that are compared in one matrix product, of passages and of queries.
+BLOCK, CHUNK = 4_096, 512
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint for a relation whose size has been checked."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _bytes_of(field: T.StructField) -> Column:
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(field.name), F.lit(0)).cast("long")
+    if isinstance(field.dataType, (T.ArrayType, T.MapType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(field.name))), F.lit(0)).cast("long")
+    return F.lit(8).cast("long")
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint for a relation whose rows and bytes have been counted."""
+    found = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(sum((_bytes_of(f) for f in df.schema), F.lit(0).cast("long"))).alias("b")).first()
+    return F.broadcast(df) if found["n"] <= rows and (found["b"] or 0) <= size else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores if it is read in fewer pieces than there are; a large table is left as it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def once(df: DataFrame) -> DataFrame:
+    """Computed once for all places of a plan that read it; what an executor loses is computed again."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def top_k(scored: DataFrame, k: int, order: list[Column], by: tuple[str, ...] = ("query_id",), rank: str = "rank") -> DataFrame:
@@ -36,23 +64,26 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def postings(corpus: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
-    """(ord, dl, term, tf), of the vocabulary's terms only if one is given."""
-    docs = corpus.select("ord", X.tokens("text").alias("toks"))
-    flat = docs.select("ord", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
+    """(ord, dl, term, tf), of the vocabulary's terms only if one is given; the empty term stands for the passage itself."""
+    docs = corpus.select("ord", X.tokens(F.coalesce("text", F.lit(""))).alias("toks"))
+    flat = docs.select("ord", F.size("toks").alias("dl"), F.explode(F.concat("toks", F.array(F.lit("")))).alias("term"))
     if vocabulary is not None:
         flat = flat.join(vocabulary, "term")
     return flat.groupBy("ord", "dl", "term").agg(F.count("*").alias("tf"))
 
 
+def _stats_of(sizes: DataFrame) -> DataFrame:
+    mean = F.avg("dl")
+    return sizes.agg(F.count("dl").alias("n_docs"), F.when(mean > 0, mean).otherwise(1.0).alias("avgdl"))
+
+
 def corpus_stats(corpus: DataFrame) -> DataFrame:
     """One row: n_docs and avgdl (1 for a corpus without tokens)."""
-    sizes = corpus.select(F.regexp_count(F.lower("text"), F.lit(C.TOKEN)).alias("dl"))
-    mean = F.avg("dl")
-    return sizes.agg(F.count("*").alias("n_docs"), F.when(mean > 0, mean).otherwise(1.0).alias("avgdl"))
+    return _stats_of(corpus.select(F.regexp_count(F.lower("text"), F.lit(C.TOKEN)).alias("dl")))
 
 
 def term_weights(terms: DataFrame, n_docs: Column, variant: str = "fallback") -> DataFrame:
-    """idf of (term, df); "okapi" lifts negative weights to a quarter of the mean."""
+    """idf of (term, df); "okapi" lifts negative weights to a quarter of the mean over all given terms."""
     if variant == "fallback":
         return terms.withColumn("idf", F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
     if variant != "okapi":
@@ -63,44 +94,113 @@ def term_weights(terms: DataFrame, n_docs: Column, variant: str = "fallback") ->
 
 
 def bm25_scores(queries: DataFrame, corpus: DataFrame, k1: float = C.BM25_K1, b: float = C.BM25_B, variant: str = "fallback") -> DataFrame:
-    """(query_id, ord, score) of every query and passage that share a term."""
+    """(query_id, ord, score) of every query and passage that share a term.
+
+    The corpus is tokenized once: postings of the queries' vocabulary give frequencies,
+    document frequencies, lengths and the corpus's size. "okapi" needs the document
+    frequencies of all terms besides.
+    """
     terms = query_terms(queries)
-    vocabulary = broadcast_if_small(terms.select("term").distinct())
-    stats = F.broadcast(corpus_stats(corpus))  # one row
-    posts = postings(corpus, vocabulary if variant == "fallback" else None)
-    weights = term_weights(posts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(stats), F.col("n_docs"), variant)
+    vocabulary = broadcast_if_small(terms.select("term").union(queries.sparkSession.createDataFrame([("",)], "term string")).distinct())
+    posts = once(postings(corpus, vocabulary))
+    stats = F.broadcast(_stats_of(posts.select(F.when(F.col("term") == "", F.col("dl")).alias("dl"))))  # one row
+    if variant == "fallback":
+        df = posts.groupBy("term").agg(F.count("*").alias("df"))
+    else:
+        df = corpus.select(F.explode(X.token_set("text")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    weights = term_weights(df.where("term <> ''").crossJoin(stats), F.col("n_docs"), variant)
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    hits = posts.join(weights, "term").select("ord", "term", part.alias("part"))
+    hits = posts.where("term <> ''").join(weights, "term").select("ord", "term", part.alias("part"))
     return hits.join(terms, "term").groupBy("query_id", "ord").agg(F.sum(F.col("qtf") * F.col("part")).alias("score"))
 
 
 def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int, **options) -> DataFrame:
     """(query_id, ord, score, rank): passages without a shared term score 0 and fill up by place."""
     scored = bm25_scores(queries, corpus, **options)
-    first = corpus.select("ord").orderBy("ord").limit(k)
-    padding = queries.select("query_id").crossJoin(F.broadcast(first)).select("query_id", "ord", F.lit(0.0).alias("score"))
-    if options.get("variant") == "okapi":  # scores may be negative: a place may be anyone's
-        padding = queries.select("query_id").crossJoin(corpus.select("ord")).select("query_id", "ord", F.lit(0.0).alias("score")).join(scored.select("query_id", "ord"), ["query_id", "ord"], "left_anti")
-        all_ = scored.unionByName(padding)
+    zero = F.lit(0.0).alias("score")
+    if options.get("variant") == "okapi":
+        # scores may be negative, so a place may go to a passage without a shared term: of a
+        # query with m scored passages, the first k of them are among the first k + m passages
+        scored = once(scored)
+        need = queries.select("query_id").distinct().join(scored.groupBy("query_id").agg(F.count("*").alias("m"), F.count_if(F.round("score", 9) > 0).alias("sure")), "query_id", "left").where(F.coalesce("sure", F.lit(0)) < k)
+        places = need.select("query_id", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("m", F.lit(0)) + k)).alias("place"))
+        first = places.join(numbered_by(corpus.select("ord"), "ord", "place"), "place").select("query_id", "ord", zero)
+        all_ = scored.unionByName(first.join(scored.select("query_id", "ord"), ["query_id", "ord"], "left_anti"))
     else:
+        first = corpus.select("ord").orderBy("ord").limit(k)
+        padding = queries.select("query_id").crossJoin(F.broadcast(first)).select("query_id", "ord", zero)
         all_ = scored.unionByName(padding).groupBy("query_id", "ord").agg(F.max("score").alias("score"))
     return top_k(all_, k, [F.round("score", 9).desc(), F.col("ord")])
 
 
+def _matrix(vectors, unit: bool) -> np.ndarray:
+    """Rows of numbers, shorter ones filled up with zeros; to unit length if asked, zeros stay."""
+    width = max(map(len, vectors), default=0)
+    out = np.zeros((len(vectors), width))
+    for row, v in zip(out, vectors, strict=True):
+        row[: len(v)] = v
+    if unit:
+        size = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        out = np.divide(out, size, out=out, where=size > 0)
+    return out
+
+
+def _blocks(unit: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), BLOCK):
+                part = pdf.iloc[at : at + BLOCK]
+                m = _matrix(part["v"].tolist(), unit)
+                yield pd.DataFrame({"ords": [part["ord"].tolist()], "width": [m.shape[1]], "d": [m.tobytes()]})
+
+    return run
+
+
+def _best_of_blocks(k: int, unit: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for ords, width, left, ids, right in zip(pdf["ords"], pdf["width"], pdf["d"], pdf["ids"], pdf["q"], strict=True):
+                d, q, ords = np.frombuffer(left).reshape(len(ords), width), _matrix(right, unit), np.asarray(ords)
+                width = min(width, q.shape[1])
+                scores = q[:, :width] @ d[:, :width].T
+                places = np.round(scores, 9) + 0.0
+                out = []
+                for row, score, id_ in zip(places, scores, ids, strict=True):
+                    # all that ties with the k-th is weighed by its place in the corpus
+                    near = np.nonzero(row >= np.partition(row, -k)[-k])[0] if len(row) > k else np.arange(len(row))
+                    best = near[np.lexsort((ords[near], -row[near]))[:k]]
+                    out.append(pd.DataFrame({"query_id": [id_] * len(best), "ord": ords[best], "score": score[best], "place": row[best]}))
+                yield pd.concat(out)
+
+    return run
+
+
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", query_vector: str = "vector", corpus_vector: str = "vector") -> DataFrame:
-    """(query_id, ord, score, rank) by exhaustive comparison; queries are the broadcast side, normalised once per side."""
+    """(query_id, ord, score, rank) by exhaustive, exact comparison; rows without a vector are left out.
+
+    Passages lie in blocks and queries in chunks; each block meets each chunk in one
+    matrix product and gives its own first k of every query, which a window merges.
+    Vectors of unlike length are compared over the shorter one.
+    """
     if metric not in ("cosine", "ip"):
         raise ValueError(f"unknown metric {metric}")
-    shape = V.l2_normalize if metric == "cosine" else lambda c: F.transform(F.col(c), lambda x: x.cast("double"))
-    left = queries.select("query_id", shape(query_vector).alias("q"))
-    right = corpus.select("ord", shape(corpus_vector).alias("d"))
-    scored = right.crossJoin(broadcast_if_small(left)).select("query_id", "ord", V.dot("q", "d").alias("score"))
-    return top_k(scored, k, [F.round("score", 9).desc(), F.col("ord")])
+    if k < 1:
+        raise ValueError("k must be positive")
+    n = queries.count()
+    held = queries.where(F.col(query_vector).isNotNull()).withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // CHUNK)))))
+    held = held.groupBy("chunk").agg(F.collect_list(F.struct("query_id", F.col(query_vector).cast("array<double>").alias("v"))).alias("l"))
+    chunks = held.select(F.col("l.query_id").alias("ids"), F.col("l.v").alias("q"))
+    rows = corpus.where(F.col(corpus_vector).isNotNull()).select("ord", F.col(corpus_vector).cast("array<double>").alias("v"))
+    ord_, double = corpus.schema["ord"].dataType, T.DoubleType()
+    blocks = rows.mapInPandas(_blocks(metric == "cosine"), T.StructType([T.StructField("ords", T.ArrayType(ord_)), T.StructField("width", T.IntegerType()), T.StructField("d", T.BinaryType())]))
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("ord", ord_), T.StructField("score", double), T.StructField("place", double)])
+    found = blocks.crossJoin(broadcast_if_small(chunks)).mapInPandas(_best_of_blocks(k, metric == "cosine"), schema)
+    return top_k(found, k, [F.col("place").desc(), F.col("ord")]).drop("place")
 
 
 def with_embedding(texts: DataFrame, dim: int = C.HASH_DIM, text: str = "text") -> DataFrame:
-    """Texts keyed by ord, or else by query_id, with their hashing embedding in `vector`."""
-    return V.hashing_embedding(texts, dim, text, "ord" if "ord" in texts.columns else "query_id")
+    """Texts with their hashing embedding in `vector`."""
+    return texts.withColumn("vector", V.hashing_embedding(text, dim))
 
 
 def rrf(rankings: DataFrame, k: int = C.RRF_K) -> DataFrame:

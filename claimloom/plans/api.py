@@ -29,11 +29,14 @@ def evidence_for(claims: DataFrame, corpus: DataFrame, k: int = 5, mode: str = "
 
 def verify(claims: DataFrame, corpus: DataFrame, k: int = 5, mode: str = "bm25") -> DataFrame:
     """Outcome of every claim: retrieval, rule verdict, explanation, citation check, abstention."""
-    return Y.verify_claims(claims, evidence_for(claims, corpus, k, mode), k)
+    return Y.verify_claims(claims, R.once(evidence_for(claims, corpus, k, mode)), k)
 
 
 def explain(claims: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
-    evidence = evidence_for(claims, corpus, k)
+    return _explained(claims, R.once(evidence_for(claims, corpus, k)), k)
+
+
+def _explained(claims: DataFrame, evidence: DataFrame, k: int) -> DataFrame:
     pairs = evidence.join(claims.select("query_id", F.col("text").alias("claim")), "query_id")
     results = Y.with_no_evidence(claims, Y.aggregate_claims(Y.verify_passages(pairs)))
     return Y.explain(results, evidence, k).select("query_id", "verdict", "confidence", "explanation", "citations", "check")
@@ -41,9 +44,9 @@ def explain(claims: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
 
 def pipeline(claims: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
     """explain() without abstention or retries, with its evidence."""
-    evidence = evidence_for(claims, corpus, k)
+    evidence = R.once(evidence_for(claims, corpus, k))
     listed = evidence.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "ord", "score"))).alias("evidence"))
-    return explain(claims, corpus, k).join(listed, "query_id", "left")
+    return _explained(claims, evidence, k).join(listed, "query_id", "left")
 
 
 def metrics_summary(log: DataFrame) -> DataFrame:

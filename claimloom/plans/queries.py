@@ -19,7 +19,9 @@ from claimloom.functions import text as X
 from claimloom.functions import vectors as V
 from claimloom.operators import audit, builders, dedupe, grids, metrics, ranking, sampling, verify
 from claimloom.operators import retrieval as R
+from claimloom.operators.numbering import numbered_by
 from claimloom.plans import api
+from claimloom.plans import blocks as B
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,7 +49,7 @@ def claims(spark, sf) -> DataFrame:
 
 
 def corpus(spark, sf) -> DataFrame:
-    return tab(spark, sf, "documents").select(F.col("doc_id").alias("ord"), F.col("doc_id"), F.col("source").alias("title"), "text", "lang", "source")
+    return R.spread(tab(spark, sf, "documents")).select(F.col("doc_id").alias("ord"), F.col("doc_id"), F.col("source").alias("title"), "text", "lang", "source")
 
 
 def gold(spark, sf) -> DataFrame:
@@ -95,6 +97,7 @@ def sql_list(words) -> str:
     return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
 
 
+_FSP = "fsp AS (SELECT doc_id AS ord, CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, 1, instr(text, chr(10)) - 1) ELSE text END AS claim, CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, instr(text, chr(10)) + 1) ELSE '' END AS evidence, source, lang, text FROM documents)"
 BASE = """
 q AS (SELECT item_id AS query_id, text FROM benchmark),
 d AS (SELECT doc_id AS ord, text, source, lang FROM documents),
@@ -196,7 +199,7 @@ def _(spark, sf):
 
 @query("r02_bm25_index", f"SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK}) AS term FROM documents) GROUP BY ALL) GROUP BY term")
 def _(spark, sf):
-    return R.postings(corpus(spark, sf)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return R.postings(corpus(spark, sf)).where("term <> ''").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 @query("r02_corpus_stats", f"SELECT count(*) AS n_docs, round(avg(len({_TOK})), 6) AS avgdl FROM documents")
@@ -226,7 +229,7 @@ def _(spark, sf):
     return R.bm25_topk(claims(spark, sf), corpus(spark, sf), 10).withColumn("score", F.round("score", 6))
 
 
-@query("r06_hashing_embedding", f"WITH {BASE}, {_HASH.split('dn AS')[0].rstrip().rstrip(',')} SELECT id AS doc_id, p::INT AS pos, round(v / n, 6) AS value FROM emb0 JOIN emb1 USING (side, id) WHERE side = 'd'")
+@query("r06_hashing_embedding", f"WITH {BASE}, {_HASH.split('dn AS')[0].rstrip().rstrip(',')} SELECT id AS doc_id, p::INT AS pos, round(v / n, 6) + 0.0 AS value FROM emb0 JOIN emb1 USING (side, id) WHERE side = 'd'")
 def _(spark, sf):
     e = R.with_embedding(corpus(spark, sf)).where(V.norm("vector") > 0).select("doc_id", F.posexplode(F.slice("vector", 1, 32)).alias("pos", "value"))
     return e.select("doc_id", "pos", F.round("value", 6).alias("value"))
@@ -267,12 +270,18 @@ def _(spark, sf):
     return R.hybrid_topk(claims(spark, sf), corpus(spark, sf), 5).withColumn("score", F.round("score", 9))
 
 
-@query("r15_hybrid_with_expansion")
+#: Every channel of the hybrid profiles: BM25, dense, titles (t) and rewritten queries (e).
+_CHANNELS = f"""{BASE}, {_HASH}, {sql_dense(10)}, {B.bm25("b", 10)}, {B.expansion()},
+eq AS (SELECT {{'q': query_id, 'n': list_no}} AS query_id, text FROM ex), {B.bm25("e", 5, "eq")}, td AS (SELECT ord, coalesce(source, '') AS text FROM d)"""
+_BASIC = ["SELECT query_id, ord, rank, 0 AS l FROM btop", "SELECT query_id, ord, rank, 1 FROM dense"]
+
+
+@query("r15_hybrid_with_expansion", f"WITH {_CHANNELS}, {B.bm25('t', 5, docs='td')}, {B.rrf('hy', [*_BASIC, 'SELECT query_id, ord, rank, 2 FROM ttop', 'SELECT query_id.q, ord, rank, query_id.n + 3 FROM etop'], 5)} SELECT query_id, ord, round(score, 9) AS score, rank::INT AS fused_rank FROM hy")
 def _(spark, sf):
     return R.hybrid_topk(claims(spark, sf), corpus(spark, sf), 5, title_k=5, expansion_k=5).withColumn("score", F.round("score", 9))
 
 
-@query("r16_query_expansion")
+@query("r16_query_expansion", f"WITH q AS (SELECT item_id AS query_id, text FROM benchmark), {B.expansion()} SELECT query_id, list_no::INT AS list_no, text FROM ex")
 def _(spark, sf):
     return R.expand_queries(claims(spark, sf))
 
@@ -305,7 +314,8 @@ def _(spark, sf):
 
 def _features(spark, sf) -> DataFrame:
     q, d = claims(spark, sf), corpus(spark, sf)
-    bm25, dense, g = R.bm25_topk(q, d, 10), R.dense_topk(R.with_embedding(q), R.with_embedding(d), 10), gold(spark, sf)
+    # small rankings that the plan reads twice, as sources and for their scores
+    bm25, dense, g = R.once(R.bm25_topk(q, d, 10)), R.once(R.dense_topk(R.with_embedding(q), R.with_embedding(d), 10)), R.once(gold(spark, sf))
     goldrows = g.withColumn("rank", F.col("ord"))
     cand = ranking.candidates_with_scores([bm25, dense, goldrows], bm25, dense, g)
     cand = cand.join(q.withColumnRenamed("text", "claim"), "query_id").join(d.select("ord", "doc_id", "text"), "ord")
@@ -351,7 +361,13 @@ def _(spark, sf):
     return model.transform(f).select("query_id", "doc_id", F.round(vector_to_array("probability")[1], 3).alias("score"))
 
 
-@query("k16_preference_scores")
+_PREF = f"""WITH {_FSP}, e AS (SELECT ord, '[1] ' || substr(evidence, 1, 200) AS told, evidence FROM fsp), {B.checked("SELECT ord AS key, " + B.trim("told || ' [1]'") + " AS told FROM e", "SELECT ord AS key, 1 AS id, evidence AS text FROM e")},
+s AS (SELECT ord, valid, rate, len({B.words("told")}) AS n FROM e JOIN ck ON ck.key = e.ord),
+pf AS (SELECT ord, 0 AS candidate, round_even(2.0::DOUBLE + CASE WHEN valid THEN 1.0 ELSE -1.0 END + CASE WHEN rate <= 0.25 THEN 1.0 ELSE -rate END + CASE WHEN n BETWEEN 1 AND 80 THEN 0.5 WHEN n > 80 THEN -0.25 ELSE 0.0 END, 4)::DOUBLE AS score, true AS valid_json, true AS verdict_matches, valid AS citation_valid, rate AS unsupported_sentence_rate, n::INT AS explanation_length FROM s
+  UNION ALL SELECT ord, 1, -1.5, false, false, false, 1.0, 0 FROM fsp)"""
+
+
+@query("k16_preference_scores", f"{_PREF} SELECT * FROM pf")
 def _(spark, sf):
     p = first_sentence_pairs(spark, sf)
     ctx = F.array(F.struct(F.lit(1).alias("citation_id"), F.lit(None).cast("string").alias("title"), F.col("evidence").alias("text")))
@@ -360,7 +376,7 @@ def _(spark, sf):
     return each.select("ord", "candidate", ranking.preference_score("answer", F.lit("SUPPORTED"), ctx).alias("s")).select("ord", "candidate", "s.*")
 
 
-@query("k17_best_candidate")
+@query("k17_best_candidate", f"{_PREF} SELECT ord, arg_max(candidate, {{'s': score, 'c': -candidate}})::INT AS candidate, max(score) AS score FROM pf GROUP BY ord")
 def _(spark, sf):
     return ranking.best_candidate(QUERIES["k16_preference_scores"](spark, sf), "ord")
 
@@ -463,7 +479,6 @@ def _(spark, sf):
     return audit.histogram(tab(spark, sf, "conversations"), X.claim_category("text"), "category")
 
 
-_FSP = "fsp AS (SELECT doc_id AS ord, CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, 1, instr(text, chr(10)) - 1) ELSE text END AS claim, CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, instr(text, chr(10)) + 1) ELSE '' END AS evidence, source, lang, text FROM documents)"
 
 
 @query("a17_quality_audit", f"WITH {_FSP} SELECT count(*) AS n, count(*) - count(DISTINCT claim) AS duplicate_claims, count(*) FILTER (evidence = '') AS missing_evidence, round(coalesce(avg(len({sql_words('claim')})) FILTER (claim <> ''), 0), 6) AS average_claim_length, round(coalesce(avg(len({sql_words('evidence')})) FILTER (evidence <> ''), 0), 6) AS average_evidence_length FROM fsp")
@@ -642,7 +657,7 @@ def _(spark, sf):
 
 @query("w08_cyclic_assignment", "SELECT item_id AS query_id, " + sql_list(C.REJECTIONS) + "[(row_number() OVER (ORDER BY item_id) - 1) % 7 + 1] AS rejection_type FROM benchmark")
 def _(spark, sf):
-    return claims(spark, sf).select("query_id", sampling.cyclic(list(C.REJECTIONS), F.row_number().over(Window.orderBy("query_id")) - 1).alias("rejection_type"))
+    return numbered_by(claims(spark, sf), "query_id").select("query_id", sampling.cyclic(list(C.REJECTIONS), F.col("rn") - 1).alias("rejection_type"))
 
 
 @query("w13_seeded_sample", "SELECT doc_id FROM documents ORDER BY sha256('42|' || doc_id), doc_id LIMIT 100")
@@ -696,7 +711,11 @@ def _(spark, sf):
     return corpus(spark, sf).select("doc_id", X.sentences("text").alias("s")).select("doc_id", F.size("s").alias("n_sentences"), F.md5(F.array_join("s", "|").cast("binary")).alias("sentences_md5"))
 
 
-@query("f08_citation_check")
+_CTX1 = "SELECT ord AS key, 1 AS id, evidence AS text FROM fsp WHERE evidence <> ''"
+_TOLD8 = "SELECT ord AS key, '[1] ' || claim || CASE WHEN ord % 2 = 0 THEN ' [7] And more.' ELSE '; [1] so it is.' END AS told FROM fsp WHERE evidence <> ''"
+
+
+@query("f08_citation_check", f"WITH {_FSP}, {B.checked(_TOLD8, _CTX1)} SELECT key AS ord, round(precision, 6) AS citation_precision, round(rate, 6) AS unsupported_sentence_rate, precision >= 0.5 AND rate <= 0.5 AS verdict_consistency, valid, array_to_string(missing, ',') AS missing FROM ck")
 def _(spark, sf):
     p = first_sentence_pairs(spark, sf).where("evidence <> ''")
     ctx = F.array(F.struct(F.lit(1).alias("citation_id"), F.lit(None).cast("string").alias("title"), F.col("evidence").alias("text")))
@@ -731,7 +750,11 @@ def _(spark, sf):
     return tab(spark, sf, "benchmark").select("item_id", X.evidence_style("text").alias("style"))
 
 
-@query("f13_rendered_evidence")
+_RENDER = f"""{BM25}, {sql_topk(5)}, rb AS (SELECT query_id, rank, {B.clean("d.text")} AS x, {B.clean("coalesce(d.source, '')")} AS t FROM top JOIN d USING (ord)),
+rk AS (SELECT * FROM rb WHERE x <> '' QUALIFY row_number() OVER (PARTITION BY query_id, lower(t), lower(x) ORDER BY rank) = 1), rn AS (SELECT query_id, CASE WHEN t <> '' THEN t || ': ' ELSE '' END || x AS body, row_number() OVER (PARTITION BY query_id ORDER BY lower(t), lower(x), rank) AS i FROM rk)"""
+
+
+@query("f13_rendered_evidence", f"WITH {_RENDER} SELECT query_id, style, md5(string_agg({B.styled('style', 'i', 'body')}, chr(10) ORDER BY i)) AS rendered_md5 FROM rn, (SELECT unnest({sql_list(C.STYLES)}) AS style) GROUP BY ALL")
 def _(spark, sf):
     p = claim_passages(spark, sf).groupBy("query_id", "claim").agg(F.array_sort(F.collect_list(F.struct("rank", "title", "text"))).alias("l"))
     p = p.withColumn("passages", F.transform("l", lambda x: F.struct(x["title"].alias("title"), x["text"].alias("text"))))
@@ -833,13 +856,16 @@ def _(spark, sf):
     return m.select("ord", md5(1).alias("user_md5"), md5(2).alias("assistant_md5"))
 
 
-@query("f39_json_chat_examples")
+@query("f39_json_chat_examples", f"WITH {_FSP}, r AS (SELECT *, CASE ord % 3 WHEN 0 THEN 'SUPPORTED' WHEN 1 THEN 'REFUTED' ELSE 'NOT_ENOUGH_INFO' END AS label FROM fsp) SELECT ord, '{{\"verdict\":' || to_json({_SHOW}) || ',\"explanation\":' || to_json({_TOLD}) || ',\"citations\":' || CASE WHEN evidence = '' THEN '[]' ELSE '[1]' END || '}}' AS assistant FROM r")
 def _(spark, sf):
     rows = sft_rows(spark, sf).withColumn("label", L.artifact_label("label"))
     return builders.chat_examples(rows, as_json=True).select("ord", F.get("messages", F.lit(2))["content"].alias("assistant"))
 
 
-@query("f40_preference_pairs")
+@query("f40_preference_pairs", f"""WITH {_FSP}, r AS (SELECT *, CASE ord % 3 WHEN 0 THEN 'SUPPORTED' WHEN 1 THEN 'REFUTED' ELSE 'NOT_ENOUGH_INFO' END AS label FROM fsp WHERE {B.trim("evidence")} <> ''), v AS (SELECT ord, claim, evidence, {_SHOW} AS v, {_TOLD} AS told FROM r),
+{B.checked("SELECT ord AS key, told FROM v", "SELECT ord AS key, 1 AS id, evidence AS text FROM v")}, k AS (SELECT v.*, (row_number() OVER (ORDER BY ord) - 1) % 3 AS kind, CASE v WHEN 'SUPPORTED' THEN 'REFUTED' ELSE 'SUPPORTED' END AS w, regexp_replace(evidence, '[.!?]+$', '') AS lead FROM v JOIN ck ON ck.key = v.ord WHERE valid)
+SELECT ord, v AS gold_label, {sql_list(C.PREFERENCE_FAULTS)}[kind + 1] AS rejection_type, md5('Verdict: ' || v || chr(10) || 'Explanation: ' || told || chr(10) || 'Citation: [1]') AS chosen_md5,
+  md5('Verdict: ' || CASE kind WHEN 0 THEN w ELSE v END || chr(10) || 'Explanation: ' || CASE kind WHEN 0 THEN '[1] ' || lead || ' and therefore ' || CASE w WHEN 'SUPPORTED' THEN 'supports the claim' ELSE 'contradicts the claim' END || '.' WHEN 1 THEN '[2] ' || lead || ' therefore the claim is ' || lower(v) || '.' ELSE 'The claim is ' || lower(v) || ' based on general background knowledge.' END || chr(10) || 'Citation: ' || CASE kind WHEN 0 THEN '[1]' WHEN 1 THEN '[2]' ELSE '(none)' END) AS rejected_md5 FROM k""")
 def _(spark, sf):
     rows = sft_rows(spark, sf).withColumn("label", L.artifact_label("label"))
     p = builders.preference_pairs(rows)
@@ -954,26 +980,38 @@ def _(spark, sf):
 
 
 def _mining(spark, sf) -> tuple[DataFrame, DataFrame]:
-    q, d, g = claims(spark, sf), corpus(spark, sf), gold(spark, sf)
+    q, d, g = claims(spark, sf), corpus(spark, sf), R.once(gold(spark, sf))
     positive = g.groupBy("query_id").agg(F.min("ord").alias("ord")).join(d.select("ord", F.col("text").alias("positive")), "ord").drop("ord")
     rows = labelled_claims(spark, sf).join(positive, "query_id").select("query_id", F.col("text").alias("claim"), "positive", "label")
     bm25, dense = R.bm25_topk(q, d, 8), R.dense_topk(R.with_embedding(q), R.with_embedding(d), 24)
     return rows, builders.mine_negatives(rows, d, bm25, dense)
 
 
-@query("b04_hard_negatives")
+_MINE = f"""WITH {BM25}, {sql_topk(8)}, {_HASH}, {sql_dense(24)},
+ps AS (SELECT g.query_id, d.text AS positive FROM (SELECT query_id, min(ord) AS ord FROM gold GROUP BY query_id) g JOIN d USING (ord)), mc AS (SELECT lc.query_id, lc.text AS claim, positive, label FROM lc JOIN ps USING (query_id)),
+m1 AS (SELECT query_id, text, row_number() OVER (PARTITION BY query_id ORDER BY r, text) AS place FROM (SELECT t.query_id, d.text, min(t.rank) AS r FROM top t JOIN d USING (ord) JOIN ps USING (query_id) WHERE d.text <> positive GROUP BY ALL) QUALIFY place <= 2),
+m2 AS (SELECT query_id, text, row_number() OVER (PARTITION BY query_id ORDER BY r, text) AS place FROM (SELECT t.query_id, d.text, min(t.rank) AS r FROM dense t JOIN d USING (ord) JOIN ps USING (query_id) WHERE d.text <> positive GROUP BY ALL) x WHERE NOT EXISTS (SELECT 1 FROM m1 WHERE m1.query_id = x.query_id AND m1.text = x.text) QUALIFY place <= 2),
+hv AS (SELECT query_id, text, 'bm25_hard_negative' AS negative_type, place FROM m1 UNION ALL SELECT query_id, text, 'dense_hard_negative', place FROM m2),
+pl AS (SELECT text, row_number() OVER (ORDER BY sha256('42|' || text)) - 1 AS place, count(*) OVER () AS size FROM (SELECT DISTINCT text FROM d)),
+dw AS (SELECT ps.query_id, ps.positive, pl.text, k AS rank FROM ps, (SELECT unnest(range(10)) AS k) JOIN pl ON pl.place = (('0x' || substr(sha256('42|' || ps.query_id), 1, 8))::BIGINT + k) % pl.size WHERE k < pl.size),
+m3 AS (SELECT w.query_id, w.text, row_number() OVER (PARTITION BY w.query_id ORDER BY w.rank, w.text) AS place, greatest(1, 5 - (SELECT count(*) FROM hv WHERE hv.query_id = w.query_id)) AS need FROM dw w WHERE w.text <> w.positive AND NOT EXISTS (SELECT 1 FROM hv WHERE hv.query_id = w.query_id AND hv.text = w.text) QUALIFY place <= need),
+ng AS (SELECT * FROM hv UNION ALL SELECT query_id, text, 'random_negative', place FROM m3),
+nl AS (SELECT query_id, list(text ORDER BY CASE negative_type WHEN 'bm25_hard_negative' THEN 1 WHEN 'dense_hard_negative' THEN 2 ELSE 3 END, place, text) AS l FROM ng GROUP BY query_id)"""
+
+
+@query("b04_hard_negatives", f"{_MINE} SELECT query_id, negative_type, place::INT AS place, md5(text) AS text_md5 FROM ng")
 def _(spark, sf):
     _, negatives = _mining(spark, sf)
     return negatives.select("query_id", "negative_type", "place", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-@query("b08_training_pairs")
+@query("b08_training_pairs", f"{_MINE} SELECT query_id, 1 AS relevance, 'gold' AS negative_type, label, md5(positive) AS evidence_md5 FROM mc UNION ALL SELECT ng.query_id, 0, negative_type, label, md5(text) FROM ng JOIN mc USING (query_id)")
 def _(spark, sf):
     _, pairs = builders.training_pairs(*_mining(spark, sf))
     return pairs.select("query_id", "relevance", "negative_type", "label", F.md5(F.col("evidence").cast("binary")).alias("evidence_md5"))
 
 
-@query("p13_spread_negatives")
+@query("p13_spread_negatives", f"{_MINE} SELECT query_id, md5(claim) AS anchor, md5(positive) AS positive, md5(l[1]) AS negative_1, md5(l[2]) AS negative_2, md5(l[3]) AS negative_3 FROM mc JOIN nl USING (query_id) WHERE len(l) >= 3")
 def _(spark, sf):
     retriever, _ = builders.training_pairs(*_mining(spark, sf))
     return builders.spread_negatives(retriever, 3).select("query_id", *[F.md5(F.col(c).cast("binary")).alias(c) for c in ("anchor", "positive", "negative_1", "negative_2", "negative_3")])
@@ -1020,7 +1058,13 @@ def _(spark, sf):
     return builders.robust_union(oracle, pairs).groupBy("label", "evidence_type").agg(F.count("*").alias("n"))
 
 
-@query("b11_topk_augmented")
+_AUG = f"""{_PAIRS}, ah AS (SELECT query_id, ord, text, {_HEUR} AS s FROM pr), ar AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, CAST(ord AS VARCHAR)) AS rank FROM ah QUALIFY rank <= 5),
+ab AS (SELECT k, ar.query_id, lc.text || ':top' || k AS seed, {B.clean("ar.text")} AS x, rank FROM ar JOIN lc USING (query_id), (SELECT unnest([1, 3, 5]) AS k) WHERE rank <= k),
+ai AS (SELECT *, row_number() OVER (PARTITION BY k, query_id ORDER BY rank) - 1 AS i FROM ab WHERE x <> ''), ao AS (SELECT *, row_number() OVER (PARTITION BY k, query_id ORDER BY sha256(seed || '|' || i)) AS n, {B.style_of("seed")} AS style FROM ai),
+ax AS (SELECT query_id, k, string_agg({B.styled("style", "n", "x")}, chr(10) ORDER BY n) AS r FROM ao GROUP BY ALL), aw AS (SELECT query_id, max(r) FILTER (k = 1) AS r1, max(r) FILTER (k = 3) AS r3, max(r) FILTER (k = 5) AS r5 FROM ax GROUP BY query_id)"""
+
+
+@query("b11_topk_augmented", f"{_AUG} SELECT lc.query_id AS ord, label, CASE WHEN row_number() OVER (ORDER BY lc.query_id) % 2 = 1 THEN 'gold' ELSE 'retrieved_top3' END AS mixed_source, md5(coalesce(r1, '')) AS top1_evidence, md5(coalesce(r3, '')) AS top3_evidence, md5(coalesce(r5, '')) AS top5_evidence, md5(CASE WHEN row_number() OVER (ORDER BY lc.query_id) % 2 = 1 THEN lc.text ELSE coalesce(r3, '') END) AS mixed_evidence FROM lc LEFT JOIN aw USING (query_id)")
 def _(spark, sf):
     p = ranking.rerank(_bm25_with_text(spark, sf), ranking.heuristic_score("claim", "text"), 5)
     rows = labelled_claims(spark, sf).select(F.col("query_id").alias("ord"), F.col("text").alias("claim"), "label", F.col("text").alias("evidence"))
@@ -1034,7 +1078,11 @@ _OUT = f"""WITH {_PRED}, w AS (SELECT ve.query_id, ve.verdict, ve.confidence, (S
 SELECT query_id, verdict, round(confidence, 6) AS confidence FROM w"""
 
 
-@query("u08_verify_claims")
+_OUTCOME = f"""WITH {_PRED}, {B.checked("SELECT ve.query_id AS key, '[1] ' || regexp_replace(pp.text, '[.!?]+$', '') || ' and therefore ' || CASE ve.verdict WHEN 'SUPPORTED' THEN 'supports the claim' WHEN 'REFUTED' THEN 'contradicts the claim' ELSE 'does not establish the claim' END || '.' AS told FROM ve JOIN pp ON pp.query_id = ve.query_id AND pp.rank = 1", "SELECT query_id AS key, rank::INT AS id, text FROM pp")},
+oc AS (SELECT ve.query_id, ve.verdict, ve.confidence, ck.valid, ck.precision, ck.rate, ve.confidence < 0.55 AS low FROM ve JOIN ck ON ck.key = ve.query_id)"""
+
+
+@query("u08_verify_claims", f"{_OUTCOME} SELECT query_id, verdict, round(confidence, 6)::DOUBLE AS confidence, CASE WHEN NOT low AND valid THEN 'final' ELSE 'abstain' END AS decision, NOT low AND valid AS citation_valid, CASE WHEN low OR valid THEN 0 ELSE 2 END AS retries_used, round(CASE WHEN low THEN 0.0 ELSE precision END, 6)::DOUBLE AS citation_precision, round(CASE WHEN low THEN 0.0 ELSE rate END, 6)::DOUBLE AS unsupported_sentence_rate FROM oc")
 def _(spark, sf):
     out = api.verify(claims(spark, sf), corpus(spark, sf))
     return out.select("query_id", "verdict", F.round("confidence", 6).alias("confidence"), "decision", "citation_valid", "retries_used", F.round("citation_precision", 6).alias("citation_precision"), F.round("unsupported_sentence_rate", 6).alias("unsupported_sentence_rate"))
@@ -1045,7 +1093,7 @@ def _(spark, sf):
     return api.verify(claims(spark, sf), corpus(spark, sf)).select("query_id", "verdict", F.round("confidence", 6).alias("confidence"))
 
 
-@query("api_pipeline")
+@query("api_pipeline", f"{_OUTCOME} SELECT query_id, verdict, 5 AS n_evidence, valid FROM oc")
 def _(spark, sf):
     return api.pipeline(claims(spark, sf), corpus(spark, sf)).select("query_id", "verdict", F.size("evidence").alias("n_evidence"), "check.valid")
 
@@ -1087,14 +1135,26 @@ def _evidences(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     return q, oracle.select("query_id", "rank", "text"), api.evidence_for(q, d, 5).select("query_id", "rank", "text")
 
 
-@query("a64_retrieval_by_strategy")
+@query("a64_retrieval_by_strategy", f"""WITH {_CHANNELS}, {B.bm25("t", 10, docs="td")}, {B.rrf("h1", _BASIC, 10)}, {B.rrf("h2", [*_BASIC, "SELECT query_id.q, ord, rank, query_id.n + 2 FROM etop"], 10)}, {B.rrf("h3", [*_BASIC, "SELECT query_id, ord, rank, 2 FROM ttop"], 10)},
+ra AS (SELECT 'bm25_only' AS strategy, query_id, ord, rank FROM btop UNION ALL SELECT 'dense_only', query_id, ord, rank FROM dense UNION ALL SELECT 'hybrid_bm25_dense', query_id, ord, rank FROM h1 UNION ALL SELECT 'hybrid_with_query_expansion', query_id, ord, rank FROM h2 UNION ALL SELECT 'hybrid_with_titles', query_id, ord, rank FROM h3), {B.per_strategy("ra", 10)} SELECT * FROM me""")
 def _(spark, sf):
     from claimloom.plans import evaluate
 
     return _rounded(evaluate.retrieval_by_strategy(claims(spark, sf), corpus(spark, sf), gold(spark, sf)), "strategy")
 
 
-@query("a67_oracle_vs_retrieved")
+_BOTH = f"""{BM25}, {sql_topk(5)}, ev AS (SELECT 'retrieved' AS src, top.query_id, top.rank, q.text AS claim, d.text FROM top JOIN q USING (query_id) JOIN d USING (ord) UNION ALL SELECT 'oracle', g.query_id, row_number() OVER (PARTITION BY g.query_id ORDER BY g.ord), q.text, d.text FROM (SELECT DISTINCT * FROM gold) g JOIN q USING (query_id) JOIN d USING (ord)),
+e0 AS (SELECT src, 'per_passage_max' AS mode, query_id, claim, text FROM ev UNION ALL SELECT src, 'bundle', query_id, any_value(claim), string_agg(text, chr(10) ORDER BY rank) FROM ev GROUP BY src, query_id),
+e1 AS (SELECT src, mode, query_id, {sql_space("claim")} AS ct, {sql_space("text")} AS et FROM e0),
+e2 AS (SELECT src, mode, query_id, least(0.99, 0.45 + {sql_overlap("ct", "et")} / 2) AS cf, CASE WHEN list_contains(et, 'not') AND len(list_intersect(ct, et)) > 0 THEN 'REFUTED' WHEN {sql_overlap("ct", "et")} >= 0.45 THEN 'SUPPORTED' ELSE 'NOT ENOUGH INFO' END AS v FROM e1),
+e3 AS (SELECT src, mode, query_id, count(*) AS n, any_value(v) AS v1, any_value(cf) AS c1, max(CASE WHEN v = 'SUPPORTED' THEN 0.7::DOUBLE ELSE 0.1 END) AS s, max(CASE WHEN v = 'REFUTED' THEN 0.7::DOUBLE ELSE 0.1 END) AS r, max(CASE WHEN v = 'NOT ENOUGH INFO' THEN 0.7::DOUBLE ELSE 0.1 END) AS x FROM e2 GROUP BY ALL),
+e4 AS (SELECT src, mode, query_id, CASE WHEN n = 1 THEN v1 WHEN s >= 0.5 AND s > r THEN 'SUPPORTED' WHEN r >= 0.5 AND r > s THEN 'REFUTED' ELSE 'NOT ENOUGH INFO' END AS p, CASE WHEN n = 1 THEN c1 WHEN s >= 0.5 AND s > r THEN s WHEN r >= 0.5 AND r > s THEN r ELSE greatest(x, 1 - greatest(s, r)) END AS confidence FROM e3),
+pb AS (SELECT m.src AS evidence_source, m.mode, lc.query_id, lc.label AS y, coalesce(p, 'NOT ENOUGH INFO') AS p, coalesce(confidence, 0.34)::DOUBLE AS confidence FROM lc CROSS JOIN (SELECT DISTINCT src, mode FROM (SELECT unnest(['oracle', 'retrieved']) AS src), (SELECT unnest(['per_passage_max', 'bundle']) AS mode)) m LEFT JOIN e4 ON e4.src = m.src AND e4.mode = m.mode AND e4.query_id = lc.query_id),
+pf1 AS (SELECT evidence_source, mode, l.label, CASE WHEN count(*) FILTER (y = l.label AND p = l.label) > 0 THEN 2.0::DOUBLE * count(*) FILTER (y = l.label AND p = l.label) / (count(*) FILTER (y = l.label) + count(*) FILTER (p = l.label)) ELSE 0.0 END AS f1, count(*) FILTER (y = l.label OR p = l.label) AS seen FROM pb, (SELECT unnest({sql_list(C.LABELS)}) AS label) l GROUP BY ALL),
+pe AS (SELECT a.*, f.macro_f1 FROM (SELECT evidence_source, mode, count(*) AS n, avg(CASE WHEN y = p THEN 1.0::DOUBLE ELSE 0.0 END) AS accuracy, coalesce(count(*) FILTER (y = 'NOT ENOUGH INFO' AND p <> y)::DOUBLE / nullif(count(*) FILTER (y = 'NOT ENOUGH INFO'), 0), 0.0) AS nei_fpr, avg(confidence) AS mean_confidence FROM pb GROUP BY ALL) a JOIN (SELECT evidence_source, mode, avg(f1) AS macro_f1 FROM pf1 WHERE seen > 0 GROUP BY ALL) f USING (evidence_source, mode))"""
+
+
+@query("a67_oracle_vs_retrieved", f"WITH {_BOTH} SELECT evidence_source, mode, n, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1, round(nei_fpr, 6) AS nei_fpr, round(mean_confidence, 6) AS mean_confidence FROM pe")
 def _(spark, sf):
     from claimloom.plans import evaluate
 
@@ -1118,7 +1178,7 @@ def _(spark, sf):
     return evaluate.error_breakdown(p, labelled_claims(spark, sf)).withColumn("rate", F.round("rate", 6))
 
 
-@query("a32_mode_deltas")
+@query("a32_mode_deltas", f"WITH {_BOTH} SELECT mode, round(max(accuracy) FILTER (evidence_source = 'oracle') - max(accuracy) FILTER (evidence_source = 'retrieved'), 6) AS delta_accuracy, round(max(macro_f1) FILTER (evidence_source = 'oracle') - max(macro_f1) FILTER (evidence_source = 'retrieved'), 6) AS delta_macro_f1 FROM pe GROUP BY mode")
 def _(spark, sf):
     from claimloom.plans import evaluate
 
@@ -1126,7 +1186,7 @@ def _(spark, sf):
     return _rounded(evaluate.mode_deltas(evaluate.evaluate_predictions(p, labelled_claims(spark, sf))), "mode")
 
 
-@query("a34_subset_accuracy")
+@query("a34_subset_accuracy", f"WITH {_BOTH}, {B.bm25('s', 50)}, sf AS (SELECT t.query_id, min(t.rank) AS first FROM stop t JOIN gold g ON g.query_id = t.query_id AND g.ord = t.ord GROUP BY ALL) SELECT k, coalesce(first <= k, false) AS hit, count(*) AS n, round(avg(CASE WHEN y = p THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS accuracy FROM pb LEFT JOIN sf USING (query_id), (SELECT unnest([10, 50]) AS k) WHERE evidence_source = 'retrieved' AND mode = 'per_passage_max' GROUP BY ALL")
 def _(spark, sf):
     from claimloom.plans import evaluate
 
@@ -1135,7 +1195,7 @@ def _(spark, sf):
     return evaluate.subset_accuracy(p, labelled_claims(spark, sf), R.bm25_topk(q, d, 50), gold(spark, sf)).withColumn("accuracy", F.round("accuracy", 6))
 
 
-@query("b16_failure_examples")
+@query("b16_failure_examples", f"WITH {_BOTH}, wr AS (SELECT query_id AS ord, y AS label, p AS verdict, row_number() OVER (PARTITION BY y, p ORDER BY query_id) AS rn, min(query_id) OVER (PARTITION BY y, p) AS first FROM pb WHERE evidence_source = 'retrieved' AND mode = 'per_passage_max' AND y <> p) SELECT ord, label, verdict, row_number() OVER (ORDER BY rn, first)::INT AS turn FROM wr ORDER BY rn, first LIMIT 20")
 def _(spark, sf):
     from claimloom.plans import evaluate
 
@@ -1143,7 +1203,10 @@ def _(spark, sf):
     return evaluate.failure_examples(p, labelled_claims(spark, sf)).select("ord", "label", "verdict", "turn")
 
 
-@query("a52_faithfulness")
+_TOLD52 = "SELECT ord AS key, '[1] ' || regexp_replace(evidence, '[.!?]+$', '') || ' and therefore supports the claim.' AS told FROM fsp WHERE evidence <> ''"
+
+
+@query("a52_faithfulness", f"WITH {_FSP}, {B.checked(_TOLD52, _CTX1)} SELECT count(*) AS n, round_even(avg(CASE WHEN valid THEN 1.0::DOUBLE ELSE 0.0 END), 4) AS citation_valid, round_even(avg(precision), 4) AS citation_precision, round_even(avg(rate), 4) AS unsupported_sentence_rate, round_even(avg(CASE WHEN precision >= 0.5 AND rate <= 0.5 THEN 1.0::DOUBLE ELSE 0.0 END), 4) AS verdict_consistency FROM ck")
 def _(spark, sf):
     from claimloom.plans import evaluate
 
@@ -1153,7 +1216,8 @@ def _(spark, sf):
     return evaluate.faithfulness(p, told, ctx)
 
 
-@query("a53_explanation_metrics")
+@query("a53_explanation_metrics", f"""WITH {_FSP}, l AS (SELECT *, CASE ord % 3 WHEN 0 THEN 'SUPPORTED' WHEN 1 THEN 'REFUTED' ELSE 'NOT_ENOUGH_INFO' END AS label FROM fsp), sd AS (SELECT ord, label, {B.trim("evidence")} AS ev, {B.trim(_SAID)} AS said FROM l), {B.checked("SELECT ord AS key, said AS told FROM sd", "SELECT ord AS key, 1 AS id, ev AS text FROM sd WHERE ev <> ''")}
+SELECT label AS verifier_label, count(*) AS n, 1.0::DOUBLE AS format_correctness, 1.0::DOUBLE AS decision_consistency, round_even(avg(CASE WHEN ev <> '' THEN 1.0::DOUBLE ELSE 0.0 END), 4) AS citation_presence, round_even(avg(CASE WHEN ev <> '' THEN 1.0::DOUBLE ELSE 0.0 END), 4) AS citation_precision, round_even(avg(rate), 4) AS unsupported_rate, round_even(avg(len({B.words("said")})::DOUBLE), 4) AS average_length FROM sd JOIN ck ON ck.key = sd.ord GROUP BY label""")
 def _(spark, sf):
     from claimloom.plans import evaluate
 
@@ -1171,7 +1235,8 @@ def _(spark, sf):
     return models.classify(model, d.select("doc_id", "text", "label")).select("doc_id", "label", "predicted", F.round("confidence", 2).alias("confidence"))
 
 
-@query("v15_verifier_inputs")
+@query("v15_verifier_inputs", f"""WITH {BM25}, {sql_topk(5)}, b0 AS (SELECT query_id, rank, q.text AS claim, unnest(string_split(d.text, chr(10))) AS raw, generate_subscripts(string_split(d.text, chr(10)), 1) AS i FROM top JOIN q USING (query_id) JOIN d USING (ord)), b1 AS (SELECT *, {B.clean("raw")} AS b FROM b0),
+b2 AS (SELECT query_id, lower(b) AS k, arg_min(b, {{'r': rank, 'i': i}}) AS b FROM b1 WHERE b <> '' GROUP BY ALL) SELECT q.query_id, md5('Claim: ' || any_value(q.text) || chr(10) || 'Evidence: ' || coalesce(string_agg(b2.b, chr(10) ORDER BY b2.k), '')) AS input_md5 FROM q LEFT JOIN b2 ON b2.query_id = q.query_id GROUP BY q.query_id""")
 def _(spark, sf):
     from claimloom.operators import models
 
@@ -1284,7 +1349,7 @@ def _(spark, sf):
 
 _NARROW = {
     "n_tokens": ("r01_tokenize",), "rank": ("r04_bm25_okapi_topk", "r05_bm25_topk", "r13_dense_topk", "r17_vector_store_ip", "k13_ranking_strategies", "v01_rule_verdicts", "w04_running_hits", "f21_verifier_explanation"),
-    "fused_rank": ("r14_rrf", "r15_hybrid_topk"), "rerank_rank": ("k01_heuristic_rerank", "k02_model_rerank"), "place": ("a45_pareto_report",), "turn": ("w07_round_robin",), "n_sentences": ("f03_sentences",), "winning_rank": ("v04_aggregated_verdicts",),
+    "fused_rank": ("r14_rrf", "r15_hybrid_topk"), "rerank_rank": ("k01_heuristic_rerank", "k02_model_rerank"), "turn": ("w07_round_robin",), "n_sentences": ("f03_sentences",), "winning_rank": ("v04_aggregated_verdicts",),
 }
 for _column, _names in _NARROW.items():
     for _name in _names:

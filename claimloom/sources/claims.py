@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.functions.labels import dataset_label
 from claimloom.functions.text import sentences, unescape_title
 from claimloom.operators.dedupe import keep_first
+from claimloom.operators.numbering import numbered_by
 
 ANNOTATED = "id bigint, claim string, label string, verifiable string, split string, evidence array<array<array<string>>>"
 GROUPED = "id bigint, claim string, split string, evidence map<string,array<struct<sentences:array<int>,label:string>>>, cited_doc_ids array<bigint>"
@@ -65,7 +66,9 @@ def annotated_groups(rows: DataFrame, cache: DataFrame) -> DataFrame:
 def abstracts(rows: DataFrame) -> DataFrame:
     """Passages (ord, doc_id, text, title) of a corpus of sentence lists."""
     text = F.array_join(F.filter(F.coalesce("abstract", F.array().cast("array<string>")), lambda s: s != ""), " ")
-    return rows.select((F.row_number().over(Window.orderBy("doc_id")) - 1).alias("ord") if "ord" not in rows.columns else F.col("ord"), F.col("doc_id").cast("string").alias("doc_id"), text.alias("text"), F.coalesce("title", F.lit("")).alias("title"))
+    if "ord" not in rows.columns:
+        rows = numbered_by(rows, "doc_id", "__place").withColumn("ord", F.col("__place") - 1)
+    return rows.select("ord", F.col("doc_id").cast("string").alias("doc_id"), text.alias("text"), F.coalesce("title", F.lit("")).alias("title"))
 
 
 def grouped_label(evidence: Column) -> Column:

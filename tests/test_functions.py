@@ -122,7 +122,7 @@ def test_hashing_embedding(spark):
         return [x / n for x in v] if n else v
 
     texts = ["Alpha beta beta", "", "x"]
-    rows = V.hashing_embedding(spark.createDataFrame(list(enumerate(texts)), "ord long, text string")).collect()
+    rows = spark.createDataFrame(list(enumerate(texts)), "ord long, text string").withColumn("vector", V.hashing_embedding("text")).collect()
     for r in rows:
         assert max(abs(a - b) for a, b in zip(r["vector"], plain(r["text"]), strict=True)) < 1e-12
 

@@ -134,12 +134,70 @@ def test_mining_excludes_the_positive(spark):
     got = builders.mine_negatives(claims, corpus, bm25, dense).collect()
     texts = [r["text"] for r in got]
     assert len(texts) == len(set(texts)) == 5 and "text 0" not in texts
-    assert sorted(r["text"] for r in got if r["negative_type"] == "bm25") == ["text 1", "text 2"]
-    assert sorted(r["text"] for r in got if r["negative_type"] == "dense") == ["text 3", "text 4"]
+    assert sorted(r["text"] for r in got if r["negative_type"] == "bm25_hard_negative") == ["text 1", "text 2"]
+    assert sorted(r["text"] for r in got if r["negative_type"] == "dense_hard_negative") == ["text 3", "text 4"]
     retriever, pairs = builders.training_pairs(claims, builders.mine_negatives(claims, corpus, bm25, dense))
     assert len(retriever.first()["hard_negatives"]) == 5 and pairs.where("relevance = 1").count() == 1
 
 
+def test_random_negatives_come_from_the_whole_corpus(spark):
+    corpus = frame(spark, [(i, f"text {i % 300}") for i in range(600)], "ord long, text string")
+    claims = frame(spark, [(q, "c", f"text {q % 300}", "SUPPORTED") for q in range(400)], "query_id long, claim string, positive string, label string")
+    none = frame(spark, [], "query_id long, ord long, rank int")
+    rows = builders.mine_negatives(claims, corpus, none, none).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["query_id"], set()).add(r["text"])
+    assert len(by) == 400 and all(len(t) == 5 and f"text {q % 300}" not in t for q, t in by.items())
+    assert len(set().union(*by.values())) == 300
+    few = builders.mine_negatives(claims.where("query_id = 0"), corpus.where("ord < 3"), none, none).collect()
+    assert {r["text"] for r in few} == {"text 1", "text 2"} and {r["negative_type"] for r in few} == {"random_negative"}
+    assert builders.mine_negatives(claims, corpus.where("ord < 0"), none, none).count() == 0
+
+
+def test_dense_against_all_pairs(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    d = np.round(rng.normal(size=(150, 4)), 1)
+    d[::7] = d[0]
+    d[5] = 0
+    q = np.round(rng.normal(size=(9, 4)), 1)
+    corpus = frame(spark, [(i, v.tolist()) for i, v in enumerate(d)] + [(999, None)], "ord long, vector array<double>").repartition(3)
+    queries = frame(spark, [(f"q{i}", v.tolist()) for i, v in enumerate(q)] + [("none", None)], "query_id string, vector array<double>")
+    for metric in ("cosine", "ip"):
+        got = {(r["query_id"], r["rank"]): (r["ord"], r["score"]) for r in R.dense_topk(queries, corpus, 10, metric).collect()}
+        s = q @ d.T
+        if metric == "cosine":
+            s = s / np.linalg.norm(q, axis=1)[:, None] / np.maximum(np.linalg.norm(d, axis=1), 1e-300)[None]
+        assert len(got) == 90
+        for i in range(9):
+            order = sorted(range(150), key=lambda j: (-round(s[i, j], 9), j))[:10]
+            assert [got[f"q{i}", r + 1][0] for r in range(10)] == order
+            assert all(abs(got[f"q{i}", r + 1][1] - s[i, order[r]]) < 1e-12 for r in range(10))
+    assert R.dense_topk(queries, corpus.where("ord < 0"), 3).count() == 0 and R.dense_topk(queries.where("query_id = ''"), corpus, 3).count() == 0
+
+
+def test_okapi_fills_up_with_unmatched_passages(spark):
+    texts = ["common word"] * 6 + ["rare common", "other thing", "third", "x common"]
+    corpus = frame(spark, list(enumerate(texts)), "ord long, text string")
+    q = frame(spark, [(1, "common"), (2, "rare"), (3, "nothing here")], "query_id long, text string")
+    full = R.bm25_scores(q, corpus, variant="okapi").collect()
+    score = {(r["query_id"], r["ord"]): r["score"] for r in full}
+    for k in (1, 3, 10):
+        got = {}
+        for r in R.bm25_topk(q, corpus, k, variant="okapi").collect():
+            got.setdefault(r["query_id"], {})[r["rank"]] = r["ord"]
+        for i in (1, 2, 3):
+            assert [got[i][r] for r in sorted(got[i])] == sorted(range(10), key=lambda o: (-round(score.get((i, o), 0.0), 9), o))[:k]
+
+
+def test_keep_first_prunes_before_the_shuffle(spark):
+    df = frame(spark, [(i, "same") for i in range(20)], "ord long, text string")
+    got = dedupe.keep_first(df, ["text"], ["ord"])
+    assert [r["ord"] for r in got.collect()] == [0] and "WindowGroupLimit" in got._jdf.queryExecution().toString()
+
+
 def test_preferences(spark):
     good = '{"verdict": "SUPPORTED", "explanation": "[1] Paris is the capital.", "citations": ["1"]}'
     ctx = F.array(F.struct(F.lit(1).alias("citation_id"), F.lit(None).cast("string").alias("title"), F.lit("Paris is the capital.").alias("text")))
@@ -187,3 +245,7 @@ def test_global_numbers(spark):
     assert [r["s"] for r in sorted(rows, key=lambda r: r["rn"])] == sorted(r["s"] for r in rows)
     assert sorted(r["rn"] for r in rows) == list(range(1, len(rows) + 1))
     assert numbering.numbered_by(numbers.where("x < 0"), "x").count() == 0
+    ids = spark.createDataFrame([(f"doc_{i:06d}",) for i in rng.sample(range(10**6), 500)], "id string")
+    rows = numbering.numbered_by(ids, "id").collect()
+    assert [r["id"] for r in sorted(rows, key=lambda r: r["rn"])] == sorted(r["id"] for r in rows)
+    assert ids.select(numbering.bucket_of(ids, "id")).distinct().count() > 50
