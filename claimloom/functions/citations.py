@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions import constants as C
@@ -41,6 +43,34 @@ def check_citations(explanation: Column | str, context: Column) -> Column:
     return F.struct(precision.alias("citation_precision"), rate.alias("unsupported_sentence_rate"), ((precision >= 0.5) & (rate <= 0.5)).alias("verdict_consistency"), ((F.size(missing) == 0) & (rate == 0)).alias("valid"), F.array_sort(missing).alias("missing_citations"), unsupported.alias("unsupported_sentences"))
 
 
+def hallucination_rate(check: Column) -> Column:
+    """Share of sentences that nothing cited supports."""
+    return check["unsupported_sentence_rate"]
+
+
+def unsupported_rate(explanation: Column | str, context: Column) -> Column:
+    """The share of unsupported sentences; without context 1 for any text and 0 for none."""
+    return F.when(F.size(context) == 0, F.when(strip(explanation) != "", 1.0).otherwise(0.0)).otherwise(check_citations(explanation, context)["unsupported_sentence_rate"])
+
+
+def validated_citations(rows: DataFrame, key: str, explanation: str, context: str, validator: Callable[[Column, Column], Column]) -> DataFrame:
+    """(key, check): check_citations() with a model's word for support in place of word overlap.
+
+    `validator(sentence, passage text)` is a boolean column, a pandas_udf of an
+    entailment model for instance; it sees every sentence beside each passage it cites
+    and no other. Keys must tell rows apart.
+    """
+    base = rows.select(F.col(key).alias("key"), check_citations(explanation, F.col(context)).alias("c"), cited_sentences(explanation).alias("parts"), F.col(context).alias("ctx"))
+    parts = base.select("key", "ctx", F.posexplode("parts").alias("i", "s"))
+    cited = parts.select("key", "i", "s", F.explode(F.filter("ctx", lambda x: F.array_contains(cited_ids("s"), x["citation_id"].cast("int")))).alias("x"))
+    backed = cited.select("key", "i", validator(F.col("s"), F.col("x.text")).alias("ok")).groupBy("key", "i").agg(F.max("ok").alias("ok"))
+    found = parts.join(backed, ["key", "i"], "left").where(~F.coalesce("ok", F.lit(False))).groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda p: p["s"]).alias("u"))
+    unsupported = F.coalesce("u", F.array().cast("array<string>"))
+    rate = share(F.size(unsupported), F.size("parts"))
+    check = F.struct(F.col("c.citation_precision").alias("citation_precision"), rate.alias("unsupported_sentence_rate"), ((F.col("c.citation_precision") >= 0.5) & (rate <= 0.5)).alias("verdict_consistency"), ((F.size("c.missing_citations") == 0) & (rate == 0)).alias("valid"), F.col("c.missing_citations").alias("missing_citations"), unsupported.alias("unsupported_sentences"))
+    return base.join(found, "key", "left").select(F.col("key").alias(key), check.alias("check"))
+
+
 def context_block(context: Column) -> Column:
     """[id] title: text, a line each."""
     title = lambda c: F.coalesce(F.concat(F.nullif(c["title"], F.lit("")), F.lit(": ")), F.lit(""))

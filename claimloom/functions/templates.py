@@ -107,6 +107,25 @@ def answer_fields(text: Column | str) -> Column:
     )
 
 
+def verdict_answer(text: Column | str) -> Column:
+    """Struct verdict, explanation of a Verdict / Explanation / Citation answer: UNPARSEABLE without a known verdict, the whole answer without an explanation."""
+    t = col(text)
+    told = F.regexp_extract(t, r"(?is)explanation:\s*(.*?)(?:\ncitation:|\z)", 1)
+    verdict = F.upper(F.regexp_extract(t, r"(?i)verdict:\s*(SUPPORTED|REFUTED|NOT ENOUGH INFO)", 1))
+    return F.struct(F.coalesce(F.nullif(verdict, F.lit("")), F.lit("UNPARSEABLE")).alias("verdict"), F.when(F.regexp_like(t, F.lit(r"(?i)explanation:")), strip(told)).otherwise(strip(t)).alias("explanation"))
+
+
+def chat_prompt(claim: Column, evidence: Column) -> Column:
+    """The user turn that asks for a verdict: claim, numbered evidence and task."""
+    block = F.when(evidence == "", C.NO_EVIDENCE_BLOCK).otherwise(F.concat(F.lit("[1] "), evidence))
+    return F.concat(F.lit("Claim: "), claim, F.lit("\nEvidence: "), block, F.lit("\n" + C.CHAT_TASK))
+
+
+def chat_line(system: str, prompt: Column, answer: Column) -> Column:
+    """A line of a chat split: JSON with the messages."""
+    return F.to_json(F.struct(chat(system, prompt, answer).alias("messages")))
+
+
 def chat(system: Column | str | None, user: Column, assistant: Column) -> Column:
     turns = [] if system is None else [("system", F.lit(system) if isinstance(system, str) else system)]
     return F.array(*[F.struct(F.lit(r).alias("role"), c.alias("content")) for r, c in [*turns, ("user", user), ("assistant", assistant)]])

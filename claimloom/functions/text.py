@@ -233,8 +233,8 @@ def date_tokens(text: Column | str) -> Column:
 
 
 def unescape_title(title: Column | str) -> Column:
-    """Wiki escapes: -LRB- ( -RRB- ) -LSB- [ -RSB- ] -COLON- : and underscores to spaces."""
-    out = col(title)
+    """Underscores to spaces, then wiki escapes: -LRB- ( -RRB- ) -LSB- [ -RSB- ] -COLON- :"""
+    out = F.replace(col(title), F.lit("_"), F.lit(" "))
     for a, b in (("-LRB-", "("), ("-RRB-", ")"), ("-LSB-", "["), ("-RSB-", "]"), ("-COLON-", ":")):
         out = F.replace(out, F.lit(a), F.lit(b))
     return out

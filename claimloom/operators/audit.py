@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions import constants as C
 from claimloom.functions import text as X
+from claimloom.operators.metrics import nearest_rank_percentiles
 
 
 def word_count(text: Column | str) -> Column:
@@ -56,3 +59,27 @@ def long_report(df: DataFrame, report: str, keys: list[str]) -> DataFrame:
     path = lambda c: F.concat_ws(".", *[F.col(k).cast("string") for k in keys], F.lit(c))
     each = F.explode(F.array(*[F.struct(path(c).alias("path"), F.col(c).cast("double").alias("value")) for c in values]))
     return df.select(F.lit(report).alias("report"), each.alias("e")).select("report", "e.path", "e.value")
+
+
+def preference_stats(pairs: DataFrame, valid: str = "chosen_citation_valid") -> DataFrame:
+    """One row: pairs, how many chosen answers cite validly, mean words of prompts, chosen and rejected answers."""
+    mean = lambda c: F.bround(F.avg(word_count(c)), 2).alias(f"avg_{c}_words")
+    return pairs.agg(F.count("*").alias("n"), F.count_if(F.col(valid)).alias("chosen_valid"), F.bround(F.avg(F.col(valid).cast("double")), 4).alias("chosen_valid_rate"), mean("prompt"), mean("chosen"), mean("rejected"))
+
+
+def merged_counts(parts: list[DataFrame], value: str = "value") -> DataFrame:
+    """Histograms (value, n) added up."""
+    return reduce(DataFrame.unionByName, parts).groupBy(value).agg(F.sum("n").alias("n"))
+
+
+def stage_latencies(log: DataFrame, stages: tuple[str, ...], request: str = "request_id", stage: str = "stage", ms: str = "ms") -> DataFrame:
+    """A row per request: milliseconds of each stage, 0 if it did not run, and in all."""
+    each = [F.coalesce(F.sum(F.when(F.col(stage) == s, F.col(ms))), F.lit(0.0)).alias(f"{s}_ms") for s in stages]
+    return log.groupBy(request).agg(*each, F.coalesce(F.sum(F.when(F.col(stage).isin(*stages), F.col(ms))), F.lit(0.0)).alias("total_ms"))
+
+
+def runtime_summary(runs: DataFrame, ms: str, by: tuple[str, ...], batch: int = 1) -> DataFrame:
+    """Runs, mean, p50 and p95 milliseconds and examples per second of each group."""
+    n = runs.where(F.col(ms).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.avg(ms).alias("mean_ms"))
+    n = n.withColumn("examples_per_second", F.when(F.col("mean_ms") > 0, batch / (F.col("mean_ms") / 1000.0)))
+    return n.join(nearest_rank_percentiles(runs, ms, (50.0, 95.0), by), list(by))

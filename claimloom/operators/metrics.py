@@ -151,3 +151,12 @@ def class_weights(rows: DataFrame, label: str, classes: int = 3) -> DataFrame:
     """n / (classes * count) of each label."""
     total = rows.agg(F.count("*").alias("total"))
     return rows.groupBy(label).agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select(label, "n", (F.col("total") / (classes * F.col("n"))).alias("weight"))
+
+
+def labelled_scores(pairs: DataFrame, by: tuple[str, ...] = (), labels: tuple[str, ...] = ("SUPPORTED", "REFUTED", "NOT ENOUGH INFO"), recall_of: str = "REFUTED") -> DataFrame:
+    """Accuracy, macro F1 over fixed labels (absent ones count as 0) and the recall of one label, per group."""
+    n, right = F.count("*"), F.col("y") == F.col("p")
+    hits = lambda v: F.count_if(right & (F.col("y") == v))
+    f1 = lambda v: F.when(hits(v) > 0, 2.0 * hits(v) / (F.count_if(F.col("y") == v) + F.count_if(F.col("p") == v))).otherwise(0.0)
+    gold = F.count_if(F.col("y") == recall_of)
+    return pairs.groupBy(*by).agg(n.alias("n"), F.coalesce(F.avg(right.cast("double")), F.lit(0.0)).alias("accuracy"), (sum((f1(v) for v in labels), F.lit(0.0)) / len(labels)).alias("macro_f1"), F.when(gold > 0, hits(recall_of) / gold).otherwise(0.0).alias(f"{recall_of.lower()}_recall"))

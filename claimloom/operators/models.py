@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions import constants as C
 from claimloom.functions import text as X
-from claimloom.operators import ranking
+from claimloom.operators import ranking, verify
 from claimloom.operators import retrieval as R
 
 #: text batches in, one vector or number or text a row out; `load` runs once per Python worker and task.
@@ -34,11 +34,55 @@ def pair_udf(load: Callable[[], Callable[[list[str], list[str]], list]], returns
     def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         model = load()
         for a, b in parts:
-            yield pd.Series(list(model(a.tolist(), b.tolist())))
+            yield pd.Series(list(model(a.tolist(), b.tolist())), dtype="float64" if returns == "double" else object)
 
     return F.pandas_udf(run, returns)
 
 
+def tolerant(model: Callable[..., list]) -> Callable[..., list]:
+    """The model, asked again row by row where a batch fails; None for the rows that fail by themselves."""
+
+    def run(*columns: list) -> list:
+        try:
+            return list(model(*columns))
+        except Exception:
+            if len(columns[0]) == 1:
+                return [None]
+            return [run(*([x] for x in row))[0] for row in zip(*columns, strict=True)]
+
+    return run
+
+
+def tolerant_rerank(candidates: DataFrame, load: Callable[[], Callable[[list[str], list[str]], list]], k: int | None = None) -> DataFrame:
+    """reranked() by a pair model; queries for which the model fails on any passage, or can't be loaded, keep the order they came in."""
+
+    def safe():
+        try:
+            return tolerant(load())
+        except Exception:
+            return lambda a, b: [None] * len(a)
+
+    scored = candidates.withColumn("rerank_score", pair_udf(safe)("claim", "text"))
+    whole = Window.partitionBy("query_id")
+    failed = F.max(F.col("rerank_score").isNull() | F.isnan("rerank_score")).over(whole)
+    scored = scored.withColumn("rerank_backend", F.when(failed, "input_order").otherwise("cross_encoder"))
+    scored = scored.withColumn("rerank_score", F.when(F.col("rerank_backend") == "input_order", -F.col("rank").cast("double")).otherwise(F.col("rerank_score")))
+    out = ranking.rerank(scored, F.col("rerank_score"))
+    return out if k is None else out.where(F.col("rerank_rank") <= k)
+
+
+def verify_with(pairs: DataFrame, load: Callable[[], Callable[[list[str], list[str]], list]] | None = None, name: str = "model") -> DataFrame:
+    """verify_passages() by a model of (claim, text) that gives [supported, refuted, nei], or by the rules where none is loaded; verifier_name says which."""
+    if load is None:
+        return verify.verify_passages(pairs).withColumn("verifier_name", F.lit("rules"))
+    scored = pairs.withColumn("__p", pair_udf(load, "array<double>")("claim", "text"))
+    s, r, n = (F.get("__p", F.lit(i)) for i in range(3))
+    top = F.greatest(s, r, n)
+    verdict = F.when(s == top, C.SUPPORTED).when(r == top, C.REFUTED).otherwise(C.NEI)
+    result = F.struct(verdict.alias("verdict"), top.alias("confidence"), s.alias("supported"), r.alias("refuted"), n.alias("nei"))
+    return scored.withColumn("result", result).drop("__p").withColumn("verifier_name", F.lit(name))
+
+
 def embed(texts: DataFrame, load: Callable[[], Batch] | None = None, dim: int = C.HASH_DIM, text: str = "text") -> DataFrame:
     """Texts with `vector`: of a given model, or else the hashing embedding."""
     return R.with_embedding(texts, dim, text) if load is None else texts.withColumn("vector", batch_udf(load, "array<double>")(text))

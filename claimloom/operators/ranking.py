@@ -113,6 +113,31 @@ def preference_score(answer: Column | str, verdict: Column, context: Column, con
     return F.struct(F.bround(score, 4).alias("score"), valid.alias("valid_json"), F.coalesce(matches, F.lit(False)).alias("verdict_matches"), cite_ok.alias("citation_valid"), rate.alias("unsupported_sentence_rate"), length.alias("explanation_length"))
 
 
+def candidate_metrics(answer: Column | str, verdict: Column, context: Column) -> Column:
+    """Struct json_parse, verdict_consistent, citation_valid, unsupported of a candidate answer: 0, 0, 0, 1 if it holds no JSON object."""
+    payload = T.json_object(answer)
+    raw = F.get_json_object(payload, "$.citations")
+    listed = F.coalesce(F.from_json(raw, "array<string>"), F.array().cast("array<string>"))
+    quoted = F.filter(listed, lambda x: F.contains(raw, F.concat(F.lit('"'), x, F.lit('"'))))
+    told = X.strip(F.concat(F.coalesce(F.get_json_object(payload, "$.explanation"), F.lit("")), F.lit(" "), F.array_join(F.transform(quoted, lambda x: F.concat(F.lit("["), x, F.lit("]"))), " ")))
+    norm = lambda c: F.replace(F.upper(X.strip(c)), F.lit(" "), F.lit("_"))
+    same = norm(F.coalesce(F.get_json_object(payload, "$.verdict"), F.lit(""))) == norm(verdict)
+    check = Q.check_citations(told, context)
+    held = lambda c, none: F.when(payload.isNull(), none).otherwise(c)
+    return F.struct(held(F.lit(1.0), 0.0).alias("json_parse_rate"), held(same.cast("double"), 0.0).alias("verdict_consistency_rate"), held(check["valid"].cast("double"), 0.0).alias("citation_valid_rate"), held(check["unsupported_sentence_rate"], 1.0).alias("unsupported_sentence_rate"))
+
+
+def candidate_rates(rows: DataFrame, metrics: str = "m", by: tuple[str, ...] = ()) -> DataFrame:
+    """Means of candidate_metrics() to 4 places, 0 for no rows."""
+    names = ("json_parse_rate", "verdict_consistency_rate", "citation_valid_rate", "unsupported_sentence_rate")
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), *[F.bround(F.coalesce(F.avg(f"{metrics}.{c}"), F.lit(0.0)), 4).alias(c) for c in names])
+
+
+def training_records(records: DataFrame, cap: int, key: str = "claim_id") -> DataFrame:
+    """The first `cap` records by claim id as text, which a ranker is trained on."""
+    return records.orderBy(F.col(key).cast("string")).limit(cap)
+
+
 def best_candidate(scored: DataFrame, by: str = "query_id") -> DataFrame:
     """The answer with the highest score of each query, the first of equals."""
     return scored.groupBy(by).agg(F.max_by(F.struct("candidate", "score"), F.struct("score", -F.col("candidate"))).alias("b")).select(by, "b.*")

@@ -98,3 +98,41 @@ def faithfulness(explanations: DataFrame, text: Column | str, context: Column) -
     """Mean citation validity, unsupported rate and consistency of explanations."""
     c = explanations.select(Q.check_citations(text, context).alias("c"))
     return c.agg(F.count("*").alias("n"), *[F.bround(F.avg(F.col(f"c.{a}").cast("double")), 4).alias(n) for a, n in (("valid", "citation_valid"), ("citation_precision", "citation_precision"), ("unsupported_sentence_rate", "unsupported_sentence_rate"), ("verdict_consistency", "verdict_consistency"))])
+
+
+def compare(scores: DataFrame, base: str, challenger: str, metrics_: tuple[str, ...], name: str = "strategy") -> DataFrame:
+    """(metric, base, challenger, delta, direction) of two rows of a comparison, to 4 places."""
+    pick = lambda who, c: F.bround(F.max(F.when(F.col(name) == who, F.col(c))), 4)
+    each = scores.agg(*[pick(w, c).alias(f"{s}_{c}") for w, s in ((base, "b"), (challenger, "c")) for c in metrics_])
+    rows = each.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f"b_{c}").alias("base"), F.col(f"c_{c}").alias("challenger")) for c in metrics_])).alias("r")).select("r.*")
+    delta = F.bround(F.col("challenger") - F.col("base"), 4)
+    return rows.withColumn("delta", delta).withColumn("direction", F.when(F.col("delta") > 0, "improved").when(F.col("delta") < 0, "regressed").otherwise("unchanged"))
+
+
+def best_strategy(scores: DataFrame, value: str, name: str = "strategy") -> DataFrame:
+    """The strategy with the largest value, the first by name of equals."""
+    return scores.where(F.col(value).isNotNull()).orderBy(F.col(value).desc(), name).limit(1).select(F.col(name).alias("best"), value)
+
+
+def threshold_comparison(claims: DataFrame, evidence: DataFrame, labels: DataFrame, calibrated: tuple[float, float], default: tuple[float, float] = (0.5, 0.5)) -> DataFrame:
+    """(thresholds, n, accuracy, macro_f1, nei_fpr) of the retrieved evidence at default and calibrated thresholds, and what the second gains."""
+    pairs = evidence.join(claims.select("query_id", F.col("text").alias("claim")), "query_id").select("query_id", "claim", "rank", "text")
+    verified = R.once(verify.verify_passages(pairs))
+    out = []
+    for name, at in (("default", default), ("calibrated", calibrated)):
+        got = verify.with_no_evidence(claims, verify.aggregate_claims(verified, *at).select("query_id", "verdict", "confidence"))
+        rows = got.join(labels.select("query_id", F.col("label").alias("y")), "query_id").withColumnRenamed("verdict", "p").withColumn("thresholds", F.lit(name))
+        out.append(metrics.labelled_scores(rows, ("thresholds",)).join(metrics.nei_false_positive_rate(rows, ("thresholds",)), "thresholds").select("thresholds", "n", "accuracy", "macro_f1", "nei_fpr"))
+    both = reduce(DataFrame.unionByName, out)
+    gain = lambda c: (F.max(F.when(F.col("thresholds") == "calibrated", F.col(c))) - F.max(F.when(F.col("thresholds") == "default", F.col(c)))).alias(c)
+    return both.unionByName(both.agg(F.lit("delta").alias("thresholds"), F.max("n").alias("n"), gain("accuracy"), gain("macro_f1"), gain("nei_fpr")))
+
+
+def adapter_metrics(answers: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Verdict accuracy, macro F1, parseable, citation and support rates of generated answers (label, answer, context), to 4 places."""
+    rows = answers.withColumn("a", T.verdict_answer("answer")).withColumn("c", Q.check_citations("a.explanation", F.col("context"))).withColumn("y", F.col("label")).withColumn("p", F.col("a.verdict"))
+    mean = lambda c, n: F.bround(F.avg(c.cast("double")), 4).alias(n)
+    rates = rows.groupBy(*by).agg(F.count_if(F.col("p") != "UNPARSEABLE").alias("parseable"), mean(F.col("p") != "UNPARSEABLE", "parseable_rate"), mean(F.col("c.valid"), "citation_valid_rate"), mean(F.col("c.unsupported_sentence_rate"), "unsupported_sentence_rate"))
+    scores = metrics.labelled_scores(rows, by)
+    both = scores.join(rates, list(by)) if by else scores.crossJoin(F.broadcast(rates))  # one row each
+    return both.select(*by, "n", F.bround("accuracy", 4).alias("verdict_accuracy"), F.bround("macro_f1", 4).alias("macro_f1"), "parseable", "parseable_rate", "citation_valid_rate", "unsupported_sentence_rate")

@@ -129,3 +129,51 @@ def test_hashing_embedding(spark):
 
 def test_cosine_of_zero(spark):
     assert one(spark, [0.0, 0.0], V.cosine("x", F.array(F.lit(1.0), F.lit(2.0))), schema="x array<double>")[0] == 0.0
+
+
+def test_chunk_settings():
+
+    for size, overlap in ((0, 0), (-1, 0), (4, -1), (4, 4), (4, 9)):
+        with pytest.raises(ValueError):
+            X.check_chunks(size, overlap)
+    X.check_chunks(4, 3)
+
+
+def test_setting_coercion():
+    from claimloom.sources.artifacts import coerce
+
+    assert [coerce(v, "bool") for v in ("1", "True", " yes ", "on", "0", "no")] == [True, True, True, True, False, False]
+    assert [coerce(v, "float | None") for v in ("null", "None", "", "0.5")] == [None, None, None, 0.5]
+    assert coerce(" 7 ", "int") == 7 and coerce(3, "int") == 3 and coerce("x", "str") == "x"
+
+
+def test_titles_and_answers(spark):
+    row = spark.range(1).select(
+        X.unescape_title(F.lit("A_-LRB-b-RRB-_-LSB-c-RSB--COLON-_d")).alias("t"),
+        T.verdict_answer(F.lit("Verdict: refuted\nExplanation: [1] So.\nMore\nCitation: [1]")).alias("a"),
+        T.verdict_answer(F.lit(" I don't know ")).alias("b"),
+    ).first()
+    assert row["t"] == "A (b) [c]: d"
+    assert tuple(row["a"]) == ("REFUTED", "[1] So.\nMore") and tuple(row["b"]) == ("UNPARSEABLE", "I don't know")
+
+
+def test_models_that_fail(spark):
+    from claimloom.operators import models
+
+    rows = spark.createDataFrame([(1, 10, "a b", "a", 1), (1, 11, "a b", "a b", 2), (2, 10, "c", "bad", 1), (2, 11, "c", "c", 2)], "query_id long, doc_id long, claim string, text string, rank int")
+
+    def load():
+        def model(a, b):
+            if "bad" in b:
+                raise RuntimeError("no")
+            return [float(len(set(x.split()) & set(y.split()))) for x, y in zip(a, b, strict=True)]
+
+        return model
+
+    def broken():
+        raise RuntimeError("no model here")
+
+    got = {(r["query_id"], r["rerank_rank"]): (r["doc_id"], r["rerank_backend"]) for r in models.tolerant_rerank(rows, load).collect()}
+    assert got == {(1, 1): (11, "cross_encoder"), (1, 2): (10, "cross_encoder"), (2, 1): (10, "input_order"), (2, 2): (11, "input_order")}
+    got = {(r["query_id"], r["rerank_rank"]): r["doc_id"] for r in models.tolerant_rerank(rows, broken).collect()}
+    assert got == {(1, 1): 10, (1, 2): 11, (2, 1): 10, (2, 2): 11}
