@@ -13,23 +13,43 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimloom.operators.retrieval import spread
+
 #: Words are runs of anything but ASCII white space (Java regex).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's `spark.checkpoint.dir`; only where that is unset (local tests) a temporary folder."""
+    """The session's `spark.checkpoint.dir`; only where that is unset and all runs on this machine (tests) a temporary folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="claimloom-checkpoint-"))
     return sc.getCheckpointDir()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and read it back: what is downstream never recomputes it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+#: Rows that go to a Python worker at a time where they hold whole texts; the default of 10,000 holds as many texts in both processes.
+TEXTS = 500
+
+
+def checkpoint(df: DataFrame, batch: int | None = None) -> DataFrame:
+    """Write `df` to the shared folder and read it back: what is downstream never recomputes it. `batch` bounds the rows of an Arrow batch meanwhile."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    shared_folder(spark)
+    before = spark.conf.get(key)
+    if batch:
+        spark.conf.set(key, str(batch))
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set(key, before)
+
+
+def small_batches(spark: SparkSession, rows: int = TEXTS) -> None:
+    """For the rest of the session: at most so many rows go to a Python worker at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def write_shared(df: DataFrame) -> str:
@@ -79,7 +99,8 @@ def give_back() -> None:
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table, over all cores if it lies in fewer pieces than there are."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def text_of(column: str = "text") -> Column:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm._common import checkpoint, forgets, require, text_of, working
+from claimloom.llm._common import TEXTS, checkpoint, forgets, require, text_of, working
 
 CAPACITY = 2048
 END_ID = 0
@@ -257,7 +257,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     """
     require(docs, id_col, text_col)
     base = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    pieces = checkpoint(base.mapInPandas(_level0(tokenizer_path, capacity, near_full, spare_bins), _LEVEL0))
+    pieces = checkpoint(base.mapInPandas(_level0(tokenizer_path, capacity, near_full, spare_bins), _LEVEL0), TEXTS)
     leaves = pieces.where("open").groupBy("leaf").agg(F.sum("length").alias("size"), F.first("part").alias("part"))
     rest = leaves.select("leaf", F.col("leaf").alias("bin"), F.lit(0).cast("long").alias("shift"), "size", F.col("size").alias("fill"), "part")
     parts = (pieces.agg(F.max("part")).first()[0] or 0) + 1

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimloom.llm._common import checkpoint, text_of, working
+from claimloom.llm._common import TEXTS, checkpoint, text_of, working
 from claimloom.llm.fingerprints import _mix, shingle_hashes
 from claimloom.llm.graph import connected_components
 from claimloom.operators.retrieval import broadcast_if_small
@@ -183,7 +183,7 @@ def resemblance_links(docs: DataFrame, threshold: float = 0.8, width: int = 5, f
     an empty table gives no link.
     """
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    rows = checkpoint(base.mapInPandas(_rows(width), "id long, whole binary, sketch binary, keys array<long>"))
+    rows = checkpoint(base.mapInPandas(_rows(width), "id long, whole binary, sketch binary, keys array<long>"), TEXTS)
     first = rows.groupBy("whole").agg(F.min("id").alias("rep"))
     same = rows.select("id", "whole").join(first, "whole").where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v"))
     entries = rows.select("id", "keys").join(first.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", F.explode("keys").alias("key"))
@@ -202,7 +202,7 @@ def resemblance_links(docs: DataFrame, threshold: float = 0.8, width: int = 5, f
         ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
         text = base.join(broadcast_if_small(ids), "id", "left_semi").dropDuplicates(["id"])
         both = pairs.join(text.select(F.col("id").alias("u"), F.col("text").alias("tu")), "u").join(text.select(F.col("id").alias("v"), F.col("text").alias("tv")), "v")
-        return checkpoint(both.where(_exact(width, floor)("tu", "tv") >= threshold - 1e-9).select("u", "v"))
+        return checkpoint(both.where(_exact(width, floor)("tu", "tv") >= threshold - 1e-9).select("u", "v"), TEXTS // 2)
 
     met = entries.select("id", F.explode(F.array_distinct(F.array("a", "b"))).alias("head")).where("id <> head").select(F.least("id", "head").alias("u"), F.greatest("id", "head").alias("v")).distinct()
     # of its heads, a document is tried against the first that is likely and against the likeliest
@@ -223,7 +223,7 @@ def resemblance_links(docs: DataFrame, threshold: float = 0.8, width: int = 5, f
         text = base.join(broadcast_if_small(many), "id").dropDuplicates(["id"])
         sample = text.join(broadcast_if_small(many.select("id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE)), "id", "left_semi").select("id", "text").coalesce(2)
         counts = np.sum([np.frombuffer(r["n"], np.int32) for r in sample.mapInPandas(_counts(width), "n binary").collect()], axis=0, dtype=np.int32)
-        rare = checkpoint(text.mapInPandas(_rare(width, floor, counts), "id long, comp long, n int, key long, short boolean"))
+        rare = checkpoint(text.mapInPandas(_rare(width, floor, counts), "id long, comp long, n int, key long, short boolean"), TEXTS)
         open_ = rare.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
         rare = checkpoint(rare.join(open_, "key"))
         small = rare.where("short").select("key", F.col("id").alias("w"), F.col("comp").alias("c"), F.col("n").alias("m"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimloom.llm._common import checkpoint, fresh, require, text_bytes, working
+from claimloom.llm._common import TEXTS, checkpoint, fresh, require, text_bytes, working
 from claimloom.llm.graph import connected_components
 from claimloom.operators.numbering import bucket_of, numbered
 
@@ -179,7 +179,7 @@ def simhash_components(docs: DataFrame, threshold: int = 2, width: int = 3, id_c
     an empty result.
     """
     require(docs, id_col, text_col)
-    prints = checkpoint(docs.select(F.col(id_col).alias("id"), fingerprint_udf(width)(text_bytes(text_col)).alias("f")))
+    prints = checkpoint(docs.select(F.col(id_col).alias("id"), fingerprint_udf(width)(text_bytes(text_col)).alias("f")), TEXTS)
     distinct = checkpoint(prints.groupBy("f").agg(F.min("id").alias("least")))
     parts = checkpoint(connected_components(fingerprint_links(distinct, threshold)))
     named = parts.join(distinct, parts["node"] == distinct["f"]).groupBy("component").agg(F.min("least").alias("name"))
