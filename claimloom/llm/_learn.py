@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,12 +16,14 @@ def remainder(id_col: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fit_on: Column, rows: int = FIT_ROWS, chars: int = FIT_CHARS, extra: tuple[str, ...] = ()) -> tuple[list[str], np.ndarray]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fit_on: Column, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> tuple[list[str], np.ndarray]:
     """Texts and labels of at most `rows` labelled documents, in the order of a hash of the id.
 
     `fit_on` says which label rows may be learnt from. Null labels and ids are left
     out, of repeated ids the largest label counts. Reading stops after `chars` code
-    points of text in all.
+    points of text in all, so a very long text may be the last; a null text is empty.
+    Documents that repeat an id all count. Empty tables give an empty sample; other
+    columns are ignored, whatever their names.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & fit_on).groupBy(F.col("doc_id").alias("__id")).agg(F.max(label).cast("int").alias("__y"))
     few = known.orderBy(F.xxhash64("__id"), "__id").limit(rows)
@@ -68,8 +68,3 @@ def auc(scores: np.ndarray, y: np.ndarray) -> float:
     n1 = int(y.sum())
     n0 = len(y) - n1
     return float((ranks[y == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * n0)) if n1 and n0 else float("nan")
-
-
-def batches(items: list, size: int) -> Iterator[list]:
-    for at in range(0, len(items), size):
-        yield items[at : at + size]

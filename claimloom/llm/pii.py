@@ -433,8 +433,9 @@ _FOUND = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string
 def find_pii(docs: DataFrame, weights: dict[str, float] | None = None, text_col: str = "text", masked: bool = False) -> DataFrame:
     """`docs` with a struct column `pii`: counts of the base kinds, base_sha256, spans (kind:start:end, comma-joined) and, if asked for, the masked text.
 
-    Offsets are code points, ends exclusive. Null texts count as empty. A column named
-    pii is replaced.
+    Offsets are code points, ends exclusive. Null and empty texts have no span. Texts
+    are read whole, whatever their length. Repeated rows stay; an empty table gives an
+    empty result. A column named pii is replaced, all others stay, whatever their names.
     """
     require(docs, text_col)
     weights = learn() if weights is None else weights

@@ -156,14 +156,23 @@ def fit_texts(texts: list[str], y: np.ndarray, rounds: int = 120, rate: float =
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 6_000, fit_chars: int = FIT_CHARS) -> Machine:
-    """Fit on at most `fit_rows` labelled rows and `fit_chars` code points whose crc32(doc_id) mod 3 is not 1."""
+    """Fit on at most `fit_rows` labelled rows and `fit_chars` code points whose crc32(doc_id) mod 3 is not 1.
+
+    Rows, ids and labels that are null, repeated or missing are treated as labelled_sample()
+    says; one class only, or no row, gives a constant score.
+    """
     require(docs, "doc_id", "text")
     require(labels, "doc_id", "quality")
     return fit_texts(*labelled_sample(docs, labels, "quality", remainder("doc_id", 3) != 1, fit_rows, fit_chars))
 
 
 def score_documents(docs: DataFrame, model: Machine, column: str = "score") -> DataFrame:
-    """`docs` with the score column: the chance of label 1 from the text alone; null texts score as empty ones."""
+    """`docs` with the score column: the chance of label 1 from the text alone; null texts score as empty ones.
+
+    Texts are read whole, whatever their length. Equal texts score alike; repeated rows
+    and null ids stay; an empty table gives an empty result. A column named as the
+    score is replaced, all others stay, whatever their names.
+    """
     require(docs, "text")
 
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -73,3 +73,45 @@ def test_filters_keep_columns(odd_docs):
     model = toxicity.fit_texts(["you idiot moron " * 3] * 10 + ["fine words here"] * 40, np.array([1] * 10 + [0] * 40))
     kept = toxicity.drop_toxic(odd_docs, model)
     assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count()
+
+
+def test_first_split_against_brute_force():
+    """One round of depth one takes the cut with the largest gain of all cuts of all features."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 6, (300, 5)).astype(float)
+    y = ((x[:, 3] > 2) ^ (rng.random(300) < 0.2)).astype(int)
+    trees = toxicity.Trees(rounds=1, depth=1)
+    trees.fit(x, y)
+    p = (y.sum() + 0.5) / 301
+    g, h = p - y, np.full(300, p * (1 - p))
+    best = max(
+        (g[left].sum() ** 2 / (h[left].sum() + trees.l2) + g[~left].sum() ** 2 / (h[~left].sum() + trees.l2), f, cut)
+        for f in range(5) for cut in range(6)
+        if (left := x[:, f] <= cut).any() and not left.all() and min(h[left].sum(), h[~left].sum()) >= trees.least
+    )
+    which, where, leaf = trees.trees[0]
+    assert which[0] == best[1] and best[2] <= where[0] < best[2] + 1
+    left = x[:, best[1]] <= best[2]
+    want = np.where(left, -trees.rate * g[left].sum() / (h[left].sum() + trees.l2), -trees.rate * g[~left].sum() / (h[~left].sum() + trees.l2))
+    assert trees.margin(x) == pytest.approx(trees.base + want)
+
+
+@pytest.mark.parametrize(("name", "modulus", "out", "cut"), [("op3_toxicity", 4, 2, 0.3), ("op6_quality", 3, 1, 0.5)])
+def test_queries(spark, sf, sample_docs, name, modulus, out, cut):
+    from claimloom.llm.queries import QUERIES
+
+    got = QUERIES[name](spark, sf)
+    assert got.columns[:4] == ["doc_id", "held_out", "score", "predicted"]
+    found = {r["doc_id"]: r for r in got.collect()}
+    assert sorted(found) == sorted(r["doc_id"] for r in sample_docs.collect())
+    for d, r in found.items():
+        assert r["held_out"] == (zlib.crc32(str(d).encode()) % modulus == out)
+        assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= cut)
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "you idiot", 3, 4, "k")], "doc_id long, text string, __toxicity int, __quality int, Score string")
+    tox = toxicity.fit_texts(["you idiot moron " * 3] * 10 + ["fine words here"] * 40, np.array([1] * 10 + [0] * 40))
+    assert toxicity.drop_toxic(df, tox, 2.0).columns == df.columns
+    good = quality.fit_texts(["some fine words here"] * 10 + ["!! | !!"] * 10, np.array([1] * 10 + [0] * 10))
+    assert quality.keep_good(df, good, -1.0).first()[:] == (1, "you idiot", 3, 4, "k")

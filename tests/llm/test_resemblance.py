@@ -76,6 +76,12 @@ def test_odd_rows(odd_docs, no_docs):
     assert (1, 2) in pairs and (3, 4) in pairs
 
 
+def test_clashing_names(spark):
+    text = "one two three four five six seven"
+    df = spark.createDataFrame([(1, text, 5, "k"), (2, text, 6, "l"), (None, text, 7, "m")], "doc_id long, text string, id int, sketch string")
+    assert [tuple(r) for r in resemblance.resemblance_links(df).collect()] == [(1, 2)]
+
+
 def pair(rng, common, each):
     """Two texts of `common` words and `each` words of their own."""
     word = lambda: f"q{rng.randrange(10**9)}"
