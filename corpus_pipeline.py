@@ -4,6 +4,8 @@ Toxic documents go, one document of each group of near duplicates stays, persona
 is masked, sources are mixed to their targets (a document may then occur twice), and
 what is left is packed. Each stage takes and, but for the last, returns the columns of
 documents; run() writes every stage's result to the shared folder and reads it back.
+Stages with Python workers set the session's Arrow batches to few rows, as a row is a
+whole text.
 """
 
 from __future__ import annotations
@@ -11,19 +13,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from claimloom.llm import mixing, packing, pii, resemblance, simhash, toxicity
-from claimloom.llm._common import discard, table, write_shared
+from claimloom.llm._common import discard, small_batches, table, write_shared
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SimHash components, and copies of which four fifths stand in shared five-word shingles, which two bits miss."""
+    small_batches(spark)
     return simhash.simhash_dedup(docs, also=resemblance.resemblance_links)
 
 
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return pii.mask_pii(docs)
 
 
@@ -32,6 +37,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.pack_documents(docs, packing.default_tokenizer())
 
 
@@ -48,4 +54,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if before:
             discard(spark, before)
         docs, before = spark.read.parquet(path), path
-    return STAGES[-1][1](spark, docs, sf_dir)
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    discard(spark, before)  # what packing gives back rests on its own checkpoints
+    return packed
