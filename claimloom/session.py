@@ -13,6 +13,7 @@ def local_session(cpus: int | str = "*", memory: str = "8g", partitions: int | N
     conf = {
         "spark.sql.shuffle.partitions": str(n), "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.driver.memory": memory, "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for k, v in conf.items():
         builder = builder.config(k, v)
