@@ -48,12 +48,14 @@ class _TokenRows:
     def sum_of(self, tokens: list[str]) -> np.ndarray:
         if len(self.place) > self.limit:
             self.place.clear()
-        for t in set(tokens) - self.place.keys():
+        counts = Counter(tokens)
+        for t in counts:
+            if t in self.place:
+                continue
             if len(self.place) == len(self.rows):
                 self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
             self.rows[len(self.place)] = np.frombuffer(sha256(t.encode()).digest(), np.uint8)[: self.width] / 255.0 - 0.5
             self.place[t] = len(self.place)
-        counts = Counter(tokens)
         at = np.fromiter((self.place[t] for t in counts), np.int64, len(counts))
         return np.fromiter(counts.values(), np.float64, len(counts)) @ self.rows[at]
 

@@ -189,7 +189,7 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cos
     n = queries.count()
     held = queries.where(F.col(query_vector).isNotNull()).withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // CHUNK)))))
     held = held.groupBy("chunk").agg(F.collect_list(F.struct("query_id", F.col(query_vector).cast("array<double>").alias("v"))).alias("l"))
-    chunks = held.select(F.col("l.query_id").alias("ids"), F.col("l.v").alias("q"))
+    chunks = once(held.select(F.col("l.query_id").alias("ids"), F.col("l.v").alias("q")))
     rows = corpus.where(F.col(corpus_vector).isNotNull()).select("ord", F.col(corpus_vector).cast("array<double>").alias("v"))
     ord_, double = corpus.schema["ord"].dataType, T.DoubleType()
     blocks = rows.mapInPandas(_blocks(metric == "cosine"), T.StructType([T.StructField("ords", T.ArrayType(ord_)), T.StructField("width", T.IntegerType()), T.StructField("d", T.BinaryType())]))
