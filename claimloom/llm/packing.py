@@ -30,6 +30,8 @@ from claimloom.llm._common import TEXTS, checkpoint, forgets, require, text_of,
 
 CAPACITY = 2048
 END_ID = 0
+#: Words whose ids a worker keeps; as many again that were used before.
+CACHE = 200_000
 
 
 def _byte_symbols() -> dict[int, str]:
@@ -141,7 +143,7 @@ def _pieces(path: str, limit: int) -> _Pieces:
 forgets("packing", _pieces.cache_clear)
 
 
-def token_bytes(texts: list[str], path: str, cache: int = 200_000) -> Iterator[bytes]:
+def token_bytes(texts: list[str], path: str, cache: int = CACHE) -> Iterator[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers.
 
     The vocabulary drops white space and never joins across it, so texts are encoded
@@ -195,13 +197,13 @@ def still_open(fills: np.ndarray, capacity: int, near: float, spare_bins: int) -
 _LEVEL0 = "id long, piece int, start long, length long, ids_crc32 long, leaf long, leaf_offset long, open boolean, part int"
 
 
-def _level0(path: str, capacity: int, near: float, spare_bins: int):
+def _level0(path: str, capacity: int, near: float, spare_bins: int, cache: int):
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
         ids, pieces, starts, lengths, crcs = [], [], [], [], []
         end = np.array([END_ID], "<u4").tobytes()
         for pdf in batches:
-            for doc, raw in zip(pdf["id"], token_bytes(pdf["text"].tolist(), path), strict=True):
+            for doc, raw in zip(pdf["id"], token_bytes(pdf["text"].tolist(), path, cache), strict=True):
                 raw += end
                 for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
                     cut = raw[at : at + 4 * capacity]
@@ -243,7 +245,7 @@ def _round(capacity: int, near: float, spare_bins: int):
     return merge
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, near_full: float = 0.998, fan_in: int = 32, spare_bins: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, near_full: float = 0.998, fan_in: int = 32, spare_bins: int = 128, cache: int = CACHE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack every document into sequences of at most `capacity` tokens.
 
     One row per piece: the id, piece (from 0), start (the document's ids before it),
@@ -253,11 +255,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     must be whole numbers or text that reads as such; an empty table gives an empty
     result; other columns are ignored, whatever their names. Ties of length keep the
     order of rows, so sequence ids depend on how the table is read. A bin counts as
-    nearly full from `near_full` of the capacity.
+    nearly full from `near_full` of the capacity. `cache` words are kept between texts:
+    fewer take less memory and more time, the result is the same.
     """
     require(docs, id_col, text_col)
     base = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    pieces = checkpoint(base.mapInPandas(_level0(tokenizer_path, capacity, near_full, spare_bins), _LEVEL0), TEXTS)
+    pieces = checkpoint(base.mapInPandas(_level0(tokenizer_path, capacity, near_full, spare_bins, cache), _LEVEL0), TEXTS)
     leaves = pieces.where("open").groupBy("leaf").agg(F.sum("length").alias("size"), F.first("part").alias("part"))
     rest = leaves.select("leaf", F.col("leaf").alias("bin"), F.lit(0).cast("long").alias("shift"), "size", F.col("size").alias("fill"), "part")
     parts = (pieces.agg(F.max("part")).first()[0] or 0) + 1
