@@ -38,7 +38,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return packing.pack_documents(docs, packing.default_tokenizer())
+    # executors still hold what earlier stages left them; a smaller cache costs some time
+    return packing.pack_documents(docs, packing.default_tokenizer(), cache=60_000)
 
 
 STAGES = [("toxicity", drop_toxic), ("near_dedup", near_dedup), ("pii", mask_private), ("mixing", mix), ("packing", pack)]
