@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import chat_format, fingerprints, licenses, media, mixing, packing, pii, quality, simhash, toxicity
+from claimloom.llm import chat_format, fingerprints, language, licenses, media, merkle, mixing, packing, pii, quality, simhash, toxicity, whitening
 from claimloom.llm._common import table
 from claimloom.llm._learn import remainder
 
@@ -66,6 +66,22 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.col("pii.base_sha256").alias("base_sha256"), F.col("pii.spans").alias("spans"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = merkle.merkle_manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], merkle.tampered_text())
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs.select("doc_id", "text"), language.fit(docs))
+    return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"), F.col("language.reliable").alias("reliable"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_chat_format": op2_chat_format,
@@ -77,6 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media_copies": op8_media_copies,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_pii": op10_pii,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_language_id": op12_language_id,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 _NOTICES = ",\n".join(f"  ({i}, '{t.label}', '{t.text}', '{t.key}', {str(t.base).lower()})" for i, t in enumerate(licenses.TEMPLATES))
@@ -161,4 +180,55 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM escaped GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op2_chat_format": _OP2, "op4_license_scan": _OP4, "op5_mix_sources": _OP5}
+_OP11 = """
+WITH RECURSIVE doc AS (
+  SELECT doc_id, source, text, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head FROM documents
+), leaf AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) AS bare FROM doc
+), crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256))::BIGINT AS i))
+), crc AS (
+  SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[((xor(c, b)) % 256) + 1])), 4294967295) AS crc
+  FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL), crc_table
+), placed AS (
+  SELECT l.doc_id, l.source, l.leaf, CASE WHEN coalesce(crc, 0) % 2 = 0 THEN bare ELSE leaf END AS shown,
+         row_number() OVER (PARTITION BY l.source ORDER BY l.doc_id NULLS FIRST, l.leaf) - 1 AS place, count(*) OVER (PARTITION BY l.source) AS n,
+         dense_rank() OVER (ORDER BY l.source NULLS FIRST) - 1 AS tree FROM leaf l LEFT JOIN crc USING (doc_id)
+), node(tree, level, idx, n, digest) AS (
+  SELECT tree, 0, place, n, leaf FROM placed
+  UNION ALL
+  SELECT tree, level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY idx)) FROM node WHERE n > 1 GROUP BY tree, level, idx // 3, n
+), sub AS (
+  SELECT tree, level AS height, digest AS subroot FROM node WHERE n = 1
+), high(level, idx, n, digest) AS (
+  SELECT 0, tree, (SELECT count(*) FROM sub), subroot FROM sub
+  UNION ALL
+  SELECT level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY idx)) FROM high WHERE n > 1 GROUP BY level, idx // 3, n
+), top AS (
+  SELECT level AS top_height, digest AS root FROM high WHERE n = 1
+), every AS (
+  SELECT node.tree, node.level, node.idx, node.digest FROM node WHERE n > 1
+  UNION ALL SELECT sub.tree, sub.height + high.level, high.idx, high.digest FROM high, sub WHERE n > 1
+), leafs AS (
+  SELECT p.*, height, subroot, root, top_height, row_number() OVER () AS nr FROM placed p JOIN sub USING (tree), top
+), way AS (
+  SELECT nr, tree, shown, level, CASE WHEN level < height THEN place // pow(3, level)::BIGINT ELSE tree // pow(3, level - height)::BIGINT END AS pos
+  FROM leafs, (SELECT unnest(range(60)) AS level) WHERE level < height + top_height
+), sibling AS (
+  SELECT nr, w.level, string_agg(digest, '' ORDER BY idx) FILTER (idx <> pos) AS others, coalesce(string_agg(digest, '' ORDER BY idx) FILTER (idx < pos), '') AS before, coalesce(string_agg(digest, '' ORDER BY idx) FILTER (idx > pos), '') AS after
+  FROM way w JOIN every e ON e.tree = w.tree AND e.level = w.level AND e.idx // 3 = w.pos // 3 GROUP BY nr, w.level
+), proof AS (
+  SELECT nr, coalesce(string_agg(others, '' ORDER BY level), '') AS siblings FROM sibling GROUP BY nr
+), fold(nr, level, digest) AS (
+  SELECT nr, 0, shown FROM leafs
+  UNION ALL
+  SELECT f.nr, f.level + 1, sha256(before || digest || after) FROM fold f JOIN sibling s ON s.nr = f.nr AND s.level = f.level
+)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(siblings, '')) AS proof_sha256, f.digest AS folded_root, f.digest = root AS verified
+FROM leafs l JOIN fold f ON f.nr = l.nr AND f.level = height + top_height LEFT JOIN proof p ON p.nr = l.nr
+"""
+
+ORACLES: dict[str, str] = {"op11_merkle_manifest": _OP11, "op2_chat_format": _OP2, "op4_license_scan": _OP4, "op5_mix_sources": _OP5}
