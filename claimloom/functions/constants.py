@@ -37,6 +37,15 @@ SENTENCE_END = r"(?U)(?<=[.!?])\s+"
 CITED_SENTENCE_END = r"(?U)(?<=[.!?])\s+|;\s+"
 SUPPORT_SHARE = 0.2
 
+# --- fixed values: the prompt for an explanation, with places for claim, verdict and evidence
+EXPLANATION_PROMPT = """You are a fact-checking assistant.
+Claim: {}
+Verdict: {}
+Evidence:
+{}
+Write a concise explanation grounded in the evidence and cite each sentence with bracketed evidence ids.
+"""
+
 # --- fixed values: ranking features, in order
 FEATURES = ("bm25_score", "dense_similarity_score", "cross_encoder_score", "lexical_overlap", "number_overlap", "date_overlap", "evidence_length", "claim_length", "bm25_rank_position", "dense_rank_position")
 NUMBER = r"(?U)\b\d+(?:\.\d+)?\b"
