@@ -30,26 +30,34 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-#: Rows that go to a Python worker at a time where they hold whole texts; the default of 10,000 holds as many texts in both processes.
-TEXTS = 500
+#: Rows that go to a Python worker at a time where they hold whole texts, and bytes: a batch ends with the row that fills it.
+TEXTS, BATCH_BYTES = 500, 8 << 20
+_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def checkpoint(df: DataFrame, batch: int | None = None) -> DataFrame:
-    """Write `df` to the shared folder and read it back: what is downstream never recomputes it. `batch` bounds the rows of an Arrow batch meanwhile."""
-    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    shared_folder(spark)
-    before = spark.conf.get(key)
-    if batch:
-        spark.conf.set(key, str(batch))
+@contextlib.contextmanager
+def batches(spark: SparkSession, rows: int = TEXTS, size: int = BATCH_BYTES):
+    """What is executed meanwhile goes to Python workers in batches of at most so many rows and bytes; the session's own bounds come back."""
+    before = {key: spark.conf.get(key) for key in (_ROWS, _BYTES)}
+    small_batches(spark, rows, size)
     try:
-        return df.checkpoint()
+        yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
-def small_batches(spark: SparkSession, rows: int = TEXTS) -> None:
-    """For the rest of the session: at most so many rows go to a Python worker at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, rows: int = TEXTS, size: int = BATCH_BYTES) -> None:
+    """From now on at most so many rows and bytes go to a Python worker at a time: for what is returned before it is executed."""
+    spark.conf.set(_ROWS, str(rows))
+    spark.conf.set(_BYTES, str(size))
+
+
+def checkpoint(df: DataFrame, batch: int | None = None) -> DataFrame:
+    """Write `df` to the shared folder and read it back: what is downstream never recomputes it. `batch` bounds the rows of an Arrow batch meanwhile, and its bytes."""
+    shared_folder(df.sparkSession)
+    with batches(df.sparkSession, batch) if batch else contextlib.nullcontext():
+        return df.checkpoint()
 
 
 def write_shared(df: DataFrame) -> str:

@@ -16,6 +16,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -253,28 +254,16 @@ def find_spans(text: str, weights: dict[str, float]) -> tuple[list[Span], list[S
     for (start, end), (after, _) in zip(parts, [*parts[1:], (len(text), 0)], strict=False):
         # what starts in an overlap is the next part's, where it is whole
         chosen += [s for s in decode(text, candidates(text, start, end, base), weights, kept) if s[0] < after]
+    # base spans by start, and how far those up to each reach: one look tells whether any meets a span
+    starts, reach = [b[0] for b in base], list(accumulate((b[1] for b in base), max))
     more = []
     for s in sorted(set(chosen) - kept, key=_order):
-        if all(s[1] <= b[0] or b[1] <= s[0] for b in _near(base, s)) and (not more or more[-1][1] <= s[0]):
+        before = bisect_left(starts, s[1])
+        if (not before or reach[before - 1] <= s[0]) and (not more or more[-1][1] <= s[0]):
             more.append(s)
     return base, sorted([*base, *more], key=_order)
 
 
-def _near(base: list[Span], s: Span) -> list[Span]:
-    return [b for b in base if b[0] < s[1] and s[0] < b[1]] if len(base) < 64 else _near_many(base, s)
-
-
-def _near_many(base: list[Span], s: Span) -> list[Span]:
-    """base is sorted by start: step back while a span may still reach s."""
-    i = int(np.searchsorted([b[0] for b in base], s[1]))
-    longest = max(b[1] - b[0] for b in base)
-    out = []
-    while i > 0 and base[i - 1][0] >= s[0] - longest:
-        i -= 1
-        out.append(base[i])
-    return out
-
-
 # ---- learning
 
 

@@ -38,18 +38,18 @@ BANDS, ENTRIES = 20, 128
 MARGIN = 0.2
 #: All pairs of a band with at most so many documents are proposed; documents of larger ones meet by their rarest shingles.
 FEW = 64
-#: Documents and counters that tell common shingles from rare ones; they set an order, the links do not depend on it.
-SAMPLE, COUNTERS = 4_000, 1 << 20
+#: Counters that tell common shingles from rare ones; they set an order, the links do not depend on it.
+COUNTERS = 1 << 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_set(text: str, width: int = 5) -> np.ndarray:
-    """The distinct shingle hashes, ascending; A-Z lower-cased."""
+    """The distinct shingle hashes of the lower-cased text, ascending."""
     return np.unique(shingle_hashes(text.lower(), width))
 
 
 def sketch_and_bands(text: str, width: int = 5) -> tuple[bytes, list[int]]:
-    """The `ENTRIES` smallest shingle hashes (top 32 bits, ascending) and the keys of the bands; A-Z lower-cased."""
+    """The `ENTRIES` smallest shingle hashes (top 32 bits, ascending) and the keys of the bands, of the lower-cased text."""
     return _sketch_and_bands(shingle_set(text, width))
 
 
@@ -114,6 +114,38 @@ def prefixes(n: int, threshold: float) -> tuple[int, int]:
     return need(2 * threshold / (1 + threshold)), need(threshold)
 
 
+def covering_prefix(h: np.ndarray, rank: np.ndarray, share: float, width: int = 5) -> int:
+    """How many of the shingles that come first leave the rest with under `share` of the text's words.
+
+    `h` are the shingle hashes in order, `rank` each one's place in the order of the
+    distinct. Two texts that have the share of their words in shared shingles share one
+    of the first so many of either: else all they share lies in the rest.
+    """
+    if not len(h):
+        return 0
+    padded = np.concatenate([np.full(width - 1, -1), rank, np.full(width - 1, -1)])
+    # a word is covered by the rest as long as the last of its shingles in the order is not among the first
+    last = np.max([padded[i : i + len(h) + width - 1] for i in range(width)], axis=0)
+    need = int(np.ceil(share * len(last) - 1e-9))
+    return int(np.partition(last, len(last) - need)[len(last) - need]) + 1
+
+
+def ordered_prefix(text: str, counts: np.ndarray, threshold: float, floor: float, width: int = 5) -> tuple[np.ndarray, int, int, int]:
+    """(distinct shingles of a text, rarest first, as far as they have to be compared; how many of them where it is the smaller; where the larger; all).
+
+    Every pair that `similarity` puts at the threshold shares one of these: by its
+    Jaccard similarity, or, at the floor, by the words in shared shingles.
+    """
+    seq = shingle_hashes(text.lower(), width)
+    h, at = np.unique(seq, return_inverse=True)
+    order = np.lexsort((h, counts[(h % np.uint64(COUNTERS)).astype(np.int64)]))
+    rank = np.empty(len(h), np.int64)
+    rank[order] = np.arange(len(h))
+    cover = covering_prefix(seq, rank[at], threshold, width)
+    short, long = (max(high, min(low, cover)) for high, low in zip(prefixes(len(h), threshold), prefixes(len(h), floor), strict=True))
+    return h[order[:long]], short, long, len(h)
+
+
 def _rows(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with working("fingerprints"):
@@ -137,16 +169,14 @@ def _counts(width: int):
     return run
 
 
-def _rare(width: int, threshold: float, counts: np.ndarray):
+def _rare(width: int, threshold: float, floor: float, counts: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with working("fingerprints"):
             for pdf in batches:
                 out = []
                 for i, c, t in zip(pdf["id"], pdf["comp"], pdf["text"], strict=True):
-                    h = shingle_set(t, width)
-                    short, long = prefixes(len(h), threshold)
-                    first = h[np.lexsort((h, counts[(h % np.uint64(COUNTERS)).astype(np.int64)]))[:long]].view(np.int64)
-                    out.append(pd.DataFrame({"id": i, "comp": c, "n": len(h), "key": first, "short": np.arange(len(first)) < short}))
+                    first, short, _, n = ordered_prefix(t, counts, threshold, floor, width)
+                    out.append(pd.DataFrame({"id": i, "comp": c, "n": n, "key": first.view(np.int64), "short": np.arange(len(first)) < short}))
                 if out:
                     yield pd.concat(out)
 
@@ -221,9 +251,9 @@ def resemblance_links(docs: DataFrame, threshold: float = 0.8, width: int = 5, f
     many = checkpoint(placed.where(F.col("n") > FEW).select("id", "comp").distinct())
     if not many.isEmpty():
         text = base.join(broadcast_if_small(many), "id").dropDuplicates(["id"])
-        sample = text.join(broadcast_if_small(many.select("id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE)), "id", "left_semi").select("id", "text").coalesce(2)
-        counts = np.sum([np.frombuffer(r["n"], np.int32) for r in sample.mapInPandas(_counts(width), "n binary").collect()], axis=0, dtype=np.int32)
-        rare = checkpoint(text.mapInPandas(_rare(width, floor, counts), "id long, comp long, n int, key long, short boolean"), TEXTS)
+        # counted over all of these documents, added up in a tree: a passage that many share comes last whatever its share of them
+        counts = text.select("id", "text").mapInPandas(_counts(width), "n binary").rdd.map(lambda r: np.frombuffer(r["n"], np.int32)).treeReduce(np.add)
+        rare = checkpoint(text.mapInPandas(_rare(width, threshold, floor, counts), "id long, comp long, n int, key long, short boolean"), TEXTS)
         open_ = rare.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
         rare = checkpoint(rare.join(open_, "key"))
         small = rare.where("short").select("key", F.col("id").alias("w"), F.col("comp").alias("c"), F.col("n").alias("m"))

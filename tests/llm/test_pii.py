@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 from claimloom.llm import pii
 
@@ -144,3 +145,26 @@ def test_a_secret_anywhere_in_a_long_run_is_masked():
     for at in [*range(240, 420, 3), 700, 1100]:
         text = '{"a":1,' * (at // 7) + "x" * (at % 7) + f'"token":"{key}",' + '"b":22,' * 60 + "}"
         assert key not in pii.mask(text, pii.find_spans(text, weights)[1]), at
+
+
+def test_many_base_spans_are_linear():
+    """A log of e-mail addresses and URLs: twice the text takes about twice the time."""
+    weights = pii.learn()
+    took = []
+    for n in (2_000, 8_000):
+        text = " ".join(f"user{i}@example.org https://example.com/reset/{i}" for i in range(n))
+        began = time.perf_counter()
+        base, found = pii.find_spans(text, weights)
+        took.append(time.perf_counter() - began)
+        assert len(base) >= n and len(found) > len(base)
+    assert took[1] < 10 * took[0] + 0.2, took
+
+
+def test_spans_beside_base_spans():
+    """What the field adds meets no base span, by every pair."""
+    weights = pii.learn()
+    text = "a.b@example.org www.example.org/x a@b.example +49 30 123456 10.0.0.1 4111 1111 1111 1111 password: Xy12Zw34Xy12Zw34 https://a@b.example/x?id=12345678 " * 40
+    base, found = pii.find_spans(text, weights)
+    more = sorted(set(found) - set(base))
+    assert more and all(s[1] <= b[0] or b[1] <= s[0] for s in more for b in base)
+    assert all(a[1] <= b[0] for a, b in zip(more, more[1:], strict=False))

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 
@@ -138,3 +139,56 @@ def test_prefixes_meet():
         for t in (0.6, 0.8):
             if resemblance.jaccard(x, y) >= t:
                 assert set(small[: resemblance.prefixes(len(small), t)[0]]) & set(large[: resemblance.prefixes(len(large), t)[1]])
+
+
+def test_prefixes_meet_every_similar_pair():
+    """Copies with edits, moved and repeated parts, and texts with a common passage: every pair at the threshold shares a shingle of the prefixes."""
+    draw = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    passage = draw.choices(words, k=120)
+    texts = []
+    for _ in range(12):
+        base = draw.choices(words, k=draw.choice([6, 40, 150])) + (passage if draw.random() < 0.6 else [])
+        base = base * draw.choice([1, 1, 2])
+        for every in (10_000, 40, 25, 12):
+            texts.append(" ".join(draw.choice(words) if draw.randrange(every) == 0 else w for w in base))
+        texts.append(" ".join(base[len(base) // 3 :] + base[: len(base) // 3]))
+    counts = np.zeros(resemblance.COUNTERS, np.int32)
+    for t in texts:
+        np.add.at(counts, (resemblance.shingle_set(t) % np.uint64(resemblance.COUNTERS)).astype(np.int64), 1)
+    heads = [resemblance.ordered_prefix(t, counts, 0.8, 0.6) for t in texts]
+    near = 0
+    for i, (a, (x, short_a, _, n)) in enumerate(zip(texts, heads, strict=True)):
+        for b, (y, short_b, _, m) in zip(texts[:i], heads, strict=False):
+            value = resemblance.similarity(resemblance.shingle_hashes(a), resemblance.shingle_hashes(b))
+            if value >= 0.8:
+                near += 1
+                small, large = (x[:short_a], y) if n <= m else (y[:short_b], x)
+                assert len(np.intersect1d(small, large)), value
+    assert near > 40
+
+
+def test_common_passage_is_no_pair():
+    """280 words of which 220 are common to all: similar by the floor, and none of the prefixes holds the passage."""
+    draw = random.Random(9)
+    passage = [f"p{i}" for i in range(220)]
+    texts = [" ".join([*passage, *(f"x{draw.randrange(10**9)}" for _ in range(60))]) for _ in range(50)]
+    counts = np.zeros(resemblance.COUNTERS, np.int32)
+    for t in texts:
+        np.add.at(counts, (resemblance.shingle_set(t) % np.uint64(resemblance.COUNTERS)).astype(np.int64), 1)
+    heads = [set(resemblance.ordered_prefix(t, counts, 0.8, 0.6)[0].tolist()) for t in texts]
+    assert not set.intersection(*heads[:2]) and len(set.union(*heads)) == sum(map(len, heads))
+
+
+def test_site_template_grows_with_the_documents(spark):
+    """1,200 documents that share most of a page but are no copies, and a few real copies among them."""
+    draw = random.Random(10)
+    passage = " ".join(f"p{i}" for i in range(220))
+    own = [" ".join(f"x{draw.randrange(10**9)}" for _ in range(60)) for _ in range(1_200)]
+    rows = [(i, f"{passage} {t}") for i, t in enumerate(own)] + [(5_000 + i, f"{passage} {own[i]} more") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    began = time.perf_counter()
+    links = {(r["u"], r["v"]) for r in resemblance.resemblance_links(docs).collect()}
+    took = time.perf_counter() - began
+    assert links == {(i, 5_000 + i) for i in range(5)}
+    assert took < 90, took
