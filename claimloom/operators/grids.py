@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +15,8 @@ from claimloom.functions import constants as C
 from claimloom.operators import metrics as M
 from claimloom.operators import verify as Y
 from claimloom.operators.numbering import numbered, range_bucket
+from claimloom.operators.retrieval import broadcast_if_small
+from claimloom.session import written
 
 
 def float_range(low: int, high: int, step: int) -> list[float]:
@@ -59,26 +67,64 @@ def evaluate_gates(pairs: DataFrame, thresholds: list[float]) -> DataFrame:
     return M.accuracy(cells, by).join(M.macro_f1(cells, by), list(by))
 
 
+#: What a point is judged by, each with the sign that makes less better; blocks that are compared at once, groups a task merges.
+DIMENSIONS = (("macro_f1", -1.0), ("latency_ms", 1.0), ("memory_mb", 1.0), ("deployment_feasibility", -1.0))
+COMPARED, MERGED = 512, 16
+
+
+def skyline(costs: np.ndarray) -> np.ndarray:
+    """Which rows no other row dominates: nowhere more and somewhere less. Equal rows do not dominate each other.
+
+    Whatever dominates a row comes before it in lexicographic order, so rows in that
+    order are compared only with what was kept of those before, a block at a time.
+    """
+    order = np.lexsort(costs.T[::-1])
+    kept = np.zeros(len(costs), bool)
+    held = np.empty((0, costs.shape[1]))
+    for at in range(0, len(order), COMPARED):
+        some = order[at : at + COMPARED]
+        alive = np.ones(len(some), bool)
+        for other in (*(held[i : i + COMPARED] for i in range(0, len(held), COMPARED)), costs[some]):
+            left = np.nonzero(alive)[0]
+            mine = costs[some[left]][:, None, :]
+            alive[left] = ~((other[None] <= mine).all(2) & (other[None] < mine).any(2)).any(1)
+        kept[some[alive]] = True
+        held = np.concatenate([held, costs[some[alive]]])
+    return kept
+
+
 def pareto_frontier(points: DataFrame) -> DataFrame:
     """Points that no other dominates: at least as good in macro_f1, latency_ms, memory_mb and deployment_feasibility, better in one.
 
-    The frontier of blocks is taken first, so that the final comparison sees only points
-    no other of their block dominates.
+    Each partition takes the skyline of its distinct points; skylines then merge up a
+    tree, so a task holds the skylines of MERGED groups at most, and the last one the
+    frontier, 32 bytes a point. Points that lack a value are kept and dominate none, as do
+    NaN values; equal points stay or go together.
     """
-    dims = ["macro_f1", "latency_ms", "memory_mb", "deployment_feasibility"]
-
-    def keep(df: DataFrame, within: list[str]) -> DataFrame:
-        o = df.select(*[F.col(c).alias(f"o_{c}") for c in [*dims, *within]]).distinct()
-        at_least = (F.col("o_macro_f1") >= F.col("macro_f1")) & (F.col("o_latency_ms") <= F.col("latency_ms")) & (F.col("o_memory_mb") <= F.col("memory_mb")) & (F.col("o_deployment_feasibility") >= F.col("deployment_feasibility"))
-        better = (F.col("o_macro_f1") > F.col("macro_f1")) | (F.col("o_latency_ms") < F.col("latency_ms")) | (F.col("o_memory_mb") < F.col("memory_mb")) | (F.col("o_deployment_feasibility") > F.col("deployment_feasibility"))
-        same = [F.col(f"o_{c}") == F.col(c) for c in within]
-        cond = at_least & better
-        for s in same:
-            cond = cond & s
-        return df.join(o, cond, "left_anti")
-
-    blocked = points.withColumn("__block", F.pmod(F.xxhash64(*dims), F.lit(64)))
-    return keep(keep(blocked, ["__block"]), []).drop("__block")
+    names, signs = [d for d, _ in DIMENSIONS], np.array([s for _, s in DIMENSIONS])
+    dims = [F.col(n).cast("double").alias(n) for n in names]
+    whole = reduce(lambda a, b: a & b, [F.col(n).isNotNull() & ~F.isnan(F.col(n).cast("double")) for n in names])
+    schema = "part int, " + ", ".join(f"{n} double" for n in names)
+
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, held = TaskContext.get().partitionId(), None
+        for pdf in batches:
+            held = pdf if held is None else pd.concat([held, pdf])
+            held = held[skyline(held.to_numpy(np.float64) * signs)]
+        if held is not None and len(held):
+            yield held.assign(part=np.int32(part))[["part", *names]]
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf[skyline(pdf[names].to_numpy(np.float64) * signs)]
+
+    now = written(points.where(whole).select(*dims).distinct().mapInPandas(local, schema))
+    parts, span = (now.agg(F.max("part")).first()[0] or 0) + 1, 1
+    while span < parts:
+        span *= MERGED
+        now = written(now.groupBy(F.floor(F.col("part") / span)).applyInPandas(merge, schema))
+    best = broadcast_if_small(now.select(*[F.col(n).alias(f"__{n}") for n in names]))
+    same = reduce(lambda a, b: a & b, [F.col(n).cast("double") == F.col(f"__{n}") for n in names])
+    return points.where(whole).join(best, same, "left_semi").unionByName(points.where(~F.coalesce(whole, F.lit(False))))
 
 
 def pareto_report(points: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.operators.numbering import numbered_by
+from claimloom.operators.retrieval import broadcast_if_small
+from claimloom.session import written
 
 
 def judged(rankings: DataFrame, gold: DataFrame, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
@@ -126,17 +129,54 @@ def nearest_rank(values: Column, percent: float) -> Column:
     return F.get(F.array_sort(values), F.bround(F.lit(percent / 100.0) * (F.size(values) - 1)).cast("int"))
 
 
-def nearest_rank_percentiles(rows: DataFrame, value: str, percents: tuple[float, ...], by: tuple[str, ...] = ()) -> DataFrame:
-    """The same per group without gathering a group: values are numbered and the wanted numbers picked."""
-    keyed = rows.where(F.col(value).isNotNull())
-    counted = keyed.groupBy(*by).agg(F.count("*").alias("__n"))
-    if by:
-        numbered = keyed.withColumn("__i", F.row_number().over(Window.partitionBy(*by).orderBy(value)) - 1)
-    else:
-        numbered = numbered_by(keyed, value, "__nr").withColumn("__i", F.col("__nr") - 1)
-    joined = numbered.join(counted, list(by)) if by else numbered.crossJoin(F.broadcast(counted))
-    pick = lambda q: F.max(F.when(F.col("__i") == F.bround(F.lit(q / 100.0) * (F.col("__n") - 1)).cast("int"), F.col(value)))
-    return joined.groupBy(*by).agg(*[pick(q).alias(f"p{q:g}".replace(".", "_")) for q in percents])
+#: Values of a group that may be put in order in one task; cuts of a sketch, and how many beside the wanted place the next bracket reaches.
+SELECT_FROM, CUTS, BESIDE = 50_000, 2_000, 4
+
+
+def nearest_rank_percentiles(rows: DataFrame, value: str, percents: tuple[float, ...], by: tuple[str, ...] = (), select_from: int = SELECT_FROM) -> DataFrame:
+    """The same per group by exact selection: no group is gathered or put in order, however large.
+
+    For each group and wanted place there is an open bracket of values. Its sketch, which
+    is merged from partial ones, proposes a closer one; what lies below, between and at
+    its ends is counted exactly, so the place is at an end or in a smaller bracket. Once
+    that holds `select_from` values or fewer, just those are put in order. Null values do
+    not count; a group without others gives no row.
+    """
+    groups = [f"__g{i}" for i in range(len(by))]
+    keyed = rows.where(F.col(value).isNotNull()).select(*[F.col(c).alias(g) for c, g in zip(by, groups, strict=True)], F.col(value).alias("__v"))
+    kind = keyed.schema["__v"].dataType
+    asked = rows.sparkSession.createDataFrame([(i, float(q)) for i, q in enumerate(percents)], "i int, q double")  # a row a percentile
+    counted = keyed.groupBy(*groups).agg(F.count("*").alias("inside")).where("inside > 0").crossJoin(F.broadcast(asked))
+    place, none = F.bround(F.col("q") / 100.0 * (F.col("inside") - 1)).cast("long"), F.lit(None).cast(kind)
+    # k places are left of the wanted one inside the bracket (lo, hi); `found` is the value once it is known
+    state = written(counted.select(*groups, "i", place.alias("k"), none.alias("lo"), none.alias("hi"), "inside", none.alias("found")))
+    v, key = F.col("__v"), [*groups, "i"]
+
+    def inside(targets: DataFrame) -> DataFrame:
+        """Each target's columns beside every value in its bracket."""
+        named = broadcast_if_small(targets.select(*[F.col(g).alias(f"_{g}") for g in groups], *[c for c in targets.columns if c not in groups]))
+        met = keyed.join(named, reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups])) if groups else keyed.crossJoin(named)
+        return met.where((F.col("lo").isNull() | (v > F.col("lo"))) & (F.col("hi").isNull() | (v < F.col("hi"))))
+
+    wide = F.col("found").isNull() & (F.col("inside") > select_from)
+    while not state.where(wide).isEmpty():
+        cuts = inside(state.where(wide)).groupBy(*key, "k", "lo", "hi", "inside").agg(F.percentile_approx("__v", [x / CUTS for x in range(CUTS + 1)], 10 * CUTS).alias("cuts"))
+        cut = lambda at: F.get("cuts", F.greatest(F.lit(0), F.least(F.lit(CUTS), at)).cast("int"))
+        middle = F.floor(F.col("k").cast("double") / F.col("inside") * CUTS)
+        closer = written(cuts.select(*key, "k", "lo", "hi", "inside", cut(middle - BESIDE).alias("l"), cut(middle + 1 + BESIDE).alias("h")))
+        sums = inside(closer).groupBy(*key, "k", "lo", "hi", "inside", "l", "h").agg(F.count_if(v < F.col("l")).alias("less"), F.count_if(v == F.col("l")).alias("at_l"), F.count_if((v > F.col("l")) & (v < F.col("h"))).alias("mid"), F.count_if((v == F.col("h")) & (v > F.col("l"))).alias("at_h"))
+        ends = [F.col("less"), F.col("less") + F.col("at_l"), F.col("less") + F.col("at_l") + F.col("mid"), F.col("less") + F.col("at_l") + F.col("mid") + F.col("at_h")]
+        part = F.when(F.col("k") < ends[0], 0).when(F.col("k") < ends[1], 1).when(F.col("k") < ends[2], 2).when(F.col("k") < ends[3], 3).otherwise(4)
+        cases = lambda *of: F.coalesce(*[F.when(F.col("part") == i, c) for i, c in enumerate(of)])
+        moved = sums.withColumn("part", part).select(
+            *key, cases(F.col("k"), F.col("k"), F.col("k") - ends[1], F.col("k"), F.col("k") - ends[3]).alias("k"), cases(F.col("lo"), F.col("lo"), F.col("l"), F.col("lo"), F.col("h")).alias("lo"), cases(F.col("l"), F.col("hi"), F.col("h"), F.col("hi"), F.col("hi")).alias("hi"),
+            cases(ends[0], F.col("inside"), F.col("mid"), F.col("inside"), F.col("inside") - ends[3]).alias("inside"), cases(none, F.col("l"), none, F.col("h"), none).alias("found"),
+        )
+        state = written(state.where(~wide).unionByName(moved))
+    some = inside(state.where("found is null")).withColumn("__rn", F.row_number().over(Window.partitionBy(*key).orderBy("__v"))).where(F.col("__rn") == F.col("k") + 1).select(*key, F.col("__v").alias("found"))
+    every = state.where("found is not null").select(*key, "found").unionByName(some).groupBy(*groups)
+    out = every.agg(*[F.max(F.when(F.col("i") == i, F.col("found"))).alias(f"p{q:g}".replace(".", "_")) for i, q in enumerate(percents)])
+    return out.select(*[F.col(g).alias(c) for c, g in zip(by, groups, strict=True)], *[c for c in out.columns if c not in groups])
 
 
 def contingency(rows: DataFrame, a: str, b: str) -> DataFrame:

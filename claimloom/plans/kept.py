@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions import constants as C
 from claimloom.functions import templates as T
 from claimloom.operators import index as I
-from claimloom.operators import reflect
+from claimloom.operators import reflect, sampling
 from claimloom.plans import api
-from claimloom.plans.queries import _OUTCOME, _TOK, BM25, claims, corpus, query, sql_topk
+from claimloom.plans.queries import _OUTCOME, _TOK, BM25, claims, corpus, query, sql_topk, tab
 from claimloom.plans.reports import ORACLES, QUERIES
 from claimloom.session import fresh_path
 
@@ -76,3 +75,14 @@ def _(spark, sf):
     retrieve = lambda asked, k: api.evidence_for(asked, d, k)
     out = reflect.reflection_loop(claims(spark, sf), retrieve, generate=_hesitant, max_retries=3)
     return out.select("query_id", "verdict", F.round("confidence", 6).alias("confidence"), "decision", "citation_valid", "retries_used", F.round("citation_precision", 6).alias("citation_precision"), F.round("unsupported_sentence_rate", 6).alias("unsupported_sentence_rate"))
+
+
+# ---- resampling
+
+
+@query("a49_block_bootstrap")
+def _(spark, sf):
+    """1,000 resamples; drawn by numpy's generators, which SQL has not."""
+    pairs = tab(spark, sf, "labels").select(F.col("doc_id").alias("ord"), F.col("quality").cast("double").alias("a"), F.col("toxic").cast("double").alias("b"))
+    out = sampling.block_bootstrap(pairs)
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
