@@ -9,9 +9,11 @@ from claimloom.functions import templates as T
 from claimloom.operators import index as I
 from claimloom.operators import reflect, sampling
 from claimloom.plans import api
-from claimloom.plans.queries import _OUTCOME, _TOK, BM25, claims, corpus, query, sql_topk, tab
+from claimloom.plans.queries import _LOG, _OUTCOME, _TOK, BM25, claims, corpus, query, request_log, sql_topk, tab
 from claimloom.plans.reports import ORACLES, QUERIES
 from claimloom.session import fresh_path
+from claimloom.sources.upsert import UpsertTable
+from claimloom.streaming import state
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -86,3 +88,67 @@ def _(spark, sf):
     pairs = tab(spark, sf, "labels").select(F.col("doc_id").alias("ord"), F.col("quality").cast("double").alias("a"), F.col("toxic").cast("double").alias("b"))
     out = sampling.block_bootstrap(pairs)
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+
+
+# ---- streams: the events arrive in files, are drained in several batches, and the stream is restarted half way
+
+_TTL = 12 * 3600
+
+
+def _events(spark, sf):
+    e = tab(spark, sf, "events")
+    return e.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _arriving(spark, rows, order: str, folder: str, run, files: int = 6) -> None:
+    """Write the rows a slice a file; drain the stream after half of the files and again after all."""
+    for i, part in enumerate(state.slices(rows, order, files)):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        if i in (files // 2 - 1, files - 1):
+            run(state.table_stream(spark, f"{folder}/in", rows.schema))
+
+
+@query("t01_ttl_cache", f"""WITH e AS (SELECT user_id, ts, value, lag(ts) OVER w AS before, lag(value) OVER w AS held, lead(ts) OVER w AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), t AS (SELECT INTERVAL {_TTL} SECOND AS ttl)
+SELECT user_id AS key, epoch_us(ts) AS at, CASE WHEN before + ttl >= ts THEN 'hit' ELSE 'miss' END AS kind, CASE WHEN before + ttl >= ts THEN held END AS value FROM e, t
+UNION ALL SELECT user_id, epoch_us(ts + ttl), 'purged', value FROM e, t WHERE coalesce(after, (SELECT max(ts) FROM events)) > ts + ttl""")
+def _(spark, sf):
+    folder = fresh_path(spark, "ttl")
+    _arriving(spark, _events(spark, sf).select("event_id", "ts", "user_id", "value"), "ts", folder, lambda s: state.drain(state.ttl_cache(s, _TTL), folder, f"{folder}/out"))
+    return spark.read.parquet(f"{folder}/out")
+
+
+@query("t02_running_metrics", f"""WITH {_LOG}, a AS (SELECT count(*) AS requests, sum(fallback_used::INT)::BIGINT AS fallbacks, avg(fallback_used::INT) AS fallback_rate, avg(confidence) AS average_confidence, avg(latency_ms) AS average_latency_ms, avg(citation_valid::INT) AS citation_valid_rate FROM rl),
+r AS (SELECT latency_ms, row_number() OVER (ORDER BY latency_ms) - 1 AS i FROM rl), p AS (SELECT max(latency_ms) FILTER (i >= 0.49 * (requests - 1) AND i <= 0.51 * (requests - 1)) IS NOT NULL AS p50_close, max(latency_ms) FILTER (i >= 0.94 * (requests - 1) AND i <= 0.96 * (requests - 1)) IS NOT NULL AS p95_close FROM r, a)
+SELECT requests, fallbacks, round(fallback_rate, 6) AS fallback_rate, round(average_confidence, 6) AS average_confidence, round(average_latency_ms, 6) AS average_latency_ms, round(citation_valid_rate, 6) AS citation_valid_rate, p50_close, p95_close,
+  (SELECT string_agg(verdict || '=' || n, ',' ORDER BY verdict) FROM (SELECT verdict, count(*) AS n FROM rl GROUP BY verdict)) AS verdicts, (SELECT string_agg(backend_used || '=' || n, ',' ORDER BY backend_used) FROM (SELECT backend_used, count(*) AS n FROM rl GROUP BY backend_used)) AS backends FROM a, p""")
+def _(spark, sf):
+    """The state's percentiles are compared with the log: they are close if at most a hundredth of it lies between."""
+    log, folder = request_log(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")), fresh_path(spark, "metrics")
+    keep = lambda df, i: df.write.mode("overwrite").parquet(f"{folder}/state-{i}")
+    last = []
+    _arriving(spark, log, "ts", folder, lambda s: state.drain(state.running_state(s), folder, mode="complete", batch=lambda df, i: (keep(df, i), last.append(i))))
+    snap = state.snapshot(spark.read.parquet(f"{folder}/state-{last[-1]}"))
+    close = lambda q: (F.abs(F.count_if(F.col("latency_ms") <= F.col(f"p{q}_latency_ms")) / F.count("*") - q / 100) <= 0.01).alias(f"p{q}_close")
+    checked = log.crossJoin(F.broadcast(snap.select("p50_latency_ms", "p95_latency_ms"))).agg(close(50), close(95))
+    listed = lambda c, name: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",").alias(name)
+    rates = [F.round(c, 6).alias(c) for c in ("fallback_rate", "average_confidence", "average_latency_ms", "citation_valid_rate")]
+    return snap.crossJoin(F.broadcast(checked)).select("requests", "fallbacks", *rates, "p50_close", "p95_close", listed("verdicts", "verdicts"), listed("backend_usage_counts", "backends"))
+
+
+@query("s32_upserted_cache", "SELECT source AS title, doc_id, md5(text) AS extract FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) = 1")
+def _(spark, sf):
+    """Pages arrive in several batches; each batch is sent twice, and the versions are folded half way."""
+    folder = fresh_path(spark, "upsert")
+    kept = UpsertTable(spark, f"{folder}/table", ("title",), ("doc_id",))
+    pages = corpus(spark, sf).select("title", "doc_id", F.md5(F.col("text").cast("binary")).alias("extract"))
+
+    def twice(df, i):
+        kept.upsert(df, i)
+        kept.upsert(df, i)
+
+    def run(s):
+        state.drain(s, folder, batch=twice)
+        kept.compact()
+
+    _arriving(spark, pages, "doc_id", folder, run)
+    return kept.read()
