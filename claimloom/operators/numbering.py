@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claimloom.session import written
+
 BUCKETS = 1024
 
 
@@ -54,3 +56,26 @@ def numbered(df: DataFrame, bucket: Column, order: list[Column | str], name: str
 def numbered_by(df: DataFrame, column: str, name: str = "rn") -> DataFrame:
     """Row numbers in ascending order of one number or string column."""
     return numbered(df, bucket_of(df, column), [column], name)
+
+
+def placed(df: DataFrame, order: list[Column | str], name: str = "place") -> DataFrame:
+    """`df` with 1-based places in the order, by sorted partitions and where each begins: no window, whatever the values.
+
+    Rows that tie keep places side by side in any order. The rows are written down, as
+    a partition must not change between the count and the numbering.
+    """
+    at = F.monotonically_increasing_id()
+    sorted_ = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", at))
+    piece, row = F.shiftrightunsigned("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = sorted_.groupBy(piece.alias("__piece")).agg(F.count("*").alias("__size"))  # a row a partition
+    before = F.coalesce(F.sum("__size").over(Window.orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(sizes.select("__piece", before.alias("__before")))
+    return sorted_.withColumn("__piece", piece).join(starts, "__piece").withColumn(name, F.col("__before") + row + 1).drop("__at", "__piece", "__before")
+
+
+def zip_rows(left: DataFrame, right: DataFrame, left_order: list[Column | str], right_order: list[Column | str], name: str = "place") -> DataFrame:
+    """Rows of two relations side by side by their places, cut at the end of the shorter; column names must differ."""
+    both = {c.lower() for c in left.columns} & {c.lower() for c in right.columns}
+    if both:
+        raise ValueError(f"columns of both sides: {', '.join(sorted(both))}")
+    return placed(left, left_order, name).join(placed(right, right_order, name), name)

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from claimloom.functions import constants as C
 from claimloom.functions import templates as T
 from claimloom.operators import index as I
-from claimloom.operators import reflect, sampling
+from claimloom.operators import listwise, reflect, sampling
+from claimloom.operators.numbering import zip_rows
 from claimloom.plans import api
-from claimloom.plans.queries import _LOG, _OUTCOME, _TOK, BM25, claims, corpus, query, request_log, sql_topk, tab
+from claimloom.plans.queries import _LOG, _OUTCOME, _TOK, BM25, _features, claims, corpus, query, request_log, sql_topk, tab
 from claimloom.plans.reports import ORACLES, QUERIES
-from claimloom.session import fresh_path
+from claimloom.session import fresh_path, written
 from claimloom.sources.upsert import UpsertTable
 from claimloom.streaming import state
 
@@ -152,3 +154,31 @@ def _(spark, sf):
 
     _arriving(spark, pages, "doc_id", folder, run)
     return kept.read()
+
+
+# ---- the listwise ranker and positional joins
+
+
+def held_out(column: str):
+    """Queries that a ranker is not trained on."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % 2 == 1
+
+
+@query("k10_listwise_ranker")
+def _(spark, sf):
+    """Every query is scored, half of them by a ranker that never saw them; the ranker is the first of the probe order that can be trained."""
+    rows = written(_features(spark, sf))
+    train = listwise.training_rows(claims(spark, sf).where(~held_out("query_id")), rows)
+    name, score = listwise.train_best(train)
+    order = Window.partitionBy("query_id").orderBy(F.round("learned_score", 9).desc(), F.col("doc_id").cast("string"))
+    return score(rows).select("query_id", "doc_id", "relevance", held_out("query_id").alias("held_out"), F.lit(name).alias("ranker"), F.round("learned_score", 6).alias("score"), F.row_number().over(order).alias("rank"))
+
+
+@query("j13_zipped_predictions", """WITH t AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'SUPPORTED' ELSE 'REFUTED' END AS y_true, row_number() OVER (ORDER BY doc_id) AS place FROM labels), p AS (SELECT CASE length(text) % 3 WHEN 0 THEN 'SUPPORTED' WHEN 1 THEN 'REFUTED' ELSE 'NOT ENOUGH INFO' END AS y_pred, row_number() OVER (ORDER BY doc_id) AS place FROM documents)
+SELECT place, doc_id, y_true, y_pred, y_true = y_pred AS correct FROM t JOIN p USING (place)""")
+def _(spark, sf):
+    n = F.length("text")
+    true = tab(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == 1, C.SUPPORTED).otherwise(C.REFUTED).alias("y_true"))
+    pred = corpus(spark, sf).select("doc_id", F.when(n % 3 == 0, C.SUPPORTED).when(n % 3 == 1, C.REFUTED).otherwise(C.NEI).alias("y_pred"))
+    zipped = zip_rows(true, pred.withColumnRenamed("doc_id", "of"), ["doc_id"], ["of"]).drop("of")
+    return zipped.withColumn("correct", F.col("y_true") == F.col("y_pred"))
