@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import constants as C
 from claimloom.functions import templates as T
+from claimloom.functions import text as X
 from claimloom.operators import index as I
-from claimloom.operators import listwise, reflect, sampling
+from claimloom.operators import grids, listwise, reflect, sampling, verify
 from claimloom.operators.numbering import zip_rows
 from claimloom.plans import api
-from claimloom.plans.queries import _LOG, _OUTCOME, _TOK, BM25, _features, claims, corpus, query, request_log, sql_topk, tab
-from claimloom.plans.reports import ORACLES, QUERIES
+from claimloom.plans.queries import _CAND, _LOG, _MARGIN, _OUTCOME, _PRED, _TOK, BM25, _features, _sql_content, _sql_grid, claim_passages, claims, corpus, labelled_claims, query, request_log, sql_jaccard, sql_overlap, sql_topk, tab
+from claimloom.plans.reports import ORACLES, QUERIES, _r
 from claimloom.session import fresh_path, written
 from claimloom.sources.upsert import UpsertTable
 from claimloom.streaming import state
@@ -182,3 +183,83 @@ def _(spark, sf):
     pred = corpus(spark, sf).select("doc_id", F.when(n % 3 == 0, C.SUPPORTED).when(n % 3 == 1, C.REFUTED).otherwise(C.NEI).alias("y_pred"))
     zipped = zip_rows(true, pred.withColumnRenamed("doc_id", "of"), ["doc_id"], ["of"]).drop("of")
     return zipped.withColumn("correct", F.col("y_true") == F.col("y_pred"))
+
+
+# ---- whole grids on verifier scores of the claims' own passages
+
+_EIGHT, _MARGINS = [0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7], [0.0, 0.02, 0.05, 0.1]
+_GATE_GRID = [i / 20 for i in range(13)]
+
+
+def _passage_scores(spark, sf):
+    """(query_id, y, claim, text, p, overlap, supported, refuted) of the first five passages: the rule's confidence in its verdict, the rest of it shared by the others."""
+    labels = labelled_claims(spark, sf).select("query_id", F.col("label").alias("y"))
+    verified = verify.verify_passages(claim_passages(spark, sf)).join(labels, "query_id")
+    score = lambda label: F.when(F.col("result.verdict") == label, F.col("result.confidence")).otherwise((1 - F.col("result.confidence")) / 2)
+    return verified.select("query_id", "y", "claim", "text", F.col("result.verdict").alias("p"), X.gate_overlap("claim", "text").alias("overlap"), score(C.SUPPORTED).alias("supported"), score(C.REFUTED).alias("refuted"))
+
+
+def _pooled(spark, sf):
+    return _passage_scores(spark, sf).groupBy("query_id", "y").agg(F.max("supported").alias("supported"), F.max("refuted").alias("refuted"))
+
+
+def _full_grid(spark, sf):
+    return grids.evaluate_grid(_pooled(spark, sf), grids.threshold_grid(spark, _EIGHT, _EIGHT, _MARGINS), with_margin=True)
+
+
+_FULL = f"""WITH {_PRED}, sg AS (SELECT query_id, label AS y, max(CASE WHEN verdict = 'SUPPORTED' THEN confidence ELSE (1 - confidence) / 2 END) AS s, max(CASE WHEN verdict = 'REFUTED' THEN confidence ELSE (1 - confidence) / 2 END) AS r FROM pl JOIN lc USING (query_id) GROUP BY ALL),
+g AS (SELECT row_number() OVER (ORDER BY m, s, r) - 1 AS grid_ord, s AS st, r AS rt, m FROM (SELECT unnest({_EIGHT})::DOUBLE AS s), (SELECT unnest({_EIGHT})::DOUBLE AS r), (SELECT unnest({_MARGINS})::DOUBLE AS m)),
+e AS ({_sql_grid(_MARGIN).split(", e AS (")[1]}"""
+
+
+@query("a38_full_grid", f"{_FULL} SELECT grid_ord::INT AS grid_ord, support_threshold, refute_threshold, margin, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1, round(refuted_rate, 6) AS refuted_rate FROM ev")
+def _(spark, sf):
+    return _r(_full_grid(spark, sf), "grid_ord", "support_threshold", "refute_threshold", "margin")
+
+
+@query("a39_full_argmax", f"{_FULL} SELECT grid_ord::INT AS grid_ord, round(macro_f1, 6) AS macro_f1 FROM ev ORDER BY round(macro_f1, 9) DESC, grid_ord LIMIT 1")
+def _(spark, sf):
+    return grids.best_row(_full_grid(spark, sf)).select("grid_ord", F.round("macro_f1", 6).alias("macro_f1"))
+
+
+@query("a40_full_top10", f"{_FULL} SELECT grid_ord::INT AS grid_ord, round(macro_f1, 6) AS macro_f1 FROM ev ORDER BY round(macro_f1, 9) DESC, round(accuracy, 9) DESC, grid_ord LIMIT 10")
+def _(spark, sf):
+    return grids.top_rows(_full_grid(spark, sf)).select("grid_ord", F.round("macro_f1", 6).alias("macro_f1"))
+
+
+_PAIR = {C.SUPPORTED: "SUPPORTS", C.REFUTED: "REFUTES", C.NEI: "NEI"}
+_AS_PAIR = "CASE {x} WHEN 'SUPPORTED' THEN 'SUPPORTS' WHEN 'REFUTED' THEN 'REFUTES' ELSE 'NEI' END"
+_GATED = f"""WITH {_PRED}, gp AS (SELECT {_AS_PAIR.format(x="label")} AS y, {_AS_PAIR.format(x="verdict")} AS p, {sql_overlap(_sql_content("claim"), _sql_content("pl.text"))} AS ov FROM pl JOIN lc USING (query_id)),
+e AS (SELECT t, y, CASE WHEN ov < t THEN 'NEI' ELSE p END AS p FROM gp, (SELECT unnest({_GATE_GRID})::DOUBLE AS t)),
+l AS (SELECT t, v, count(*) FILTER (y = v AND p = v) AS hit, count(*) FILTER (y = v) AS ny, count(*) FILTER (p = v) AS np FROM e, (SELECT unnest(['SUPPORTS', 'REFUTES', 'NEI']) AS v) GROUP BY ALL),
+f AS (SELECT t, avg(CASE WHEN hit > 0 THEN 2.0::DOUBLE * hit / (ny + np) ELSE 0 END) FILTER (ny + np > 0) AS macro_f1 FROM l GROUP BY t),
+ga AS (SELECT e.t AS threshold, round(avg(CASE WHEN y = p THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS accuracy, round(max(macro_f1), 6) AS macro_f1 FROM e JOIN f ON f.t = e.t GROUP BY e.t)"""
+
+
+@query("j16_all_gates", f"{_GATED} SELECT * FROM ga")
+def _(spark, sf):
+    name = lambda c: F.element_at(F.create_map(*[F.lit(x) for kv in _PAIR.items() for x in kv]), c)
+    pairs = _passage_scores(spark, sf).select(name(F.col("y")).alias("y"), name(F.col("p")).alias("p"), "overlap")
+    return grids.evaluate_gates(pairs, _GATE_GRID).select("threshold", F.round("accuracy", 6).alias("accuracy"), F.round("macro_f1", 6).alias("macro_f1"))
+
+
+@query("a41_best_of_all_gates", f"{_GATED} SELECT threshold, macro_f1 FROM ga ORDER BY macro_f1 DESC, threshold LIMIT 1")
+def _(spark, sf):
+    return QUERIES["j16_all_gates"](spark, sf).orderBy(F.col("macro_f1").desc(), "threshold").select("threshold", "macro_f1").limit(1)
+
+
+# ---- ranking features
+
+def _sql_words_like(x: str, pattern: str) -> str:
+    return rf"list_filter(regexp_extract_all(lower({x}), '[\pL\pN_]+'), lambda t: regexp_full_match(t, '{pattern}'))"
+
+
+def _sql_dates(x: str) -> str:
+    months = "(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
+    return f"list_distinct(list_concat({_sql_words_like(x, '[0-9]{4}')}, {_sql_words_like(x, months)}))"
+
+
+@query("k05_cross_and_dates", f"{_CAND}, c3 AS (SELECT c2.*, {sql_jaccard(_sql_dates('c1.claim'), _sql_dates('c1.text'))} AS date_overlap FROM c2 JOIN c1 USING (query_id, ord)) SELECT query_id, ord, round(bm25_score, 6) AS cross_encoder_score, round(date_overlap, 6) AS date_overlap FROM c3")
+def _(spark, sf):
+    """The features that k05_ranking_features leaves out, but for numbers; no model is given, so the cross score is the evidence's own."""
+    return _features(spark, sf).select("query_id", "ord", F.round("cross_encoder_score", 6).alias("cross_encoder_score"), F.round("date_overlap", 6).alias("date_overlap"))
