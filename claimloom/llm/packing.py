@@ -30,8 +30,8 @@ from claimloom.llm._common import TEXTS, checkpoint, forgets, require, text_of,
 
 CAPACITY = 2048
 END_ID = 0
-#: Words whose ids a worker keeps; as many again that were used before.
-CACHE = 200_000
+#: Words whose ids a worker keeps; as many again that were used before. Characters of text that are split into words at once.
+CACHE, CHARS = 200_000, 1 << 19
 
 
 def _byte_symbols() -> dict[int, str]:
@@ -114,7 +114,7 @@ class _Pieces:
         at = 0
         while at < len(texts):
             split, size = [], 0
-            while at < len(texts) and (size < 1 << 22 or not split):
+            while at < len(texts) and (size < CHARS or not split):
                 text = texts[at]
                 split.append((text.lower() if _latin(text) else text).replace("\n", " ").split(" "))
                 size += len(text)
@@ -245,7 +245,7 @@ def _round(capacity: int, near: float, spare_bins: int):
     return merge
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, near_full: float = 0.998, fan_in: int = 32, spare_bins: int = 128, cache: int = CACHE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, near_full: float = 0.998, fan_in: int = 32, spare_bins: int = 128, cache: int = CACHE, rows: int = TEXTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack every document into sequences of at most `capacity` tokens.
 
     One row per piece: the id, piece (from 0), start (the document's ids before it),
@@ -256,11 +256,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     result; other columns are ignored, whatever their names. Ties of length keep the
     order of rows, so sequence ids depend on how the table is read. A bin counts as
     nearly full from `near_full` of the capacity. `cache` words are kept between texts:
-    fewer take less memory and more time, the result is the same.
+    fewer take less memory and more time, the result is the same; so do fewer `rows`
+    that go to a Python worker at a time.
     """
     require(docs, id_col, text_col)
     base = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    pieces = checkpoint(base.mapInPandas(_level0(tokenizer_path, capacity, near_full, spare_bins, cache), _LEVEL0), TEXTS)
+    pieces = checkpoint(base.mapInPandas(_level0(tokenizer_path, capacity, near_full, spare_bins, cache), _LEVEL0), rows)
     leaves = pieces.where("open").groupBy("leaf").agg(F.sum("length").alias("size"), F.first("part").alias("part"))
     rest = leaves.select("leaf", F.col("leaf").alias("bin"), F.lit(0).cast("long").alias("shift"), "size", F.col("size").alias("fill"), "part")
     parts = (pieces.agg(F.max("part")).first()[0] or 0) + 1
