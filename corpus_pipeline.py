@@ -50,7 +50,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2,048 tokens, a row a piece; an empty or null text is its end mark, a document that occurs twice is packed twice."""
     small_batches(spark)
     # executors still hold what earlier stages left them; a smaller cache costs some time
-    return packing.pack_documents(docs, packing.default_tokenizer(), cache=60_000)
+    return packing.pack_documents(docs, packing.default_tokenizer(), cache=20_000, rows=100)
 
 
 STAGES = [("toxicity", drop_toxic), ("near_dedup", near_dedup), ("pii", mask_private), ("mixing", mix), ("packing", pack)]
