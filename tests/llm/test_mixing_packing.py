@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from claimloom.llm import mixing, packing
@@ -163,3 +164,34 @@ def test_apply_mix_keeps_clashing_names(spark):
     df = spark.createDataFrame([(1, "a b c", "s", 7), (2, "d e", "t", 7)], "doc_id long, text string, source string, __times int")
     again = mixing.apply_mix(mixing.mix_sources(df), df.columns).collect()
     assert {r["__times"] for r in again} == {7}
+
+
+def _sequences(groups, fan_in, spare_bins, capacity=2048, near=0.998):
+    """How many sequences the tree of groups ends with."""
+    closed, rest = 0, []
+    for part, sizes in enumerate(groups):
+        _, _, fills = packing.best_fit(sizes, capacity)
+        up = packing.still_open(fills, capacity, near, spare_bins)
+        closed += int((~up).sum())
+        rest.append(pd.DataFrame({"leaf": np.nonzero(up)[0] + (part << 32), "size": fills[up], "part": part}))
+    rest = pd.concat(rest)
+    rest = rest.assign(bin=rest["leaf"], shift=0, fill=rest["size"])
+    span = 1
+    while span < len(groups):
+        span *= fan_in
+        merged = pd.concat([packing._round(capacity, near, spare_bins)(g) for _, g in rest.groupby(rest["part"] // span)])
+        closed += merged[~merged["open"]]["bin"].nunique()
+        rest = merged[merged["open"]].drop(columns="open")
+    return closed + rest["bin"].nunique()
+
+
+@pytest.mark.parametrize("fan_in", [2, 32])
+@pytest.mark.parametrize("kind", ["mixed", "large", "small"])
+def test_bins_passed_up_lose_no_sequence(fan_in, kind):
+    """Passing up the emptiest bins alone ends within one sequence of passing up all that are not nearly full."""
+    draw = np.random.default_rng(4)
+    of = {"mixed": lambda n: np.minimum(draw.lognormal(6, 1.2, n).astype(int) + 1, 2048), "large": lambda n: draw.integers(700, 2049, n), "small": lambda n: draw.integers(1, 400, n)}[kind]
+    groups = [of(int(draw.integers(1, 900))) for _ in range(64)]
+    capped, whole = _sequences(groups, fan_in, 128), _sequences(groups, fan_in, 10**9)
+    assert abs(capped - whole) <= 1
+    assert capped >= -(-sum(int(g.sum()) for g in groups) // 2048)

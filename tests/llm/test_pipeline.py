@@ -1,3 +1,6 @@
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 
 
@@ -24,3 +27,42 @@ def test_run(spark, sf):
 def test_near_dedup_keeps_one_of_each_text(spark, sample_docs):
     kept = corpus_pipeline.near_dedup(spark, sample_docs.unionByName(sample_docs), "")
     assert kept.count() == kept.select("text").distinct().count() == kept.select("doc_id").distinct().count()
+
+
+def test_stages_on_odd_rows(spark, sf, odd_docs, no_docs):
+    """Nulls, empty and long texts, repeated rows and clashing names; what every stage but the last gives back has the columns it was given."""
+    clash = {name: F.lit("clash") for name in ("score", "id", "text2", "__h", "taken", "language")}
+    docs = odd_docs.withColumns(clash)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, sf)
+        none = stage(spark, no_docs.withColumns(clash), sf)
+        assert none.count() == 0, name
+        if name == "packing":
+            assert {r["doc_id"] for r in got.collect()} == {r["doc_id"] for r in docs.collect()}
+            continue
+        assert got.columns == docs.columns, name
+        rows = got.collect()
+        assert {r["score"] for r in rows} <= {"clash"}, name
+        if name == "near_dedup":
+            # null and empty texts are copies of each other
+            assert sum(not r["text"] for r in rows) == 1 and sum(r["doc_id"] in (1, 2) for r in rows) == 1
+        elif name == "pii":
+            assert len(rows) == docs.count() and sum(r["text"] is None for r in rows) == 1
+        elif name == "mixing":
+            most = {tuple(r): 0 for r in rows}
+            for r in rows:
+                most[tuple(r)] += 1
+            assert set(most) <= {tuple(r) for r in docs.collect()} and max(most.values(), default=0) <= 4  # a repeated row twice each
+        else:
+            assert {r["doc_id"] for r in rows} <= {r["doc_id"] for r in docs.collect()}
+
+
+def test_bounds_of_batches_come_back(spark):
+    from claimloom.llm._common import batches
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    with pytest.raises(KeyError), batches(spark, 7, 1 << 20):
+        assert spark.conf.get(key) == str(1 << 20)
+        raise KeyError
+    assert spark.conf.get(key) == before
