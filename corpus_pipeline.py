@@ -15,6 +15,7 @@ gives an empty table for an empty one.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from claimloom.llm import mixing, packing, pii, resemblance, simhash, toxicity
 from claimloom.llm._common import batches, discard, small_batches, table, write_shared
@@ -43,7 +44,9 @@ def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target asks, none to two times; a null source is a source, ties go by a hash of the id."""
-    return mixing.apply_mix(mixing.mix_sources(docs), docs.columns)
+    # the document rides along whole: its columns may have the names of the mix's own
+    rows = docs.select("doc_id", "source", mixing.document_size().alias("n_words"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"))
+    return mixing.apply_mix(mixing.mix_sources(rows, sized="n_words"), ["document"]).select("document.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
