@@ -4,16 +4,19 @@
 TOKEN = "[a-z0-9]+"
 CONTENT_WORD = r"(?U)\b[a-z]{3,}\b"
 GATE_STOPWORDS = (
-    "the and for are but not you all can her was one our out day get has him his how its now old see two who did did not "
-    "does from into know let man new other over said she the their them then there they this was way with"
-).split()
+    "the", "and", "for", "are", "but", "not", "you", "all", "can", "her", "was", "one", "our", "out", "day", "get", "has", "him", "his", "how", "its",
+    "now", "old", "see", "two", "who", "did", "did", "not", "does", "from", "into", "know", "let", "man", "new", "other", "over", "said", "she",
+    "the", "their", "them", "then", "there", "they", "this", "was", "way", "with",
+)
 PAIR_STOPWORDS = (
-    "a an and are as at be been by for from has have in into is it its of on or that the this to was were will with not no did does do than "
-    "their his her they them but"
-).split()
-QUERY_STOPWORDS = "a an and are as at be by for from in is of on or that the to was were with".split()
+    "a", "an", "and", "are", "as", "at", "be", "been", "by", "for", "from", "has", "have", "in", "into", "is", "it", "its", "of", "on", "or", "that",
+    "the", "this", "to", "was", "were", "will", "with", "not", "no", "did", "does", "do", "than", "their", "his", "her", "they", "them", "but",
+)
+QUERY_STOPWORDS = (
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "of", "on", "or", "that", "the", "to", "was", "were", "with",
+)
 
-# --- fixed values: evidence markers and rendering styles
+# --- fixed values: evidence markers and rendering styles; the markers are one pattern, as one replacement takes them all off
 MARKERS = r"(?i)^(?:(?:\[(?:E?\d+)\]|passage\s+\d+\s*:|evidence\s+[a-z]\s*:)\s*|[-*•]\s+)+"
 STYLES = ("plain", "passage", "evidence_letter", "bullet", "bracket")
 

@@ -187,7 +187,7 @@ def expand_query(query: Column | str, most: int = 4) -> Column:
     def expanded(cleaned: Column) -> Column:
         found = F.filter(F.transform(find_all(cleaned, r"(?:[A-Z][a-z0-9'\-]+(?:\s+|$)){1,4}"), squeeze), lambda e: (e != "") & (F.lower(e) != F.lower(cleaned)))
         first = let(found, lambda es: F.filter(es, lambda e, i: F.array_position(F.transform(es, F.lower), F.lower(e)) == i + 1))
-        words = F.filter(find_all(cleaned, r"[A-Za-z0-9][A-Za-z0-9'\-]*"), lambda w: (F.length(w) > 2) & ~F.lower(w).isin(C.QUERY_STOPWORDS))
+        words = F.filter(find_all(cleaned, r"[A-Za-z0-9][A-Za-z0-9'\-]*"), lambda w: (F.length(w) > 2) & ~F.lower(w).isin(*C.QUERY_STOPWORDS))
         return let(F.struct(F.slice(first, 1, most).alias("e"), words.alias("w"), F.lower(cleaned).alias("c")), with_keywords)
 
     def with_keywords(s: Column) -> Column:
