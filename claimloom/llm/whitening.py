@@ -30,6 +30,8 @@ CERTIFIED = 1e-10
 ROUNDS = 300
 #: Vectors that are multiplied at a time.
 ROWS = 4_096
+#: Vectors of a partition that every round reads, at most where there are more than cores.
+PIECE = 16 * ROWS
 
 
 def usable(docs: DataFrame, column: str = "embedding") -> DataFrame:
@@ -102,6 +104,11 @@ def blocks_of(x: DataFrame, width: int, rows: int = ROWS) -> DataFrame:
     return x.mapInArrow(pack, "rows long, kind string, body binary")
 
 
+def pieces(vectors: int, cores: int, rows: int = PIECE) -> int:
+    """Partitions for so many vectors: every pass is a job, so they follow the vectors and the cores, not the shuffle's partitions."""
+    return max(cores, -(-vectors // rows))
+
+
 def total(blocks: DataFrame, width: int, of: Callable[[np.ndarray], object], add: Callable):
     """`of` of every block, added up: within a partition first, then up a tree. There has to be a block."""
 
@@ -195,11 +202,12 @@ def fit(vectors: DataFrame, axes: int = AXES, guards: int = GUARDS) -> Whitening
     Vectors of unequal length end in zeros up to the longest; an empty table gives n = 0.
     """
     distinct = vectors.select("x").distinct()
-    width = vectors.agg(F.max(F.size("x"))).first()[0] or 0
+    size = vectors.agg(F.max(F.size("x")).alias("width"), F.count("x").alias("n")).first()
+    width = size["width"] or 0
     if not width:
         n = distinct.count()
         return Whitening(n, (), np.zeros((0, 0)), np.zeros(0), 0.0, 0.0, 0.0, 0)
-    blocks = checkpoint(blocks_of(distinct, width))
+    blocks = checkpoint(blocks_of(distinct.coalesce(pieces(size["n"], vectors.sparkSession.sparkContext.defaultParallelism)), width))
     n, sums = total(blocks, width, lambda m: (len(m), _exact_sum(m)), lambda a, b: (a[0] + b[0], a[1] + b[1]))
     mean = np.array([int(s) / n for s in sums])
 

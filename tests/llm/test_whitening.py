@@ -98,3 +98,20 @@ def test_lobpcg_certifies():
     assert len(asked) <= rounds + 2 and max(asked) <= 12
     with pytest.raises(RuntimeError, match="residual"):
         whitening.lobpcg(product, 300, 4, rounds=2)
+
+
+def test_rounds_do_not_follow_the_shuffle(spark, monkeypatch):
+    """A vector table over many shuffle partitions is read in as many tasks a round as there are cores."""
+    seen = []
+    of_all = whitening.total
+    monkeypatch.setattr(whitening, "total", lambda blocks, *a: seen.append(blocks.rdd.getNumPartitions()) or of_all(blocks, *a))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "211")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        check(frame(spark, np.random.default_rng(6).normal(size=(300, 8)).astype(float).tolist()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert max(seen) <= spark.sparkContext.defaultParallelism
+    assert whitening.pieces(10 * whitening.PIECE, 4) == 10
