@@ -13,7 +13,7 @@ from claimloom.functions import templates as T
 from claimloom.functions import text as X
 from claimloom.functions.labels import artifact_label, verifier_data_label
 from claimloom.operators.numbering import hash_bucket, numbered, numbered_by
-from claimloom.operators.retrieval import once
+from claimloom.operators.retrieval import broadcast_if_small, once
 from claimloom.operators.sampling import cyclic
 
 
@@ -65,7 +65,7 @@ def random_windows(claims: DataFrame, corpus: DataFrame, n: int, seed: int = 42)
     step = F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(n), F.col("size")) - 1)).alias("rank")
     drawn = claims.select("query_id").crossJoin(F.broadcast(size)).where("size > 0").select("query_id", "size", step)  # one row
     drawn = drawn.select("query_id", "rank", (F.pmod(pick + F.col("rank"), F.col("size")) + 1).alias("place"))
-    return drawn.join(places, "place").select("query_id", "rank", "ord").join(corpus.select("ord", "text"), "ord").select("query_id", "text", "rank")
+    return broadcast_if_small(broadcast_if_small(drawn).join(places, "place").select("query_id", "rank", "ord")).join(corpus.select("ord", "text"), "ord").select("query_id", "text", "rank")
 
 
 def mine_negatives(claims: DataFrame, corpus: DataFrame, bm25: DataFrame, dense: DataFrame, depth: int = 8, n_bm25: int = 2, n_dense: int = 2, n_random: int = 1, seed: int = 42) -> DataFrame:

@@ -24,9 +24,9 @@ PROFILES = {
 
 def retrieval_by_strategy(claims: DataFrame, corpus: DataFrame, gold: DataFrame, strategies: dict[str, dict] | None = None, k: int = 10, cutoffs: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """recall, nDCG, MRR and MAP of every strategy; one row each."""
-    rankings = []
+    rankings, kept = [], {}
     for name, options in (strategies or PROFILES).items():
-        found = R.retrieve(claims, corpus, k=k, **options).select("query_id", "ord", "rank", F.lit(name).alias("strategy"))
+        found = R.retrieve(claims, corpus, k=k, kept=kept, **options).select("query_id", "ord", "rank", F.lit(name).alias("strategy"))
         rankings.append(found)
     all_ = reduce(DataFrame.unionByName, rankings)
     names = all_.sparkSession.createDataFrame([(n,) for n in (strategies or PROFILES)], "strategy string")

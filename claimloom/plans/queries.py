@@ -314,11 +314,11 @@ def _(spark, sf):
 
 def _features(spark, sf) -> DataFrame:
     q, d = claims(spark, sf), corpus(spark, sf)
-    # small rankings that the plan reads twice, as sources and for their scores
-    bm25, dense, g = R.once(R.bm25_topk(q, d, 10)), R.once(R.dense_topk(R.with_embedding(q), R.with_embedding(d), 10)), R.once(gold(spark, sf))
+    # the gold is read twice, as a source and for relevance
+    bm25, dense, g = R.bm25_topk(q, d, 10), R.dense_topk(R.with_embedding(q), R.with_embedding(d), 10), R.once(gold(spark, sf))
     goldrows = g.withColumn("rank", F.col("ord"))
     cand = ranking.candidates_with_scores([bm25, dense, goldrows], bm25, dense, g)
-    cand = cand.join(q.withColumnRenamed("text", "claim"), "query_id").join(d.select("ord", "doc_id", "text"), "ord")
+    cand = R.broadcast_if_small(R.once(cand.join(q.withColumnRenamed("text", "claim"), "query_id"))).join(d.select("ord", "doc_id", "text"), "ord")
     return cand.select("query_id", "doc_id", "ord", "relevance", "place", *ranking.ranking_features("claim", "text", F.col("bm25_score"), F.col("dense_score"), F.col("bm25_rank"), F.col("dense_rank"), evidence_score=F.col("bm25_score")))
 
 
@@ -981,7 +981,7 @@ def _(spark, sf):
 
 def _mining(spark, sf) -> tuple[DataFrame, DataFrame]:
     q, d, g = claims(spark, sf), corpus(spark, sf), R.once(gold(spark, sf))
-    positive = g.groupBy("query_id").agg(F.min("ord").alias("ord")).join(d.select("ord", F.col("text").alias("positive")), "ord").drop("ord")
+    positive = R.broadcast_if_small(g.groupBy("query_id").agg(F.min("ord").alias("ord"))).join(d.select("ord", F.col("text").alias("positive")), "ord").drop("ord")
     rows = labelled_claims(spark, sf).join(positive, "query_id").select("query_id", F.col("text").alias("claim"), "positive", "label")
     bm25, dense = R.bm25_topk(q, d, 8), R.dense_topk(R.with_embedding(q), R.with_embedding(d), 24)
     return rows, builders.mine_negatives(rows, d, bm25, dense)

@@ -95,8 +95,8 @@ def _(spark, sf):
 
 @query("r19_backends", f"WITH {P._CHANNELS}, {B.rrf('hy', P._BASIC, 5)}, t5 AS (SELECT query_id, ord, rank FROM btop WHERE rank <= 5), u AS (SELECT 'bm25' AS mode, 'bm25' AS backend, query_id, ord, rank FROM t5 UNION ALL SELECT 'unknown', 'bm25_fallback', query_id, ord, rank FROM t5 UNION ALL SELECT 'dense', 'dense', query_id, ord, rank FROM dense WHERE rank <= 5 UNION ALL SELECT 'hybrid', 'hybrid', query_id, ord, rank FROM hy) SELECT mode, backend, query_id, ord, rank::INT AS rank FROM u")
 def _(spark, sf):
-    q, d = P.claims(spark, sf), P.corpus(spark, sf)
-    return builders.union_all([R.retrieve(q, d, m, 5).select(F.lit(m).alias("mode"), "backend", "query_id", "ord", "rank") for m in ("bm25", "dense", "hybrid", "unknown")])
+    q, d, kept = P.claims(spark, sf), P.corpus(spark, sf), {}
+    return builders.union_all([R.retrieve(q, d, m, 5, kept).select(F.lit(m).alias("mode"), "backend", "query_id", "ord", "rank") for m in ("bm25", "dense", "hybrid", "unknown")])
 
 
 @query("j08_best_payload", f"WITH {P._CHANNELS}, u AS (SELECT query_id, ord, rank, score, 0 AS l FROM btop UNION ALL SELECT query_id, ord, rank, score, 1 FROM dense) SELECT query_id, ord, arg_max(l, {{'s': score, 'l': l, 'r': rank}})::INT AS list_no FROM u GROUP BY query_id, ord")

@@ -249,3 +249,56 @@ def test_global_numbers(spark):
     rows = numbering.numbered_by(ids, "id").collect()
     assert [r["id"] for r in sorted(rows, key=lambda r: r["rn"])] == sorted(r["id"] for r in rows)
     assert ids.select(numbering.bucket_of(ids, "id")).distinct().count() > 50
+
+
+def test_bm25_topk_keeps_no_postings(spark, monkeypatch):
+    """First places as from all scores, over several chunks of queries and batches of passages, without postings or a score a pair being shuffled."""
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"w{min(i, 30)}" for i in rng.geometric(0.15, size=rng.integers(0, 12))) for _ in range(80)] + [None]
+    corpus = frame(spark, list(enumerate(texts)), "ord long, text string").repartition(3)
+    q = frame(spark, [((i, 1), " ".join(f"w{j}" for j in rng.integers(1, 40, size=6))) for i in range(7)] + [((9, 1), "none")], "query_id struct<a:int,b:int>, text string")
+    all_ = {}
+    for r in R.bm25_scores(q, corpus).collect():
+        all_.setdefault(tuple(r["query_id"]), {})[r["ord"]] = r["score"]
+
+    def never(*_, **__):
+        raise AssertionError("postings are made")
+
+    monkeypatch.setattr(R, "CHUNK", 3)
+    monkeypatch.setattr(R, "BATCH_ROWS", 7)
+    monkeypatch.setattr(R, "postings", never)
+    monkeypatch.setattr(R, "bm25_scores", never)
+    got = {}
+    for r in R.bm25_topk(q, corpus, 5).collect():
+        got.setdefault(tuple(r["query_id"]), {})[r["rank"]] = (r["ord"], r["score"])
+    assert len(got) == 8
+    for i, found in got.items():
+        score = {o: 0.0 for o in range(81)} | all_.get(i, {})
+        order = sorted(score, key=lambda o: (-round(score[o], 9), o))[:5]
+        assert [found[r][0] for r in range(1, 6)] == order
+        assert all(abs(found[r + 1][1] - score[o]) < 1e-9 for r, o in enumerate(order))
+
+
+def test_bm25_matrix_by_slices(monkeypatch):
+    import numpy as np
+
+    dl, toks = np.array([3, 0, 2]), np.array([5, 5, 7, 7, 9])
+    q, h, w = np.array([0, 0, 1, 1]), np.array([5, 7, 7, 11]), np.array([2.0, 1.0, 3.0, 4.0])
+    whole = R.bm25_matrix(dl, toks, q, h, w, 2.0, 1.5, 0.75)
+    monkeypatch.setattr(R, "SLICE", 1)
+    assert np.allclose(whole, R.bm25_matrix(dl, toks, q, h, w, 2.0, 1.5, 0.75)) and whole[1, 1] == 0 and whole[1, 2] > 0
+    part = lambda tf, n: tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / 2))
+    assert np.allclose(whole[0], [2 * part(2, 3) + part(1, 3), 0, part(1, 2)])
+
+
+def test_channels_are_worked_out_once(spark, capitals, monkeypatch):
+    q = frame(spark, [(1, "capital of France")], "query_id long, text string")
+    seen = []
+    one, two = R.bm25_topk, R.dense_topk
+    monkeypatch.setattr(R, "bm25_topk", lambda *a, **o: seen.append("bm25") or one(*a, **o))
+    monkeypatch.setattr(R, "dense_topk", lambda *a, **o: seen.append("dense") or two(*a, **o))
+    kept = {}
+    rows = [R.retrieve(q, capitals, m, 10, kept).count() for m in ("bm25", "dense", "hybrid")]
+    assert rows == [3, 3, 3] and seen == ["bm25", "dense"]
