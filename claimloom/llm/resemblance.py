@@ -21,7 +21,7 @@ from hashlib import sha256
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +40,8 @@ MARGIN = 0.2
 FEW = 64
 #: Counters that tell common shingles from rare ones; they set an order, the links do not depend on it.
 COUNTERS = 1 << 20
+#: Shingles before one that tell whether two documents have met by then; fewer propose a pair more often, the pairs are the same.
+BEFORE = 16
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -176,7 +178,7 @@ def _rare(width: int, threshold: float, floor: float, counts: np.ndarray):
                 out = []
                 for i, c, t in zip(pdf["id"], pdf["comp"], pdf["text"], strict=True):
                     first, short, _, n = ordered_prefix(t, counts, threshold, floor, width)
-                    out.append(pd.DataFrame({"id": i, "comp": c, "n": n, "key": first.view(np.int64), "short": np.arange(len(first)) < short}))
+                    out.append(pd.DataFrame({"id": i, "comp": c, "n": n, "key": first.view(np.int64), "pos": np.arange(len(first), dtype=np.int32), "short": np.arange(len(first)) < short}))
                 if out:
                     yield pd.concat(out)
 
@@ -253,11 +255,13 @@ def resemblance_links(docs: DataFrame, threshold: float = 0.8, width: int = 5, f
         text = base.join(broadcast_if_small(many), "id").dropDuplicates(["id"])
         # counted over all of these documents, added up in a tree: a passage that many share comes last whatever its share of them
         counts = text.select("id", "text").mapInPandas(_counts(width), "n binary").rdd.map(lambda r: np.frombuffer(r["n"], np.int32)).treeReduce(np.add)
-        rare = checkpoint(text.mapInPandas(_rare(width, threshold, floor, counts), "id long, comp long, n int, key long, short boolean"), TEXTS)
+        rare = checkpoint(text.mapInPandas(_rare(width, threshold, floor, counts), "id long, comp long, n int, key long, pos int, short boolean"), TEXTS)
         open_ = rare.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        rare = checkpoint(rare.join(open_, "key"))
-        small = rare.where("short").select("key", F.col("id").alias("w"), F.col("comp").alias("c"), F.col("n").alias("m"))
-        fits = (F.struct("m", "w") < F.struct("n", "id")) & (F.col("m") >= F.col("n") * floor - 1e-6) & (F.col("comp") != F.col("c"))
+        # shingles are in one order for all, so two documents that share one meet there first: where they share one of the last before it, they have met
+        before = F.collect_list("key").over(Window.partitionBy("id").orderBy("pos").rowsBetween(-BEFORE, -1))
+        rare = checkpoint(rare.join(open_, "key").withColumn("before", before).drop("pos"))
+        small = rare.where("short").select("key", F.col("id").alias("w"), F.col("comp").alias("c"), F.col("n").alias("m"), F.col("before").alias("b"))
+        fits = ~F.arrays_overlap("before", "b") & (F.struct("m", "w") < F.struct("n", "id")) & (F.col("m") >= F.col("n") * floor - 1e-6) & (F.col("comp") != F.col("c"))
         proposed = proposed.union(rare.join(small, "key").where(fits).select(F.least("id", "w").alias("u"), F.greatest("id", "w").alias("v")))
     more = decided(rated(proposed.distinct()))
     return links.union(more).union(same)

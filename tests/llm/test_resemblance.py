@@ -2,6 +2,8 @@ import random
 import time
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
 
 from claimloom.llm import resemblance, simhash
 from tests.llm.test_simhash import components
@@ -192,3 +194,36 @@ def test_site_template_grows_with_the_documents(spark):
     took = time.perf_counter() - began
     assert links == {(i, 5_000 + i) for i in range(5)}
     assert took < 90, took
+
+
+def test_pairs_meet_at_their_first_shared_shingle(spark, monkeypatch):
+    """Documents that share many of the rarest shingles are proposed about once, not once a shingle, and the links are the same."""
+    rng, docs = random.Random(16), {}
+    passage = [f"p{i}" for i in range(80)]
+    for i in range(100):
+        words = passage + [f"q{rng.randrange(10**9)}" for _ in range(22)]
+        docs[i] = " ".join(words)
+    docs[200] = docs[3] + " more"
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    made, real = [], resemblance.checkpoint
+    monkeypatch.setattr(resemblance, "checkpoint", lambda d, *a: (made.append(d) if "before" in d.columns else None) or real(d, *a))
+
+    def flat(width):
+        def run(batches):
+            for _ in batches:
+                pass
+            yield pd.DataFrame({"n": [np.zeros(1 << 20, np.int32).tobytes()]})
+
+        return run
+
+    # the passage does not count as common, so it is among the first shingles
+    monkeypatch.setattr(resemblance, "_counts", flat)
+    want = set(all_links(docs))
+    assert {tuple(r) for r in resemblance.resemblance_links(df).collect()} == want
+    assert made
+    rare = made[0]
+    small = rare.where("short").select("key", F.col("id").alias("w"), F.col("before").alias("b"))
+    pairs = rare.join(small, "key").where("id < w")
+    once, every = pairs.where(~F.arrays_overlap("before", "b")), pairs.count()
+    assert once.select("id", "w").distinct().count() == pairs.select("id", "w").distinct().count()
+    assert once.count() * 4 < every
