@@ -38,12 +38,12 @@ def l2_normalize(a: Column | str) -> Column:
 
 
 class _TokenRows:
-    """Rows of numbers of tokens, each hashed once while the table lasts; starts anew when full."""
+    """Digests of tokens, each hashed once while the table lasts and held as bytes; starts anew when full."""
 
-    def __init__(self, width: int, limit: int = 200_000):
+    def __init__(self, width: int, limit: int = 100_000):
         self.width, self.limit = width, limit
         self.place: dict[str, int] = {}
-        self.rows = np.empty((1024, width))
+        self.rows = np.empty((1024, width), np.uint8)
 
     def sum_of(self, tokens: list[str]) -> np.ndarray:
         if len(self.place) > self.limit:
@@ -54,10 +54,10 @@ class _TokenRows:
                 continue
             if len(self.place) == len(self.rows):
                 self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
-            self.rows[len(self.place)] = np.frombuffer(sha256(t.encode()).digest(), np.uint8)[: self.width] / 255.0 - 0.5
+            self.rows[len(self.place)] = np.frombuffer(sha256(t.encode()).digest(), np.uint8)[: self.width]
             self.place[t] = len(self.place)
         at = np.fromiter((self.place[t] for t in counts), np.int64, len(counts))
-        return np.fromiter(counts.values(), np.float64, len(counts)) @ self.rows[at]
+        return np.fromiter(counts.values(), np.float64, len(counts)) @ (self.rows[at] / 255.0 - 0.5)
 
 
 @lru_cache(maxsize=2)
