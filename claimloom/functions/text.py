@@ -2,12 +2,43 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from claimloom.functions import constants as C
 
 
+#: Bytes as in tokens: letters lower-cased, a blank for whatever is no letter a-z or digit. No byte of a longer UTF-8 character is a letter's.
+_TOKEN_BYTES = bytes(b if chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789" else b | 32 if 65 <= b <= 90 else 32 for b in range(256))
+
+
+def byte_tokens(text: bytes | None) -> list[bytes]:
+    """tokens() of a text in UTF-8, for Python workers; only A-Z are lower-cased, so lower() comes first where other letters may become a-z."""
+    return text.translate(_TOKEN_BYTES).split() if text else []
+
+
+def coded_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """byte_tokens() of an array of texts: how many each has, a code for each token one after another, and the terms that codes stand for."""
+    texts = texts.cast(pa.binary()).fill_null(b"")
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(bytes(texts.buffers()[2] or b"")[ends[0] : ends[-1]].translate(_TOKEN_BYTES), np.uint8)
+    ends -= ends[0]
+    is_token = data != 32
+    starts, stops = is_token.copy(), is_token.copy()
+    starts[1:] &= ~is_token[:-1]
+    stops[:-1] &= ~is_token[1:]
+    # texts lie one after another: a token ends with its text
+    seam = ends[1:-1][(ends[1:-1] > 0) & (ends[1:-1] < len(data))]
+    starts[seam] |= is_token[seam]
+    stops[seam - 1] |= is_token[seam - 1]
+    starts, stops = np.flatnonzero(starts), np.flatnonzero(stops) + 1
+    places = np.concatenate([[0], np.cumsum(stops - starts)]).astype(np.int32)
+    coded = pa.StringArray.from_buffers(len(starts), pa.py_buffer(places), pa.py_buffer(data[is_token])).dictionary_encode()
+    return np.diff(np.searchsorted(starts, ends)), coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.cast(pa.binary())
+
+
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

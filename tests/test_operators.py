@@ -327,3 +327,26 @@ def test_near_duplicates_move_only_first_tokens(spark, monkeypatch):
     assert made[0].agg(F.sum(F.size("keys"))).first()[0] <= 0.1 * sum(map(len, sets.values())) + 2 * len(sets)
     same = {(r["ord"], r["rep"]) for r in dedupe.membership(frame(spark, list(texts.items()), "ord long, text string")).collect()}
     assert (502, 0) in same and (1, 1) in same and (500, 500) in same
+
+
+def test_known_terms_alone_leave_the_worker(spark):
+    """What scores passages gets the hashes of the queries' terms only, and lengths of all tokens."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts = pa.RecordBatch.from_arrays([pa.array([7, 8]), pa.array(["a b b zzz", "yyy a"])], names=["ord", "text"])
+    (out,) = R._packed(pa.int64(), [b"a", b"b"])(iter([texts]))
+    sizes, had, hashes = (np.frombuffer(out.column(i)[0].as_py(), kind).tolist() for i, kind in ((1, np.int32), (2, np.int32), (3, np.int64)))
+    assert (sizes, had) == ([4, 2], [3, 1]) and hashes == [R._hash(t) for t in (b"a", b"b", b"b", b"a")]
+    (found,) = R._frequencies([b"a", b"b"])(iter([texts.select(["text"])]))
+    assert found.to_pydict() == {"term": ["", "a", "b"], "df": [2, 2, 1], "dl": [6, 0, 0]}
+
+
+def test_containing_by_either_way(spark, monkeypatch):
+    """Few queries go to the passages; more are joined: the same pairs, also for short, empty and null texts."""
+    docs = frame(spark, [(1, "one two three four"), (2, "two three fourth"), (3, None), (4, "")], "ord long, text string")
+    q = frame(spark, [(1, "two three four"), (2, "three"), (3, ""), (4, None), (5, "one two three four five")], "query_id long, text string")
+    few = sorted(map(tuple, R.containing(q, docs).collect()))
+    assert few == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 1), (3, 2), (3, 4)]
+    monkeypatch.setattr(R, "is_small", lambda *a, **k: False)
+    assert sorted(map(tuple, R.containing(q, docs).collect())) == few
