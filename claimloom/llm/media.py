@@ -1,10 +1,11 @@
 """Edited and cropped copies of images by local descriptors.
 
 Corners are found at several scales; each gets an orientation from its surroundings and
-a 128-bit string of brightness tests on the turned patch. Descriptors that differ in few
-bits meet in Hamming tables keyed by parts of the string. Image pairs gather the offsets
+a 128-bit string of brightness tests on the turned patch. Descriptors match if they
+differ in few bits and one part of the string is equal. Image pairs gather the offsets
 that their matches propose, and a pair is a copy if enough matches agree on one scale,
-turn and shift. Images of one shape are described together.
+turn and shift. Images of one shape are described together. Images lie in blocks, and
+each block meets each: no pair is left out, and no match of a pair is shuffled.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -27,12 +29,12 @@ from claimloom.llm.graph import connected_components
 SCALES = (1.0, 0.75, 0.5)
 #: Corners kept per scale, at least and one for so many pixels; radius of the patch, tests of a descriptor.
 CORNERS, AREA, RADIUS, TESTS = 24, 216, 7, 128
-#: Parts of 32 bits that key the tables; strings within BITS of each other match. The tables miss none up to three bits apart.
+#: Strings within BITS of each other match if one of their parts of 32 bits is equal, as it always is up to three bits.
 PARTS, BITS = 4, 6
 #: Matches that must agree on scale, turn and shift.
 AGREE = 6
-#: Classes that still meet in a table entry are tried pair by pair if they are no more than this.
-FEW = 8
+#: Features of a block of images, and of the blocks of a partition; pairs of features, or of matches, that are compared at once; those of one part that are compared as a matrix; matches that are held before a block is halved.
+BLOCK, SHARE, AT_ONCE, DENSE, HELD = 1 << 16, 1 << 20, 1 << 20, 1 << 10, 1 << 23
 #: Pixels that are described at once.
 STACK = 1 << 19
 
@@ -245,6 +247,7 @@ def agreeing(matches: list[tuple[float, ...]]) -> int:
 
 
 _DESCRIBED = "id long, digest string, features array<struct<geo:long,d0:long,d1:long>>"
+_BLOCK = ["imgs", "n", "geo", "d0", "d1"]
 
 
 def pack_place(y: float, x: float, scale: float, angle: float) -> int:
@@ -285,9 +288,171 @@ def _described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": pdf["id"], "digest": digests, "features": [found[d] for d in digests]})
 
 
-@F.pandas_udf(T.IntegerType())
-def _agree(matches: pd.Series) -> pd.Series:
-    return pd.Series([agreeing([(*unpack_place(m["p"]), *unpack_place(m["q"])) for m in x]) for x in matches], dtype="int32")
+def _places(geo: np.ndarray) -> np.ndarray:
+    """unpack_place() of many: [n, 4]."""
+    return np.stack([(geo >> 48) / 4, (geo >> 32 & 65535) / 4, np.array(SCALES)[geo >> 16 & 65535], (geo & 65535) / 4096 * 2 * np.pi - np.pi], axis=1)
+
+
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Images (img, geo, d0, d1 of each feature) put together to blocks of about so many features."""
+
+    def block(held):
+        n = np.array([len(g) for _, g, _, _ in held], np.int32)
+        whole = [np.concatenate([h[i] for h in held]).astype(np.int64).tobytes() for i in (1, 2, 3)]
+        return pd.DataFrame({"block": [held[0][0]], "imgs": [np.array([h[0] for h in held], np.int64).tobytes()], "n": [n.tobytes()], "geo": [whole[0]], "d0": [whole[1]], "d1": [whole[2]]})
+
+    held, size = [], 0
+    for pdf in batches:
+        for row in zip(pdf["img"], pdf["geo"], pdf["d0"], pdf["d1"], strict=True):
+            if held and size + len(row[1]) > BLOCK:
+                yield block(held)
+                held, size = [], 0
+            held.append(row)
+            size += len(row[1])
+    if held:
+        yield block(held)
+
+
+class _Block:
+    """Images with their features, these in the order of each part too."""
+
+    def __init__(self, imgs: np.ndarray, n: np.ndarray, geo: np.ndarray, bits: np.ndarray):
+        self.imgs, self.n, self.geo, self.bits = imgs, n, geo, bits
+        self.of = np.repeat(np.arange(len(n)), n)
+        self.words = np.stack([bits[:, p // 2] >> np.uint64(32 * (p % 2)) & np.uint64(0xFFFFFFFF) for p in range(PARTS)], axis=1).astype(np.uint32)
+        self.order = [np.argsort(self.words[:, p], kind="stable") for p in range(PARTS)]
+        self.keys = [np.unique(self.words[o, p], return_index=True, return_counts=True) for p, o in enumerate(self.order)]
+
+    @classmethod
+    def of_row(cls, imgs: bytes, n: bytes, geo: bytes, d0: bytes, d1: bytes) -> _Block:
+        return cls(np.frombuffer(imgs, np.int64), np.frombuffer(n, np.int32), np.frombuffer(geo, np.int64), np.stack([np.frombuffer(d, np.uint64) for d in (d0, d1)], axis=1))
+
+    def halves(self) -> tuple[_Block, _Block]:
+        k = len(self.n) // 2
+        at = int(self.n[:k].sum())
+        return _Block(self.imgs[:k], self.n[:k], self.geo[:at], self.bits[:at]), _Block(self.imgs[k:], self.n[k:], self.geo[at:], self.bits[at:])
+
+
+def _met(a: _Block, b: _Block, part: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Features of either block that have a part in common, not too many pairs at a time: a column and a row, or pairs one by one."""
+    (ka, at_a, na), (kb, at_b, nb) = a.keys[part], b.keys[part]
+    _, i, j = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
+    at_a, na, at_b, nb = at_a[i], na[i], at_b[j], nb[j]
+    oa, ob = a.order[part], b.order[part]
+    pairs = na * nb
+    large = pairs >= DENSE
+    for x, n, y, m in zip(at_a[large], na[large], at_b[large], nb[large], strict=True):
+        step = max(1, AT_ONCE // m)
+        for lo in range(x, x + n, step):
+            yield oa[lo : min(lo + step, x + n), None], ob[None, y : y + m]
+    at_a, at_b, nb, pairs = at_a[~large], at_b[~large], nb[~large], pairs[~large]
+    for lo in range(0, len(pairs), AT_ONCE // DENSE):
+        some = pairs[lo : lo + AT_ONCE // DENSE]
+        key = np.repeat(np.arange(lo, lo + len(some)), some)
+        place = np.arange(len(key)) - np.repeat(np.cumsum(some) - some, some)
+        yield oa[at_a[key] + place // nb[key]], ob[at_b[key] + place % nb[key]]
+
+
+def _matches(a: _Block, b: _Block, bits: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Features of images of two blocks, the lesser image in the first, that match, each pair once; None if they are too many to hold."""
+    left, right, size = [np.empty(0, np.int32)], [np.empty(0, np.int32)], 0
+    for part in range(PARTS):
+        for x, y in _met(a, b, part):
+            near = np.nonzero(np.bitwise_count(a.bits[x, 0] ^ b.bits[y, 0]) + np.bitwise_count(a.bits[x, 1] ^ b.bits[y, 1]) <= bits)
+            x, y = (x[near[0], 0], y[0, near[1]]) if x.ndim == 2 else (x[near], y[near])
+            # what shares an earlier part too has been met there
+            new = a.imgs[a.of[x]] < b.imgs[b.of[y]]
+            for p in range(part):
+                new &= a.words[x, p] != b.words[y, p]
+            left.append(x[new].astype(np.int32))
+            right.append(y[new].astype(np.int32))
+            size += len(left[-1])
+            if size > HELD and len(a.n) > 1:
+                return None
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _few(run: np.ndarray, place: np.ndarray, runs: int) -> np.ndarray:
+    """How many places each run has, to whole pixels."""
+    row, column = np.rint(place).astype(np.int64).T
+    at = np.sort((run.astype(np.int64) << 42) + (row << 21) + column)
+    return np.bincount(at[np.diff(at, prepend=-1) != 0] >> 42, minlength=runs)
+
+
+def _all_agreeing(p: np.ndarray, q: np.ndarray, n: np.ndarray, agree: int) -> np.ndarray:
+    """Of runs of matches, n long each, whether agreeing() gives `agree` or more."""
+    out, start = np.zeros(len(n), bool), np.cumsum(n) - n
+    (y0, x0, s0, a0), (y1, x1, s1, a1) = p.T, q.T
+    grow, turn = s0 / s1, (a1 - a0 + np.pi) % (2 * np.pi) - np.pi
+    cos, sin = grow * np.cos(turn), grow * np.sin(turn)
+    work = np.cumsum(n.astype(np.int64) ** 2)
+    cuts = np.searchsorted(work, np.arange(AT_ONCE, int(work[-1]), AT_ONCE)) if len(n) else []
+    for part in np.split(np.arange(len(n)), cuts):
+        if len(part) == 1 and n[part[0]] ** 2 > AT_ONCE:
+            at = slice(start[part[0]], start[part[0]] + n[part[0]])
+            out[part] = agreeing(np.concatenate([p[at], q[at]], axis=1)) >= agree
+        elif len(part):
+            lo, m = start[part[0]], n[part] ** 2
+            each = np.repeat(np.arange(lo, lo + n[part].sum()), np.repeat(n[part], n[part]))
+            other = np.repeat(start[part], m) + (np.arange(len(each)) - np.repeat(np.cumsum(m) - m, m)) % np.repeat(n[part], m)
+            dy, dx = y0[other] - y0[each], x0[other] - x0[each]
+            close = (y1[each] + (cos[each] * dy + sin[each] * dx) - y1[other]) ** 2 + (x1[each] + (cos[each] * dx - sin[each] * dy) - x1[other]) ** 2 <= 16.0
+            each, other = each[close] - lo, other[close]
+            enough = (np.bincount(each, minlength=n[part].sum()) >= agree)[each]
+            each, other = each[enough], other[enough]
+            most = np.minimum(_few(each, p[other, :2], n[part].sum()), _few(each, q[other, :2], n[part].sum()))
+            out[part] = np.maximum.reduceat(most, start[part] - lo) >= agree
+    return out
+
+
+def _find(up: dict, x: int) -> int:
+    while up.setdefault(x, x) != x:
+        up[x] = x = up[up[x]]
+    return x
+
+
+def _links(a: _Block, b: _Block, bits: int, agree: int, up: dict) -> Iterator[tuple[int, int]]:
+    """Links of images of two blocks, the lesser in the first, that connect what all of their links do."""
+    met = _matches(a, b, bits)
+    if met is None:
+        for half in a.halves():
+            yield from _links(half, b, bits, agree, up)
+        return
+    x, y = met
+    pair = a.of[x].astype(np.int64) * len(b.n) + b.of[y]
+    # most pairs have few matches
+    cell = pair % ((1 << 22) - 3)
+    many = np.bincount(cell)[cell] >= agree if len(cell) else np.empty(0, bool)
+    x, y, pair = x[many], y[many], pair[many]
+    order = np.argsort(pair, kind="stable")
+    x, y, pair = x[order], y[order], pair[order]
+    p, q = _places(a.geo[x]), _places(b.geo[y])
+    _, run, n = np.unique(pair, return_inverse=True, return_counts=True)
+    keep = (_few(run, p[:, :2], len(n)) >= agree) & (_few(run, q[:, :2], len(n)) >= agree)
+    x, y, p, q = (c[keep[run]] for c in (x, y, p, q))
+    first = np.cumsum(n[keep]) - n[keep]
+    for i in first[_all_agreeing(p, q, n[keep], agree)]:
+        u, v = int(a.imgs[a.of[x[i]]]), int(b.imgs[b.of[y[i]]])
+        if _find(up, u) != _find(up, v):
+            up[_find(up, u)] = _find(up, v)
+            yield u, v
+
+
+def _compared(bits: int, agree: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None, None
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                one, other = row["block"], row["o_block"]
+                a = last[1] if last[0] == one else _Block.of_row(*[row[c] for c in _BLOCK])
+                last = one, a
+                b, up = _Block.of_row(*[row["o_" + c] for c in _BLOCK]), {}
+                found = list(_links(a, b, bits, agree, up))
+                if one != other:
+                    found += _links(b, a, bits, agree, up)
+                yield pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+
+    return run
 
 
 def media_classes(media: DataFrame, id_col: str = "media_id", media_col: str = "media", bits: int = BITS, agree: int = AGREE) -> DataFrame:
@@ -295,48 +460,28 @@ def media_classes(media: DataFrame, id_col: str = "media_id", media_col: str = "
 
     Media with equal pixels (equal bytes, if they can't be read or are null) are one
     representative; representatives link if `agree` descriptor matches have one scale,
-    turn and shift, and classes are what links connect. In every table, each entry
-    first meets two entries that stand for it, the first by digest and the first by a
-    hash of it, so pairs grow with the entries and not with their square however many
-    copies share one. Classes that still share an entry then meet by their own two, all
-    pairs of them if they are few. Ids are whole numbers or text that reads as such;
-    an id that repeats with other pixels is in the class of either. Rows without an id
-    are left out; repeated rows stay; an image of any size is described whole; an empty
-    table gives an empty result; other columns are ignored, whatever their names.
+    turn and shift, and classes are what links connect. All pairs of representatives
+    are compared: these lie in blocks, each block meets each in a task that holds only
+    the two, and of what links them a forest is kept. So the work grows with the square
+    of the unlike images, memory and shuffled data do not. Ids are whole numbers or
+    text that reads as such; an id that repeats with other pixels is in the class of
+    either. Rows without an id are left out; repeated rows stay; an image of any size
+    is described whole; an empty table gives an empty result; other columns are
+    ignored, whatever their names.
     """
     require(media, id_col, media_col)
     rows = media.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(media_col).alias("media"))
     seen = checkpoint(rows.mapInPandas(_described, _DESCRIBED).withColumn("img", F.xxhash64("digest")), TEXTS)
     named = checkpoint(seen.groupBy("img").agg(F.min("id").alias("least"), F.count("*").alias("n")))
     # equal pixels have equal features
-    features = seen.select("img", "features").groupBy("img").agg(F.any_value("features").alias("f")).select("img", F.explode("f").alias("f")).select("img", "f.*")
-    low = F.lit(0xFFFFFFFF).cast("long")
-    keys = F.array(*[F.shiftrightunsigned(f"d{p // 2}", 32 * (p % 2)).bitwiseAND(low) + F.lit(p << 32) for p in range(PARTS)])
-    entries = features.withColumn("key", F.explode(keys))
-    # most keys are one image's; only the others go on
-    shared = entries.groupBy("key").agg(F.min("img").alias("lo"), F.max("img").alias("hi")).where("lo < hi").select("key")
-    entries = checkpoint(entries.join(shared, "key"))
-    whole = F.struct("img", "geo", "d0", "d1")
-    two = F.array_distinct(F.array(F.min(whole), F.min(F.struct(F.xxhash64("img").alias("h"), whole.alias("w")))["w"]))
-
-    def linked(entries: DataFrame, heads: DataFrame) -> DataFrame:
-        """Image pairs with enough matches of one scale, turn and shift, of entries beside the heads of their key."""
-        near = F.bit_count(F.col("d0").bitwiseXOR(F.col("a.d0"))) + F.bit_count(F.col("d1").bitwiseXOR(F.col("a.d1"))) <= bits
-        met = entries.join(heads, "key").where((F.col("a.img") != F.col("img")) & near)
-        swap = F.col("img") < F.col("a.img")
-        met = met.select(F.least("img", "a.img").alias("u"), F.greatest("img", "a.img").alias("v"), F.when(swap, F.col("geo")).otherwise(F.col("a.geo")).alias("p"), F.when(swap, F.col("a.geo")).otherwise(F.col("geo")).alias("q"))
-        # a pair has at most as many matches as an image has corners in all tables
-        pairs = met.groupBy("u", "v").agg(F.collect_set(F.struct("p", "q")).alias("m")).where(F.size("m") >= agree)
-        return checkpoint(pairs.where(_agree("m") >= agree).select("u", "v"))
-
-    links = linked(entries, entries.groupBy("key").agg(two.alias("heads")).select("key", F.explode("heads").alias("a")))
-    parts = checkpoint(connected_components(links))
-    # what shares a key and is not together yet
-    placed = entries.join(parts.select(F.col("node").alias("img"), "component"), "img", "left").withColumn("component", F.coalesce("component", "img"))
-    each = placed.groupBy("key", "component").agg(two.alias("heads"))
-    open_ = each.groupBy("key").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") <= FEW)).select("key")
-    each = checkpoint(each.join(open_, "key").select("key", F.explode("heads").alias("a")))
-    links = links.union(linked(each.select("key", "a.*"), each)).distinct()
+    features = seen.where(F.size("features") >= agree).select("img", "features").groupBy("img").agg(F.any_value("features").alias("f"))
+    # as many partitions as give every core several pairs of them, more if they would be large
+    n, cores = features.agg(F.sum(F.size("f"))).first()[0] or 0, media.sparkSession.sparkContext.defaultParallelism
+    dealt = features.select("img", "f.geo", "f.d0", "f.d1").repartition(max(ceil((4 * cores) ** 0.5), -(-n // SHARE)))
+    blocks = checkpoint(dealt.mapInPandas(_blocks, "block long, imgs binary, n binary, geo binary, d0 binary, d1 binary"), TEXTS)
+    others = blocks.select([F.col(c).alias(f"o_{c}") for c in blocks.columns])
+    met = blocks.join(others.hint("shuffle_replicate_nl"), F.col("block") <= F.col("o_block"))
+    links = checkpoint(met.mapInPandas(_compared(bits, agree), "u long, v long"), 4)
     parts = checkpoint(connected_components(links))
     of = named.join(parts.select(F.col("node").alias("img"), "component"), "img", "left").withColumn("component", F.coalesce("component", "img"))
     classes = of.groupBy("component").agg(F.min("least").alias("class_id"), F.sum("n").alias("n_media"))

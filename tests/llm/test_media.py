@@ -2,6 +2,7 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 
 from claimloom.llm import media
 
@@ -108,3 +109,54 @@ def test_odd_rows(spark):
     assert len(got) == 7 and {(r["media_id"], r["class_id"]) for r in got} == {(1, 1), (2, 1), (3, 3), (5, 5), (6, 6), (7, 7)}
     assert media.media_classes(df.where("1 = 0")).count() == 0
     assert media.draw(None) is None and media.draw([1.0, 2.0]) is None
+
+
+def test_pairs_in_crowded_entries(spark, monkeypatch):
+    """All images share one part of every descriptor and nothing else; only pairs of them are alike."""
+    rng = np.random.default_rng(4)
+    features = {}
+    for i in range(20):
+        words, flips = rng.integers(0, 1 << 31, (8, 3)), rng.integers(0, 31, (8, 3))
+        places = [media.pack_place(9 * k, 7 * k % 50, 1.0, 0.0) for k in range(8)]
+        for j in range(2):
+            w = words ^ (j << flips)
+            features[2 * i + j] = [{"geo": g, "d0": int(a) << 32 | 7, "d1": int(c) << 32 | int(b)} for g, (a, b, c) in zip(places, w.tolist(), strict=True)]
+
+    def described(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"], "digest": pdf["id"].astype(str), "features": [features[i] for i in pdf["id"]]})
+
+    monkeypatch.setattr(media, "_described", described)
+    got = media.media_classes(spark.createDataFrame([(i, None) for i in features], "media_id long, media binary")).collect()
+    assert {r["media_id"]: r["class_id"] for r in got} == {i: i // 2 * 2 for i in features} and {r["n_media"] for r in got} == {2}
+
+
+def test_blocks_compare_all_pairs():
+    """Links of blocks, halved ones too, connect what comparing every image with every other does."""
+    rng, parts = np.random.default_rng(5), []
+    for i, a in enumerate([e for p in pictures(14, 9) for e in (p, np.clip(p + rng.normal(0, 6, p.shape), 0, 255), p[: 60 - len(parts) % 9])]):
+        _, place, bits = media.describe_stack(a[None])
+        parts.append((i, np.array([media.pack_place(*x) for x in place.tolist()], np.int64), bits.view("<u8")))
+
+    def block(some):
+        return media._Block(np.array([i for i, _, _ in some]), np.array([len(g) for _, g, _ in some], np.int32), np.concatenate([g for _, g, _ in some]), np.concatenate([b for _, _, b in some]))
+
+    def classes(links):
+        up = {i: i for i, _, _ in parts}
+        for u, v in links:
+            up[media._find(up, u)] = media._find(up, v)
+        return {frozenset(j for j in up if media._find(up, j) == media._find(up, i)) for i in list(up)}
+
+    slow = []
+    for i, g, x in parts:
+        for j, h, y in parts[i + 1 :]:
+            near = (np.bitwise_count(x[:, None] ^ y[None]).sum(2) <= media.BITS) & (x.copy().view("<u4")[:, None] == y.copy().view("<u4")[None]).any(2)
+            m = [(*media.unpack_place(int(g[a])), *media.unpack_place(int(h[b]))) for a, b in zip(*np.nonzero(near), strict=True)]
+            if media.agreeing(m) >= media.AGREE:
+                slow.append((i, j))
+    all_, one, two = block(parts), block(parts[::2]), block(parts[1::2])
+    fast = [(a, b) for a in all_.halves() for b in (all_,)]
+    whole = classes(slow)
+    assert len(slow) > 20 and len(whole) < len(parts) and classes(media._links(all_, all_, media.BITS, media.AGREE, {})) == whole
+    assert classes([link for a, b in fast for link in media._links(a, b, media.BITS, media.AGREE, {})]) == whole
+    assert classes([link for a, b in ((one, one), (one, two), (two, one), (two, two)) for link in media._links(a, b, media.BITS, media.AGREE, {})]) == whole
