@@ -17,14 +17,17 @@ def negates(claim: Column | str, evidence: Column | str) -> Column:
     return F.array_contains(theirs, "not") & F.arrays_overlap(X.space_tokens(claim), theirs)
 
 
-def rule_verdict(claim: Column | str, evidence: Column | str) -> Column:
-    """Struct verdict, confidence, supported, refuted, nei of one passage."""
-    overlap = X.overlap_of(X.space_tokens(claim), X.space_tokens(evidence))
-    verdict = F.when(negates(claim, evidence), C.REFUTED).when(overlap >= C.SUPPORT_OVERLAP, C.SUPPORTED).otherwise(C.NEI)
+def _result(overlap: Column, negated: Column) -> Column:
+    verdict = F.when(negated, C.REFUTED).when(overlap >= C.SUPPORT_OVERLAP, C.SUPPORTED).otherwise(C.NEI)
     logit = lambda label: F.when(verdict == label, C.HIT).otherwise(C.MISS)
     return F.struct(verdict.alias("verdict"), F.least(F.lit(0.99), 0.45 + overlap / 2).alias("confidence"), logit(C.SUPPORTED).alias("supported"), logit(C.REFUTED).alias("refuted"), logit(C.NEI).alias("nei"))
 
 
+def rule_verdict(claim: Column | str, evidence: Column | str) -> Column:
+    """Struct verdict, confidence, supported, refuted, nei of one passage."""
+    return _result(X.overlap_of(X.space_tokens(claim), X.space_tokens(evidence)), negates(claim, evidence))
+
+
 def gate(result: Column, overlap: Column, threshold: float) -> Column:
     """A passage below the threshold counts as not enough information with certainty."""
     nothing = F.struct(F.lit(C.NEI).alias("verdict"), F.lit(1.0).alias("confidence"), F.lit(0.0).alias("supported"), F.lit(0.0).alias("refuted"), F.lit(1.0).alias("nei"))
@@ -72,10 +75,16 @@ def aggregate_claims(verified: DataFrame, support_threshold: float = 0.5, refute
 
 
 def verify_bundle(pairs: DataFrame) -> DataFrame:
-    """Per claim: the result for all its passages joined by a newline, in rank order."""
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda p: p["text"]), "\n")
-    joined = pairs.groupBy("query_id").agg(F.first("claim").alias("claim"), text.alias("text"))
-    return joined.select("query_id", rule_verdict("claim", "text").alias("result")).select("query_id", "result.*")
+    """Per claim: the result for all its passages joined by a newline, in rank order.
+
+    It rests on which of the claim's tokens any passage has and on whether one has the
+    token "not", so only these leave a passage, however many a claim has.
+    """
+    claim, theirs = X.space_tokens("claim"), X.space_tokens("text")
+    each = pairs.select("query_id", "claim", F.array_contains(theirs, "not").alias("has_not"), F.explode_outer(F.array_intersect(claim, theirs)).alias("shared"))
+    joined = each.groupBy("query_id").agg(F.first("claim").alias("claim"), F.coalesce(F.max("has_not"), F.lit(False)).alias("has_not"), F.collect_set("shared").alias("shared"))
+    result = _result(X.overlap_of(claim, F.col("shared")), F.col("has_not") & F.arrays_overlap(claim, F.col("shared")))
+    return joined.select("query_id", result.alias("result")).select("query_id", "result.*")
 
 
 def with_no_evidence(claims: DataFrame, results: DataFrame) -> DataFrame:

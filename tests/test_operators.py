@@ -350,3 +350,26 @@ def test_containing_by_either_way(spark, monkeypatch):
     assert few == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 1), (3, 2), (3, 4)]
     monkeypatch.setattr(R, "is_small", lambda *a, **k: False)
     assert sorted(map(tuple, R.containing(q, docs).collect())) == few
+
+
+def test_bundles_pass_tokens_not_texts(spark):
+    """The result of a bundle is that of its joined text, and no text of a passage is gathered."""
+    rows = [(1, "The cat is here", 1, "the CAT"), (1, "The cat is here", 2, None), (1, "The cat is here", 3, "was not\there"), (2, "a dog", 1, None), (3, "a b c", 1, "x not y"), (3, "a b c", 2, "z"), (4, "a b c d", 1, "c"), (4, "a b c d", 2, "B"), (5, "", 1, "not")]
+    pairs = spark.createDataFrame(rows, "query_id long, claim string, rank int, text string")
+    got = verify.verify_bundle(pairs)
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+    texts = {}
+    for q, c, _, t in rows:
+        texts.setdefault((q, c), []).append(t)
+    whole = spark.createDataFrame([(q, c, "\n".join(t for t in x if t is not None)) for (q, c), x in texts.items()], "query_id long, claim string, text string")
+    want = whole.select("query_id", verify.rule_verdict("claim", "text").alias("r")).select("query_id", "r.*")
+    assert sorted(got.collect()) == sorted(want.collect()) and [r["verdict"] for r in sorted(got.collect())] == ["REFUTED", "NOT ENOUGH INFO", "NOT ENOUGH INFO", "SUPPORTED", "NOT ENOUGH INFO"]
+
+
+def test_oracle_texts_are_not_shuffled(spark):
+    """Gold passages are few: they go to the texts, not the texts to them."""
+    from claimloom.plans import queries
+
+    _, oracle, _ = queries._evidences(spark, "/root/testdata/sf0.001")
+    plan = oracle._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "BroadcastHashJoin" in plan
