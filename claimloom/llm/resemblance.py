@@ -259,9 +259,11 @@ def resemblance_links(docs: DataFrame, threshold: float = 0.8, width: int = 5, f
         open_ = rare.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
         # shingles are in one order for all, so two documents that share one meet there first: where they share one of the last before it, they have met
         before = F.collect_list("key").over(Window.partitionBy("id").orderBy("pos").rowsBetween(-BEFORE, -1))
-        rare = checkpoint(rare.join(open_, "key").withColumn("before", before).drop("pos"))
-        small = rare.where("short").select("key", F.col("id").alias("w"), F.col("comp").alias("c"), F.col("n").alias("m"), F.col("before").alias("b"))
-        fits = ~F.arrays_overlap("before", "b") & (F.struct("m", "w") < F.struct("n", "id")) & (F.col("m") >= F.col("n") * floor - 1e-6) & (F.col("comp") != F.col("c"))
+        rare = checkpoint(rare.join(open_, "key").withColumn("before", before))
+        small = rare.where("short").select("key", F.col("id").alias("w"), F.col("comp").alias("c"), F.col("n").alias("m"), F.col("before").alias("b"), F.col("pos").alias("at"))
+        # where they meet first, all that they share is still to come in either
+        reach = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at")) >= (F.col("n") + F.col("m")) * (floor / (1 + floor)) - 1e-6
+        fits = ~F.arrays_overlap("before", "b") & (F.struct("m", "w") < F.struct("n", "id")) & reach & (F.col("m") >= F.col("n") * floor - 1e-6) & (F.col("comp") != F.col("c"))
         proposed = proposed.union(rare.join(small, "key").where(fits).select(F.least("id", "w").alias("u"), F.greatest("id", "w").alias("v")))
     more = decided(rated(proposed.distinct()))
     return links.union(more).union(same)

@@ -227,3 +227,20 @@ def test_pairs_meet_at_their_first_shared_shingle(spark, monkeypatch):
     once, every = pairs.where(~F.arrays_overlap("before", "b")), pairs.count()
     assert once.select("id", "w").distinct().count() == pairs.select("id", "w").distinct().count()
     assert once.count() * 4 < every
+
+
+def test_far_copies_of_a_large_group_are_not_tried_with_each_member(spark, monkeypatch):
+    """Texts whose own shingles leave too few for the floor are dropped where they meet the group, and the links are those of all pairs."""
+    rng = random.Random(17)
+    base = [f"w{i}" for i in range(150)]
+
+    def edited(places, more=0):
+        return " ".join([f"x{rng.randrange(10**9)}" if i in places else w for i, w in enumerate(base)] + [f"y{rng.randrange(10**9)}" for _ in range(more)])
+
+    docs = {0: " ".join(base)} | {i: edited({rng.randrange(5, 145)}) for i in range(1, 81)} | {100 + i: edited(set(range(i % 7, 150, 15)), 3) for i in range(30)} | {300: edited({70}, 1)}
+    made, real = [], resemblance.checkpoint
+    monkeypatch.setattr(resemblance, "checkpoint", lambda d, *a: (made.append(d.count()) if d.columns == ["u", "v"] and not a else None) or real(d, *a))
+    found = {tuple(r) for r in resemblance.resemblance_links(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    want = set(all_links(docs))
+    assert found <= want and components(found, docs) == components(want, docs)
+    assert made and max(made) < 400, made
