@@ -370,6 +370,11 @@ def test_oracle_texts_are_not_shuffled(spark):
     """Gold passages are few: they go to the texts, not the texts to them."""
     from claimloom.plans import queries
 
-    _, oracle, _ = queries._evidences(spark, "/root/testdata/sf0.001")
-    plan = oracle._jdf.queryExecution().sparkPlan().toString()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        _, oracle, _ = queries._evidences(spark, "/root/testdata/sf0.001")
+        plan = oracle._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "BroadcastHashJoin" in plan
