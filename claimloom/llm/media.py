@@ -33,8 +33,8 @@ CORNERS, AREA, RADIUS, TESTS = 24, 216, 7, 128
 PARTS, BITS = 4, 6
 #: Matches that must agree on scale, turn and shift.
 AGREE = 6
-#: Features of a block of images, and of the blocks of a partition; pairs of features, or of matches, that are compared at once; those of one part that are compared as a matrix; matches that are held before a block is halved.
-BLOCK, SHARE, AT_ONCE, DENSE, HELD = 1 << 16, 1 << 20, 1 << 20, 1 << 10, 1 << 23
+#: Features of a block of images, and of the blocks of a partition; blocks that a task keeps in order; pairs of features, or of matches, that are compared at once; those of one part that are compared as a matrix; matches that are held before a block is halved; counters of pairs of images.
+BLOCK, SHARE, KEPT, AT_ONCE, DENSE, HELD, CELLS = 1 << 16, 1 << 20, 8, 1 << 20, 1 << 10, 1 << 23, 1 << 22
 #: Pixels that are described at once.
 STACK = 1 << 19
 
@@ -314,14 +314,21 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class _Block:
-    """Images with their features, these in the order of each part too."""
+    """Images with their features, these in the order of each part too; a feature's place, and that to whole pixels as one number."""
 
     def __init__(self, imgs: np.ndarray, n: np.ndarray, geo: np.ndarray, bits: np.ndarray):
-        self.imgs, self.n, self.geo, self.bits = imgs, n, geo, bits
+        self.imgs, self.n, self.geo, self.bits = imgs, n, geo, np.ascontiguousarray(bits.T)
         self.of = np.repeat(np.arange(len(n)), n)
-        self.words = np.stack([bits[:, p // 2] >> np.uint64(32 * (p % 2)) & np.uint64(0xFFFFFFFF) for p in range(PARTS)], axis=1).astype(np.uint32)
-        self.order = [np.argsort(self.words[:, p], kind="stable") for p in range(PARTS)]
-        self.keys = [np.unique(self.words[o, p], return_index=True, return_counts=True) for p, o in enumerate(self.order)]
+        self.place = _places(geo)
+        row, column = np.rint(self.place[:, :2]).astype(np.int64).T
+        self.pixel = (row << 21) + column
+        # an image's pixels that have features, numbered; of 64 or fewer each has a bit of its own
+        at, number = np.unique((self.of << 42) + self.pixel, return_inverse=True)
+        number -= np.searchsorted(at, np.arange(len(n)) << 42)[self.of]
+        self.bit, self.fits = np.uint64(1) << (number & 63).astype(np.uint64), np.bincount(at >> 42, minlength=len(n)) <= 64
+        words = [(self.bits[p // 2] >> np.uint64(32 * (p % 2))).astype(np.uint32) for p in range(PARTS)]
+        self.order = [np.argsort(w, kind="stable") for w in words]
+        self.keys = [np.unique(w[o], return_index=True, return_counts=True) for w, o in zip(words, self.order, strict=True)]
 
     @classmethod
     def of_row(cls, imgs: bytes, n: bytes, geo: bytes, d0: bytes, d1: bytes) -> _Block:
@@ -330,7 +337,7 @@ class _Block:
     def halves(self) -> tuple[_Block, _Block]:
         k = len(self.n) // 2
         at = int(self.n[:k].sum())
-        return _Block(self.imgs[:k], self.n[:k], self.geo[:at], self.bits[:at]), _Block(self.imgs[k:], self.n[k:], self.geo[at:], self.bits[at:])
+        return _Block(self.imgs[:k], self.n[:k], self.geo[:at], self.bits[:, :at].T), _Block(self.imgs[k:], self.n[k:], self.geo[at:], self.bits[:, at:].T)
 
 
 def _met(a: _Block, b: _Block, part: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -342,7 +349,7 @@ def _met(a: _Block, b: _Block, part: int) -> Iterator[tuple[np.ndarray, np.ndarr
     pairs = na * nb
     large = pairs >= DENSE
     for x, n, y, m in zip(at_a[large], na[large], at_b[large], nb[large], strict=True):
-        step = max(1, AT_ONCE // m)
+        step = max(1, (AT_ONCE >> 3) // m)  # what a core's own cache holds
         for lo in range(x, x + n, step):
             yield oa[lo : min(lo + step, x + n), None], ob[None, y : y + m]
     at_a, at_b, nb, pairs = at_a[~large], at_b[~large], nb[~large], pairs[~large]
@@ -353,56 +360,86 @@ def _met(a: _Block, b: _Block, part: int) -> Iterator[tuple[np.ndarray, np.ndarr
         yield oa[at_a[key] + place // nb[key]], ob[at_b[key] + place % nb[key]]
 
 
-def _matches(a: _Block, b: _Block, bits: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """Features of images of two blocks, the lesser image in the first, that match, each pair once; None if they are too many to hold."""
+def _matches(a: _Block, b: _Block, bits: int, both: bool = False) -> tuple[np.ndarray, np.ndarray] | None:
+    """Features of images of two blocks that match, each pair once, the lesser image in the first block (in either, if asked); None if they are too many to hold."""
     left, right, size = [np.empty(0, np.int32)], [np.empty(0, np.int32)], 0
     for part in range(PARTS):
         for x, y in _met(a, b, part):
-            near = np.nonzero(np.bitwise_count(a.bits[x, 0] ^ b.bits[y, 0]) + np.bitwise_count(a.bits[x, 1] ^ b.bits[y, 1]) <= bits)
-            x, y = (x[near[0], 0], y[0, near[1]]) if x.ndim == 2 else (x[near], y[near])
+            if x.ndim == 2:
+                # first by the half of the string that has no part in common
+                half = 1 - part // 2
+                at = np.flatnonzero(np.bitwise_count(a.bits[half][x] ^ b.bits[half][y]) <= bits)
+                row = at // y.shape[1]
+                x, y = x[row, 0], y[0, at - row * y.shape[1]]
+            unlike = a.bits[0][x] ^ b.bits[0][y], a.bits[1][x] ^ b.bits[1][y]
+            new = np.bitwise_count(unlike[0]) + np.bitwise_count(unlike[1]) <= bits
             # what shares an earlier part too has been met there
-            new = a.imgs[a.of[x]] < b.imgs[b.of[y]]
             for p in range(part):
-                new &= a.words[x, p] != b.words[y, p]
-            left.append(x[new].astype(np.int32))
-            right.append(y[new].astype(np.int32))
+                new &= unlike[p // 2] & np.uint64(0xFFFFFFFF << 32 * (p % 2)) != 0
+            x, y = x[new].astype(np.int32), y[new].astype(np.int32)
+            if not both:
+                lesser = a.imgs[a.of[x]] < b.imgs[b.of[y]]
+                x, y = x[lesser], y[lesser]
+            left.append(x)
+            right.append(y)
             size += len(left[-1])
             if size > HELD and len(a.n) > 1:
                 return None
     return np.concatenate(left), np.concatenate(right)
 
 
-def _few(run: np.ndarray, place: np.ndarray, runs: int) -> np.ndarray:
+def _few(run: np.ndarray, pixel: np.ndarray, runs: int) -> np.ndarray:
     """How many places each run has, to whole pixels."""
-    row, column = np.rint(place).astype(np.int64).T
-    at = np.sort((run.astype(np.int64) << 42) + (row << 21) + column)
+    at = np.sort((run.astype(np.int64) << 42) + pixel)
     return np.bincount(at[np.diff(at, prepend=-1) != 0] >> 42, minlength=runs)
 
 
-def _all_agreeing(p: np.ndarray, q: np.ndarray, n: np.ndarray, agree: int) -> np.ndarray:
-    """Of runs of matches, n long each, whether agreeing() gives `agree` or more."""
-    out, start = np.zeros(len(n), bool), np.cumsum(n) - n
-    (y0, x0, s0, a0), (y1, x1, s1, a1) = p.T, q.T
-    grow, turn = s0 / s1, (a1 - a0 + np.pi) % (2 * np.pi) - np.pi
-    cos, sin = grow * np.cos(turn), grow * np.sin(turn)
-    work = np.cumsum(n.astype(np.int64) ** 2)
-    cuts = np.searchsorted(work, np.arange(AT_ONCE, int(work[-1]), AT_ONCE)) if len(n) else []
-    for part in np.split(np.arange(len(n)), cuts):
-        if len(part) == 1 and n[part[0]] ** 2 > AT_ONCE:
-            at = slice(start[part[0]], start[part[0]] + n[part[0]])
-            out[part] = agreeing(np.concatenate([p[at], q[at]], axis=1)) >= agree
-        elif len(part):
-            lo, m = start[part[0]], n[part] ** 2
-            each = np.repeat(np.arange(lo, lo + n[part].sum()), np.repeat(n[part], n[part]))
-            other = np.repeat(start[part], m) + (np.arange(len(each)) - np.repeat(np.cumsum(m) - m, m)) % np.repeat(n[part], m)
-            dy, dx = y0[other] - y0[each], x0[other] - x0[each]
-            close = (y1[each] + (cos[each] * dy + sin[each] * dx) - y1[other]) ** 2 + (x1[each] + (cos[each] * dx - sin[each] * dy) - x1[other]) ** 2 <= 16.0
-            each, other = each[close] - lo, other[close]
-            enough = (np.bincount(each, minlength=n[part].sum()) >= agree)[each]
-            each, other = each[enough], other[enough]
-            most = np.minimum(_few(each, p[other, :2], n[part].sum()), _few(each, q[other, :2], n[part].sum()))
-            out[part] = np.maximum.reduceat(most, start[part] - lo) >= agree
-    return out
+class _Proposals:
+    """Scale, turn and shift that each match of some runs proposes, a run n matches long."""
+
+    def __init__(self, p: np.ndarray, q: np.ndarray, p_pixel: np.ndarray, q_pixel: np.ndarray, n: np.ndarray):
+        self.p, self.q, self.p_pixel, self.q_pixel, self.n = p, q, p_pixel, q_pixel, n
+        self.start = np.cumsum(n) - n
+        (self.y0, self.x0, s0, a0), (self.y1, self.x1, s1, a1) = p.T.copy(), q.T.copy()
+        grow, turn = s0 / s1, (a1 - a0 + np.pi) % (2 * np.pi) - np.pi
+        self.cos, self.sin = grow * np.cos(turn), grow * np.sin(turn)
+
+    def close(self, each: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Whether what match `each` proposes sends the first place of `other` to its second."""
+        dy, dx, cos, sin = self.y0[other] - self.y0[each], self.x0[other] - self.x0[each], self.cos[each], self.sin[each]
+        return (self.y1[each] + (cos * dy + sin * dx) - self.y1[other]) ** 2 + (self.x1[each] + (cos * dx - sin * dy) - self.x1[other]) ** 2 <= 16.0
+
+    def followed(self, agree: int) -> np.ndarray:
+        """Matches whose proposal `agree` matches of the run follow, itself one of them; one that too many do not is not tried further."""
+        n, start = np.repeat(self.n, self.n), np.repeat(self.start, self.n)
+        got, left = np.ones(len(n), np.int64), np.arange(len(n))
+        for step in range(1, int(self.n.max(initial=0))):
+            left = left[n[left] > step]
+            other = left + step
+            other -= np.where(other - start[left] < n[left], 0, n[left])
+            got[left] += self.close(left, other)
+            left = left[got[left] + n[left] - 1 - step >= agree]
+        return np.flatnonzero(got >= agree)
+
+    def agreeing(self, agree: int) -> np.ndarray:
+        """Of each run, whether agreeing() gives `agree` or more."""
+        out, each = np.zeros(len(self.n), bool), self.followed(agree)
+        run = np.repeat(np.arange(len(self.n)), self.n)
+        work = np.cumsum(self.n[run[each]].astype(np.int64))
+        cuts = np.searchsorted(work, np.arange(AT_ONCE, int(work[-1]), AT_ONCE)) if len(each) else []
+        for some in np.split(each, cuts):
+            if not len(some):
+                continue
+            m = self.n[run[some]]
+            k = np.repeat(np.arange(len(some)), m)
+            other = self.start[run[some]][k] + np.arange(len(k)) - np.repeat(np.cumsum(m) - m, m)
+            near = self.close(some[k], other)
+            k, other = k[near], other[near]
+            enough = (np.bincount(k, minlength=len(some)) >= agree)[k]
+            k, other = k[enough], other[enough]
+            most = np.minimum(_few(k, self.p_pixel[other], len(some)), _few(k, self.q_pixel[other], len(some)))
+            out[run[some[most >= agree]]] = True
+        return out
 
 
 def _find(up: dict, x: int) -> int:
@@ -411,46 +448,60 @@ def _find(up: dict, x: int) -> int:
     return x
 
 
-def _links(a: _Block, b: _Block, bits: int, agree: int, up: dict) -> Iterator[tuple[int, int]]:
-    """Links of images of two blocks, the lesser in the first, that connect what all of their links do."""
-    met = _matches(a, b, bits)
+def _links(a: _Block, b: _Block, bits: int, agree: int, up: dict, both: bool = False) -> Iterator[tuple[int, int]]:
+    """Links of images of two blocks, the lesser in the first (in either, if asked: of blocks that share no image), that connect what all of their links do."""
+    met = _matches(a, b, bits, both)
     if met is None:
         for half in a.halves():
-            yield from _links(half, b, bits, agree, up)
+            yield from _links(half, b, bits, agree, up, both)
         return
     x, y = met
-    pair = a.of[x].astype(np.int64) * len(b.n) + b.of[y]
+    pair = a.of[x] * len(b.n) + b.of[y]
     # most pairs have few matches
-    cell = pair % ((1 << 22) - 3)
+    cell = pair if len(a.n) * len(b.n) < CELLS else pair % (CELLS - 3)
     many = np.bincount(cell)[cell] >= agree if len(cell) else np.empty(0, bool)
     x, y, pair = x[many], y[many], pair[many]
-    order = np.argsort(pair, kind="stable")
+    order = np.argsort(pair)
     x, y, pair = x[order], y[order], pair[order]
-    p, q = _places(a.geo[x]), _places(b.geo[y])
-    _, run, n = np.unique(pair, return_inverse=True, return_counts=True)
-    keep = (_few(run, p[:, :2], len(n)) >= agree) & (_few(run, q[:, :2], len(n)) >= agree)
-    x, y, p, q = (c[keep[run]] for c in (x, y, p, q))
-    first = np.cumsum(n[keep]) - n[keep]
-    for i in first[_all_agreeing(p, q, n[keep], agree)]:
-        u, v = int(a.imgs[a.of[x[i]]]), int(b.imgs[b.of[y[i]]])
-        if _find(up, u) != _find(up, v):
-            up[_find(up, u)] = _find(up, v)
-            yield u, v
+    first = np.flatnonzero(np.diff(pair, prepend=-1))
+    n = np.diff(first, append=len(pair))
+    # and many of the rest have few places
+    keep = np.ones(len(n), bool)
+    for block, at in ((a, x), (b, y)) if len(n) else ():
+        keep &= (np.bitwise_count(np.bitwise_or.reduceat(block.bit[at], first)) >= agree) | ~block.fits[block.of[at[first]]]
+    of = np.repeat(keep, n)
+    x, y, n = x[of], y[of], n[keep]
+    u, v = a.imgs[a.of[x]], b.imgs[b.of[y]]
+    one, other = a.place[x], b.place[y]
+    # agreement is judged from the lesser image to the other
+    turned = u > v
+    one[turned], other[turned] = other[turned], one[turned]
+    p, q = a.pixel[x], b.pixel[y]
+    p, q = np.where(turned, q, p), np.where(turned, p, q)
+    found = _Proposals(one, other, p, q, n).agreeing(agree)
+    for i in (np.cumsum(n) - n)[found]:
+        s, t = int(u[i]), int(v[i])
+        if _find(up, s) != _find(up, t):
+            up[_find(up, s)] = _find(up, t)
+            yield min(s, t), max(s, t)
 
 
 def _compared(bits: int, agree: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = None, None
+        kept: dict[int, _Block] = {}
+
+        def block(name: int, columns: list) -> _Block:
+            """The block, from those used last if it is one of them."""
+            found = kept.pop(name, None) or _Block.of_row(*columns)
+            if len(kept) >= KEPT:
+                kept.pop(next(iter(kept)))
+            kept[name] = found
+            return found
+
         for pdf in batches:
             for row in pdf.to_dict("records"):
-                one, other = row["block"], row["o_block"]
-                a = last[1] if last[0] == one else _Block.of_row(*[row[c] for c in _BLOCK])
-                last = one, a
-                b, up = _Block.of_row(*[row["o_" + c] for c in _BLOCK]), {}
-                found = list(_links(a, b, bits, agree, up))
-                if one != other:
-                    found += _links(b, a, bits, agree, up)
-                yield pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+                a, b = (block(row[side + "block"], [row[side + c] for c in _BLOCK]) for side in ("", "o_"))
+                yield pd.DataFrame(_links(a, b, bits, agree, {}, row["block"] != row["o_block"]), columns=["u", "v"], dtype="int64")
 
     return run
 
@@ -475,9 +526,9 @@ def media_classes(media: DataFrame, id_col: str = "media_id", media_col: str = "
     named = checkpoint(seen.groupBy("img").agg(F.min("id").alias("least"), F.count("*").alias("n")))
     # equal pixels have equal features
     features = seen.where(F.size("features") >= agree).select("img", "features").groupBy("img").agg(F.any_value("features").alias("f"))
-    # as many partitions as give every core several pairs of them, more if they would be large
+    # as many partitions as give every core some pairs of them, so that none waits long for the last, more if they would be large
     n, cores = features.agg(F.sum(F.size("f"))).first()[0] or 0, media.sparkSession.sparkContext.defaultParallelism
-    dealt = features.select("img", "f.geo", "f.d0", "f.d1").repartition(max(ceil((4 * cores) ** 0.5), -(-n // SHARE)))
+    dealt = features.select("img", "f.geo", "f.d0", "f.d1").repartition(max(ceil((12 * cores) ** 0.5), -(-n // SHARE)))
     blocks = checkpoint(dealt.mapInPandas(_blocks, "block long, imgs binary, n binary, geo binary, d0 binary, d1 binary"), TEXTS)
     others = blocks.select([F.col(c).alias(f"o_{c}") for c in blocks.columns])
     met = blocks.join(others.hint("shuffle_replicate_nl"), F.col("block") <= F.col("o_block"))

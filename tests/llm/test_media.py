@@ -160,3 +160,36 @@ def test_blocks_compare_all_pairs():
     assert len(slow) > 20 and len(whole) < len(parts) and classes(media._links(all_, all_, media.BITS, media.AGREE, {})) == whole
     assert classes([link for a, b in fast for link in media._links(a, b, media.BITS, media.AGREE, {})]) == whole
     assert classes([link for a, b in ((one, one), (one, two), (two, one), (two, two)) for link in media._links(a, b, media.BITS, media.AGREE, {})]) == whole
+
+
+def test_two_blocks_are_compared_in_one_turn():
+    """Blocks whose images' numbers lie among each other give in one turn what they give in two, from the lesser image to the other; so do halves."""
+    rng, blocks = np.random.default_rng(6), ([], [])
+    for i, a in enumerate(pictures(24, 11)):
+        for j, e in enumerate((a, np.clip(a + rng.normal(0, 6, a.shape), 0, 255), a[: 60 - i % 9])):
+            _, place, bits = media.describe_stack(e[None])
+            blocks[(i + j) % 2].append((7 * i + 3 * j % 7, np.array([media.pack_place(*x) for x in place.tolist()], np.int64), bits.view("<u8")))
+    one, two = (media._Block(np.array([i for i, _, _ in b]), np.array([len(g) for _, g, _ in b], np.int32), np.concatenate([g for _, g, _ in b]), np.concatenate([x for _, _, x in b])) for b in blocks)
+
+    def classes(links):
+        up = {}
+        for u, v in links:
+            assert u < v
+            up[media._find(up, u)] = media._find(up, v)
+        return {frozenset(j for j in up if media._find(up, j) == media._find(up, i)) for i in list(up)}
+
+    both = classes([link for a, b in ((one, two), (two, one)) for link in media._links(a, b, media.BITS, media.AGREE, {})])
+    assert len(both) > 10 and classes(media._links(one, two, media.BITS, media.AGREE, {}, True)) == both
+    assert classes([link for half in one.halves() for link in media._links(half, two, media.BITS, media.AGREE, {}, True)]) == both
+
+
+def test_agreement_of_many_runs():
+    """Runs of matches, tried no further than they can agree, are judged as agreeing() judges each."""
+    rng = np.random.default_rng(7)
+    n = rng.integers(1, 15, 3_000)
+    p, q = (np.stack([rng.integers(0, 80, n.sum()) / 4, rng.integers(0, 80, n.sum()) / 4, rng.choice(media.SCALES, n.sum()), rng.choice([0.0, 0.5], n.sum())], axis=1) for _ in range(2))
+    pixels = [(np.rint(x[:, 0]).astype(np.int64) << 21) + np.rint(x[:, 1]).astype(np.int64) for x in (p, q)]
+    ends = np.cumsum(n)
+    for agree in (1, 2, 4, 6):
+        want = [media.agreeing(np.concatenate([p[e - m : e], q[e - m : e]], axis=1)) >= agree for e, m in zip(ends, n, strict=True)]
+        assert media._Proposals(p, q, *pixels, n).agreeing(agree).tolist() == want and (agree == 1 or 0 < sum(want) < len(want))
