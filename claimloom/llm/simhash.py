@@ -167,6 +167,26 @@ def fingerprint_links(distinct: DataFrame, threshold: int = 2, spare: int | None
     return homes.join(replicas, (homes["anchor"] == replicas["anchor"]) & (F.col("f") != F.col("g")) & near).select(F.least("f", "g").alias("u"), F.greatest("f", "g").alias("v")).distinct()
 
 
+def _prints(docs: DataFrame, width: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, f) of every document, and (f, least) of every fingerprint with the smallest id that has it."""
+    prints = checkpoint(docs.select(F.col(id_col).alias("id"), fingerprint_udf(width)(text_bytes(text_col)).alias("f")), TEXTS)
+    return prints, checkpoint(prints.groupBy("f").agg(F.min("id").alias("least")))
+
+
+def simhash_links(docs: DataFrame, threshold: int = 2, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(u, v) of ids whose components are those of simhash_components(): a fingerprint's smallest id to its other ids and to those of the fingerprints near it.
+
+    For what has further links to add: their components are worked out once, together.
+    """
+    require(docs, id_col, text_col)
+    prints, distinct = _prints(docs, width, id_col, text_col)
+    same = prints.join(distinct, "f").where("id <> least").select(F.col("least").alias("u"), F.col("id").alias("v"))
+    near = fingerprint_links(distinct, threshold)
+    for end in ("u", "v"):
+        near = near.join(distinct.select(F.col("f").alias(end), F.col("least").alias(f"{end}_id")), end)
+    return same.union(near.select(F.col("u_id").alias("u"), F.col("v_id").alias("v")))
+
+
 def simhash_components(docs: DataFrame, threshold: int = 2, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc id, simhash long, component id) - one row per row of `docs`.
 
@@ -179,8 +199,7 @@ def simhash_components(docs: DataFrame, threshold: int = 2, width: int = 3, id_c
     an empty result.
     """
     require(docs, id_col, text_col)
-    prints = checkpoint(docs.select(F.col(id_col).alias("id"), fingerprint_udf(width)(text_bytes(text_col)).alias("f")), TEXTS)
-    distinct = checkpoint(prints.groupBy("f").agg(F.min("id").alias("least")))
+    prints, distinct = _prints(docs, width, id_col, text_col)
     parts = checkpoint(connected_components(fingerprint_links(distinct, threshold)))
     named = parts.join(distinct, parts["node"] == distinct["f"]).groupBy("component").agg(F.min("least").alias("name"))
     of_print = parts.join(named, "component").select(F.col("node").alias("f"), "name")
@@ -219,12 +238,11 @@ def simhash_dedup(docs: DataFrame, threshold: int = 2, width: int = 3, id_col: s
     """
     require(docs, id_col, text_col)
     docs_, key = row_keys(docs, id_col, text_col)
-    found = simhash_components(docs_.where(F.col(key).isNotNull()), threshold, width, key, text_col)
-    found = checkpoint(found.select(F.col(key).alias("id"), "component_id"))
-    gone = fresh(docs_, "gone_id")
-    dropped = found.where("id <> component_id").select(F.col("id").alias(gone))
-    if also is not None:
-        links = found.where("id <> component_id").select(F.col("component_id").alias("u"), F.col("id").alias("v")).union(also(docs_, id_col=key, text_col=text_col).select("u", "v"))
+    named, gone = docs_.where(F.col(key).isNotNull()), fresh(docs_, "gone_id")
+    if also is None:
+        dropped = simhash_components(named, threshold, width, key, text_col).where(F.col(key) != F.col("component_id")).select(F.col(key).alias(gone))
+    else:
+        links = simhash_links(named, threshold, width, key, text_col).union(also(docs_, id_col=key, text_col=text_col).select("u", "v"))
         dropped = connected_components(links).where("node <> component").select(F.col("node").alias(gone))
     dropped = checkpoint(dropped.distinct())
     kept = docs_.join(dropped, docs_[key] == dropped[gone], "left_anti")

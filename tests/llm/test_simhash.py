@@ -124,3 +124,16 @@ def test_connected_components(spark):
     want = components(edges, {n for e in edges for n in e})
     assert all(got.get(n, n) == c for n, c in want.items())
     assert graph.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_dedup_works_out_components_once(spark, monkeypatch):
+    """Links by fingerprints and further ones go into one table of links; copies, near copies and a chain of either come together."""
+    texts = ["one two three four five six seven", "one two three four five six seven", "eight nine ten", "", None, "something else of some length altogether", "and a last text that has no copy"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    parts = {r["doc_id"]: r["component_id"] for r in simhash.simhash_components(docs).collect()}
+    links = simhash.connected_components(simhash.simhash_links(docs)).collect()
+    assert {i: c for i, c in parts.items() if list(parts.values()).count(c) > 1} == {r["node"]: r["component"] for r in links}
+    real, calls = simhash.connected_components, []
+    monkeypatch.setattr(simhash, "connected_components", lambda e: calls.append(e) or real(e))
+    kept = simhash.simhash_dedup(docs, also=lambda d, **_: spark.createDataFrame([(1, 2), (5, 3)], "u long, v long"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 3, 6] and len(calls) == 1
