@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -166,11 +167,39 @@ def _counts(width: int):
             for pdf in batches:
                 for t in pdf["text"]:
                     np.add.at(n, (shingle_set(t, width) % np.uint64(COUNTERS)).astype(np.int64), 1)
-            yield pd.DataFrame({"n": [n.tobytes()]})
+            yield _counted(n)
 
     return run
 
 
+def _counted(n: np.ndarray) -> pd.DataFrame:
+    """Counters that are not zero, as one row."""
+    at = np.flatnonzero(n).astype(np.int32)
+    return pd.DataFrame({"at": [at.tobytes()], "n": [n[at].tobytes()]})
+
+
+def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    n = np.zeros(COUNTERS, np.int32)
+    for pdf in batches:
+        for at, more in zip(pdf["at"], pdf["n"], strict=True):
+            n[np.frombuffer(at, np.int32)] += np.frombuffer(more, np.int32)
+    yield _counted(n)
+
+
+def shingle_counts(texts: DataFrame, width: int = 5) -> np.ndarray:
+    """In how many of the texts (column text) each counter's shingles stand, added up in a tree of tasks.
+
+    The tree's tasks take the Python workers that count: an executor that holds others
+    beside them, as for an RDD's functions, needs their memory twice.
+    """
+    counts = texts.select("text").mapInPandas(_counts(width), "at binary, n binary")
+    for tasks in (ceil(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5), 1):
+        counts = counts.repartition(tasks).mapInPandas(_summed, "at binary, n binary")
+    n, found = np.zeros(COUNTERS, np.int32), counts.first()
+    n[np.frombuffer(found["at"], np.int32)] = np.frombuffer(found["n"], np.int32)
+    return n
+
+
 def _rare(width: int, threshold: float, floor: float, counts: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with working("fingerprints"):
@@ -254,7 +283,7 @@ def resemblance_links(docs: DataFrame, threshold: float = 0.8, width: int = 5, f
     if not many.isEmpty():
         text = base.join(broadcast_if_small(many), "id").dropDuplicates(["id"])
         # counted over all of these documents, added up in a tree: a passage that many share comes last whatever its share of them
-        counts = text.select("id", "text").mapInPandas(_counts(width), "n binary").rdd.map(lambda r: np.frombuffer(r["n"], np.int32)).treeReduce(np.add)
+        counts = shingle_counts(text, width)
         rare = checkpoint(text.mapInPandas(_rare(width, threshold, floor, counts), "id long, comp long, n int, key long, pos int, short boolean"), TEXTS)
         open_ = rare.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
         # shingles are in one order for all, so two documents that share one meet there first: where they share one of the last before it, they have met

@@ -244,3 +244,14 @@ def test_far_copies_of_a_large_group_are_not_tried_with_each_member(spark, monke
     want = set(all_links(docs))
     assert found <= want and components(found, docs) == components(want, docs)
     assert made and max(made) < 400, made
+
+
+def test_shingle_counts_over_tasks(spark):
+    """Counters of many tasks, empty ones too, are added up to those of all texts."""
+    texts = [" ".join(f"w{(i * j) % 17}" for j in range(i % 9 + 4)) for i in range(60)] + [""]
+    want = np.zeros(resemblance.COUNTERS, np.int64)
+    for t in texts:
+        np.add.at(want, (resemblance.shingle_set(t) % np.uint64(resemblance.COUNTERS)).astype(np.int64), 1)
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert want.max() > 1 and np.array_equal(resemblance.shingle_counts(rows.repartition(70)), want)
+    assert not resemblance.shingle_counts(rows.where("1 = 0")).any()
