@@ -167,23 +167,17 @@ def _counts(width: int):
             for pdf in batches:
                 for t in pdf["text"]:
                     np.add.at(n, (shingle_set(t, width) % np.uint64(COUNTERS)).astype(np.int64), 1)
-            yield _counted(n)
+            yield pd.DataFrame({"n": [n.tobytes()]})
 
     return run
 
 
-def _counted(n: np.ndarray) -> pd.DataFrame:
-    """Counters that are not zero, as one row."""
-    at = np.flatnonzero(n).astype(np.int32)
-    return pd.DataFrame({"at": [at.tobytes()], "n": [n[at].tobytes()]})
-
-
 def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     n = np.zeros(COUNTERS, np.int32)
     for pdf in batches:
-        for at, more in zip(pdf["at"], pdf["n"], strict=True):
-            n[np.frombuffer(at, np.int32)] += np.frombuffer(more, np.int32)
-    yield _counted(n)
+        for more in pdf["n"]:
+            n += np.frombuffer(more, np.int32)
+    yield pd.DataFrame({"n": [n.tobytes()]})
 
 
 def shingle_counts(texts: DataFrame, width: int = 5) -> np.ndarray:
@@ -192,12 +186,10 @@ def shingle_counts(texts: DataFrame, width: int = 5) -> np.ndarray:
     The tree's tasks take the Python workers that count: an executor that holds others
     beside them, as for an RDD's functions, needs their memory twice.
     """
-    counts = texts.select("text").mapInPandas(_counts(width), "at binary, n binary")
+    counts = texts.select("text").mapInPandas(_counts(width), "n binary")
     for tasks in (ceil(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5), 1):
-        counts = counts.repartition(tasks).mapInPandas(_summed, "at binary, n binary")
-    n, found = np.zeros(COUNTERS, np.int32), counts.first()
-    n[np.frombuffer(found["at"], np.int32)] = np.frombuffer(found["n"], np.int32)
-    return n
+        counts = counts.repartition(tasks).mapInPandas(_summed, "n binary")
+    return np.frombuffer(counts.first()["n"], np.int32)
 
 
 def _rare(width: int, threshold: float, floor: float, counts: np.ndarray):
